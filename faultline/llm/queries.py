@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, records, scratch, separators
+from . import decontaminate, outliers, packing, records, scratch, separators
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,6 +17,10 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op3_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return outliers.judge(_documents(spark, sf_dir))
+
+
 def op5_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch.scratch_path(spark, "records")
     records.write(_documents(spark, sf_dir), path)
@@ -29,5 +33,29 @@ def op7_separators(spark: SparkSession, sf_dir: str) -> DataFrame:
     return separators.counts(spark, path)
 
 
-QUERIES = {f.__name__: f for f in (op2_packing, op5_records, op7_separators)}
-ORACLE_SQL: dict[str, str] = {}
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return decontaminate.judge(_documents(spark, sf_dir), benchmark).drop("spans")
+
+
+QUERIES = {f.__name__: f for f in (op2_packing, op3_outliers, op5_records, op7_separators, op8_decontaminate)}
+
+_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+ORACLE_SQL: dict[str, str] = {
+    "op8_decontaminate": f"""
+WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+b AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
+bw AS (SELECT DISTINCT item_id, least(10, len(w)) AS n, array_to_string(w[i : i + least(10, len(w)) - 1], ' ') AS s
+       FROM b, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS t(i) WHERE len(w) > 0),
+lens AS (SELECT DISTINCT n FROM bw),
+dw AS (SELECT doc_id, i, n, array_to_string(w[i : i + n - 1], ' ') AS s
+       FROM d, lens, unnest(range(1, len(w) - n + 2)) AS t(i) WHERE len(w) >= n),
+o AS (SELECT doc_id, item_id, i, n FROM dw JOIN bw USING (n, s)),
+h AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM o, unnest(range(i, i + n)) AS t(p) GROUP BY doc_id),
+k AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+      FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM o) GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+       sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN h USING (doc_id) LEFT JOIN k USING (doc_id)""",
+}
