@@ -5,13 +5,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, outliers, packing, records, scratch, separators
+from . import decontaminate, language, outliers, packing, records, scratch, separators
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def _remainder(n: int):
+    """crc32 of the id as text, modulo n: what is held out from learning."""
+    return F.crc32(F.col("doc_id").cast("string")) % n
+
+
+def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    model = language.fit(docs.where(_remainder(4) != 2).select("doc_id", "text", "lang"))
+    return language.predict(docs.select("doc_id", "text", (_remainder(4) == 2).alias("held_out")), model).drop("text")
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.sequences(_documents(spark, sf_dir))
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
@@ -38,7 +49,7 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.judge(_documents(spark, sf_dir), benchmark).drop("spans")
 
 
-QUERIES = {f.__name__: f for f in (op2_packing, op3_outliers, op5_records, op7_separators, op8_decontaminate)}
+QUERIES = {f.__name__: f for f in (op1_language, op2_packing, op3_outliers, op5_records, op7_separators, op8_decontaminate)}
 
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
