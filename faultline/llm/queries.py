@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language, outliers, packing, records, scratch, separators, spans
+from . import decontaminate, language, neardup, outliers, packing, records, scratch, separators, spans
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,6 +32,10 @@ def op3_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return outliers.judge(_documents(spark, sf_dir))
 
 
+def op4_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.classes(_documents(spark, sf_dir))
+
+
 def op5_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch.scratch_path(spark, "records")
     records.write(_documents(spark, sf_dir), path)
@@ -53,7 +57,7 @@ def op10_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.report(_documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_language, op2_packing, op3_outliers, op5_records, op7_separators, op8_decontaminate, op10_spans)}
+QUERIES = {f.__name__: f for f in (op1_language, op2_packing, op3_outliers, op4_neardup, op5_records, op7_separators, op8_decontaminate, op10_spans)}
 
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 

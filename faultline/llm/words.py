@@ -48,13 +48,14 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, off - off[0]
 
 
-def spans(offsets: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
-    """Row ranges whose texts have at most ``limit`` bytes together, or that are one row."""
+def spans(offsets: np.ndarray, limit: int, rows: int = 1 << 20) -> Iterator[tuple[int, int]]:
+    """Row ranges whose texts have at most ``limit`` bytes together, or that are one row; of ``rows`` rows at most."""
     lo, n = 0, len(offsets) - 1
     while lo < n:
         hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + limit, "right")) - 1)
-        yield lo, min(hi, n)
-        lo = min(hi, n)
+        hi = min(hi, n, lo + rows)
+        yield lo, hi
+        lo = hi
 
 
 def mix(h: np.ndarray) -> np.ndarray:
