@@ -85,9 +85,13 @@ def runs(docs: DataFrame, min_sentences: int, min_words: int) -> DataFrame:
 def repeated(docs: DataFrame, min_sentences: int = 2, min_words: int = 16) -> DataFrame:
     """Per document with something to remove: doc_id and ``cuts``, sorted array of (start, stop, first_doc_id), in words."""
     table = scratch.materialise(runs(scratch.documents(docs), min_sentences, min_words), "runs")
-    known = table.groupBy("h").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc_id"))
-    known = known.where("n > 1").select(F.col("h").alias("k"), "first_doc_id")
-    found = table.join(known, F.col("h") == F.col("k")).where(F.col("later") | ~F.col("doc_id").eqNullSafe(F.col("first_doc_id")))
+    once = table.where("NOT later")
+    known = once.groupBy("h").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc_id")).where("n > 1")
+    # A table of its own: a join of two exchanges can be split where a run is in very many documents.
+    known = scratch.materialise(known.select(F.col("h").alias("k"), "first_doc_id"), "repeats")
+    found = once.join(known, F.col("h") == F.col("k")).where(~F.col("doc_id").eqNullSafe(F.col("first_doc_id")))
+    again = table.where("later").withColumn("first_doc_id", F.col("doc_id"))
+    found = found.select("doc_id", "start", "stop", "first_doc_id").unionByName(again.select("doc_id", "start", "stop", "first_doc_id"))
     return found.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("start", "stop", "first_doc_id"))).alias("cuts"))
 
 
