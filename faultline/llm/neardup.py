@@ -200,12 +200,13 @@ def classes(docs: DataFrame, threshold: float = 0.8, n: int = 5, bands: int = 16
     sampler = spark.sparkContext.broadcast(Sampler(bands * rows))
     signed = scratch.materialise(signatures(docs.withColumn("doc_id", F.coalesce("doc_id", F.lit(_NONE))), idf, sampler, bands, n), "signatures")
 
-    same = signed.groupBy("key").agg(F.min("doc_id").alias("node"))
+    # Aggregates become tables before they are joined to what they were made of: such joins can be split at hot keys.
+    same = scratch.materialise(signed.groupBy("key").agg(F.min("doc_id").alias("node")), "same")
     # Ids that stand on several rows, if any, link those rows' texts.
     member = scratch.materialise(signed.select("doc_id", "key").join(same, "key").select("doc_id", "node"), "members")
     nodes = signed.join(same, "key").where("doc_id = node AND buckets IS NOT NULL").select("node", "buckets", "sketch")
     held = nodes.select("node", F.explode("buckets").alias("bucket"))
-    sizes = held.groupBy("bucket").agg(F.count("*").alias("m")).where("m > 1")
+    sizes = scratch.materialise(held.groupBy("bucket").agg(F.count("*").alias("m")).where("m > 1"), "sizes")
     bucket = held.join(sizes, "bucket").withColumn("rank", F.xxhash64("bucket", "node"))
     bucket = scratch.materialise(bucket, "buckets")
     met = bucket.select("node").distinct()
@@ -217,7 +218,7 @@ def classes(docs: DataFrame, threshold: float = 0.8, n: int = 5, bands: int = 16
     draws = bands * rows
     least = int(np.floor(draws * threshold - sigmas * np.sqrt(draws * threshold * (1 - threshold))))
 
-    hubs = bucket.groupBy("bucket").agg(F.min_by("node", "rank").alias("hub"))
+    hubs = scratch.materialise(bucket.groupBy("bucket").agg(F.min_by("node", "rank").alias("hub")), "hubs")
     first = bucket.join(hubs, "bucket").where("node <> hub").groupBy("node").agg(F.max_by("hub", F.struct("m", F.col("hub"))).alias("hub"))
     pairs = first.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
     edges = member.where("doc_id <> node").select(F.col("doc_id").alias("a"), F.col("node").alias("b")).distinct()
@@ -234,7 +235,7 @@ def classes(docs: DataFrame, threshold: float = 0.8, n: int = 5, bands: int = 16
         edges = label.select(F.col("node").alias("a"), F.col("label").alias("b"))
         now = bucket.join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
         mixed = now.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("bucket")
-        bucket_now = scratch.materialise(now.join(mixed, "bucket"), "mixed")
+        bucket_now = scratch.materialise(now.join(scratch.materialise(mixed, "open"), "bucket"), "mixed")
         most = bucket_now.agg(F.max("m")).first()[0]
         if most is None or k > most:
             break
