@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language, neardup, outliers, packing, records, scratch, separators, spans
+from . import ctw, decontaminate, language, neardup, outliers, packing, records, scratch, separators, spans
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,11 +53,15 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.judge(_documents(spark, sf_dir), benchmark).drop("spans")
 
 
+def op9_ctw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ctw.score(_documents(spark, sf_dir), _remainder(7) == 2)
+
+
 def op10_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.report(_documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_language, op2_packing, op3_outliers, op4_neardup, op5_records, op7_separators, op8_decontaminate, op10_spans)}
+QUERIES = {f.__name__: f for f in (op1_language, op2_packing, op3_outliers, op4_neardup, op5_records, op7_separators, op8_decontaminate, op9_ctw, op10_spans)}
 
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 

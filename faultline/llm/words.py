@@ -30,6 +30,7 @@ def _class(is_word, lower: bool) -> np.ndarray:
 
 #: Runs of bytes other than white space, ASCII capitals lowered.
 NON_SPACE = _class(lambda c: c != 0x20 and not 0x09 <= c <= 0x0D and c != 0, True)
+NON_SPACE[0] = 0xFF  # a word character; no UTF-8 text has this byte
 #: ASCII digits and letters (lowered) and all non-ASCII characters.
 ALNUM = _class(lambda c: 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A or c >= 0x80, True)
 
