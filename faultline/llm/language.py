@@ -181,6 +181,9 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def accept(docs: DataFrame, model: Model, least: float = 0.1) -> DataFrame:
-    """The rows of ``docs`` whose language was recognised: not ``und``, and scored ``least`` at least."""
+    """The rows of ``docs`` whose language was recognised: not ``und``, and scored ``least`` at least. A model that has
+    learned no language rejects only texts without a letter."""
+    if not model.languages:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
     told = predict(docs.withColumns({"_p": F.struct(*docs.columns)}).select("_p", F.col("_p.text").alias("text")), model)
     return told.where((F.col("lang_pred") != "und") & (F.col("score") >= least)).select("_p.*")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ctw, decontaminate, language, neardup, outliers, packing, records, scratch, separators, spans
+from . import ctw, decontaminate, language, licenses, neardup, outliers, packing, records, scratch, separators, spans
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,6 +42,10 @@ def op5_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.read(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(_documents(spark, sf_dir))
+
+
 def op7_separators(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch.scratch_path(spark, "tokens")
     separators.write(_documents(spark, sf_dir), path)
@@ -61,7 +65,7 @@ def op10_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.report(_documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_language, op2_packing, op3_outliers, op4_neardup, op5_records, op7_separators, op8_decontaminate, op9_ctw, op10_spans)}
+QUERIES = {f.__name__: f for f in (op1_language, op2_packing, op3_outliers, op4_neardup, op5_records, op6_licenses, op7_separators, op8_decontaminate, op9_ctw, op10_spans)}
 
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
