@@ -1,5 +1,516 @@
-"""All queries of the engine proper."""
+"""All queries of the engine proper, each with the SQL that checks it where SQL can.
+
+The operators are generic; a query binds one to the test tables: documents are files and their source is the provider,
+orders and events are change records, customers and parts are what changes are about.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions import text as T
+from .functions import vocabulary as V
+from .operators import lines as L
+from .operators import relational as R
+from .plans import impacts as I
 
 QUERIES: dict = {}
-ORACLE_SQL: dict = {}
-FLAGSHIP = ""
+ORACLE_SQL: dict[str, str] = {}
+FLAGSHIP = "scan_impacts"
+
+
+def query(sql: str | None = None):
+    def keep(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return keep
+
+
+def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _list(values: list[str]) -> str:
+    return ", ".join("'" + v.replace("'", "''") + "'" for v in values)
+
+
+#: Matchers over documents: kind, detail, pattern. Without look-around, so that both engines read them alike.
+MATCHERS = [
+    ("api-host", "ipv4", r"\b[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\b"),
+    ("import", "licence", r"(Licensed under|Released under|licensed under)"),
+    ("env-var", "credential", r"(password|token|secret|api_key) *[:=]"),
+    ("env-var", "hex", r"\b[A-Fa-f0-9]{40,}\b"),
+    ("api-host", "e-mail", r"[A-Za-z0-9._-]+@[A-Za-z0-9.-]+\.[a-z]{2,}"),
+]
+_MATCHER_SQL = " UNION ALL ".join(f"SELECT '{k}' AS kind, '{d}' AS detail, '{p}' AS pattern" for k, d, p in MATCHERS)
+_LINES_SQL = r"""
+m AS (%s),
+l AS (SELECT doc_id, source, i AS line, s[i] AS raw FROM (SELECT doc_id, source, string_split(text, chr(10)) AS s FROM documents), unnest(range(1, len(s) + 1)) AS t(i)),
+f AS (SELECT doc_id, source, line, raw, kind, detail FROM l, m WHERE regexp_matches(raw, pattern))""" % _MATCHER_SQL
+
+
+def _findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = L.lines(_t(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    return L.matched(rows, MATCHERS)
+
+
+@query(f"WITH {_LINES_SQL} SELECT doc_id, source, line, kind, detail FROM f")
+def line_scan(spark, sf_dir):
+    """SRC-1, TX-13, TX-15, J-4: lines by matcher."""
+    return _findings(spark, sf_dir).select("doc_id", "source", "line", "kind", "detail")
+
+
+@query(
+    f"""WITH {_LINES_SQL},
+u AS (SELECT source AS provider, count(DISTINCT kind) AS n_kinds, bool_or(kind = 'import') AS imported, bool_or(kind = 'api-host') AS hosted, count(DISTINCT doc_id) AS files, count(*) AS sites FROM f GROUP BY source),
+c AS (SELECT event_id AS id, 'src' || (user_id % 20) AS provider, CASE event_type WHEN 'purchase' THEN 'breaking' WHEN 'click' THEN 'deprecation' WHEN 'signup' THEN 'unknown' ELSE 'additive' END AS change_type,
+  CASE user_id % 3 WHEN 0 THEN 'changelog:' WHEN 1 THEN 'spec-diff:' ELSE '' END AS source_repo, CASE WHEN value >= 50 THEN 1 ELSE 0 END AS extracted FROM events),
+s AS (SELECT id, c.provider, change_type, CASE change_type WHEN 'breaking' THEN 'high' WHEN 'deprecation' THEN 'medium' WHEN 'unknown' THEN 'low' ELSE 'info' END AS severity,
+  CASE WHEN extracted > 0 AND (imported OR (source_repo <> '' AND hosted)) THEN 'medium' ELSE 'low' END AS confidence, n_kinds, files, sites
+  FROM c JOIN u USING (provider) WHERE change_type IN ('breaking', 'deprecation'))
+SELECT id, provider, change_type, severity, confidence, n_kinds::BIGINT AS n_kinds, files, sites FROM s"""
+)
+def scan_impacts(spark, sf_dir):
+    """J-1, P-1, P-7, P-9, PRJ-4, A-5, A-6: change records against usage, scored."""
+    found = _findings(spark, sf_dir)
+    used = found.groupBy(F.col("source").alias("provider")).agg(F.collect_set("kind").alias("kinds"), F.count_distinct("doc_id").alias("files"), F.count("*").alias("sites"))
+    kind = F.when(F.col("event_type") == "purchase", "breaking").when(F.col("event_type") == "click", "deprecation").when(F.col("event_type") == "signup", "unknown").otherwise("additive")
+    repo = F.when(F.col("user_id") % 3 == 0, "changelog:").when(F.col("user_id") % 3 == 1, "spec-diff:").otherwise("")
+    changes = _t(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.concat(F.lit("src"), F.col("user_id") % 20).alias("provider"), kind.alias("change_type"), repo.alias("source_repo"), F.when(F.col("value") >= 50, 1).otherwise(0).alias("extracted"))
+    live = changes.where(F.col("change_type").isin(V.MONITORED_TYPES)).join(used, "provider")
+    score = T.confidence(F.lit(0), F.col("extracted"), F.col("kinds"), "source_repo", F.lit(""))
+    return live.select("id", "provider", "change_type", T.severity("change_type").alias("severity"), score.alias("confidence"), F.size("kinds").cast("long").alias("n_kinds"), "files", "sites")
+
+
+@query(
+    """WITH s AS (SELECT o_orderkey, o_orderstatus, o_orderpriority, o_orderdate,
+  CASE o_orderstatus WHEN 'F' THEN 0 WHEN 'O' THEN 1 WHEN 'P' THEN 2 ELSE -1 END AS sev, o_totalprice FROM orders)
+SELECT o_orderkey, (row_number() OVER (ORDER BY sev, o_orderpriority, o_orderdate DESC, o_orderkey))::BIGINT AS place FROM s ORDER BY place LIMIT 100"""
+)
+def rank_impacts(spark, sf_dir):
+    """S-2: severity, then confidence, then newest first, ties by id; the first hundred."""
+    from pyspark.sql import Window
+
+    rows = _t(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority", "o_orderdate")
+    order = [R.position(F.col("o_orderstatus"), ["F", "O", "P"]), F.col("o_orderpriority"), F.col("o_orderdate").desc(), F.col("o_orderkey")]
+    top = rows.orderBy(*order).limit(100)
+    return top.select("o_orderkey", F.row_number().over(Window.orderBy(*order)).cast("long").alias("place"))
+
+
+@query("SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders WHERE o_orderstatus IN ('F', 'P') ORDER BY o_orderdate DESC NULLS LAST, o_orderkey LIMIT 500")
+def filter_in_ordered(spark, sf_dir):
+    """P-1, S-1."""
+    rows = _t(spark, sf_dir, "orders").where(F.col("o_orderstatus").isin("F", "P"))
+    return rows.orderBy(F.col("o_orderdate").desc_nulls_last(), "o_orderkey").limit(500).select("o_orderkey", "o_orderstatus", "o_totalprice")
+
+
+@query("SELECT event_id, event_type, value, (SELECT count(*) FROM events WHERE event_type = 'click' AND user_id % 2 = 0) AS total FROM events WHERE event_type = 'click' AND user_id % 2 = 0 ORDER BY event_id DESC LIMIT 20")
+def point_and_page(spark, sf_dir):
+    """P-2, S-3, A-1: newest first, a clamped page, and the total."""
+    rows = _t(spark, sf_dir, "events").where("event_type = 'click' AND user_id % 2 = 0")
+    total = rows.agg(F.count("*").alias("total"))
+    return R.page(rows, [F.col("event_id").desc()], None).join(F.broadcast(total)).select("event_id", "event_type", "value", "total")
+
+
+@query("SELECT c_custkey, c_name FROM customer WHERE c_custkey = 17")
+def point_lookup(spark, sf_dir):
+    """P-3."""
+    return _t(spark, sf_dir, "customer").where("c_custkey = 17").select("c_custkey", "c_name")
+
+
+@query("SELECT coalesce(nullif(event_type, 'view'), '(unset)') AS event_type, count(*) AS n FROM events GROUP BY 1")
+def group_count_types(spark, sf_dir):
+    """A-3, A-4: counts by type, null counted as (unset)."""
+    return R.group_counts(_t(spark, sf_dir, "events"), F.nullif(F.col("event_type"), F.lit("view")), "event_type")
+
+
+@query("SELECT count(*) AS n, count(DISTINCT source) AS providers, count(DISTINCT lang) AS langs, max(doc_id) AS latest FROM documents")
+def table_counters(spark, sf_dir):
+    """A-1, A-2, A-7, A-11."""
+    return _t(spark, sf_dir, "documents").agg(F.count("*").alias("n"), F.count_distinct("source").alias("providers"), F.count_distinct("lang").alias("langs"), F.max("doc_id").alias("latest"))
+
+
+@query("SELECT c_custkey, c_mktsegment FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+def semi_usage(spark, sf_dir):
+    """P-7, J-12: providers that are used."""
+    c, o = _t(spark, sf_dir, "customer"), _t(spark, sf_dir, "orders")
+    return c.join(o, c.c_custkey == o.o_custkey, "left_semi").select("c_custkey", "c_mktsegment")
+
+
+@query(
+    """SELECT user_id, event_type, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS k FROM events e
+WHERE NOT EXISTS (SELECT 1 FROM customer WHERE c_custkey = e.user_id AND c_mktsegment = 'BUILDING')) WHERE k = 1"""
+)
+def anti_ingest(spark, sf_dir):
+    """J-7, W-5, SNK-1: what an insert-or-ignore would add."""
+    e = _t(spark, sf_dir, "events")
+    stored = _t(spark, sf_dir, "customer").where("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("user_id"))
+    fresh = e.join(stored, "user_id", "left_anti")
+    return R.first_writer(fresh, ["user_id", "event_type"], [F.col("ts"), F.col("event_id")]).select("user_id", "event_type", "event_id")
+
+
+@query(
+    """WITH v AS (SELECT doc_id, first(quality ORDER BY toxic, quality) AS q FROM labels WHERE quality IS NOT NULL GROUP BY doc_id)
+SELECT d.doc_id, CASE WHEN v.doc_id IS NOT NULL AND d.lang <> 'en' THEN CASE v.q WHEN 1 THEN 'good' ELSE 'bad' END ELSE d.lang END AS lang, v.doc_id IS NOT NULL AND d.lang <> 'en' AS updated
+FROM documents d LEFT JOIN v USING (doc_id)"""
+)
+def upsert_verdict(spark, sf_dir):
+    """J-8, P-11, P-12, SNK-2: a guarded update by the first verdict that applies."""
+    d = _t(spark, sf_dir, "documents").select("doc_id", "lang")
+    v = _t(spark, sf_dir, "labels").where("quality IS NOT NULL").select("doc_id", F.when(F.col("quality") == 1, "good").otherwise("bad").alias("lang"), "toxic", "quality")
+    return R.upsert(d, v, "doc_id", ["lang"], [F.col("v.toxic"), F.col("v.quality")], F.col("b.lang") != "en")
+
+
+@query(
+    """WITH base AS (SELECT o_custkey, max(o_orderdate) AS baseline FROM orders WHERE o_orderstatus = 'F' GROUP BY 1)
+SELECT o.o_custkey, o.o_orderkey FROM orders o JOIN base USING (o_custkey) WHERE o.o_orderstatus <> 'F' AND o.o_orderdate > baseline"""
+)
+def pack_staleness(spark, sf_dir):
+    """J-9, J-17, A-7: records newer than the newest covered one of their stream."""
+    o = _t(spark, sf_dir, "orders")
+    covered = o.where("o_orderstatus = 'F'").select(F.col("o_custkey").alias("pack"), F.col("o_orderkey").alias("id"))
+    chrono = F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss.SSSSSS")
+    changes = o.select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("provider"), chrono.alias("chrono"), F.lit("s").alias("stream"), F.lit(False).alias("prerelease"), F.lit(False).alias("firehose"), F.lit(None).cast("string").alias("anchor"))
+    packs = covered.select("pack").distinct().select("pack", F.col("pack").alias("provider"), F.lit(None).cast("string").alias("revalidated_through"))
+    return R.stale(packs, covered, changes).select(F.col("pack").alias("o_custkey"), F.col("id").alias("o_orderkey"))
+
+
+@query("SELECT o_orderkey, l_linenumber, l_quantity FROM orders LEFT JOIN (SELECT * FROM lineitem WHERE l_quantity > 45) l ON l_orderkey = o_orderkey")
+def lookup_left(spark, sf_dir):
+    """J-13."""
+    o, l = _t(spark, sf_dir, "orders"), _t(spark, sf_dir, "lineitem").where("l_quantity > 45")  # noqa: E741
+    return o.join(l, o.o_orderkey == l.l_orderkey, "left").select("o_orderkey", "l_linenumber", "l_quantity")
+
+
+_CHAINS = ["BUILDING.3", "MACHINERY.1", "7", "AUTOMOBILE.12"]
+
+
+@query(f"""WITH p AS (SELECT c_custkey, ['client', 'v1', c_mktsegment, c_nationkey::VARCHAR] AS w FROM customer),
+s AS (SELECT c_custkey, array_to_string(w[i : len(w)], '.') AS suffix FROM p, unnest(range(2, len(w) + 1)) AS t(i))
+SELECT c_custkey, suffix FROM s WHERE suffix IN ({_list(_CHAINS)})""")
+def suffix_join(spark, sf_dir):
+    """J-10: call chains by any tail, as an equi-join."""
+    chain = F.concat_ws(".", F.lit("client"), F.lit("v1"), "c_mktsegment", F.col("c_nationkey").cast("string"))
+    chains = _t(spark, sf_dir, "customer").select("c_custkey", F.explode(T.chain_suffixes(chain)).alias("suffix"))
+    return chains.join(spark.createDataFrame([(x,) for x in _CHAINS], "suffix string"), "suffix").select("c_custkey", "suffix")
+
+
+@query("SELECT o_orderpriority, o_orderstatus, o_orderkey FROM orders JOIN (VALUES ('F', '1-URGENT', 1), ('O', '5-LOW', 1), ('P', '2-HIGH', 1)) t(s, p, one) ON o_orderstatus = s AND o_orderpriority = p")
+def triple_join(spark, sf_dir):
+    """J-11: controller calls by constructor, anchor and method."""
+    want = spark.createDataFrame([("F", "1-URGENT"), ("O", "5-LOW"), ("P", "2-HIGH")], "o_orderstatus string, o_orderpriority string")
+    return _t(spark, sf_dir, "orders").join(F.broadcast(want), ["o_orderstatus", "o_orderpriority"]).select("o_orderpriority", "o_orderstatus", "o_orderkey")
+
+
+@query("SELECT doc_id, quality FROM labels l WHERE quality = 1 AND EXISTS (SELECT 1 FROM documents d WHERE d.doc_id = l.doc_id) AND NOT EXISTS (SELECT 1 FROM documents d WHERE d.doc_id = l.doc_id AND d.lang = 'de')")
+def draft_candidates(spark, sf_dir):
+    """J-14, P-13: fixable, known, and not covered yet."""
+    d, assets = _t(spark, sf_dir, "documents"), _t(spark, sf_dir, "labels").where("quality = 1")
+    return assets.join(d, "doc_id", "left_semi").join(d.where("lang = 'de'"), "doc_id", "left_anti").select("doc_id", "quality")
+
+
+TEMPLATES = ["/p/{id}", "/page/{id}", "/article/{slug}/{id}", "/a/b", "/item/{id}", "/post/{id}", "/news/{id}", "/docs/{id}", "/{any}/{id}"]
+_PATH_SQL = """
+p AS (SELECT page_id, regexp_extract(url, '^[a-z]+://[^/]+(/[^?#]*)', 1) AS path FROM pages),
+t AS (SELECT unnest([%s]) AS template),
+x AS (SELECT page_id, path, template, list_filter(string_split(path, '/'), lambda s: s <> '') AS a, list_filter(string_split(template, '/'), lambda s: s <> '') AS b FROM p, t),
+y AS (SELECT *, least(len(a), len(b)) AS n, greatest(len(a), len(b)) AS m FROM x)""" % _list(TEMPLATES)
+
+
+@query(f"WITH {_PATH_SQL} SELECT page_id, template FROM y WHERE n > 0 AND (n >= 2 OR n = m) AND len(list_filter(range(1, n + 1), lambda i: NOT (a[i] = b[i] OR a[i] = '{{param}}' OR regexp_matches(b[i], '^\\{{[^}}]+\\}}$')))) = 0")
+def path_overlap(spark, sf_dir):
+    """J-5: endpoints in code against anchors of changes."""
+    return _paths(spark, sf_dir, T.paths_overlap)
+
+
+@query(f"WITH {_PATH_SQL} SELECT page_id, template FROM y WHERE n > 0 AND (n >= 2 OR n = m) AND len(list_filter(range(1, n + 1), lambda i: NOT (a[i] = b[i] OR regexp_matches(a[i], '^\\{{[^}}]+\\}}$') OR regexp_matches(b[i], '^\\{{[^}}]+\\}}$')))) = 0")
+def path_overlap_anchors(spark, sf_dir):
+    """J-6: anchors against anchors, slots on both sides."""
+    return _paths(spark, sf_dir, T.anchors_overlap)
+
+
+def _paths(spark, sf_dir, test):
+    pages = _t(spark, sf_dir, "pages").select("page_id", F.regexp_extract("url", r"^[a-z]+://[^/]+(/[^?#]*)", 1).alias("path"), F.lit(1).alias("provider"))
+    packs = spark.createDataFrame([(1, t) for t in TEMPLATES], "provider int, template string")
+    return pages.join(F.broadcast(packs), "provider").where(test(F.col("path"), F.col("template"))).select("page_id", "template")
+
+
+@query(f"WITH {_LINES_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY source, kind ORDER BY doc_id, line, detail) AS k FROM f) SELECT source, kind, doc_id, line, detail FROM r WHERE k <= 3")
+def cap_sites(spark, sf_dir):
+    """W-1 to W-4, A-10: the first sites of each surface."""
+    return R.cap(_findings(spark, sf_dir), ["source", "kind"], [F.col("doc_id"), F.col("line"), F.col("detail")], 3).select("source", "kind", "doc_id", "line", "detail")
+
+
+@query(f"WITH {_LINES_SQL} SELECT source AS provider, kind, detail AS surface, count(*) AS sites, count(DISTINCT doc_id) AS files FROM f GROUP BY ALL")
+def surface_inventory(spark, sf_dir):
+    """A-10, A-11: distinct surfaces with their evidence."""
+    return _findings(spark, sf_dir).groupBy(F.col("source").alias("provider"), "kind", F.col("detail").alias("surface")).agg(F.count("*").alias("sites"), F.count_distinct("doc_id").alias("files"))
+
+
+@query(
+    r"""WITH t AS (SELECT doc_id, array_distinct(list_filter(list_transform(regexp_extract_all(text, '([A-Z][a-z]+ [a-z]{6,}[.,])', 1), lambda s: trim(s)), lambda s: length(s) BETWEEN 4 AND 80)) AS s FROM documents)
+SELECT doc_id, len(s)::BIGINT AS n_symbols, array_to_string(list_sort(s), '|') AS symbols FROM t"""
+)
+def symbol_extract(spark, sf_dir):
+    """PRJ-15's shape on prose: all matches of a name pattern, trimmed, of bounded length, distinct."""
+    found = F.transform(F.regexp_extract_all("text", F.lit(r"([A-Z][a-z]+ [a-z]{6,}[.,])"), F.lit(1)), F.trim)
+    s = F.array_distinct(F.filter(found, lambda x: (F.length(x) >= 4) & (F.length(x) <= 80)))
+    return _t(spark, sf_dir, "documents").select("doc_id", F.size(s).cast("long").alias("n_symbols"), F.array_join(F.array_sort(s), "|").alias("symbols"))
+
+
+#: Change titles that reach every branch of the classifier.
+TITLES = [
+    "Breaking: drops support for v1", "Removed the legacy endpoint", "Remove unused workflow. Renamed ci job", "Deprecated the charges API", "This field will be removed",
+    "Add new endpoint for refunds", "Fixes a crash", "Bumped lodash dependency", "Update readme", "@acme/types@3.0.0", "v6.4.0", "8.1.2", "43.0.0: Merge request", "v2.0.0-rc.1",
+    "Full Changelog: v1.2.0...v1.2.1", "nothing to see", "See the changelog for more details.", "sunset of the old API", "end-of-life notice", "removed internal-only helper; renamed param x",
+    "7.2.0-beta.3", "v15.4.0a4", "introducing batches", "patch a bug in retries", "1.0.0 ", "must migrate to tokens",
+]
+
+
+def _sql_flag(p: str) -> str:
+    return "(?i)" + p.replace("'", "''")
+
+
+_STRIPPED = "t"
+for _p in V.BOILERPLATE:
+    _STRIPPED = f"regexp_replace({_STRIPPED}, '{_sql_flag(_p)}', ' ', 'g')"
+_SAYS = lambda p, c="x": f"regexp_matches({c}, '{_sql_flag(p)}')"
+_TAIL, _HEAD = r"(?:^|[@\sv])(\d+)\.(\d+)\.(\d+)(-[0-9A-Za-z.-]+)?\s*$", r"^v?(\d+)\.(\d+)\.(\d+)(-[0-9A-Za-z.-]+)?\s*[:\s]"
+_VERSION_SQL = " ".join(
+    f"WHEN regexp_matches(t, '{p}') THEN CASE WHEN regexp_extract(t, '{p}', 4) <> '' THEN NULL WHEN regexp_extract(t, '{p}', 2) = '0' AND regexp_extract(t, '{p}', 3) = '0' THEN 'breaking' WHEN regexp_extract(t, '{p}', 3) = '0' THEN 'additive' ELSE 'fix' END"
+    for p in (_TAIL, _HEAD)
+)
+_TITLE_SQL = f"(SELECT unnest([{_list(TITLES)}]) AS t)"
+_CLASS_SQL = f"""CASE WHEN {_SAYS(V.STRONG_BREAK)} THEN 'breaking'
+WHEN len(list_filter(regexp_split_to_array(x, '[\\n.;]'), lambda s: {_SAYS(V.REMOVAL, 's')} AND NOT {_SAYS(V.TOOLING, 's')})) > 0 THEN 'breaking'
+WHEN {_SAYS(V.DEPRECATION)} THEN 'deprecation' WHEN {_SAYS(V.ADDITIVE)} THEN 'additive' WHEN {_SAYS(V.FIX)} THEN 'fix' WHEN {_SAYS(V.DOCS)} THEN 'docs-only'
+ELSE coalesce(CASE {_VERSION_SQL} END, 'unknown') END"""
+
+
+def _titles(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([(t,) for t in TITLES], "title string")
+
+
+@query(f"SELECT t AS title, {_CLASS_SQL} AS change_type FROM (SELECT t, {_STRIPPED} AS x FROM {_TITLE_SQL})")
+def classify_cascade(spark, sf_dir):
+    """PRJ-10, PRJ-11, PRJ-12."""
+    return _titles(spark).select("title", T.classify("title", "title").alias("change_type"))
+
+
+@query(f"SELECT doc_id, {_CLASS_SQL} AS change_type FROM (SELECT doc_id, text AS t, {_STRIPPED.replace('(t,', '(text,')} AS x FROM documents)")
+def classify_documents(spark, sf_dir):
+    """PRJ-11 over whole texts."""
+    return _t(spark, sf_dir, "documents").select("doc_id", T.classify("text", "text").alias("change_type"))
+
+
+@query(
+    f"""SELECT t AS title, CASE {_VERSION_SQL} END AS version_class,
+regexp_matches(t, '(?i)\\d+\\.\\d+\\.\\d+\\s*(-[0-9A-Za-z.]*(alpha|beta|rc|canary|next|dev|preview|pre)|(a|b|rc)\\d+)\\b') AS prerelease_release,
+regexp_matches(t, '(?i)[-.](alpha|beta|rc)[-.]?\\d*\\b') AS prerelease_tag FROM {_TITLE_SQL}"""
+)
+def semver_class(spark, sf_dir):
+    """PRJ-9, PRJ-13, PRJ-14."""
+    return _titles(spark).select("title", T.version_class("title").alias("version_class"), T.prerelease_release("title").alias("prerelease_release"), T.prerelease_tag("title").alias("prerelease_tag"))
+
+
+@query(
+    r"""SELECT page_id, regexp_extract(regexp_replace(url, '[\\/]+$', ''), '([^\\/]*)$', 1) AS name, regexp_replace(url, '-v?\d[\w.]*-to-v?\d[\w.]*$', '') AS stream,
+regexp_replace(regexp_replace(regexp_extract(url, '^[a-z]+://[^/]+(/[A-Za-z0-9_./${}\-]*)', 1), '\{[^}]*\}', '{param}', 'g'), '/+$', '') AS endpoint FROM pages"""
+)
+def endpoint_extract(spark, sf_dir):
+    """PRJ-7, PRJ-17, PRJ-19."""
+    p = _t(spark, sf_dir, "pages")
+    host = F.regexp_extract("url", r"^[a-z]+://([^/]+)", 1)
+    found = T.endpoints(F.replace("url", host, F.lit("api.host")), ["api.host"])
+    return p.select("page_id", T.basename("url").alias("name"), T.stream("url").alias("stream"), F.coalesce(F.get(found, 0), F.lit("")).alias("endpoint"))
+
+
+_ANCHORS = ["path-removed: GET /v1/charges/{id} gone", "POST   /v2/a/b: changed", "nothing", "see (DELETE /x/y) now", "PATCH /one"]
+
+
+@query(
+    rf"""SELECT t AS title, nullif(regexp_extract(t, '\b(?:GET|POST|PUT|PATCH|DELETE|HEAD|OPTIONS)\s+(/[^\s:)]+)', 1), '') AS path,
+CASE WHEN regexp_matches(t, '\b(?:GET|POST|PUT|PATCH|DELETE|HEAD|OPTIONS)\s+(/[^\s:)]+)') THEN regexp_extract(t, '\b(GET|POST|PUT|PATCH|DELETE|HEAD|OPTIONS)\s+(/[^\s:)]+)', 1) || ' ' || regexp_extract(t, '\b(GET|POST|PUT|PATCH|DELETE|HEAD|OPTIONS)\s+(/[^\s:)]+)', 2) END AS surface
+FROM (SELECT unnest([{_list(_ANCHORS)}]) AS t)"""
+)
+def anchor_extract(spark, sf_dir):
+    """PRJ-18."""
+    rows = spark.createDataFrame([(t,) for t in _ANCHORS], "title string")
+    return rows.select("title", T.anchor_path("title", F.lit(None).cast("string")).alias("path"), T.anchor_surface("title", F.lit(None).cast("string")).alias("surface"))
+
+
+@query(
+    r"""SELECT page_id, substr(regexp_replace(regexp_replace(replace(replace(replace(replace(replace(regexp_replace(html, '(?s)<!\[CDATA\[(.*?)\]\]>', '\1', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&amp;', '&'), '<[^>]+>', ' ', 'g'), '[ \t\n\x0B\f\r]+', ' ', 'g'), 1, 2000) AS content FROM pages"""
+)
+def feed_parse(spark, sf_dir):
+    """SRC-3, SRC-4, SRC-5: entities, tags, white space, and the cut of an entry's content."""
+    return _t(spark, sf_dir, "pages").select("page_id", T.plain_text(T.decode_entities("html")).alias("content"))
+
+
+_REDACTED_SQL = "text"
+for _p, _r in V.SECRETS:
+    _REDACTED_SQL = f"regexp_replace({_REDACTED_SQL}, '{_p.replace(chr(39), chr(39) * 2)}', '{_r.replace('$1', chr(92) + '1')}', 'g')"
+
+
+@query(f"SELECT doc_id, sha256({_REDACTED_SQL}) AS redacted, {_REDACTED_SQL} <> text AS had_secret FROM documents")
+def redact(spark, sf_dir):
+    """PRJ-21."""
+    clean = T.redact("text")
+    return _t(spark, sf_dir, "documents").select("doc_id", F.sha2(clean, 256).alias("redacted"), (clean != F.col("text")).alias("had_secret"))
+
+
+@query(f"WITH r AS (SELECT doc_id, {_REDACTED_SQL} AS text FROM documents) SELECT doc_id, {_REDACTED_SQL} = text AS safe FROM r")
+def payload_safety(spark, sf_dir):
+    """P-14: redacted payloads hold nothing more to redact."""
+    return _t(spark, sf_dir, "documents").select("doc_id", T.redact("text").alias("text")).select("doc_id", T.is_redacted("text").alias("safe"))
+
+
+@query("SELECT doc_id, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(n_chars, 0)::BIGINT AS n_chars FROM documents")
+def payload(spark, sf_dir):
+    """PRJ-1: a whitelist with defaults; the text stays out."""
+    d = _t(spark, sf_dir, "documents")
+    body = F.struct(F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("source", F.lit("")).alias("source"), F.coalesce("n_chars", F.lit(0)).cast("long").alias("n_chars"))
+    back = d.select("doc_id", F.from_json(F.to_json(body), "lang string, source string, n_chars long").alias("p"))
+    return back.select("doc_id", "p.lang", "p.source", "p.n_chars")
+
+
+_SNAPS = "o AS (SELECT o_orderkey AS k, o_orderstatus AS s, o_orderpriority AS p FROM orders WHERE o_orderkey % 7 <> 0), n AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 11 = 0 THEN 'X' ELSE o_orderstatus END AS s, CASE WHEN o_orderkey % 13 = 0 THEN NULL ELSE o_orderpriority END AS p FROM orders WHERE o_orderkey % 5 <> 0)"
+
+
+@query(
+    f"""WITH {_SNAPS}, b AS (SELECT coalesce(o.k, n.k) AS k, o.k AS ok, n.k AS nk, o.s AS os, n.s AS ns, o.p AS op, n.p AS np FROM o FULL JOIN n ON o.k = n.k)
+SELECT k, 'removed' AS kind, NULL AS field, NULL AS before, NULL AS after FROM b WHERE nk IS NULL UNION ALL SELECT k, 'added', NULL, NULL, NULL FROM b WHERE ok IS NULL
+UNION ALL SELECT k, 'changed', 's', os, ns FROM b WHERE os <> ns UNION ALL SELECT k, 'changed', 'p', op, np FROM b WHERE op <> np"""
+)
+def snapshot_diff(spark, sf_dir):
+    """J-15, SD-1 to SD-4, SD-20: two snapshots, one full outer join, all rules in one pass."""
+    o = _t(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_orderstatus").alias("s"), F.col("o_orderpriority").alias("p"))
+    new = o.where("k % 5 <> 0").select("k", F.when(F.col("k") % 11 == 0, "X").otherwise(F.col("s")).alias("s"), F.when(F.col("k") % 13 != 0, F.col("p")).alias("p"))
+    return R.snapshot_diff(o.where("k % 7 <> 0"), new, "k", ["s", "p"])
+
+
+@query(
+    """WITH o AS (SELECT DISTINCT o_custkey AS k, o_orderpriority AS v FROM orders WHERE o_orderkey % 2 = 0), n AS (SELECT DISTINCT o_custkey AS k, o_orderpriority AS v FROM orders WHERE o_orderkey % 2 = 1),
+b AS (SELECT k FROM o INTERSECT SELECT k FROM n)
+SELECT k, 'value-removed' AS kind, v AS value FROM (SELECT * FROM o EXCEPT SELECT * FROM n) WHERE k IN (SELECT k FROM b)
+UNION ALL SELECT k, 'value-added', v FROM (SELECT * FROM n EXCEPT SELECT * FROM o) WHERE k IN (SELECT k FROM b)"""
+)
+def enum_diff(spark, sf_dir):
+    """SD-11, SD-30, SD-31, SO-2: values lost and gained."""
+    o = _t(spark, sf_dir, "orders").select(F.col("o_custkey").alias("k"), F.col("o_orderpriority").alias("v"), "o_orderkey")
+    return R.set_diff(o.where("o_orderkey % 2 = 0"), o.where("o_orderkey % 2 = 1"), "k", "v")
+
+
+@query(
+    """WITH o AS (SELECT l_partkey AS k, min(l_quantity) AS lo, max(l_quantity) AS hi FROM lineitem WHERE l_linenumber <= 2 GROUP BY 1), n AS (SELECT l_partkey AS k, min(l_quantity) AS lo, max(l_quantity) AS hi FROM lineitem WHERE l_linenumber > 2 GROUP BY 1)
+SELECT k, 'min-increased' AS kind, o.lo AS before, n.lo AS after FROM o JOIN n USING (k) WHERE n.lo > o.lo UNION ALL SELECT k, 'max-decreased', o.hi, n.hi FROM o JOIN n USING (k) WHERE n.hi < o.hi"""
+)
+def bounds_diff(spark, sf_dir):
+    """SD-9, SD-10, SD-27 to SD-29."""
+    l = _t(spark, sf_dir, "lineitem")  # noqa: E741
+    side = lambda test: l.where(test).groupBy(F.col("l_partkey").alias("k")).agg(F.min("l_quantity").alias("lo"), F.max("l_quantity").alias("hi"))
+    return R.bounds_diff(side("l_linenumber <= 2"), side("l_linenumber > 2"), "k", "lo", "hi")
+
+
+@query("SELECT o_orderkey, sha1(o_orderstatus || '|' || o_orderpriority || '|' || o_orderkey) AS address FROM orders")
+def content_address(spark, sf_dir):
+    """PRJ-3."""
+    return _t(spark, sf_dir, "orders").select("o_orderkey", T.content_address("o_orderstatus", "o_orderpriority", F.col("o_orderkey").cast("string")).alias("address"))
+
+
+@query(
+    """WITH r AS (SELECT o_orderkey AS id, o_orderstatus = 'F' AS breaking, 'kind-' || o_orderstatus AS kind, '/v1/' || o_custkey AS anchor, o_orderpriority AS detail FROM orders)
+SELECT id, substr(kind || ': ' || anchor || ' ' || detail, 1, 300) AS title, CASE WHEN breaking THEN 'breaking' ELSE 'additive' END AS change_type, 'specdiff://p/l#' || sha1(kind || '|' || anchor || '|' || detail) AS source_url FROM r"""
+)
+def record_to_change(spark, sf_dir):
+    """PRJ-2, PRJ-3, P-16: difference records as change rows."""
+    from .operators.specdiff import to_changes
+
+    r = _t(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), (F.col("o_orderstatus") == "F").alias("breaking"), F.concat(F.lit("kind-"), "o_orderstatus").alias("kind"), F.concat(F.lit("/v1/"), "o_custkey").alias("anchor"), F.col("o_orderpriority").alias("detail"))
+    return to_changes(r, "p", "l", None).select("id", "title", "change_type", "source_url")
+
+
+@query(
+    """WITH RECURSIVE e AS (SELECT 'n' || i AS name, 'n' || ((i - 1) // 2) AS via FROM unnest(range(1, 60)) AS t(i)),
+c AS (SELECT 'n0' AS name, 'root' AS target, 0 AS hop UNION ALL SELECT e.name, c.target, c.hop + 1 FROM c JOIN e ON e.via = c.name WHERE c.hop < 5)
+SELECT name, target, min(hop)::INT AS hop FROM c GROUP BY name, target"""
+)
+def alias_closure(spark, sf_dir):
+    """BR-15, BR-16, MG-4: bounded closure; a bound name keeps its target."""
+    edges = spark.range(1, 60).select(F.concat(F.lit("n"), "id").alias("name"), F.concat(F.lit("n"), F.expr("(id - 1) div 2")).alias("via"))
+    return R.closure(spark.createDataFrame([("n0", "root")], "name string, target string"), edges, 5)
+
+
+@query("SELECT i AS id FROM unnest(range(100, 1708)) AS t(i) WHERE i NOT IN (105, 200, 333, 900, 1701)")
+def range_minus(spark, sf_dir):
+    """SO-7, SO-6: a range of ids without some."""
+    kept = F.array_except(F.sequence(F.lit(100), F.lit(1707)), F.array(*map(F.lit, (105, 200, 333, 900, 1701))))
+    return spark.range(1).select(F.explode(F.transform(kept, lambda i: i.cast("long"))).alias("id"))
+
+
+@query("SELECT DISTINCT source AS provider FROM documents UNION SELECT 'src' || user_id % 20 FROM events")
+def provider_union(spark, sf_dir):
+    """SO-1, SO-4."""
+    d = _t(spark, sf_dir, "documents").select(F.col("source").alias("provider"))
+    return d.unionByName(_t(spark, sf_dir, "events").select(F.concat(F.lit("src"), F.col("user_id") % 20).alias("provider"))).distinct()
+
+
+@query(
+    """WITH r AS (SELECT o_custkey AS k, o_orderstatus AS kind, o_orderpriority AS detail, CASE WHEN o_orderkey % 2 = 0 THEN 1 ELSE 2 END AS pass FROM orders)
+SELECT k, kind, detail, min(pass)::INT AS pass FROM r GROUP BY ALL"""
+)
+def record_dedup(spark, sf_dir):
+    """SO-5: one record of several passes, of the earliest pass."""
+    r = _t(spark, sf_dir, "orders").select(F.col("o_custkey").alias("k"), F.col("o_orderstatus").alias("kind"), F.col("o_orderpriority").alias("detail"), F.when(F.col("o_orderkey") % 2 == 0, 1).otherwise(2).alias("pass"))
+    return r.groupBy("k", "kind", "detail").agg(F.min("pass").alias("pass"))
+
+
+@query(
+    """SELECT o_custkey, sum(o_totalprice) AS total, bool_or(o_orderstatus = 'F') AS ran, CASE WHEN bool_or(o_orderstatus = 'F') THEN 'ran' ELSE min_by(o_orderpriority, o_orderkey) END AS status,
+bool_and(o_totalprice > 1000) AS all_large, count(*) FILTER (o_orderstatus = 'O') AS n_open FROM orders GROUP BY 1"""
+)
+def verification_fold(spark, sf_dir):
+    """A-8, A-9, A-12: sums, any, every, and the first reason."""
+    ran = F.bool_or(F.col("o_orderstatus") == "F")
+    return _t(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.sum("o_totalprice").alias("total"), ran.alias("ran"), F.when(ran, "ran").otherwise(F.min_by("o_orderpriority", "o_orderkey")).alias("status"), F.bool_and(F.col("o_totalprice") > 1000).alias("all_large"), F.count_if(F.col("o_orderstatus") == "O").alias("n_open"))
+
+
+@query(
+    """WITH i AS (SELECT event_id, user_id FROM events WHERE event_type = 'click'), s AS (SELECT c_custkey FROM customer WHERE c_custkey % 2 = 0), u AS (SELECT DISTINCT user_id FROM i WHERE user_id NOT IN (SELECT c_custkey FROM s))
+SELECT (SELECT count(*) FROM i) AS seen, (SELECT count(*) FROM u) AS inserted, (SELECT count(*) FROM i) - (SELECT count(*) FROM u) AS duplicates"""
+)
+def ingest_accounting(spark, sf_dir):
+    """A-13."""
+    i = _t(spark, sf_dir, "events").where("event_type = 'click'").select("event_id", "user_id")
+    stored = _t(spark, sf_dir, "customer").where("c_custkey % 2 = 0").select(F.col("c_custkey").alias("user_id"))
+    added = R.ingest(i, stored, "user_id", [F.col("event_id")]).agg(F.count("*").alias("inserted"))
+    return i.agg(F.count("*").alias("seen")).join(F.broadcast(added)).select("seen", "inserted", (F.col("seen") - F.col("inserted")).alias("duplicates"))
+
+
+@query("SELECT source, doc_id FROM (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS k FROM documents) WHERE k <= 30")
+def feed_cap(spark, sf_dir):
+    """SRC-6: the first thirty entries of each feed."""
+    return R.cap(_t(spark, sf_dir, "documents").select("source", "doc_id"), ["source"], [F.col("doc_id")], V.FEED_ENTRIES)
+
+
+@query("SELECT doc_id, substr(trim(split_part(text, chr(10), 1), ' '), 1, 200) AS snippet FROM documents")
+def snippets(spark, sf_dir):
+    """PRJ-8."""
+    return _t(spark, sf_dir, "documents").select("doc_id", T.snippet(F.split_part("text", F.lit("\n"), F.lit(1))).alias("snippet"))
+
+
+@query("SELECT event_id, coalesce(nullif(CASE WHEN event_id % 3 = 0 THEN '' WHEN event_id % 3 = 1 THEN strftime(ts, '%Y-%m-%d') END, ''), substr(strftime(ts, '%Y-%m-%d %H:%M:%S'), 1, 10)) AS chrono FROM events")
+def chronology(spark, sf_dir):
+    """PRJ-20: an empty date counts as none."""
+    date = F.when(F.col("event_id") % 3 == 0, "").when(F.col("event_id") % 3 == 1, F.date_format("ts", "yyyy-MM-dd"))
+    return _t(spark, sf_dir, "events").select("event_id", T.chronology(date, F.date_format("ts", "yyyy-MM-dd HH:mm:ss")).alias("chrono"))
+
+
+@query("SELECT date_trunc('day', ts) AS day, event_type, count(*) AS n, sum(value) AS total FROM events GROUP BY 1, 2")
+def event_windows(spark, sf_dir):
+    """Daily windows of the change log."""
+    return _t(spark, sf_dir, "events").groupBy(F.date_trunc("day", "ts").cast("timestamp_ntz").alias("day"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
