@@ -6,12 +6,13 @@ draws ``bands * rows`` samples from each set; two sets draw the same one with th
 similarity. Texts that agree on all samples of a band meet in a bucket, and pairs from buckets are verified on their
 whole shingle sets; those of ``threshold`` similarity or more are links, and classes are the links' components.
 
-Equal texts are one node from the start, by partial aggregation. In a bucket, members are compared with hubs, not with
-each other: first each text with the hub of its largest bucket, then, where a bucket still holds several components,
-hubs drawn by hash, four times as many in each round, against the members of other components. The last round would
-draw every member, so no pair of different components in a bucket stays unseen; a bucket whose members are alike
-is settled after the first. Pairs go to verification only if sketches of their samples do not rule them out (by
-``sigmas`` standard deviations of what the threshold leads to expect).
+Equal texts are one node from the start, by partial aggregation. Then buckets are settled in two steps. First each text
+is compared with one hub, the most central text of its largest bucket, which joins most groups of copies at one
+pair for each text. Then, in every bucket that still holds several components, all pairs of different components are
+decided: in buckets of up to ``few`` texts as rows; in larger ones inside tasks, block against block of ``block`` texts
+through an inverted index, which returns no more links than there are texts. So no link between texts that meet is lost,
+and no table ever holds the pairs of a large group. Pairs go to verification only if sketches of their samples do not
+rule them out (by ``sigmas`` standard deviations of what the threshold leads to expect).
 
 Cases: texts with fewer words than a shingle are one shingle of all their words; texts without words, null among them,
 are alike only if equal (null equals empty); rows that share a ``doc_id`` share a class, and of exact repeats ``first``
@@ -192,59 +193,102 @@ def _likely(pairs: DataFrame, sketches: DataFrame, least: int) -> DataFrame:
     return both.select("a", "b", "sa", "sb").mapInArrow(compare, "a long, b long")
 
 
-def classes(docs: DataFrame, threshold: float = 0.8, n: int = 5, bands: int = 16, rows: int = 4, spread: float = 0.5, sigmas: float = 5.0) -> DataFrame:
+def _settled(rows: DataFrame, texts: DataFrame, idf, threshold: float, n: int, block: int) -> DataFrame:
+    """Links (a, b) that join the different components of each bucket: rows are bucket, node, label, m, rank."""
+
+    def settle(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        node, label, side = (table.column(c).to_numpy() for c in ("node", "label", "part"))
+        i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
+        data, off = words.buffers(table.column("text"))
+        hs, ws, total = [], [], np.zeros(len(node))
+        for lo, hi in words.spans(off, 4 * _CHUNK, _ROWS):
+            keys, counts = shingle_keys(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo], n)
+            w = weights(keys, counts, idf.value)
+            row = (keys >> _DOC).astype(np.int64)
+            total[lo:hi] = np.bincount(row, w, hi - lo)
+            cut = np.searchsorted(row, np.arange(hi - lo + 1))
+            hs += [keys[a:b] & _HASH for a, b in zip(cut[:-1], cut[1:])]
+            ws += [w[a:b] for a, b in zip(cut[:-1], cut[1:])]
+        # Inverted index over the shingles: sorted hashes with owner and weight.
+        flat, owner, weight = np.concatenate(hs), np.repeat(np.arange(len(hs)), [len(h) for h in hs]), np.concatenate(ws)
+        order = np.argsort(flat, kind="stable")
+        flat, owner, weight = flat[order], owner[order], weight[order]
+        group: dict[int, list[int]] = {}
+        for x, at in enumerate(label.tolist()):
+            group.setdefault(at, []).append(x)
+        kind = np.unique(label, return_inverse=True)[1]
+        main = max(group, key=lambda g: len(group[g]))
+        links = []
+        for x in np.flatnonzero(label != main).tolist():  # a pair of two components has a text outside the main one
+            lo, hi = np.searchsorted(flat, hs[x], "left"), np.searchsorted(flat, hs[x], "right")
+            many = hi - lo
+            at = np.repeat(lo - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))
+            low = np.bincount(owner[at], np.minimum(weight[at], np.repeat(ws[x], many)), len(node))
+            similar_ = low >= (threshold - 1e-9) * np.maximum(total + total[x] - low, 1e-12)
+            similar_ &= kind != kind[x]
+            if i != j:
+                similar_ &= side != side[x]
+            for y in np.flatnonzero(similar_).tolist():
+                if kind[y] != kind[x]:
+                    links.append((int(node[x]), int(node[y])))
+                    kind[kind == kind[y]] = kind[x]  # one link joins two components
+        return pa.table({"a": pa.array([min(p) for p in links], pa.int64()), "b": pa.array([max(p) for p in links], pa.int64())})
+
+    parts = F.ceil(F.col("m") / block)
+    rows = rows.withColumns({"parts": parts.cast("int"), "part": F.pmod(F.shiftright("rank", 8), parts).cast("int")})
+    pair = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda k: F.struct(F.least(k, F.col("part")).alias("i"), F.greatest(k, F.col("part")).alias("j")))
+    rows = rows.select("bucket", "node", "label", "part", F.explode(pair).alias("p")).select("bucket", "node", "label", "part", "p.i", "p.j")
+    rows = rows.join(texts, "node").select("bucket", "i", "j", "node", "label", "part", "text")
+    return rows.groupBy("bucket", "i", "j").applyInArrow(settle, "a long, b long")
+
+
+def classes(docs: DataFrame, threshold: float = 0.8, n: int = 5, bands: int = 16, rows: int = 4, spread: float = 0.5, sigmas: float = 5.0, few: int = 6, block: int = 512) -> DataFrame:
     """doc_id and class_id (the least id of its class) of every row."""
     spark = docs.sparkSession
     docs = scratch.documents(docs)
     idf = spark.sparkContext.broadcast(idf_table(docs, n, spread))
     sampler = spark.sparkContext.broadcast(Sampler(bands * rows))
     signed = scratch.materialise(signatures(docs.withColumn("doc_id", F.coalesce("doc_id", F.lit(_NONE))), idf, sampler, bands, n), "signatures")
+    repeats = _repeats(signed, "doc_id")
 
     # Aggregates become tables before they are joined to what they were made of: such joins can be split at hot keys.
     same = scratch.materialise(signed.groupBy("key").agg(F.min("doc_id").alias("node")), "same")
-    # Ids that stand on several rows, if any, link those rows' texts.
     member = scratch.materialise(signed.select("doc_id", "key").join(same, "key").select("doc_id", "node"), "members")
     nodes = signed.join(same, "key").where("doc_id = node AND buckets IS NOT NULL").select("node", "buckets", "sketch")
+    if repeats:
+        nodes = nodes.distinct()
     held = nodes.select("node", F.explode("buckets").alias("bucket"))
     sizes = scratch.materialise(held.groupBy("bucket").agg(F.count("*").alias("m")).where("m > 1"), "sizes")
-    bucket = held.join(sizes, "bucket").withColumn("rank", F.xxhash64("bucket", "node"))
-    bucket = scratch.materialise(bucket, "buckets")
-    met = bucket.select("node").distinct()
-    sketches = scratch.materialise(nodes.select("node", "sketch").join(met, "node", "left_semi").dropDuplicates(["node"]), "sketches")
-    texts = docs.withColumn("node", F.coalesce("doc_id", F.lit(_NONE))).join(met, "node", "left_semi").select("node", F.coalesce("text", F.lit("")).alias("text"))
-    texts = scratch.materialise(texts, "texts")
-    if _repeats(texts, "node"):
-        texts = texts.dropDuplicates(["node"])
+    bucket = scratch.materialise(held.join(sizes, "bucket").withColumn("rank", F.xxhash64("node")), "buckets")
+    # A central text shares large buckets with many: the most central of a bucket is its hub.
+    central = scratch.materialise(bucket.groupBy("node").agg(F.sum("m").alias("central")), "central")
+    sketches = scratch.materialise(nodes.select("node", "sketch").join(central.select("node"), "node", "left_semi"), "sketches")
+    texts = docs.withColumn("node", F.coalesce("doc_id", F.lit(_NONE))).join(central.select("node"), "node", "left_semi").select("node", F.coalesce("text", F.lit("")).alias("text"))
+    texts = scratch.materialise(texts.dropDuplicates(["node"]) if repeats else texts, "texts")
+    if repeats:
+        sketches = sketches.dropDuplicates(["node"])
     draws = bands * rows
     least = int(np.floor(draws * threshold - sigmas * np.sqrt(draws * threshold * (1 - threshold))))
 
-    hubs = scratch.materialise(bucket.groupBy("bucket").agg(F.min_by("node", "rank").alias("hub")), "hubs")
-    first = bucket.join(hubs, "bucket").where("node <> hub").groupBy("node").agg(F.max_by("hub", F.struct("m", F.col("hub"))).alias("hub"))
+    hubs = bucket.join(central, "node").groupBy("bucket").agg(F.max_by("node", F.struct("central", "rank")).alias("hub"))
+    first = bucket.join(scratch.materialise(hubs, "hubs"), "bucket").where("node <> hub").groupBy("node").agg(F.max_by("hub", F.struct("m", "hub")).alias("hub"))
     pairs = first.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
-    edges = member.where("doc_id <> node").select(F.col("doc_id").alias("a"), F.col("node").alias("b")).distinct()
-    if not _repeats(member, "doc_id"):
-        edges = edges.where("false")
-    tested = None
-    k = 1
-    while True:
-        pairs = scratch.materialise(_likely(pairs, sketches, least), "pairs")
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        links = scratch.materialise(similar(pairs, texts, idf, threshold, n), "links")
-        edges = edges.unionByName(links.select("a", "b"))
-        label = graph.components(edges)
-        edges = label.select(F.col("node").alias("a"), F.col("label").alias("b"))
-        now = bucket.join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        mixed = now.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("bucket")
-        bucket_now = scratch.materialise(now.join(scratch.materialise(mixed, "open"), "bucket"), "mixed")
-        most = bucket_now.agg(F.max("m")).first()[0]
-        if most is None or k > most:
-            break
-        k *= 4
-        bucket = bucket_now.drop("label")
-        share = (F.col("rank").cast("double") / float(1 << 64) + 0.5) * F.col("m")
-        hubs = bucket_now.where(share < k).select("bucket", F.col("node").alias("hub"), F.col("label").alias("of"))
-        pairs = bucket_now.join(hubs, "bucket").where("label <> of").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
-        pairs = pairs.join(tested, ["a", "b"], "left_anti")
+    links = similar(scratch.materialise(_likely(pairs, sketches, least), "pairs"), texts, idf, threshold, n).select("a", "b")
+    if repeats:  # ids that stand on several rows link those rows' texts
+        links = links.unionByName(member.where("doc_id <> node").select(F.col("doc_id").alias("a"), F.col("node").alias("b")))
+    label = graph.components(links)
+
+    now = scratch.materialise(bucket.join(label, "node", "left").withColumn("label", F.coalesce("label", "node")), "labelled")
+    mixed = now.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("bucket")
+    now = scratch.materialise(now.join(scratch.materialise(mixed, "mixed"), "bucket"), "open")
+    small = now.where(F.col("m") <= few)
+    other = small.select("bucket", F.col("node").alias("hub"), F.col("label").alias("of"))
+    pairs = small.join(other, "bucket").where("node < hub AND label <> of").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
+    links = similar(scratch.materialise(_likely(pairs, sketches, least), "pairs"), texts, idf, threshold, n).select("a", "b")
+    links = scratch.materialise(links.unionByName(_settled(now.where(F.col("m") > few), texts, idf, threshold, n, block)), "links")
+    if not links.isEmpty():
+        label = graph.components(links.unionByName(label.select(F.col("node").alias("a"), F.col("label").alias("b"))))
     told = member.join(label, "node", "left").select("doc_id", F.coalesce("label", "node").alias("class_id"))
     clear = lambda c: F.when(F.col(c) != _NONE, F.col(c)).alias(c)
     return told.select(clear("doc_id"), clear("class_id"))
