@@ -1,25 +1,29 @@
 """Operator 9: language-model scores by context-tree weighting over bytes.
 
-A byte is eight binary decisions, each with a context tree of its own over the last ``DEPTH`` = 4 bytes. A node's
+A byte is eight binary decisions, each with a context tree of its own over the last ``DEPTH`` = 5 bytes. A node's
 estimate is Krichevsky-Trofimov over its counts; a node's weighted probability is half that and half the product of its
 children's; so all depths are mixed by how well each has coded the training texts. Counts do not depend on order, so the
-tree over the whole training corpus is a chain of aggregations of byte 5-grams: the level of depth d comes from
-that of d + 1. After training, the probability of a byte depends on its 5-gram alone.
+tree over the whole training corpus follows from counts of byte 6-grams, and after training the probability of a byte
+depends on its 6-gram alone.
 
-Texts are scored in blocks of about ``block_bytes``: a block asks for each of its distinct 5-grams once, the answers are
-joined over the corpus, and come back to the block's texts. Words of the base model travel in the same way. No model
-table is broadcast or collected, and what is gathered grows with the input.
+How the corpus flows: texts lie in blocks of about ``block_bytes``. A block sends each of its distinct 6-grams and words
+once, with its training count, packed in one blob for each bucket. Buckets hold whole subtrees (a hash of the last
+three context bytes), add up the blobs and build levels 3 to 5; levels 0 to 2, at most 2^24 nodes whatever the corpus,
+are aggregations of level 3. The buckets then answer every block's blob in its own order, and the block's texts are
+scored. Blobs grow with the distinct keys of blocks, so with the corpus; nothing is broadcast or collected but totals.
 
-A text starts after four zero bytes and ends with one, which is scored; so the empty text has a probability too.
+A text starts after five zero bytes and ends with one, which is scored; so the empty text has a probability too.
+6-grams that only held-out texts have are nodes without counts, which changes no estimate.
 
 Cases: null text is the empty text; null ``doc_id`` is never held out; repeated rows train and are scored once each;
-with nothing to learn from, every byte has probability 1/256, the base is log10(1 / (N + V + 1)) for each token with
+with nothing to learn from, every byte has probability 1/256 and the base is log10(1 / (N + V + 1)) for each token with
 N = V = 0; a text of any length is scored in steps; an empty table gives no rows; further columns are ignored.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -28,13 +32,14 @@ from pyspark.sql import functions as F
 
 from . import scratch, words
 
-DEPTH = 4
-_STEP = 1 << 23  # positions in a sort; fewer than 2^24
+DEPTH, TOP = 5, 3  # levels TOP..DEPTH are built in buckets
+_STEP = 1 << 16  # positions in a sort; 6-gram and position fill 64 bits
 _CHUNK = 4 << 20
+_HALF = math.log(0.5)
 
 
-def _ngrams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The 5-gram that ends at each byte and at each text's end, and the number of its text."""
+def ngrams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The 6-gram that ends at each byte and at each text's end, and the number of its text."""
     n, rows = len(data), len(offsets) - 1
     doc = np.repeat(np.arange(rows), np.diff(offsets) + 1)
     padded = np.zeros(n + rows * (DEPTH + 1), np.uint8)
@@ -48,24 +53,53 @@ def _ngrams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return code, doc
 
 
-def _counted(keys: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct values of counted pieces [values, counts, values, counts, ...]."""
-    values, counts = np.concatenate(keys[0::2]), np.concatenate(keys[1::2])
-    order = np.argsort(values, kind="stable")
-    values = values[order]
-    first = np.flatnonzero(np.concatenate(([True], values[1:] != values[:-1]))) if len(values) else np.zeros(0, np.int64)
-    return values[first], np.add.reduceat(counts[order], first) if len(first) else np.zeros(0, np.int64)
+def _first(values: np.ndarray) -> np.ndarray:
+    """Where a sorted array has a new value."""
+    return np.flatnonzero(np.concatenate(([True], values[1:] != values[:-1]))) if len(values) else np.zeros(0, np.int64)
 
 
-def _distinct(values: np.ndarray, learns: np.ndarray) -> list[np.ndarray]:
-    """Distinct values and how often each occurs where ``learns``."""
+def _distinct(values: np.ndarray, learns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct values and how often each occurs where ``learns``; a value may come twice, once without a count."""
     order = np.sort(values[learns])
-    first = np.flatnonzero(np.concatenate(([True], order[1:] != order[:-1]))) if len(order) else np.zeros(0, np.int64)
-    other = np.unique(values[~learns])
-    return [np.concatenate((order[first], other)), np.concatenate((np.diff(np.append(first, len(order))), np.zeros(len(other), np.int64)))]
+    first, other = _first(order), np.unique(values[~learns])
+    return np.concatenate((order[first], other)), np.concatenate((np.diff(np.append(first, len(order))), np.zeros(len(other), np.int64)))
 
 
-def _steps(text: pa.ChunkedArray):
+def _added(values: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct values, ascending, with the sums of their counts."""
+    v = np.concatenate([np.zeros(0, np.uint64), *values])
+    c = np.concatenate([np.zeros(0, np.int64), *counts])
+    order = np.argsort(v, kind="stable")
+    v, c = v[order], c[order]
+    first = _first(v)
+    return v[first], np.add.reduceat(c, first) if len(first) else c
+
+
+def _blob(values: np.ndarray) -> bytes:
+    """Eight-byte numbers, bytes of equal weight together, compressed."""
+    raw = np.ascontiguousarray(values).view(np.uint8).reshape(-1, 8).T
+    return pa.compress(np.ascontiguousarray(raw).tobytes(), codec="zstd", asbytes=True)
+
+
+def _unblob(data: bytes, n: int, kind: str) -> np.ndarray:
+    raw = np.frombuffer(pa.decompress(data, 8 * n, codec="zstd", asbytes=True) if n else b"", np.uint8)
+    return np.ascontiguousarray(raw.reshape(8, n).T).view(kind).reshape(-1)
+
+
+def _keys(keys: np.ndarray) -> bytes:
+    return _blob(np.diff(keys, prepend=np.uint64(0)))
+
+
+def _unkeys(data: bytes, n: int) -> np.ndarray:
+    return np.cumsum(_unblob(data, n, np.uint64), dtype=np.uint64)
+
+
+def _bucket(kind: int, keys: np.ndarray, buckets: int) -> np.ndarray:
+    part = (keys >> np.uint64(8)) & np.uint64((1 << 8 * TOP) - 1) if kind == 0 else keys
+    return (words.mix(part + np.uint64(kind)) % np.uint64(buckets)).astype(np.int64)
+
+
+def _steps(text: pa.ChunkedArray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Runs of rows of a column with their bytes; very long texts are a run of their own."""
     at = 0
     for chunk in text.chunks:
@@ -75,21 +109,132 @@ def _steps(text: pa.ChunkedArray):
         at += len(chunk)
 
 
-def asked(table: pa.Table) -> pa.Table:
-    """Of a block: kind (0: 5-gram, 1: hash of a word), key, n (occurrences in training texts)."""
-    grams, tokens = [np.zeros(0, np.uint64), np.zeros(0, np.int64)], [np.zeros(0, np.uint64), np.zeros(0, np.int64)]
-    held = table.column("held_out").to_numpy()
-    for lo, hi, data, off in _steps(table.column("text")):
-        code, doc = _ngrams(data, off)
-        for a in range(0, len(code), _STEP):
-            grams += _distinct(code[a : a + _STEP], ~held[lo + doc[a : a + _STEP]])
-        w = words.Words(data, off, words.NON_SPACE)
-        tokens += _distinct(w.hashes(), ~held[np.repeat(np.arange(lo, hi), w.count)])
-    parts = [_counted(grams), _counted(tokens)]
-    key, n = (np.concatenate([p[i] for p in parts]) for i in (0, 1))
-    kind = np.repeat(np.array([0, 1], np.int8), [len(p[0]) for p in parts])
-    block = pa.array(np.full(len(key), table.column("block")[0].as_py(), np.int64))
-    return pa.table({"block": block, "kind": pa.array(kind), "key": pa.array(key.view(np.int64)), "n": pa.array(n)})
+ASKED = "block long, bucket long, kind int, size long, keys binary, counts binary"
+TOLD = "block long, kind int, size long, keys binary, vals binary"
+
+
+def _ask(buckets: int):
+    def asked(table: pa.Table) -> pa.Table:
+        """What a block has: its distinct 6-grams (kind 0) and word hashes (kind 1), a row for each bucket."""
+        held = table.column("held_out").to_numpy()
+        got: list[tuple[list, list]] = [([], []), ([], [])]
+        for lo, hi, data, off in _steps(table.column("text")):
+            code, doc = ngrams(data, off)
+            w = words.Words(data, off, words.NON_SPACE)
+            for kind, (v, learns) in enumerate(((code, ~held[lo + doc]), (w.hashes(), ~held[np.repeat(np.arange(lo, hi), w.count)]))):
+                for side, x in zip(got[kind], _distinct(v, learns)):
+                    side.append(x)
+        rows = []
+        for kind in (0, 1):
+            v, c = _added(*got[kind])
+            b = _bucket(kind, v, buckets)
+            order = np.argsort(b, kind="stable")
+            cut = np.searchsorted(b[order], np.arange(buckets + 1))
+            for k in range(buckets):
+                part = order[cut[k] : cut[k + 1]]
+                if len(part):
+                    rows.append((table.column("block")[0].as_py(), k, kind, len(part), _keys(v[part]), _blob(c[part])))
+        cols = list(zip(*rows))
+        types = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary())
+        return pa.table({n: pa.array(c, t) for n, c, t in zip(("block", "bucket", "kind", "size", "keys", "counts"), cols, types)})
+
+    return asked
+
+
+def _gathered(table: pa.Table) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Keys and global counts of a bucket, by kind."""
+    got: list[tuple[list, list]] = [([], []), ([], [])]
+    for kind, n, keys, counts in zip(*(table.column(c).to_pylist() for c in ("kind", "size", "keys", "counts"))):
+        got[kind][0].append(_unkeys(keys, n))
+        got[kind][1].append(_unblob(counts, n, np.int64))
+        if len(got[kind][0]) > 64:  # keeps what is held near the distinct keys
+            for side, x in zip(got[kind], _added(*got[kind])):
+                side[:] = [x]
+    return [_added(*g) for g in got]
+
+
+def _log_gamma(x: np.ndarray) -> np.ndarray:
+    y = x + 8.0
+    product = x.copy()
+    for k in range(1, 8):
+        product *= x + k
+    return (y - 0.5) * np.log(y) - y + 0.5 * math.log(2 * math.pi) + 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5) - np.log(product)
+
+
+def _kt(n: np.ndarray, n1: np.ndarray) -> np.ndarray:
+    a, b = n1 + 0.5, n - n1 + 0.5
+    return _log_gamma(a) + _log_gamma(b) - _log_gamma(a + b) - math.log(math.pi)
+
+
+def _decision(grams: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The node at full depth of a gram's k-th decision (context, then the decision's prefix), and its outcome."""
+    byte = grams & np.uint64(255)
+    return (grams >> np.uint64(8) << np.uint64(8)) | np.uint64(1 << k) | (byte >> np.uint64(8 - k)), (byte >> np.uint64(7 - k)) & np.uint64(1)
+
+
+def _up(keys: np.ndarray, depth: int) -> np.ndarray:
+    """Nodes at ``depth`` above nodes."""
+    return ((keys >> np.uint64(8)) & np.uint64((1 << 8 * depth) - 1)) << np.uint64(8) | (keys & np.uint64(255))
+
+
+def subtrees(grams: np.ndarray, counts: np.ndarray) -> dict[int, tuple[np.ndarray, ...]]:
+    """Levels TOP..DEPTH over grams with counts: keys, n, n1, log of the weighted probability, own estimate, stop weight."""
+    found = [_decision(grams, k) for k in range(8)]
+    keys, which = np.unique(np.concatenate([f[0] for f in found]), return_inverse=True)
+    n = np.bincount(which, np.tile(counts, 8), len(keys))
+    n1 = np.bincount(which, np.concatenate([f[1] * counts.astype(np.float64) for f in found]), len(keys))
+    out, deeper = {}, None
+    for depth in range(DEPTH, TOP - 1, -1):
+        kt = _kt(n, n1)
+        weighted = kt if deeper is None else np.logaddexp(kt, deeper) + _HALF
+        out[depth] = (keys, n, n1, weighted, (n1 + 0.5) / (n + 1), np.minimum(np.exp(kt + _HALF - weighted), 1))
+        if depth > TOP:
+            keys, which = np.unique(_up(keys, depth - 1), return_inverse=True)
+            n, n1, deeper = (np.bincount(which, x, len(keys)) for x in (n, n1, weighted))
+    return out
+
+
+def _roots(table: pa.Table) -> pa.Table:
+    """Level TOP of a bucket."""
+    (grams, counts), _ = _gathered(table)
+    keys, n, n1, weighted, _, _ = subtrees(grams, counts)[TOP] if len(grams) else [np.zeros(0, np.uint64), *[np.zeros(0)] * 5]
+    return pa.table({"key": keys.view(np.int64), "bucket": np.full(len(keys), table.column("bucket")[0].as_py(), np.int64), "n": n, "n1": n1, "weighted": weighted})
+
+
+def _totals(table: pa.Table) -> pa.Table:
+    """Training tokens and distinct ones of a bucket."""
+    _, (_, counts) = _gathered(table)
+    return pa.table({"n": [int(counts.sum())], "kinds": [int((counts > 0).sum())]})
+
+
+def _answer(table: pa.Table, above: pa.Table) -> pa.Table:
+    """To each block: log10 of a 6-gram's probability, or a word's count, in the order of its keys.
+
+    ``above`` has, by node of level TOP, what the levels over it give a one (``fixed``) and how much they leave to it."""
+    (grams, counts), (tokens, often) = _gathered(table)
+    lp = np.zeros(len(grams))
+    if len(grams):
+        tree = subtrees(grams, counts)
+        order = np.argsort(above.column("key").to_numpy().view(np.uint64))
+        top = above.column("key").to_numpy().view(np.uint64)[order]
+        fixed, left = (above.column(c).to_numpy()[order] for c in ("fixed", "left"))
+        for k in range(8):
+            node, bit = _decision(grams, k)
+            p = None
+            for depth in range(DEPTH, TOP - 1, -1):
+                keys, _, _, _, own, stop = tree[depth]
+                at = np.searchsorted(keys, _up(node, depth))
+                p = own[at] if p is None else stop[at] * own[at] + (1 - stop[at]) * p
+            at = np.searchsorted(top, _up(node, TOP))
+            p = fixed[at] + left[at] * p
+            lp += np.log10(np.where(bit == 1, p, 1 - p))
+    rows = []
+    for block, kind, n, data in zip(*(table.column(c).to_pylist() for c in ("block", "kind", "size", "keys"))):
+        all_keys, values = (grams, lp) if kind == 0 else (tokens, often.astype(np.float64))
+        rows.append((block, kind, n, data, _blob(values[np.searchsorted(all_keys, _unkeys(data, n))])))
+    cols = list(zip(*rows)) if rows else [[]] * 5
+    types = (pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary())
+    return pa.table({n: pa.array(c, t) for n, c, t in zip(("block", "kind", "size", "keys", "vals"), cols, types)})
 
 
 def log_gamma(x: Column) -> Column:
@@ -102,86 +247,64 @@ def log_gamma(x: Column) -> Column:
     return series - F.log(product)
 
 
-def levels(grams: DataFrame) -> list[DataFrame]:
-    """Nodes by depth: key (context bytes, then the decision's prefix), p1 (the node's own estimate), stop (the weight of
-    that estimate against the deeper ones)."""
-    decisions = F.expr(
-        "transform(sequence(0, 7), k -> struct(shiftleft(shiftright(gram, 8), 8) | shiftleft(1L, k) | shiftright(gram & 255L, 8 - k) AS key, (shiftright(gram, 7 - k) & 1L) AS bit))"
-    )
-    rows = grams.select("n", F.explode(decisions).alias("d"))
-    one = F.sum(F.when(F.col("d.bit") == 1, F.col("n")).otherwise(F.lit(0)))
-    level = rows.groupBy(F.col("d.key").alias("key")).agg(F.sum("n").alias("n"), one.alias("n1"), F.lit(None).cast("double").alias("deeper"))
-    out: list[DataFrame] = []
-    for depth in range(DEPTH, -1, -1):
+def above(roots: DataFrame) -> DataFrame:
+    """For nodes (key, bucket, n, n1, weighted) of level TOP: key, bucket, fixed, left, from levels 0 to TOP - 1."""
+    up = lambda c, depth: F.shiftleft(F.shiftright(c, 8).bitwiseAND(F.lit((1 << 8 * depth) - 1)), 8).bitwiseOR(F.col(c).bitwiseAND(F.lit(255)))
+    levels: list[DataFrame] = []
+    level = roots
+    for depth in range(TOP - 1, -1, -1):
+        level = level.groupBy(up("key", depth).alias("key")).agg(F.sum("n").alias("n"), F.sum("n1").alias("n1"), F.sum("weighted").alias("deeper"))
         a, b = F.col("n1") + 0.5, F.col("n") - F.col("n1") + 0.5
         level = level.withColumn("kt", log_gamma(a) + log_gamma(b) - log_gamma(a + b) - math.log(math.pi))
-        top = F.greatest("kt", F.coalesce("deeper", "kt"))
-        mixed = top + F.log(F.exp(F.col("kt") - top) + F.exp(F.col("deeper") - top)) - math.log(2)
-        level = level.withColumn("weighted", F.coalesce(mixed, F.col("kt")))
-        level = scratch.materialise(level.select("key", "n", "n1", "weighted", ((F.col("n1") + 0.5) / (F.col("n") + 1.0)).alias("p1"), F.least(F.exp(F.col("kt") - math.log(2) - F.col("weighted")), F.lit(1.0)).alias("stop")), "level")
-        out.insert(0, level.select("key", "p1", "stop"))
-        parent = F.shiftright("key", 8).bitwiseAND(F.lit((1 << 8 * max(depth - 1, 0)) - 1))
-        level = level.groupBy(F.shiftleft(parent, 8).bitwiseOR(F.col("key").bitwiseAND(F.lit(255))).alias("key")).agg(F.sum("n").alias("n"), F.sum("n1").alias("n1"), F.sum("weighted").alias("deeper"))
-    return out
+        top = F.greatest("kt", "deeper")
+        level = level.withColumn("weighted", top + F.log(F.exp(F.col("kt") - top) + F.exp(F.col("deeper") - top)) + _HALF)
+        level = level.select("key", "n", "n1", "weighted", ((F.col("n1") + 0.5) / (F.col("n") + 1.0)).alias("own"), F.least(F.exp(F.col("kt") + _HALF - F.col("weighted")), F.lit(1.0)).alias("stop"))
+        level = scratch.materialise(level, "level")
+        levels.insert(0, level)
+    seen = levels[0].select("key", (F.col("stop") * F.col("own")).alias("fixed"), (1 - F.col("stop")).alias("left"))
+    for depth, level in [*list(enumerate(levels))[1:], (TOP, roots)]:
+        below = level.withColumn("up", up("key", depth - 1)).join(seen.withColumnRenamed("key", "up"), "up")
+        if depth == TOP:
+            return below.select("key", "bucket", "fixed", "left")
+        seen = below.select("key", (F.col("fixed") + F.col("left") * F.col("stop") * F.col("own")).alias("fixed"), (F.col("left") * (1 - F.col("stop"))).alias("left"))
+    raise AssertionError
 
 
-def answers(grams: DataFrame, tree: list[DataFrame]) -> DataFrame:
-    """log10 probability (lp) of the last byte of each gram, after the others."""
-    decisions = F.expr(
-        "transform(sequence(0, 7), k -> struct(shiftleft(shiftright(gram, 8), 8) | shiftleft(1L, k) | shiftright(gram & 255L, 8 - k) AS key, (shiftright(gram, 7 - k) & 1L) AS bit))"
-    )
-    wanted = grams.select("gram", F.explode(decisions).alias("d")).select("gram", "d.*")
-    nodes = wanted.select("key").distinct().withColumn("p", F.lit(0.5))
-    for depth in range(DEPTH, -1, -1):
-        context = F.shiftright("key", 8).bitwiseAND(F.lit((1 << 8 * depth) - 1))
-        nodes = nodes.withColumn("at", F.shiftleft(context, 8).bitwiseOR(F.col("key").bitwiseAND(F.lit(255))))
-        nodes = nodes.join(tree[depth].withColumnRenamed("key", "at"), "at", "left")
-        own = F.col("p1") if depth == DEPTH else F.col("stop") * F.col("p1") + (1 - F.col("stop")) * F.col("p")
-        nodes = nodes.select("key", F.coalesce(own, F.lit(0.5)).alias("p"))
-    chance = F.when(F.col("bit") == 1, F.col("p")).otherwise(1 - F.col("p"))
-    return wanted.join(nodes, "key").groupBy("gram").agg(F.sum(F.log10(chance)).alias("lp"))
-
-
-def score(docs: DataFrame, held_out: Column, block_bytes: int = 16 << 20) -> DataFrame:
+def score(docs: DataFrame, held_out: Column, block_bytes: int = 32 << 20) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte; learns where not ``held_out``."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.coalesce(held_out, F.lit(False)).alias("held_out"))
     n_bytes, n_train = docs.agg(F.coalesce(F.sum(F.octet_length("text") + F.lit(8)), F.lit(0)), F.coalesce(F.sum((~F.col("held_out")).cast("long")), F.lit(0))).first()
     blocks = max(1, -(-int(n_bytes) // block_bytes))
     docs = docs.withColumn("block", F.pmod(F.xxhash64("doc_id", F.octet_length("text")), F.lit(blocks)))
 
-    asks = scratch.materialise(docs.groupBy("block").applyInArrow(asked, "block long, kind byte, key long, n long"), "asked")
-    known = scratch.materialise(asks.groupBy("kind", "key").agg(F.sum("n").alias("n")), "known")
-    n_words, n_kinds = known.where("kind = 1 AND n > 0").agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    asks = scratch.materialise(docs.groupBy("block").applyInArrow(_ask(blocks), ASKED), "asked")
+    roots = scratch.materialise(asks.where("kind = 0").groupBy("bucket").applyInArrow(_roots, "key long, bucket long, n double, n1 double, weighted double"), "roots")
+    n_words, n_kinds = asks.where("kind = 1").groupBy("bucket").applyInArrow(_totals, "n long, kinds long").agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("kinds"), F.lit(0))).first()
     total, distinct = int(n_words) + int(n_train), int(n_kinds) + (int(n_train) > 0)
-
-    grams = known.where("kind = 0").select(F.col("key").alias("gram"), "n")
-    tree = levels(grams.where("n > 0"))
-    told = answers(grams.select("gram"), tree).select(F.lit(0).cast("byte").alias("kind"), F.col("gram").alias("key"), F.col("lp").alias("value"))
-    told = told.unionByName(known.where("kind = 1").select("kind", "key", F.col("n").cast("double").alias("value")))
-    told = scratch.materialise(told, "told")
-    back = asks.select("block", "kind", "key").join(told, ["kind", "key"])
+    told = scratch.materialise(asks.groupBy("bucket").cogroup(above(roots).groupBy("bucket")).applyInArrow(_answer, TOLD), "told")
     floor = math.log10(total + distinct + 1)
 
     def one_block(rows: pa.Table, got: pa.Table) -> pa.Table:
-        if not rows.num_rows:
-            return pa.table({k: pa.array([], t) for k, t in (("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64()), ("n_bytes", pa.int64()))})
-        kind, key, value = got.column("kind").to_numpy(), got.column("key").to_numpy().view(np.uint64), got.column("value").to_numpy()
         sides = []
+        kinds, sizes, keys, vals = (got.column(c).to_pylist() for c in ("kind", "size", "keys", "vals"))
         for k in (0, 1):
-            order = np.argsort(key[kind == k])
-            sides.append((key[kind == k][order], value[kind == k][order]))
-        (grams_, chance), (tokens, count) = sides
+            key = np.concatenate([np.zeros(0, np.uint64), *(_unkeys(a, n) for kind, n, a in zip(kinds, sizes, keys) if kind == k)])
+            value = np.concatenate([np.zeros(0), *(_unblob(a, n, np.float64) for kind, n, a in zip(kinds, sizes, vals) if kind == k)])
+            order = np.argsort(key)
+            sides.append((key[order], value[order]))
+        (grams, chance), (tokens, count) = sides
         n = rows.num_rows
         out = {"n_tokens": np.ones(n, np.int64), "n_known": np.zeros(n, np.int64), "base_score": np.zeros(n), "score": np.zeros(n), "n_bytes": np.zeros(n, np.int64)}
         for lo, hi, data, off in _steps(rows.column("text")):
-            code, doc = _ngrams(data, off)
+            code, doc = ngrams(data, off)
             for a in range(0, len(code), _STEP):
                 part = code[a : a + _STEP]
-                both = np.sort(part << np.uint64(24) | np.arange(len(part), dtype=np.uint64))
-                c, place = both >> np.uint64(24), (both & np.uint64(0xFFFFFF)).astype(np.int64)
-                first = np.flatnonzero(np.concatenate(([True], c[1:] != c[:-1])))
-                lp = np.repeat(chance[np.searchsorted(grams_, c[first])], np.diff(np.append(first, len(c))))
-                out["score"][lo:hi] += np.bincount(doc[a : a + _STEP][place], lp, hi - lo)
+                both = np.sort(part << np.uint64(16) | np.arange(len(part), dtype=np.uint64))
+                c, place = both >> np.uint64(16), (both & np.uint64(0xFFFF)).astype(np.int64)
+                first = _first(c)
+                lp = np.repeat(chance[np.searchsorted(grams, c[first])], np.diff(np.append(first, len(c))))
+                d = doc[a : a + _STEP]
+                out["score"][lo + d[0] : lo + d[-1] + 1] += np.bincount(d[place] - d[0], lp, d[-1] - d[0] + 1)
             w = words.Words(data, off, words.NON_SPACE)
             c = count[np.searchsorted(tokens, w.hashes())] if len(w.start) else np.zeros(0)
             doc = np.repeat(np.arange(hi - lo), w.count)
@@ -193,6 +316,6 @@ def score(docs: DataFrame, held_out: Column, block_bytes: int = 16 << 20) -> Dat
         out["base_score"] += math.log10(n_train + 1) - floor
         return pa.table({"doc_id": rows.column("doc_id"), "held_out": rows.column("held_out"), **{k: pa.array(v) for k, v in out.items()}})
 
-    done = docs.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(one_block, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, n_bytes long")
+    done = docs.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(one_block, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, n_bytes long")
     bits = (-F.col("score") * math.log2(10) / F.greatest(F.col("n_bytes"), F.lit(1))).alias("bits_per_byte")
     return done.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score", bits)
