@@ -80,7 +80,7 @@ def count_words(docs: DataFrame) -> DataFrame:
 
 
 def _rates() -> dict[str, Column]:
-    n = F.col("n_words")
+    n = F.greatest(F.col("n_words"), F.lit(1))  # without words a base rule fails anyway
     root = lambda k, m: F.sqrt((k + 0.375) / m)
     return {
         "x_words": F.log(n),

@@ -62,7 +62,7 @@ class Sentences:
 
 
 def runs(docs: DataFrame, min_sentences: int, min_words: int) -> DataFrame:
-    """h, doc_id, start, stop (words), later (whether the document had the run before); one row per run."""
+    """h, doc_id, row (hash of id and text), start, stop (words), later (whether the row had the run before); one row per run."""
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -76,14 +76,15 @@ def runs(docs: DataFrame, min_sentences: int, min_words: int) -> DataFrame:
                 again[order[1:]] = (h[order[1:]] == h[order[:-1]]) & (doc[order[1:]] == doc[order[:-1]])
                 base = s.words.first[doc]
                 yield pa.record_batch(
-                    [pa.array(h.view(np.int64)), batch.column("doc_id").slice(lo, hi - lo).take(pa.array(doc)), pa.array((a - base).astype(np.int32)), pa.array((b - base).astype(np.int32)), pa.array(again)], ["h", "doc_id", "start", "stop", "later"]
+                    [pa.array(h.view(np.int64)), batch.column("doc_id").slice(lo, hi - lo).take(pa.array(doc)), batch.column("row").slice(lo, hi - lo).take(pa.array(doc)), pa.array((a - base).astype(np.int32)), pa.array((b - base).astype(np.int32)), pa.array(again)], ["h", "doc_id", "row", "start", "stop", "later"]
                 )
 
-    return docs.mapInArrow(hashed, "h long, doc_id long, start int, stop int, later boolean")
+    docs = docs.withColumn("row", F.xxhash64("doc_id", "text"))
+    return docs.mapInArrow(hashed, "h long, doc_id long, row long, start int, stop int, later boolean")
 
 
 def repeated(docs: DataFrame, min_sentences: int = 2, min_words: int = 16) -> DataFrame:
-    """Per document with something to remove: doc_id and ``cuts``, sorted array of (start, stop, first_doc_id), in words."""
+    """Per row with something to remove: doc_id, row and ``cuts``, sorted array of (start, stop, first_doc_id), in words."""
     table = scratch.materialise(runs(scratch.documents(docs), min_sentences, min_words), "runs")
     once = table.where("NOT later")
     known = once.groupBy("h").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc_id")).where("n > 1")
@@ -91,8 +92,8 @@ def repeated(docs: DataFrame, min_sentences: int = 2, min_words: int = 16) -> Da
     known = scratch.materialise(known.select(F.col("h").alias("k"), "first_doc_id"), "repeats")
     found = once.join(known, F.col("h") == F.col("k")).where(~F.col("doc_id").eqNullSafe(F.col("first_doc_id")))
     again = table.where("later").withColumn("first_doc_id", F.col("doc_id"))
-    found = found.select("doc_id", "start", "stop", "first_doc_id").unionByName(again.select("doc_id", "start", "stop", "first_doc_id"))
-    return found.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("start", "stop", "first_doc_id"))).alias("cuts"))
+    found = found.select("doc_id", "row", "start", "stop", "first_doc_id").unionByName(again.select("doc_id", "row", "start", "stop", "first_doc_id"))
+    return found.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.sort_array(F.collect_list(F.struct("start", "stop", "first_doc_id"))).alias("cuts"))
 
 
 def _merged(cuts: list[dict]) -> list[list]:
@@ -119,9 +120,9 @@ def report(docs: DataFrame, **options) -> DataFrame:
 
 def clean(docs: DataFrame, **options) -> DataFrame:
     """``docs`` without the sentences of non-first repeated runs."""
-    cuts = repeated(docs, **options).select(F.col("doc_id").alias("_k"), F.transform("cuts", lambda c: F.struct(c["start"].alias("start"), c["stop"].alias("stop"))).alias("_cuts"))
-    rows = docs.withColumn("_doc", F.col("doc_id").cast("long"))
-    rows = rows.join(cuts, F.coalesce(F.col("_doc"), F.lit(-(1 << 63))) == F.coalesce(F.col("_k"), F.lit(-(1 << 63))), "left")
+    cuts = repeated(docs, **options).select(F.col("row").alias("_k"), F.transform("cuts", lambda c: F.struct(c["start"].alias("start"), c["stop"].alias("stop"))).alias("_cuts"))
+    rows = docs.withColumn("_doc", F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")))
+    rows = rows.join(cuts, F.col("_doc") == F.col("_k"), "left")
     rows = rows.select(F.struct(*docs.columns).alias("_row"), F.col("text").alias("_text"), "_cuts")
 
     def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
