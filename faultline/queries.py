@@ -514,3 +514,21 @@ def chronology(spark, sf_dir):
 def event_windows(spark, sf_dir):
     """Daily windows of the change log."""
     return _t(spark, sf_dir, "events").groupBy(F.date_trunc("day", "ts").cast("timestamp_ntz").alias("day"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
+
+
+@query()
+def spec_diff_openapi(spark, sf_dir):
+    """SX-1 to SX-9, SD-1 to SD-41, SRC-9, SRC-10: snapshot pairs made of the customer table: one document for each
+    nation, whose second version lost, gained and changed fields."""
+    from .operators import specdiff
+    from .sources import specs
+
+    c = _t(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").cast("string").alias("spec_id")).agg(F.sort_array(F.collect_list("c_custkey")).alias("ids"))
+
+    def document(text: str):
+        prop = F.transform("ids", lambda i: F.format_string('"p%d": {"type": "' + text + '", "maxLength": %d}', i, 900 - i % 7))
+        return F.concat(F.lit('{"paths": {"/things/{id}": {"post": {"requestBody": {"content": {"application/json": {"schema": {"type": "object", "properties": {'), F.array_join(prop, ", "), F.lit("}}}}}}}}}"))
+
+    old = c.select("spec_id", document("string").alias("spec"))
+    new = c.withColumn("ids", F.filter("ids", lambda i: i % 3 != 0)).select("spec_id", document("integer").alias("spec"))
+    return specdiff.diff(specs.facts(old), specs.facts(new)).select("spec_id", "kind", "breaking", "anchor", "detail")
