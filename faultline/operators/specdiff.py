@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .. import scratch
 from ..functions.text import content_address, parent_path
 from ..sources.specs import VACUOUS
 
@@ -174,7 +175,9 @@ def _param() -> list[Column]:
 
 
 def diff(old: DataFrame, new: DataFrame) -> DataFrame:
-    """Records of the differences of facts ``old`` and ``new``, pair by ``spec_id``."""
+    """Records of the differences of facts ``old`` and ``new``, pair by ``spec_id``. The facts and their join become
+    tables first, since every group of rules reads them."""
+    old, new = scratch.materialise(old, "facts"), scratch.materialise(new, "facts")
     ops = [d.where("part = 'op'").select("spec_id", "op", F.split("op", " ")[1].alias("path")) for d in (old, new)]
     paths = [o.select("spec_id", "path").distinct() for o in ops]
     said = lambda d, kind, anchor, breaking: d.select("spec_id", F.lit(kind).alias("kind"), F.lit(breaking).alias("breaking"), F.lit(False).alias("warning"), F.col(anchor).alias("anchor"), F.lit("").alias("detail"))
@@ -184,7 +187,7 @@ def diff(old: DataFrame, new: DataFrame) -> DataFrame:
     out = out.unionByName(said(ops[1].join(ops[0], ["spec_id", "op"], "left_anti").join(paths[0], ["spec_id", "path"], "left_semi"), "operation-added", "op", False))
 
     shared = ops[0].select("spec_id", "op").join(ops[1].select("spec_id", "op"), ["spec_id", "op"])
-    rows = _joined(old, new).join(shared, ["spec_id", "op"])
+    rows = scratch.materialise(_joined(old, new).join(shared, ["spec_id", "op"]), "joined")
     op, part = F.col("op"), lambda *p: rows.where(F.col("part").isin(*p))
 
     out = out.unionByName(_fired(part("param"), _param(), op))
