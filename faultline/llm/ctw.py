@@ -34,7 +34,8 @@ from . import scratch, words
 
 DEPTH, TOP = 5, 3  # levels TOP..DEPTH are built in buckets
 _STEP = 1 << 16  # positions in a sort; 6-gram and position fill 64 bits
-_CHUNK = 4 << 20
+_CHUNK = 1 << 20
+_KEPT = 1 << 21  # keys that are held before equal ones are added up
 _HALF = math.log(0.5)
 
 
@@ -124,6 +125,9 @@ def _ask(buckets: int):
             for kind, (v, learns) in enumerate(((code, ~held[lo + doc]), (w.hashes(), ~held[np.repeat(np.arange(lo, hi), w.count)]))):
                 for side, x in zip(got[kind], _distinct(v, learns)):
                     side.append(x)
+                if len(got[kind][0]) > 1 and sum(map(len, got[kind][0])) > _KEPT:
+                    for side, x in zip(got[kind], _added(*got[kind])):
+                        side[:] = [x]
         rows = []
         for kind in (0, 1):
             v, c = _added(*got[kind])
@@ -147,7 +151,7 @@ def _gathered(table: pa.Table) -> list[tuple[np.ndarray, np.ndarray]]:
     for kind, n, keys, counts in zip(*(table.column(c).to_pylist() for c in ("kind", "size", "keys", "counts"))):
         got[kind][0].append(_unkeys(keys, n))
         got[kind][1].append(_unblob(counts, n, np.int64))
-        if len(got[kind][0]) > 64:  # keeps what is held near the distinct keys
+        if len(got[kind][0]) > 1 and sum(map(len, got[kind][0])) > _KEPT:
             for side, x in zip(got[kind], _added(*got[kind])):
                 side[:] = [x]
     return [_added(*g) for g in got]
@@ -270,7 +274,7 @@ def above(roots: DataFrame) -> DataFrame:
     raise AssertionError
 
 
-def score(docs: DataFrame, held_out: Column, block_bytes: int = 32 << 20) -> DataFrame:
+def score(docs: DataFrame, held_out: Column, block_bytes: int = 16 << 20) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte; learns where not ``held_out``."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.coalesce(held_out, F.lit(False)).alias("held_out"))
     n_bytes, n_train = docs.agg(F.coalesce(F.sum(F.octet_length("text") + F.lit(8)), F.lit(0)), F.coalesce(F.sum((~F.col("held_out")).cast("long")), F.lit(0))).first()
