@@ -26,9 +26,10 @@ def default_path() -> str:
 
 
 class Encoder:
-    """Encodes lists of texts to flat ids and lengths. At most ``limit`` chunks, and those of one call, are kept."""
+    """Encodes lists of texts to flat ids and lengths. About ``limit`` chunks are kept, the first to come; others are
+    encoded anew in each call, until they are a quarter of what comes."""
 
-    def __init__(self, path: str | None = None, special_as_text: bool = False, chunked: bool = True, limit: int = 600_000):
+    def __init__(self, path: str | None = None, special_as_text: bool = False, chunked: bool = True, limit: int = 500_000):
         """``chunked`` is for tokenizers that drop white space and lower case, as the default one does."""
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
@@ -70,8 +71,6 @@ class Encoder:
         if not self.chunked:
             ids = [np.asarray(x, np.uint32) for x in self._batch(texts)]
             return np.concatenate(ids), np.asarray([len(x) for x in ids], np.int64)
-        if len(self.index) > self.limit:
-            self._clear()
         chunks: list[str] = []
         ends = []
         for t in texts:
@@ -79,11 +78,15 @@ class Encoder:
                 t = t.encode().lower().decode()  # ASCII capitals only
             chunks += t.replace("\n", " ").split(" ")
             ends.append(len(chunks))
-        index = self.index
-        which = np.fromiter(map(index.get, chunks, repeat(-1)), np.int64, len(chunks))
+        which = np.fromiter(map(self.index.get, chunks, repeat(-1)), np.int64, len(chunks))
         absent = np.flatnonzero(which < 0)
+        if len(self.index) > self.limit and 4 * len(absent) > len(chunks):  # the texts have changed: begin anew
+            self._clear()
+            return self.encode(texts)
+        full, kept = len(self.index) > self.limit, (len(self.at), len(self.flat))
         if len(absent):
-            new = list(dict.fromkeys(chunks[i] for i in absent.tolist()))
+            index = {} if full else self.index
+            new = list(dict.fromkeys([chunks[i] for i in absent.tolist()]))
             for lo in range(0, len(new), 50_000):
                 part = new[lo : lo + 50_000]
                 ids, size = self._chunks(part)
@@ -91,13 +94,14 @@ class Encoder:
                 self.at.frombytes((np.cumsum(size) - size + len(self.flat)).astype(np.int64).tobytes())
                 self.size.frombytes(size.astype(np.int32).tobytes())
                 self.flat.frombytes(ids.tobytes())
-            which[absent] = np.fromiter((index[chunks[i]] for i in absent.tolist()), np.int64, len(absent))
-        at, size, flat = np.frombuffer(self.at, np.int64)[which], np.frombuffer(self.size, np.int32)[which].astype(np.int64), np.frombuffer(self.flat, np.uint32) if self.flat else np.zeros(0, np.uint32)
+            which[absent] = np.fromiter(map(index.__getitem__, [chunks[i] for i in absent.tolist()]), np.int64, len(absent))
+        at, size = np.frombuffer(self.at, np.int64)[which], np.frombuffer(self.size, np.int32)[which].astype(np.int64)
         done = np.cumsum(size)
-        total = int(done[-1])
-        ids = flat[np.repeat(at - (done - size), size) + np.arange(total)]
-        bounds = done[np.asarray(ends) - 1]
-        return ids, np.diff(bounds, prepend=0)
+        place = np.repeat(at - (done - size), size) + np.arange(int(done[-1]))
+        ids = np.frombuffer(self.flat, np.uint32)[place] if len(place) else np.zeros(0, np.uint32)
+        if full:
+            del self.at[kept[0] :], self.size[kept[0] :], self.flat[kept[1] :]
+        return ids, np.diff(done[np.asarray(ends) - 1], prepend=0)
 
 
 _encoders: dict[tuple, Encoder] = {}

@@ -37,7 +37,7 @@ def test_chunked_encoding_is_the_whole_texts(texts):
     assert got.tolist() == [i for x in want for i in x]
 
 
-_ENCODERS = {"chunked": Encoder(limit=50), "plain": Encoder(chunked=False)}
+_ENCODERS = {"chunked": Encoder(limit=5), "plain": Encoder(chunked=False)}
 
 
 def _crc(x):
