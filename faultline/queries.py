@@ -6,6 +6,7 @@ orders and events are change records, customers and parts are what changes are a
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -532,3 +533,167 @@ def spec_diff_openapi(spark, sf_dir):
     old = c.select("spec_id", document("string").alias("spec"))
     new = c.withColumn("ids", F.filter("ids", lambda i: i % 3 != 0)).select("spec_id", document("integer").alias("spec"))
     return specdiff.diff(specs.facts(old), specs.facts(new)).select("spec_id", "kind", "breaking", "anchor", "detail")
+
+
+# --- Code: sources made of table rows, so that SQL can state what must come out. ---
+
+
+def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A source file for each customer: by key, one of four shapes."""
+    c = _t(spark, sf_dir, "customer").select("c_custkey")
+    k = F.col("c_custkey").cast("string")
+    shapes = [
+        F.concat(F.lit("import Stripe from 'stripe';\nconst pay"), k, F.lit(" = new Stripe(process.env.STRIPE_KEY);\npay"), k, F.lit(".charges.create({});\n")),
+        F.concat(F.lit("// import Stripe from 'stripe';\nconst s = \"import x\";\npay"), k, F.lit(".charges.create({});\n")),
+        F.concat(F.lit("fetch(`https://api.stripe.com/v1/charges/${id}/refund`);\nordersController.ordersCreate(b"), k, F.lit(");\n")),
+        F.concat(F.lit("import Stripe from 'stripe';\nlet c = new Stripe(k"), k, F.lit(");\nc = other;\nc.charges.create({});\n")),
+    ]
+    text = F.element_at(F.array(*shapes), (F.col("c_custkey") % 4 + 1).cast("int"))
+    return c.select(F.concat(F.lit("src/f"), k, F.lit(".js")).alias("path"), text.alias("text"))
+
+
+@query("SELECT doc_id, length(text) AS n, length(text) - length(replace(text, chr(10), '')) AS n_lines FROM documents")
+def lex_mask(spark, sf_dir):
+    """TX-1 to TX-4: masks keep length and line breaks, whatever the text."""
+    from .functions import lexer
+
+    @F.pandas_udf("string")
+    def masked(text: pd.Series) -> pd.Series:
+        return text.map(lambda t: lexer.mask_code(lexer.mask_prose(t, "js"), "js"))
+
+    m = _t(spark, sf_dir, "documents").select("doc_id", masked("text").alias("m"))
+    return m.select("doc_id", F.length("m").cast("long").alias("n"), (F.length("m") - F.length(F.replace("m", F.lit("\n"), F.lit("")))).cast("long").alias("n_lines"))
+
+
+@query(
+    """WITH f AS (SELECT c_custkey AS k, c_custkey % 4 AS s FROM customer)
+SELECT 'stripe' AS provider, 'import' AS kind, 'src/f' || k || '.js' AS file, 1::BIGINT AS line FROM f WHERE s IN (0, 3)
+UNION ALL SELECT 'stripe', 'env-var', 'src/f' || k || '.js', 2 FROM f WHERE s = 0 UNION ALL SELECT 'stripe', 'api-host', 'src/f' || k || '.js', 1 FROM f WHERE s = 2"""
+)
+def usage_scan(spark, sf_dir):
+    """TX-14, TX-15, J-4, P-4 to P-6: usage by masked line; comments do not count."""
+    from .sources import files
+
+    return files.usage(_files(spark, sf_dir)).select("provider", "kind", "file", "line")
+
+
+@query(
+    """WITH f AS (SELECT c_custkey % 4 AS s FROM customer)
+SELECT 'module' AS kind, 'stripe' AS surface, count(*) AS sites FROM f WHERE s IN (0, 3) UNION ALL SELECT 'env', 'STRIPE_', count(*) FROM f WHERE s = 0
+UNION ALL SELECT 'api-host', 'api.stripe.com', count(*) FROM f WHERE s = 2 UNION ALL SELECT 'endpoint', '/v1/charges/{param}/refund', count(*) FROM f WHERE s = 2
+UNION ALL SELECT 'sdk-call', 'stripe client.charges.create', count(*) FROM f WHERE s = 0"""
+)
+def code_inventory(spark, sf_dir):
+    """BR-1 to BR-17, MG-1 to MG-10, A-10, A-11: surfaces with proven roots; what is bound twice is dropped."""
+    from .plans import inventory
+
+    rows = inventory.surfaces(_files(spark, sf_dir))
+    return rows.groupBy("kind", "surface").agg(F.count("*").alias("sites"))
+
+
+@query(
+    """SELECT 'src/f' || c_custkey || '.js' AS path, 'fetch(`https://api.stripe.com/v1/charges/${id}/refund`);' || chr(10) || 'ordersController.createOrder(b' || c_custkey || ');' || chr(10) AS after,
+2::BIGINT AS changed_lines FROM customer WHERE c_custkey % 4 = 2"""
+)
+def pack_rewrite(spark, sf_dir):
+    """FX-1 to FX-47, UF-1, SNK-4, FV-1: one pack of the catalogue over a tree, with its diff."""
+    from .operators.catalogue import catalogue
+    from .operators.packs import rewrite
+
+    pack = next(p for p in catalogue() if p.name == "paypal-server-sdk-v1-controller-renames")
+    out = rewrite(_files(spark, sf_dir), pack)
+    return out.select("path", "after", F.size(F.filter(F.split("diff", "\n"), lambda x: x.rlike(r"^[-+](?![-+])"))).cast("long").alias("changed_lines"))
+
+
+@query("WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS s FROM documents) SELECT doc_id, len(list_filter(s, lambda x: contains(x, 'e, ')))::BIGINT AS deleted, 0::BIGINT AS inserted FROM l")
+def lcs_diff(spark, sf_dir):
+    """TX-12: the edit script of a text and what is left of it without some lines has just their deletions."""
+    from .functions.rewrite import edit_script
+
+    @F.pandas_udf("array<bigint>")
+    def script(old: pd.Series, new: pd.Series) -> pd.Series:
+        return old.combine(new, lambda a, b: [sum(op == x for op, _ in edit_script(a.split("\n"), b.split("\n") if b is not None else [])) for x in "-+"])
+
+    d = _t(spark, sf_dir, "documents").select("doc_id", "text")
+    left = F.filter(F.split("text", "\n", -1), lambda x: ~x.contains("e, "))
+    d = d.withColumn("left", F.when(F.size(left) > 0, F.array_join(left, "\n"))).withColumn("s", script("text", "left"))
+    return d.select("doc_id", d["s"][0].alias("deleted"), d["s"][1].alias("inserted"))
+
+
+@query("SELECT page_id, 'Page ' || page_id || ' & more' AS title, url, '2024-03-01' AS updated FROM pages")
+def feed_entries(spark, sf_dir):
+    """SRC-3 to SRC-7: entries of landed feeds, one feed for each page."""
+    from .sources import feeds
+
+    p = _t(spark, sf_dir, "pages")
+    xml = F.concat(F.lit("<feed><entry><title>Page "), "page_id", F.lit(' &amp; more</title><updated>2024-03-01T00:00:00Z</updated><link href="'), "url", F.lit('"/><content>x</content></entry></feed>'))
+    rows = feeds.entries(p.select(F.col("page_id").cast("string").alias("source"), F.lit("atom").alias("kind"), xml.alias("xml")))
+    return rows.select(F.col("source").cast("long").alias("page_id"), "title", "url", F.substring("updated", 1, 10).alias("updated"))
+
+
+_NAMES = ["Licensed", "Version", "Public", "reserved"]
+
+
+@query(
+    f"""WITH l AS (SELECT doc_id, i AS line, s[i] AS raw FROM (SELECT doc_id, string_split(text, chr(10)) AS s FROM documents), unnest(range(1, len(s) + 1)) AS t(i)), n AS (SELECT unnest([{_list(_NAMES)}]) AS symbol)
+SELECT doc_id, line, symbol FROM l, n WHERE regexp_matches(raw, '(^|[^\\w$])' || symbol || '($|[^\\w$])')"""
+)
+def symbol_sites(spark, sf_dir):
+    """J-2, W-2: whole names in raw lines."""
+    rows = L.lines(_t(spark, sf_dir, "documents").select("doc_id", "text")).withColumn("p", F.lit(1))
+    names = spark.createDataFrame([(1, n) for n in _NAMES], "p int, symbol string")
+    return rows.join(F.broadcast(names), "p").where(T.names_symbol(F.col("raw"), F.col("symbol"))).select("doc_id", "line", "symbol")
+
+
+@query(
+    """WITH c AS (SELECT c_custkey AS id, 'client-' || lower(c_mktsegment) AS named FROM customer), u AS (SELECT DISTINCT 'client-' || lower(c_mktsegment) AS used FROM customer WHERE c_nationkey < 2)
+SELECT id FROM c WHERE named IN (SELECT used FROM u)"""
+)
+def sub_api_gate(spark, sf_dir):
+    """PRJ-16, J-3, P-8: changes of sub-APIs that nobody uses are dropped."""
+    c = _t(spark, sf_dir, "customer")
+    named = F.concat(F.lit("client-"), F.lower("c_mktsegment"))
+    changes = c.select(F.col("c_custkey").alias("id"), F.lit("aws").alias("provider"), F.lit("t").alias("title"), named.alias("raw_excerpt"))
+    files = c.where("c_nationkey < 2").select(F.lit("aws").alias("provider"), F.concat(F.lit("import '@aws-sdk/"), named, F.lit("'")).alias("text")).distinct()
+    return I.gate_sub_apis(changes, files).select("id")
+
+
+@query(
+    """WITH c AS (SELECT o_orderkey AS id, CASE WHEN o_orderstatus = 'F' THEN 'llm-v1' ELSE 'keyword-v3' END AS classifier FROM orders),
+v AS (SELECT l_orderkey AS id, arg_min(CASE WHEN l_linenumber % 2 = 0 THEN 'fix' ELSE 'additive' END, l_linenumber) AS t FROM lineitem WHERE l_linenumber >= 3 GROUP BY 1)
+SELECT c.id, CASE WHEN v.id IS NOT NULL AND classifier <> 'llm-v1' THEN v.t ELSE 'unknown' END AS change_type, v.id IS NOT NULL AND classifier <> 'llm-v1' AS updated FROM c LEFT JOIN v USING (id)"""
+)
+def reclassify(spark, sf_dir):
+    """J-8, P-11, P-12: verdicts in order, valid ones first, never over a stronger classifier."""
+    from .plans import verdicts
+
+    c = _t(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.lit("unknown").alias("change_type"), F.when(F.col("o_orderstatus") == "F", "llm-v1").otherwise("keyword-v3").alias("classifier"))
+    kind = F.when(F.col("l_linenumber") == 1, "no such type").when(F.col("l_linenumber") % 2 == 0, "fix").otherwise("additive")
+    v = _t(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("id"), kind.alias("change_type"), F.when(F.col("l_linenumber") == 2, "").otherwise("why").alias("rationale"), F.col("l_linenumber").alias("position"))
+    return verdicts.reclassify(c, v).select("id", "change_type", "updated")
+
+
+@query(
+    """WITH i AS (SELECT o_orderkey AS id, CASE o_orderstatus WHEN 'F' THEN 'high' WHEN 'O' THEN 'medium' ELSE 'low' END AS confidence FROM orders)
+SELECT id, confidence FROM i WHERE confidence = 'medium' AND id % 3 <> 0"""
+)
+def pending_review(spark, sf_dir):
+    """P-10, J-13, W-4, S-8: medium impacts that nobody has reviewed."""
+    from .plans import verdicts
+
+    o = _t(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.when(F.col("o_orderstatus") == "F", "high").when(F.col("o_orderstatus") == "O", "medium").otherwise("low").alias("confidence"))
+    impacts = o.withColumn("usage_sites", F.array(F.col("id")))
+    texts = o.select("id", F.lit("x").alias("raw_excerpt"), F.lit(None).cast("string").alias("migration_hint"))
+    return verdicts.pending(impacts, texts, o.where("id % 3 = 0")).select("id", "confidence")
+
+
+@query(
+    """WITH s AS (SELECT event_id AS id, CASE event_type WHEN 'purchase' THEN 'high' WHEN 'click' THEN 'medium' ELSE 'low' END AS confidence FROM events),
+h AS (SELECT count(*) AS n FROM s WHERE confidence = 'high'), r AS (SELECT id, row_number() OVER (ORDER BY id) AS k FROM s WHERE confidence = 'medium')
+SELECT id, 'high' AS confidence FROM s WHERE confidence = 'high' UNION ALL SELECT id, 'medium' FROM r, h WHERE k <= greatest(3000 - n, 0)"""
+)
+def report_view(spark, sf_dir):
+    """SNK-7, W-6: all of high confidence, others up to a budget, none of low."""
+    e = _t(spark, sf_dir, "events")
+    rows = e.select(F.col("event_id").alias("id"), F.lit("high").alias("severity"), F.when(F.col("event_type") == "purchase", "high").when(F.col("event_type") == "click", "medium").otherwise("low").alias("confidence"), F.lit(None).cast("string").alias("effective_date"))
+    return I.summary(rows, 3000).select("id", "confidence")
