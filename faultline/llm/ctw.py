@@ -34,8 +34,8 @@ from . import scratch, words
 
 DEPTH, TOP = 5, 3  # levels TOP..DEPTH are built in buckets
 _STEP = 1 << 16  # positions in a sort; 6-gram and position fill 64 bits
-_CHUNK = 1 << 20
-_KEPT = 1 << 21  # keys that are held before equal ones are added up
+_CHUNK = 1 << 19
+_KEPT = 1 << 20  # keys that are held before equal ones are added up
 _HALF = math.log(0.5)
 
 
