@@ -29,7 +29,7 @@ from . import scratch, tokens, words
 
 _HEAD, _META = "<QI", "<qBBH"
 _META_SIZE = struct.calcsize(_META)
-_CHUNK = 2 << 20
+_CHUNK = 1 << 20
 
 
 def masked(data) -> int:

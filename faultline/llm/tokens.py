@@ -29,7 +29,7 @@ class Encoder:
     """Encodes lists of texts to flat ids and lengths. About ``limit`` chunks are kept, the first to come; others are
     encoded anew in each call, until they are a quarter of what comes."""
 
-    def __init__(self, path: str | None = None, special_as_text: bool = False, chunked: bool = True, limit: int = 500_000):
+    def __init__(self, path: str | None = None, special_as_text: bool = False, chunked: bool = True, limit: int = 300_000):
         """``chunked`` is for tokenizers that drop white space and lower case, as the default one does."""
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
