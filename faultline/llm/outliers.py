@@ -124,7 +124,7 @@ def _nearest(rows: DataFrame, distance: Column, share: float) -> DataFrame:
     """Rows with ``near``: whether they are among the group's ``share`` nearest."""
     rows = rows.withColumn("distance", distance)
     bound = rows.groupBy("lvl", "g_lang", "g_source").agg(F.percentile_approx("distance", share, 10_000).alias("bound"))
-    return _joined(rows, bound).withColumn("near", F.col("distance") <= F.col("bound")).drop("bound")
+    return _joined(rows, scratch.materialise(bound, "bound")).withColumn("near", F.col("distance") <= F.col("bound")).drop("bound")
 
 
 def judge(docs: DataFrame, trim: float = 0.25, steps: int = 3, confidence: float = 1 - 1e-6, n0: float = 1000.0, min_rows: int = 200) -> DataFrame:
@@ -141,7 +141,9 @@ def judge(docs: DataFrame, trim: float = 0.25, steps: int = 3, confidence: float
     sizes = scratch.materialise(sizes.select("lang", "source", "lvl", F.when(F.col("lvl") > 0, F.col("lang")).otherwise("").alias("g_lang"), F.when(F.col("lvl") > 1, F.col("source")).otherwise("").alias("g_source")), "groups")
     rows = rows.join(sizes, ["lang", "source"]).drop("lang", "source")
 
-    median = rows.groupBy("lvl", "g_lang", "g_source").agg(*(F.percentile_approx(s, 0.5, 10_000).alias(f"c_{s}") for s in STATS))
+    # What is known of groups is written before it is joined: such a table's size is known, so a small one is sent to the
+    # rows and they need not move, and the join with a large one can be split where a group has very many rows.
+    median = scratch.materialise(rows.groupBy("lvl", "g_lang", "g_source").agg(*(F.percentile_approx(s, 0.5, 10_000).alias(f"c_{s}") for s in STATS)), "median")
     weight = F.sqrt(F.col("n_words") * n0 / (F.col("n_words") + n0))
     centred = {s: (F.col(s) - F.col(f"c_{s}")) * (F.lit(1.0) if s == "x_words" else weight) for s in STATS}
     rows = _joined(rows, median).withColumns(centred).drop(*(f"c_{s}" for s in STATS), "n_words")
@@ -149,7 +151,7 @@ def judge(docs: DataFrame, trim: float = 0.25, steps: int = 3, confidence: float
 
     spread = rows.groupBy("lvl", "g_lang", "g_source").agg(*(F.percentile_approx(F.abs(s), 0.5, 10_000).alias(f"s_{s}") for s in STATS))
     start = reduce(lambda a, b: a + b, (F.col(s) * F.col(s) / (F.pow(1.4826 * F.col(f"s_{s}"), 2) + RIDGE[s]) for s in STATS))
-    near = _nearest(_joined(rows, spread), start, 1 - trim).drop(*(f"s_{s}" for s in STATS))
+    near = _nearest(_joined(rows, scratch.materialise(spread, "spread")), start, 1 - trim).drop(*(f"s_{s}" for s in STATS))
     for k in range(steps):
         model = _estimate(near, F.col("near"), consistency(1 - trim, len(STATS)))
         near = _nearest(_joined(rows, model), _distance(), 1 - trim) if k + 1 < steps else _joined(rows, model).withColumn("distance", _distance())
