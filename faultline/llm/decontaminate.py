@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import scratch, words
+from . import scratch, tokens, words
 
 _CHUNK = 4 << 20
 _SPAN = pa.struct([("item_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64())])
@@ -101,6 +101,7 @@ def _frequencies(docs: DataFrame, sets) -> dict[tuple[int, int], int]:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = sets.value
+        tokens.forget()
         small = {k: _small(t) for k, t in tables.items()}
         total = {k: np.zeros(len(t), np.int64) for k, t in tables.items()}
         for batch in batches:
@@ -129,6 +130,7 @@ def _probe(docs: DataFrame, block, last: bool) -> DataFrame:
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         b: Windows = block.value
+        tokens.forget()
         small = {k: _small(p[0]) for k, p in b.probes.items()}
         for batch in batches:
             data, off = words.buffers(batch.column("text"))

@@ -24,9 +24,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import words
+from . import tokens, words
 
-_SEGMENT, _ROWS, _SLOTS = 1 << 20, 256, 1 << 19
+_SEGMENT, _ROWS, _SLOTS = 1 << 19, 128, 1 << 19
 _FOLD = np.full(256, 0x20, np.uint32)
 _FOLD[0x41:0x5B] = np.arange(0x61, 0x7B)
 _FOLD[0x61:0x7B] = np.arange(0x61, 0x7B)
@@ -123,7 +123,7 @@ def _batches(batch: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray, np.n
         yield lo, hi, data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo]
 
 
-def fit(train: DataFrame, per_language: int = 600, landmarks: int = 256, landmark_bytes: int = 1 << 16, max_n: int = 4, ridge: float = 1e-4) -> Model:
+def fit(train: DataFrame, per_language: int = 600, landmarks: int = 128, landmark_bytes: int = 1 << 16, max_n: int = 4, ridge: float = 1e-4) -> Model:
     """Learn from doc_id, text and lang of ``train``."""
     spark = train.sparkSession
     rows = train.where("lang IS NOT NULL AND text IS NOT NULL").select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"), F.xxhash64(F.col("doc_id").cast("string")).alias("h"))
@@ -145,6 +145,7 @@ def fit(train: DataFrame, per_language: int = 600, landmarks: int = 256, landmar
     shared = spark.sparkContext.broadcast(features)
 
     def kernels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens.forget()
         for batch in batches:
             for lo, hi, data, off in _batches(batch):
                 k = shared.value.kernel(data, off)
@@ -166,24 +167,43 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: Model = shared.value
         names = np.array([*m.languages, "und"], object)
+        tokens.forget()
         for batch in batches:
-            for lo, hi, data, off in _batches(batch):
-                part = batch.slice(lo, hi - lo)
-                best, value = np.full(hi - lo, len(m.languages)), np.zeros(hi - lo)
-                if m.languages:
-                    s = m.features.kernel(data, off) @ m.weights
-                    letter = part.column("_letter").to_numpy(zero_copy_only=False)
-                    best = np.where(letter, s.argmax(1), best)
-                    value = np.where(letter, np.clip(s.max(1), 0, 1), 0.0)
-                yield pa.record_batch([*(part.column(c) for c in kept), pa.array(names[best].tolist(), pa.string()), pa.array(value, pa.float64())], [*kept, "lang_pred", "score"])
+            best, value = _judge(m, batch, "_letter")
+            for lo in range(0, len(batch), 1024):
+                part = batch.slice(lo, 1024)
+                yield pa.record_batch([*(part.column(c) for c in kept), pa.array(names[best[lo : lo + 1024]].tolist(), pa.string()), pa.array(value[lo : lo + 1024], pa.float64())], [*kept, "lang_pred", "score"])
 
     return rows.mapInArrow(score, docs.select(*kept).schema.add("lang_pred", "string").add("score", "double"))
 
 
+def _judge(m: Model, batch: pa.RecordBatch, letter: str) -> tuple[np.ndarray, np.ndarray]:
+    """For each row the number of its language (that of ``und`` comes last) and its score."""
+    best, value = np.full(len(batch), len(m.languages)), np.zeros(len(batch))
+    for lo, hi, data, off in _batches(batch) if m.languages else ():
+        s = m.features.kernel(data, off) @ m.weights
+        ok = batch.column(letter).slice(lo, hi - lo).to_numpy(zero_copy_only=False)
+        best[lo:hi] = np.where(ok, s.argmax(1), len(m.languages))
+        value[lo:hi] = np.where(ok, np.clip(s.max(1), 0, 1), 0.0)
+    return best, value
+
+
 def accept(docs: DataFrame, model: Model, least: float = 0.1) -> DataFrame:
     """The rows of ``docs`` whose language was recognised: not ``und``, and scored ``least`` at least. A model that has
     learned no language rejects only texts without a letter."""
     if not model.languages:
         return docs.where(F.col("text").rlike(r"\p{L}"))
-    told = predict(docs.withColumns({"_p": F.struct(*docs.columns)}).select("_p", F.col("_p.text").alias("text")), model)
-    return told.where((F.col("lang_pred") != "und") & (F.col("score") >= least)).select("_p.*")
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    letter = "_letter"
+    while letter in docs.columns:
+        letter += "_"
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m: Model = shared.value
+        tokens.forget()
+        for batch in batches:
+            best, value = _judge(m, batch, letter)
+            yield batch.filter(pa.array((best < len(m.languages)) & (value >= least))).drop_columns([letter])
+
+    rows = docs.withColumn(letter, F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
+    return rows.mapInArrow(keep, docs.schema)

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import graph, scratch, words
+from . import graph, scratch, tokens, words
 
 _CHUNK, _ROWS = 1 << 19, 4096
 _DOC, _HASH = np.uint64(52), np.uint64((1 << 52) - 1)
@@ -73,6 +73,7 @@ def idf_table(docs: DataFrame, n: int, spread: float) -> np.ndarray:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
+        tokens.forget()
         total, rows = np.zeros(_SLOTS, np.int64), 0
         for batch in batches:
             data, off = words.buffers(batch.column("text"))
@@ -134,6 +135,7 @@ def signatures(docs: DataFrame, idf, sampler, bands: int, n: int) -> DataFrame:
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, draws = idf.value, sampler.value
+        tokens.forget()
         for batch in batches:
             data, off = words.buffers(batch.column("text"))
             for lo, hi in words.spans(off, _CHUNK, _ROWS):
@@ -243,7 +245,7 @@ def _settled(rows: DataFrame, texts: DataFrame, idf, threshold: float, n: int, b
     return rows.groupBy("bucket", "i", "j").applyInArrow(settle, "a long, b long")
 
 
-def classes(docs: DataFrame, threshold: float = 0.8, n: int = 5, bands: int = 16, rows: int = 4, spread: float = 0.5, sigmas: float = 5.0, few: int = 6, block: int = 512) -> DataFrame:
+def classes(docs: DataFrame, threshold: float = 0.8, n: int = 5, bands: int = 16, rows: int = 4, spread: float = 0.25, sigmas: float = 5.0, few: int = 6, block: int = 512) -> DataFrame:
     """doc_id and class_id (the least id of its class) of every row."""
     spark = docs.sparkSession
     docs = scratch.documents(docs)

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import scratch, words
+from . import scratch, tokens, words
 
 _CHUNK = 4 << 20
 _BASE = 0xC2B2AE3D27D4EB4F
@@ -65,6 +65,7 @@ def runs(docs: DataFrame, min_sentences: int, min_words: int) -> DataFrame:
     """h, doc_id, row (hash of id and text), start, stop (words), later (whether the row had the run before); one row per run."""
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens.forget()
         for batch in batches:
             data, off = words.buffers(batch.column("text"))
             for lo, hi in words.spans(off, _CHUNK):

@@ -8,6 +8,7 @@ with ``chunked=False``: it then encodes whole texts.
 
 from __future__ import annotations
 
+import ctypes
 import os
 from array import array
 from itertools import repeat
@@ -113,3 +114,13 @@ def encoder(path: str | None, special_as_text: bool = False, chunked: bool = Tru
     if key not in _encoders:
         _encoders[key] = Encoder(path, special_as_text, chunked)
     return _encoders[key]
+
+
+def forget() -> None:
+    """Give back what encoders hold; called where a worker, which is used again, turns to other work."""
+    if _encoders:
+        _encoders.clear()
+        try:
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        except (OSError, AttributeError):
+            pass
