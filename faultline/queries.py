@@ -697,3 +697,30 @@ def report_view(spark, sf_dir):
     e = _t(spark, sf_dir, "events")
     rows = e.select(F.col("event_id").alias("id"), F.lit("high").alias("severity"), F.when(F.col("event_type") == "purchase", "high").when(F.col("event_type") == "click", "medium").otherwise("low").alias("confidence"), F.lit(None).cast("string").alias("effective_date"))
     return I.summary(rows, 3000).select("id", "confidence")
+
+
+@query(
+    """WITH r AS (SELECT nation.n_name AS name, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1)
+SELECT '{"tool": "t", "nations_found": ' || count(*) || ', "nations": [' || string_agg('{"name":"' || name || '","n":' || n || '}', ', ' ORDER BY name) || ']}' AS value FROM r"""
+)
+def report_json(spark, sf_dir):
+    """SNK-3: a report as one JSON document."""
+    from pyspark.sql import Window
+
+    from .sources import sinks
+
+    c, n = _t(spark, sf_dir, "customer"), _t(spark, sf_dir, "nation")
+    rows = c.join(n, c.c_nationkey == n.n_nationkey).groupBy(F.col("n_name").alias("name")).agg(F.count("*").alias("n"))
+    return sinks.report(rows.withColumn("place", F.row_number().over(Window.orderBy("name"))), {"tool": "t"}, "nations")
+
+
+@query(
+    """WITH p AS (SELECT o_orderkey AS k, list_aggregate(list_transform(range(1, 2 + o_orderkey % 4), lambda i: 'f' || i || CASE WHEN (o_orderkey + i) % 3 = 0 THEN '[]' ELSE '' END), 'string_agg', '.') AS path FROM orders)
+SELECT k, path, CASE WHEN contains(path, '.') THEN regexp_replace(regexp_replace(path, '\\.[^.]*$', ''), '\\[\\]$', '') ELSE '' END AS parent FROM p"""
+)
+def parent_paths(spark, sf_dir):
+    """PRJ-23: the parent of a property path."""
+    k = F.col("o_orderkey")
+    step = lambda i: F.concat(F.lit("f"), i, F.when((k + i) % 3 == 0, "[]").otherwise(""))
+    path = F.array_join(F.transform(F.sequence(F.lit(1).cast("long"), 1 + k % 4), step), ".")
+    return _t(spark, sf_dir, "orders").select(k.alias("k"), path.alias("path")).withColumn("parent", T.parent_path("path"))
