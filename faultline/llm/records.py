@@ -11,7 +11,7 @@ frame: document id i64, byte offset u64, frame length u64, masked CRC of those 2
 reader seeks by it. Files go through Spark's committer to any file system Spark writes, and a lost task is redone.
 
 Cases: null text is the empty text, so its record holds the end id alone; null ``doc_id`` sorts first; repeated ids
-are each a record, in order of their texts; an empty table gives no shard and no rows; further columns are ignored.
+are each a record, in the order of a hash of their texts; an empty table gives no shard and no rows; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -86,8 +86,10 @@ def write(docs: DataFrame, path: str, end_id: int | None = 1, tokenizer: str | N
                 for kind, rows in ((0, [r[:-1] for r in records]), (1, [e[:-1] for e in entries])):
                     yield pa.record_batch([pa.array(np.full(len(k), kind, np.int32)), pa.array(k), pa.array(rows, pa.binary())], ["kind", "seq", "frame"])
 
-    ordered = docs.repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id", "text")
-    rows = ordered.mapInArrow(encode, "kind int, seq long, frame binary").sortWithinPartitions("kind", "seq")
+    # Rows of one id, null among them, are dealt out by a hash of their texts, so that none makes a shard of its own.
+    docs = docs.withColumn("tie", F.xxhash64("text"))
+    ordered = docs.repartitionByRange(shards, "doc_id", "tie").sortWithinPartitions("doc_id", "tie")
+    rows = ordered.select("doc_id", "text").mapInArrow(encode, "kind int, seq long, frame binary").sortWithinPartitions("kind", "seq")
     rows.select("kind", F.col("frame").cast("string").alias("value")).write.partitionBy("kind").option("lineSep", "\n").text(path)
 
 
@@ -133,7 +135,8 @@ def read(spark: SparkSession, path: str) -> DataFrame:
             raise
         return spark.createDataFrame([], schema).drop("shard")
     shards = shards.select(F.regexp_extract("path", r"part-(\d+)", 1).cast("int").alias("shard"), "content")
-    # One row per shard: what comes before each.
+    # One row per shard: what comes before each. Written first, so that its size is known when the join is planned.
     base = shards.mapInArrow(totals, "shard int, n long").select("shard", (F.sum("n").over(Window.orderBy("shard")) - F.col("n")).alias("base"))
+    base = scratch.materialise(base, "bases")
     rows = shards.mapInArrow(parse, schema)
-    return rows.join(F.broadcast(base), "shard").select("doc_id", (F.col("base") + F.col("start")).alias("start"), "n_tokens", "ids")
+    return rows.join(base, "shard").select("doc_id", (F.col("base") + F.col("start")).alias("start"), "n_tokens", "ids")

@@ -145,7 +145,8 @@ def test_nulls_repeats_and_nothing(spark, tmp_path):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert sorted((r.doc_id is None, r.doc_tokens) for r in packing.sequences(docs).collect()) == [(False, 2), (False, 2), (True, 1), (True, 3)]
     records.write(docs, f"file://{tmp_path}/r")
-    assert [(r.doc_id, r.start, r.n_tokens) for r in records.read(spark, f"file://{tmp_path}/r").orderBy("start").collect()] == [(None, 0, 1), (None, 1, 3), (3, 4, 2), (3, 6, 2)]
+    got = [(r.doc_id, r.start, r.n_tokens) for r in records.read(spark, f"file://{tmp_path}/r").orderBy("start").collect()]
+    assert got in ([(None, 0, 1), (None, 1, 3), (3, 4, 2), (3, 6, 2)], [(None, 0, 3), (None, 3, 1), (3, 4, 2), (3, 6, 2)])
     separators.write(docs, f"file://{tmp_path}/f")
     assert sorted((r.doc_id or 0, r.n_tokens) for r in separators.counts(spark, f"file://{tmp_path}/f").collect()) == [(0, 0), (0, 2), (3, 1), (3, 1)]
     none = docs.limit(0)
