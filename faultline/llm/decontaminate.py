@@ -163,7 +163,7 @@ def _probe(docs: DataFrame, block, last: bool) -> DataFrame:
     return docs.mapInArrow(find, schema)
 
 
-def occurrences(docs: DataFrame, benchmark: DataFrame, window: int = 10, shingle: int = 5, block_bytes: int = 8 << 20, keep_text: bool = False) -> DataFrame:
+def occurrences(docs: DataFrame, benchmark: DataFrame, window: int = 10, shingle: int = 5, block_bytes: int = 1 << 20, keep_text: bool = False) -> DataFrame:
     """``docs`` with n_words and spans (item_id, start, length in words), null where no window occurs.
 
     Without ``keep_text`` the text goes once it has been read.
