@@ -201,5 +201,6 @@ def judge(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
 
 def clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The rows of ``docs``, all columns, in which no benchmark window occurs."""
-    found = occurrences(docs, benchmark, keep_text=True, **options)
-    return found.where("spans IS NULL").select(*docs.columns)
+    own = {c: f"_own_{c}" for c in ("n_words", "spans") if c in docs.columns}
+    found = occurrences(docs.withColumnsRenamed(own), benchmark, keep_text=True, **options).where("spans IS NULL")
+    return found.select(*(F.col(own.get(c, c)).alias(c) for c in docs.columns))
