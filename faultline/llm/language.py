@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import tokens, words
+from . import scratch, tokens, words
 
 _SEGMENT, _ROWS, _SLOTS = 1 << 19, 128, 1 << 19
 _FOLD = np.full(256, 0x20, np.uint32)
@@ -135,6 +135,7 @@ def fit(train: DataFrame, per_language: int = 600, landmarks: int = 128, landmar
     rows = rows.where(F.pmod("h", F.lit(1 << 40)) < share * (1 << 40)).where(F.col("text").rlike(r"\p{L}"))
     order = Window.partitionBy("lang").orderBy("h", "text")
     rows = rows.withColumn("k", F.row_number().over(order)).where(F.col("k") <= per_language)
+    rows = scratch.materialise(rows, "sample")  # at most per_language rows a language, read twice
     rows = rows.withColumn("brief", (F.octet_length("text") <= landmark_bytes).cast("int"))
     each = max(4, landmarks // len(n))
     marks = rows.where("brief = 1").withColumn("j", F.row_number().over(order)).where(F.col("j") <= each)
