@@ -517,7 +517,10 @@ def event_windows(spark, sf_dir):
     return _t(spark, sf_dir, "events").groupBy(F.date_trunc("day", "ts").cast("timestamp_ntz").alias("day"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
 
 
-@query()
+@query(
+    """SELECT c_nationkey::VARCHAR AS spec_id, CASE WHEN c_custkey % 3 = 0 THEN 'request-prop-removed' ELSE 'request-prop-type-changed' END AS kind, true AS breaking, 'POST /things/{id}' AS anchor,
+'p' || c_custkey || CASE WHEN c_custkey % 3 = 0 THEN '' ELSE ': string -> integer' END AS detail FROM customer"""
+)
 def spec_diff_openapi(spark, sf_dir):
     """SX-1 to SX-9, SD-1 to SD-41, SRC-9, SRC-10: snapshot pairs made of the customer table: one document for each
     nation, whose second version lost, gained and changed fields."""
@@ -724,3 +727,41 @@ def parent_paths(spark, sf_dir):
     step = lambda i: F.concat(F.lit("f"), i, F.when((k + i) % 3 == 0, "[]").otherwise(""))
     path = F.array_join(F.transform(F.sequence(F.lit(1).cast("long"), 1 + k % 4), step), ".")
     return _t(spark, sf_dir, "orders").select(k.alias("k"), path.alias("path")).withColumn("parent", T.parent_path("path"))
+
+
+@query(
+    """WITH c AS (SELECT o_orderkey AS id, o_custkey AS pack, strftime(o_orderdate, '%Y-%m-%d') AS chrono, o_orderstatus AS s FROM orders),
+k AS (SELECT DISTINCT c_custkey AS pack FROM customer), v AS (SELECT pack, count(*) AS n, max(CASE WHEN s <> 'P' THEN chrono END) AS baseline FROM c WHERE s = 'F' OR id % 50 = 0 GROUP BY 1),
+w AS (SELECT c.pack, count(*) AS newer FROM c JOIN v USING (pack) WHERE s = 'O' AND id % 50 <> 0 AND chrono > baseline GROUP BY 1)
+SELECT k.pack, CASE WHEN v.n IS NULL THEN 'no-covers' WHEN baseline IS NULL THEN 'covers-missing' WHEN newer IS NOT NULL THEN 'stale' ELSE 'fresh' END AS status, baseline, coalesce(newer, 0)::BIGINT AS newer
+FROM k LEFT JOIN v USING (pack) LEFT JOIN w USING (pack)"""
+)
+def audit_packs(spark, sf_dir):
+    """J-9, J-17, A-7, PRJ-14, PRJ-18 to PRJ-20: the staleness audit; orders are changes, customers are packs."""
+    from .plans import verdicts
+
+    o = _t(spark, sf_dir, "orders")
+    changes = o.select(
+        F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("provider"), F.lit("spec-diff:x-v1-to-v2").alias("source_repo"), F.lit("no anchor").alias("title"), F.when(F.col("o_orderstatus") == "P", "additive").otherwise("breaking").alias("change_type"),
+        F.lit("").alias("effective_date"), F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss").alias("fetched_at"), F.lit("u").alias("source_url"),
+    )
+    packs = _t(spark, sf_dir, "customer").select(F.col("c_custkey").alias("pack"), F.col("c_custkey").alias("provider"), F.lit(None).cast("string").alias("revalidated_through"))
+    covers = o.where("o_orderstatus = 'F' OR o_orderkey % 50 = 0").select(F.col("o_custkey").alias("pack"), F.col("o_orderkey").alias("id"))
+    return verdicts.audit(packs, covers, changes).select("pack", "status", "baseline", F.coalesce(F.size("newer"), F.lit(0)).cast("long").alias("newer")).withColumn("newer", F.greatest("newer", F.lit(0)))
+
+
+@query(
+    """SELECT event_id AS id, '{"change":{"id":' || event_id || ',"provider":"p","title":"key [REDACTED] used","type":"breaking","severity":"high"},"confidence":"high","usage_kinds":["import"],"symbols_extracted":1,"matched_symbols":["sym"],"symbol_sites":[{"file":"f' || user_id || '.js","line":' || event_id || ',"symbol":"sym"}]}' AS payload
+FROM events WHERE event_type = 'purchase'"""
+)
+def upload_payload(spark, sf_dir):
+    """PRJ-1, PRJ-7, PRJ-21, P-14: what may leave; titles are redacted, paths cut to names, snippets left out."""
+    from .plans import verdicts
+
+    e = _t(spark, sf_dir, "events").where("event_type = 'purchase'")
+    site = F.struct(F.concat(F.lit("src/dir/f"), "user_id", F.lit(".js")).alias("file"), F.col("event_id").alias("line"), F.lit("sym").alias("symbol"), F.lit("secret code").alias("snippet"))
+    impacts = e.select(
+        F.col("event_id").alias("id"), F.lit("p").alias("provider"), F.lit("key sk_live_abcdefghij0123 used").alias("title"), F.lit("breaking").alias("change_type"), F.lit("high").alias("severity"), F.lit("high").alias("confidence"),
+        F.array(F.lit("import")).alias("usage_kinds"), F.lit(1).alias("symbols_extracted"), F.array(F.lit("sym")).alias("matched_symbols"), F.array(site).alias("symbol_sites"),
+    )
+    return verdicts.upload(impacts)
