@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from . import scratch, tokens, words
 
-_CHUNK = 1 << 20
+_CHUNK = 2 << 20
 
 
 class Tournament:

@@ -29,7 +29,7 @@ from . import scratch, tokens, words
 
 _HEAD, _META = "<QI", "<qBBH"
 _META_SIZE = struct.calcsize(_META)
-_CHUNK = 1 << 20
+_CHUNK = 3 << 19
 
 
 def masked(data) -> int:

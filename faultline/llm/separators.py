@@ -27,7 +27,7 @@ from . import scratch, tokens, words
 
 END_ID = 49407
 _NO_ID = -(1 << 63)
-_CHUNK = 1 << 20
+_CHUNK = 3 << 19
 
 
 def write(docs: DataFrame, path: str, tokenizer: str | None = None, chunked: bool = True, end_id: int = END_ID) -> None:
