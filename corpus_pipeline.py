@@ -10,7 +10,6 @@ columns beyond those of documents pass through the filtering stages.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from faultline.llm import decontaminate, language, neardup, packing, scratch, spans
 
