@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from faultline.llm import decontaminate, language, neardup, packing, scratch, spans
+from faultline.ship import shipped
 
 
 def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,11 +41,11 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 STAGES = [
-    ("language ID", keep_languages),
-    ("near-dedup", keep_first_copies),
-    ("substring dedup", cut_repeated_spans),
-    ("decontamination", drop_benchmark_leaks),
-    ("packing", pack_sequences),
+    ("language ID", shipped(keep_languages)),
+    ("near-dedup", shipped(keep_first_copies)),
+    ("substring dedup", shipped(cut_repeated_spans)),
+    ("decontamination", shipped(drop_benchmark_leaks)),
+    ("packing", shipped(pack_sequences)),
 ]
 
 #: None of the stages but decontamination can be stated in SQL; tests compare run() with a brute-force version.
