@@ -1,21 +1,25 @@
 """Operator 6: license scans by conditional compression.
 
-Lines with license vocabulary, and what lies between such lines at most two lines apart, are candidate blocks. A block
+Lines with license vocabulary, and what lies between such lines at most two lines apart, are candidate blocks; a block
+then grows to the whole of every license wording that reaches into it, wherever its lines are wrapped. A block
 is compressed on its own and with each template as a zstandard raw-content dictionary; templates are ranked by how much
 smaller the block gets. From the best ranked on, wording decides: the block's and the template's words are aligned,
 and the first template of which at least ``least`` of the words stand in the block, in order, is the license; the words
 that differ are reported. A block no template fits is reported without a license where ``unknown`` asks for it.
 
 Cases: null and empty texts have no blocks; text in any letters is compared in lower case; equal blocks are judged
-once per worker (a bounded cache) and reported for each place; a block of more than ``block_lines`` lines is cut there
-and goes on in the next; repeated rows are each reported; an empty table gives no rows; further columns are ignored.
+once per worker (a bounded cache) and reported for each place; vocabulary may be wrapped between its words; a block of
+more than ``block_lines`` lines is cut there, but not within a license, and goes on in the next; repeated rows are each reported; an empty table gives no rows; further columns are ignored.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
+from collections import Counter
 from collections.abc import Iterator
 from difflib import SequenceMatcher
+from itertools import chain, islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -44,20 +48,50 @@ TEMPLATES = {
 }
 VOCABULARY = ("licens", "licenc", "copyright", "all rights reserved", "creative commons", "hereby granted", "redistribut", "public domain", "spdx")
 _WORD = re.compile(r"[0-9a-z]+(?:[.-][0-9a-z]+)*")
+_ANY_CASE = re.compile(_WORD.pattern, re.I | re.A)
+#: Vocabulary as a pattern of Python and of Java: between two words anything but letters and digits may stand.
+_SEEDS = "|".join(v.replace(" ", "[^0-9a-zA-Z]+") for v in VOCABULARY)
+_SEED = re.compile(_SEEDS, re.I | re.A)
 _CACHE = 20_000
 
 
-def blocks(text: str, block_lines: int = 60) -> Iterator[tuple[int, str]]:
+def _words_around(text: str, s: int, e: int, reach: int, floor: int) -> list[tuple[int, int, str]]:
+    """Start, end and lower case of the words of text[s:e] and of up to ``reach`` on both sides, none before ``floor``."""
+    size, before = 8 * reach, []
+    while True:
+        a = max(floor, s - size)
+        while a > floor and (text[a - 1].isalnum() or text[a - 1] in ".-"):
+            a -= 1
+        before = list(_ANY_CASE.finditer(text, a, s))
+        if a == floor or len(before) >= reach:
+            break
+        size *= 2
+    after = islice(_ANY_CASE.finditer(text, e), reach)
+    return [(m.start(), m.end(), m.group().lower()) for m in chain(before[-reach:], _ANY_CASE.finditer(text, s, e), after)]
+
+
+def blocks(text: str, judge: Judge, block_lines: int = 60) -> Iterator[tuple[int, str]]:
     """First line number (from 0) and text of each candidate block."""
-    lines = text.split("\n")
-    hits = [i for i, x in enumerate(lines) if any(v in x.lower() for v in VOCABULARY)]
-    a = 0
+    begin = [0, *(m.end() for m in re.finditer("\n", text))]
+    end = [*(b - 1 for b in begin[1:]), len(text)]
+    line = lambda at: bisect_right(begin, at) - 1
+    hits = sorted({i for m in _SEED.finditer(text) for i in range(line(m.start()), line(m.end() - 1) + 1)})
+    a = floor = 0
     while a < len(hits):
         b = a
         while b + 1 < len(hits) and hits[b + 1] - hits[b] <= 3 and hits[b + 1] - hits[a] < block_lines:
             b += 1
-        yield hits[a], "\n".join(lines[hits[a] : hits[b] + 1])
-        a = b + 1
+        s, e = max(floor, begin[hits[a]]), end[hits[b]]
+        while True:
+            wide = judge.widen(text, s, e, floor)
+            while b + 1 < len(hits) and begin[hits[b + 1]] < wide[1]:
+                b += 1
+            wide = wide[0], max(wide[1], end[hits[b]])
+            if wide == (s, e):
+                break
+            s, e = wide
+        yield line(s), text[s:e]
+        a, floor = b + 1, e
 
 
 class Judge:
@@ -68,6 +102,8 @@ class Judge:
 
         self.least = least
         self.words = {k: _WORD.findall(t.lower()) for k, t in templates.items()}
+        self.counts = {k: Counter(w) for k, w in self.words.items()}
+        self.reach = 2 * max(map(len, self.words.values()), default=0)
         self.plain = z.ZstdCompressor(level=level, write_content_size=False)
         self.given = {k: z.ZstdCompressor(level=level, write_content_size=False, dict_data=z.ZstdCompressionDict(t.lower().encode(), dict_type=z.DICT_TYPE_RAWCONTENT)) for k, t in templates.items()}
         self.known: dict[str, list[tuple]] = {}
@@ -78,24 +114,60 @@ class Judge:
         alone = len(self.plain.compress(data))
         return sorted(((round((alone - len(c.compress(data))) / alone, 6), k) for k, c in self.given.items()), key=lambda x: (-x[0], x[1]))
 
-    def _align(self, template: str, block: list[str]) -> tuple[int, list[str], list[tuple[int, int]]]:
+    def _align(self, template: str, block: list) -> tuple[int, list[str], list[tuple[int, int]]]:
         want = self.words[template]
         matches = [m for m in SequenceMatcher(None, want, block, autojunk=False).get_matching_blocks() if m.size]
         held = sum(m.size for m in matches)
         there = {i for m in matches for i in range(m.a, m.a + m.size)}
         return held, [w for i, w in enumerate(want) if i not in there], [(m.b, m.b + m.size) for m in matches]
 
+    def _fit(self, template: str, block: list) -> tuple[int, list[str], list[tuple[int, int]]] | None:
+        """Matched words, missing words and places of the template in the block, if enough of it stands close together."""
+        want, have = self.words[template], Counter(block)
+        most = len(want)
+        if not want or sum(min(n, have[w]) for w, n in self.counts[template].items()) < self.least * most:
+            return None
+        held, missing, places = self._align(template, block)
+        if held < self.least * most:
+            return None if len(block) <= 2 * most else self._near(template, block)
+        return (held, missing, places) if places[-1][1] - places[0][0] <= 2 * most else self._near(template, block)
+
+    def _near(self, template: str, block: list) -> tuple[int, list[str], list[tuple[int, int]]] | None:
+        """As _fit, around the longest runs of the template's words: single words further off do not count."""
+        want, block = self.words[template], list(block)
+        most = len(want)
+        while True:
+            m = SequenceMatcher(None, want, block, autojunk=False).find_longest_match()
+            if m.size < min(4, most):
+                return None
+            lo = max(0, m.b - m.a - most // 2)
+            held, missing, places = self._align(template, block[lo : m.b - m.a + most + most // 2])
+            if held >= self.least * most:
+                return held, missing, [(lo + a, lo + b) for a, b in places]
+            block[m.b : m.b + m.size] = [None] * m.size
+
+    def widen(self, text: str, s: int, e: int, floor: int) -> tuple[int, int]:
+        """Start and end of text[s:e] with the whole of every license that reaches into it, from ``floor`` on."""
+        around = _words_around(text, s, e, self.reach, floor)
+        lo, hi, known = s, e, [w for *_, w in around]
+        for k in self.words:
+            left = list(known)
+            while fit := self._fit(k, left):
+                x, y = around[fit[2][0][0]][0], around[fit[2][-1][1] - 1][1]
+                if x < e and y > s:
+                    lo, hi = min(lo, x), max(hi, y)
+                for a, b in fit[2]:
+                    left[a:b] = [None] * (b - a)
+        return lo, hi
+
     def judge(self, block: str) -> list[tuple]:
         """(license, saving, template words in the block, template words, missing words); several where a block has several."""
         if block in self.known:
             return self.known[block]
         left, out = _WORD.findall(block.lower()), []
         for saving, k in self.rank(block):
-            if saving <= 0:
-                break
-            held, missing, places = self._align(k, left)
-            span = places[-1][1] - places[0][0] if places else 0
-            if held >= self.least * len(self.words[k]) and span <= 2 * len(self.words[k]):
+            while fit := self._fit(k, left):
+                held, missing, places = fit
                 out.append((k, saving, held, len(self.words[k]), missing))
                 gone = {i for a, b in places for i in range(a, b)}
                 left = [w for i, w in enumerate(left) if i not in gone]
@@ -108,10 +180,6 @@ class Judge:
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, least: float = 0.9, block_lines: int = 60, unknown: bool = False) -> DataFrame:
     """doc_id, line, license, saving, matched_words, template_words, missing (words), block; one row per license found."""
     docs = scratch.documents(docs)
-    lower = F.lower("text")
-    hit = F.lit(False)
-    for v in VOCABULARY:
-        hit = hit | lower.contains(v)
     chosen = templates or TEMPLATES
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -123,10 +191,10 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, least: float
             for lo, hi in words.spans(off, 8 << 20):
                 rows = []
                 for doc_id, text in zip(batch.column("doc_id").slice(lo, hi - lo).to_pylist(), batch.column("text").slice(lo, hi - lo).to_pylist()):
-                    for line, block in blocks(text, block_lines):
+                    for line, block in blocks(text, judge, block_lines):
                         found = judge.judge(block) or ([(None, 0.0, 0, 0, [])] if unknown else [])
                         rows += [(doc_id, line, *f, block) for f in found]
                 cols = list(zip(*rows)) if rows else [[]] * len(names)
                 yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, types)], names)
 
-    return docs.where(hit).mapInArrow(find, "doc_id long, line long, license string, saving double, matched_words long, template_words long, missing array<string>, block string")
+    return docs.where(F.col("text").rlike(f"(?i){_SEEDS}")).mapInArrow(find, "doc_id long, line long, license string, saving double, matched_words long, template_words long, missing array<string>, block string")

@@ -2,6 +2,7 @@
 
 import re
 import string
+import textwrap
 
 import numpy as np
 import pytest
@@ -77,6 +78,22 @@ def test_template_ranks_first():
         assert judge.judge(t)[0][0] == k, k
 
 
+def test_wrapped_templates(spark):
+    prose = "A sentence that says nothing about the matter at all, and another one of the same kind. " * 9
+    rows, want = [], []
+    for width in range(60, 81, 4):
+        for k, t in licenses.TEMPLATES.items():
+            for mark in ("", " * ", "# "):
+                fill = lambda x: textwrap.fill(x, width, initial_indent=mark, subsequent_indent=mark, break_on_hyphens=False)  # noqa: B023, E731
+                rows.append((len(rows), "\n".join([fill(prose), mark, fill("Copyright (c) 2020 Somebody"), mark, fill(t), mark, fill(prose)])))
+                want.append(k)
+                rows.append((len(rows), f"{fill(prose)} {t} {fill(prose)} and\n\n\n\n{fill(t)}\n{prose}"))
+                want += [k, k]
+    got = licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert [r.license for r in sorted(got, key=lambda r: r.doc_id)] == want
+    assert all(r.matched_words == r.template_words and not r.missing for r in got)
+
+
 @pytest.fixture(scope="module")
 def labelled(spark):
     rng = np.random.default_rng(0)
