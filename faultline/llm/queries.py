@@ -62,7 +62,7 @@ def op9_ctw(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spans.report(_documents(spark, sf_dir))
+    return spans.report(_documents(spark, sf_dir), every=True)
 
 
 QUERIES = {f.__name__: f for f in (op1_language, op2_packing, op3_outliers, op4_neardup, op5_records, op6_licenses, op7_separators, op8_decontaminate, op9_ctw, op10_spans)}

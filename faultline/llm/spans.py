@@ -2,7 +2,9 @@
 
 A sentence ends after a word that ends in ``.``, ``!`` or ``?``, or where a line ends. From every sentence the shortest
 run of at least ``min_sentences`` sentences and ``min_words`` words is hashed (words split at white space, ASCII lower
-case). Hashes are joined over all documents; the first occurrence, by document id and then position, stays, and every
+case). With ``every``, as the queries have it, fewer sentences of ``long_words`` words are a run too, and the shortest
+run that ends with each sentence is hashed as well: those of both kinds that repeat cover what all repeated runs cover,
+where without it the last short sentences of a passage stay. Hashes are joined over all documents; the first occurrence, by document id and then position, stays, and every
 sentence covered by another occurrence goes. What separates the remaining sentences is left as it was.
 
 Runs are partially aggregated before they move, so a passage in a third of the documents is one row from each task; the
@@ -45,14 +47,21 @@ class Sentences:
         self.at = np.flatnonzero(first)
         self.first = np.searchsorted(self.at, w.first)
 
-    def runs(self, min_sentences: int, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def runs(self, min_sentences: int, min_words: int, every: bool, long_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """First and last-plus-one word of each run that lies in one text, and its hash."""
         at, n = self.at, len(self.words.start)
-        ends = np.append(at, n)  # where a sentence can end
-        stop = np.maximum(np.searchsorted(ends, at + min_words), np.arange(len(at)) + min_sentences)
-        text_end = np.repeat(self.first[1:], np.diff(self.first))
-        ok = stop <= text_end
+        ends, k = np.append(at, n), np.arange(len(at))  # where a sentence can end
+        stop = np.maximum(np.searchsorted(ends, at + min_words), k + min_sentences)
+        if every:
+            stop = np.minimum(stop, np.searchsorted(ends, at + long_words))
+        ok = stop <= np.repeat(self.first[1:], np.diff(self.first))
         a, b = at[ok], ends[stop[ok]]
+        if every:
+            start = np.minimum(np.searchsorted(at, ends[1:] - min_words, "right"), k + 2 - min_sentences) - 1
+            start = np.maximum(start, np.searchsorted(at, ends[1:] - long_words, "right") - 1)
+            back = start >= np.repeat(self.first[:-1], np.diff(self.first))
+            back[back] &= stop[start[back]] != k[back] + 1  # the others begin there as well
+            a, b = np.concatenate((a, at[start[back]])), np.concatenate((b, ends[k[back] + 1]))
         p = np.full(n + 1, _BASE, np.uint64)
         q = np.full(n + 1, _INVERSE, np.uint64)
         p[:1] = q[:1] = 1
@@ -61,7 +70,7 @@ class Sentences:
         return a, b, words.mix((total[b] - total[a]) * q[a] + (b - a).astype(np.uint64))
 
 
-def runs(docs: DataFrame, min_sentences: int, min_words: int) -> DataFrame:
+def runs(docs: DataFrame, min_sentences: int, min_words: int, every: bool, long_words: int) -> DataFrame:
     """h, doc_id, row (hash of id and text), start, stop (words), later (whether the row had the run before); one row per run."""
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -70,7 +79,7 @@ def runs(docs: DataFrame, min_sentences: int, min_words: int) -> DataFrame:
             data, off = words.buffers(batch.column("text"))
             for lo, hi in words.spans(off, _CHUNK):
                 s = Sentences(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])
-                a, b, h = s.runs(min_sentences, min_words)
+                a, b, h = s.runs(min_sentences, min_words, every, long_words)
                 doc = np.searchsorted(s.words.first, a, "right") - 1
                 order = np.lexsort((a, h, doc))
                 again = np.zeros(len(a), bool)
@@ -84,9 +93,9 @@ def runs(docs: DataFrame, min_sentences: int, min_words: int) -> DataFrame:
     return docs.mapInArrow(hashed, "h long, doc_id long, row long, start int, stop int, later boolean")
 
 
-def repeated(docs: DataFrame, min_sentences: int = 2, min_words: int = 16) -> DataFrame:
+def repeated(docs: DataFrame, min_sentences: int = 2, min_words: int = 16, every: bool = False, long_words: int = 50) -> DataFrame:
     """Per row with something to remove: doc_id, row and ``cuts``, sorted array of (start, stop, first_doc_id), in words."""
-    table = scratch.materialise(runs(scratch.documents(docs), min_sentences, min_words), "runs")
+    table = scratch.materialise(runs(scratch.documents(docs), min_sentences, min_words, every, long_words), "runs")
     once = table.where("NOT later")
     known = once.groupBy("h").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc_id")).where("n > 1")
     # A table of its own: a join of two exchanges can be split where a run is in very many documents.

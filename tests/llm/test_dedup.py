@@ -159,6 +159,31 @@ def test_spans_are_brute_force(spark):
             assert i in want or clean[i].text == t
 
 
+def all_runs(rows, k=2, n=16, long=50):
+    first, cuts = {}, {}
+    for doc, text in sorted(rows):
+        w, s = sentences(text)
+        for i, j in itertools.combinations(range(len(s) + 1), 2):
+            a, b = s[i][0], s[j - 1][1]
+            if (j - i >= k and b - a >= n or b - a >= long) and first.setdefault(tuple(w[a:b]), (doc, a)) != (doc, a):
+                cuts.setdefault(doc, set()).update(range(a, b))
+    return cuts
+
+
+def test_spans_cover_all_runs(spark):
+    rng = random.Random(6)
+    say = lambda n: " ".join(rng.choices("abcdefghijklmnop", k=n)) + "."
+    one, few = say(55), [say(n) for n in (20, 20, 5, 5)]
+    shared = [[say(rng.choice([1, 2, 5, 9, 20])) for _ in range(7)] for _ in range(5)] + [few, [one]]
+    rows = [(i, " ".join([say(3), *rng.choice(shared)[rng.randint(0, 1) :], say(4)])) for i in range(60)]
+    rows += [(100 + i, " ".join([say(3), *few, say(3)])) for i in range(2)] + [(102 + i, " ".join([say(3), one, say(3)])) for i in range(2)]
+    got = {}
+    for r in spans.report(spark.createDataFrame(rows, "doc_id long, text string"), every=True).collect():
+        got.setdefault(r.doc_id, set()).update(range(r.start, r.start + r.n_words))
+    assert got == all_runs(rows)
+    assert got[101] == set(range(3, 53)) and got[103] == set(range(3, 58))
+
+
 def test_spans_of_shared_ids_and_nothing(spark):
     p = "This passage has a good many words in it. It also has more than one sentence, so that it counts."
     rows = [(1, p), (1, p), (None, p), (None, "x. " + p), (2, p + " Own words.")]
