@@ -22,7 +22,7 @@ def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def keep_first_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Near-dedup: of each class of near-duplicates the document with the least id stays."""
-    return neardup.first(docs)
+    return neardup.first(docs, one_per_id=False)
 
 
 def cut_repeated_spans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

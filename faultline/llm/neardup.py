@@ -15,13 +15,13 @@ and no table ever holds the pairs of a large group. Pairs go to verification onl
 rule them out (by ``sigmas`` standard deviations of what the threshold leads to expect).
 
 Cases: texts with fewer words than a shingle are one shingle of all their words; texts without words, null among them,
-are alike only if equal (null equals empty); rows that share a ``doc_id`` share a class, and of exact repeats ``first``
-keeps one; null ids rank first and share a class only through their texts or each other; an empty table gives no rows.
+are alike only if equal (null equals empty); classes are classes of texts, so rows that share a ``doc_id``, or have none,
+share a class only through their texts; a class has the least id of its rows, where null ranks first, so classes may have
+the same id; of exact repeats ``first`` keeps one; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -131,7 +131,7 @@ class Sampler:
 
 
 def signatures(docs: DataFrame, idf, sampler, bands: int, n: int) -> DataFrame:
-    """doc_id, key (of the text), buckets (one 64-bit hash per band), sketch (a byte of each sample)."""
+    """doc_id, node (of the text), buckets (one 64-bit hash per band), sketch (a byte of each sample)."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, draws = idf.value, sampler.value
@@ -150,10 +150,9 @@ def signatures(docs: DataFrame, idf, sampler, bands: int, n: int) -> DataFrame:
                 low = (s & np.uint64(255)).astype(np.uint8)
                 for i, d in enumerate(doc.tolist()):
                     buckets[d], sketch[d] = b[i].view(np.int64), low[i].tobytes()
-                key = [hashlib.md5(part[x:y]).digest() for x, y in zip(at[:-1].tolist(), at[1:].tolist())]
-                yield pa.record_batch([batch.column("doc_id").slice(lo, hi - lo), pa.array(key, pa.binary()), pa.array(buckets, pa.list_(pa.int64())), pa.array(sketch, pa.binary())], ["doc_id", "key", "buckets", "sketch"])
+                yield pa.record_batch([batch.column("doc_id").slice(lo, hi - lo), batch.column("node").slice(lo, hi - lo), pa.array(buckets, pa.list_(pa.int64())), pa.array(sketch, pa.binary())], ["doc_id", "node", "buckets", "sketch"])
 
-    return docs.mapInArrow(sign, "doc_id long, key binary, buckets array<long>, sketch binary")
+    return docs.mapInArrow(sign, "doc_id long, node long, buckets array<long>, sketch binary")
 
 
 def similar(pairs: DataFrame, texts: DataFrame, idf, threshold: float, n: int) -> DataFrame:
@@ -245,19 +244,36 @@ def _settled(rows: DataFrame, texts: DataFrame, idf, threshold: float, n: int, b
     return rows.groupBy("bucket", "i", "j").applyInArrow(settle, "a long, b long")
 
 
-def classes(docs: DataFrame, threshold: float = 0.8, n: int = 5, bands: int = 16, rows: int = 4, spread: float = 0.25, sigmas: float = 5.0, few: int = 6, block: int = 512) -> DataFrame:
+def _keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``_id`` (the id, _NONE for null) and ``_text`` (hash of the text, null as empty)."""
+    return docs.withColumns({"_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(_NONE)), "_text": F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))})
+
+
+def _clear(c: str):
+    return F.when(F.col(c) != _NONE, F.col(c)).alias(c)
+
+
+def classes(docs: DataFrame, **options) -> DataFrame:
     """doc_id and class_id (the least id of its class) of every row."""
+    member, told, _ = _classes(docs, **options)
+    least = scratch.materialise(told.groupBy("label").agg(F.min("doc_id").alias("class_id")), "least")
+    named = scratch.materialise(told.join(least, "label").select("node", "class_id"), "named")
+    return member.join(named, "node").select(_clear("doc_id"), _clear("class_id"))
+
+
+def _classes(docs: DataFrame, threshold: float = 0.8, n: int = 5, bands: int = 16, rows: int = 4, spread: float = 0.25, sigmas: float = 5.0, few: int = 6, block: int = 512) -> tuple[DataFrame, DataFrame, bool]:
+    """doc_id and node (text) of every row; node, its least doc_id and label (of its class) of every text; whether ids repeat."""
     spark = docs.sparkSession
     docs = scratch.documents(docs)
     idf = spark.sparkContext.broadcast(idf_table(docs, n, spread))
     sampler = spark.sparkContext.broadcast(Sampler(bands * rows))
-    signed = scratch.materialise(signatures(docs.withColumn("doc_id", F.coalesce("doc_id", F.lit(_NONE))), idf, sampler, bands, n), "signatures")
+    docs = _keyed(docs).select(F.col("_id").alias("doc_id"), F.col("_text").alias("node"), "text")
+    signed = scratch.materialise(signatures(docs, idf, sampler, bands, n), "signatures")
     repeats = _repeats(signed, "doc_id")
 
     # Aggregates become tables before they are joined to what they were made of: such joins can be split at hot keys.
-    same = scratch.materialise(signed.groupBy("key").agg(F.min("doc_id").alias("node")), "same")
-    member = scratch.materialise(signed.select("doc_id", "key").join(same, "key").select("doc_id", "node"), "members")
-    nodes = signed.join(same, "key").where("doc_id = node AND buckets IS NOT NULL").select("node", "buckets", "sketch")
+    same = scratch.materialise(signed.groupBy("node").agg(F.min("doc_id").alias("doc_id")), "same")
+    nodes = signed.join(same, ["node", "doc_id"], "left_semi").where("buckets IS NOT NULL").select("node", "buckets", "sketch")
     if repeats:
         nodes = nodes.distinct()
     held = nodes.select("node", F.explode("buckets").alias("bucket"))
@@ -266,10 +282,8 @@ def classes(docs: DataFrame, threshold: float = 0.8, n: int = 5, bands: int = 16
     # A central text shares large buckets with many: the most central of a bucket is its hub.
     central = scratch.materialise(bucket.groupBy("node").agg(F.sum("m").alias("central")), "central")
     sketches = scratch.materialise(nodes.select("node", "sketch").join(central.select("node"), "node", "left_semi"), "sketches")
-    texts = docs.withColumn("node", F.coalesce("doc_id", F.lit(_NONE))).join(central.select("node"), "node", "left_semi").select("node", F.coalesce("text", F.lit("")).alias("text"))
+    texts = docs.join(same.join(central.select("node"), "node", "left_semi"), ["node", "doc_id"], "left_semi").select("node", "text")
     texts = scratch.materialise(texts.dropDuplicates(["node"]) if repeats else texts, "texts")
-    if repeats:
-        sketches = sketches.dropDuplicates(["node"])
     draws = bands * rows
     least = int(np.floor(draws * threshold - sigmas * np.sqrt(draws * threshold * (1 - threshold))))
 
@@ -277,8 +291,6 @@ def classes(docs: DataFrame, threshold: float = 0.8, n: int = 5, bands: int = 16
     first = bucket.join(scratch.materialise(hubs, "hubs"), "bucket").where("node <> hub").groupBy("node").agg(F.max_by("hub", F.struct("m", "hub")).alias("hub"))
     pairs = first.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
     links = similar(scratch.materialise(_likely(pairs, sketches, least), "pairs"), texts, idf, threshold, n).select("a", "b")
-    if repeats:  # ids that stand on several rows link those rows' texts
-        links = links.unionByName(member.where("doc_id <> node").select(F.col("doc_id").alias("a"), F.col("node").alias("b")))
     label = graph.components(links)
 
     now = scratch.materialise(bucket.join(label, "node", "left").withColumn("label", F.coalesce("label", "node")), "labelled")
@@ -291,20 +303,20 @@ def classes(docs: DataFrame, threshold: float = 0.8, n: int = 5, bands: int = 16
     links = scratch.materialise(links.unionByName(_settled(now.where(F.col("m") > few), texts, idf, threshold, n, block)), "links")
     if not links.isEmpty():
         label = graph.components(links.unionByName(label.select(F.col("node").alias("a"), F.col("label").alias("b"))))
-    told = member.join(label, "node", "left").select("doc_id", F.coalesce("label", "node").alias("class_id"))
-    clear = lambda c: F.when(F.col(c) != _NONE, F.col(c)).alias(c)
-    return told.select(clear("doc_id"), clear("class_id"))
+    told = same.join(label, "node", "left").select("node", "doc_id", F.coalesce("label", "node").alias("label"))
+    return signed.select("doc_id", "node"), scratch.materialise(told, "told"), repeats
 
 
 def _repeats(rows: DataFrame, key: str) -> bool:
     return bool(rows.groupBy(key).count().where("count > 1").limit(1).count())
 
 
-def first(docs: DataFrame, **options) -> DataFrame:
-    """One row of ``docs`` for each class: that of the least id."""
-    told = scratch.materialise(classes(docs, **options), "classes")
-    heads = told.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.coalesce("class_id", F.lit(_NONE)).alias("_k")).distinct()
-    kept = docs.withColumn("_k", F.coalesce(F.col("doc_id").cast("long"), F.lit(_NONE))).join(heads, "_k", "left_semi")
-    if _repeats(told, "doc_id"):
-        kept = kept.groupBy("_k").agg(F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns)).alias("_r")).select("_r.*")
+def first(docs: DataFrame, one_per_id: bool = True, **options) -> DataFrame:
+    """One row of ``docs`` for each class: that of the least id; with ``one_per_id`` only one of the rows that share an id or have none."""
+    _, told, repeats = _classes(docs, **options)
+    heads = told.groupBy("label").agg(F.min(F.struct("doc_id", "node")).alias("h")).select(F.col("h.doc_id").alias("_id"), F.col("h.node").alias("_text"))
+    kept = _keyed(docs).join(scratch.materialise(heads, "heads"), ["_id", "_text"], "left_semi")
+    if repeats:
+        key = ["_id"] if one_per_id else ["_id", "_text"]
+        kept = kept.groupBy(*key).agg(F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns)).alias("_r")).select("_r.*")
     return kept.select(*docs.columns)

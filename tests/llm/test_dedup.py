@@ -96,6 +96,18 @@ def test_shared_ids_nulls_and_nothing(spark):
     assert neardup.classes(docs.limit(0)).count() == 0
 
 
+def test_every_text_of_shared_ids_stays(spark):
+    say = lambda k, n=40: " ".join(f"w{k}x{i}" for i in range(n))
+    near = lambda k: say(k) + " tail"
+    rows = [(None, say(1)), (None, say(2)), (None, say(2)), (9, say(1)), (1, say(3)), (1, say(4)), (2, near(4)), (3, near(5)), (4, say(5)), (3, say(6)), (None, near(6)), (1, say(3)), (None, None), (8, "")]
+    docs = spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, k int")
+    kept = neardup.first(docs, one_per_id=False)
+    got = sorted((r.doc_id is not None, r.doc_id, r.text or "") for r in kept.collect())
+    assert kept.columns == docs.columns
+    assert got == sorted((i is not None, i, t or "") for i, t in [(None, say(1)), (None, say(2)), (1, say(3)), (1, say(4)), (3, near(5)), (None, near(6)), (None, "")])
+    assert sorted((str(r.doc_id), str(r.class_id)) for r in neardup.classes(docs).collect()) == sorted([("None", "None")] * 5 + [("9", "None"), ("1", "1"), ("1", "1"), ("1", "1"), ("2", "1"), ("3", "3"), ("4", "3"), ("3", "None"), ("8", "None")])
+
+
 def test_components(spark):
     rng = random.Random(1)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(180)] + [(i, i + 1) for i in range(400, 520)] + [(600, i) for i in range(601, 700)]
