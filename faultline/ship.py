@@ -23,7 +23,7 @@ def ship(spark: SparkSession) -> None:
     with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
         for folder, _, names in os.walk(here):
             for name in sorted(names):
-                if name.endswith(".py"):
+                if name.endswith((".py", ".txt")):
                     full = os.path.join(folder, name)
                     z.write(full, os.path.join("faultline", os.path.relpath(full, here)))
     sc.addPyFile(path)
