@@ -33,6 +33,8 @@ NON_SPACE = _class(lambda c: c != 0x20 and not 0x09 <= c <= 0x0D and c != 0, Tru
 NON_SPACE[0] = 0xFF  # a word character; no UTF-8 text has this byte
 #: ASCII digits and letters (lowered) and all non-ASCII characters.
 ALNUM = _class(lambda c: 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A or c >= 0x80, True)
+#: ASCII digits and letters (lowered) alone.
+ASCII = _class(lambda c: 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A, True)
 
 
 def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -128,3 +130,19 @@ def shingles(words: np.ndarray, n: int) -> np.ndarray:
         h *= np.uint64(0xD6E8FEB86659FD93)
         h += words[j : j + m]
     return mix(h)
+
+
+def sieve(table: np.ndarray) -> np.ndarray:
+    """Which values of sixteen bits end some hash of the table."""
+    small = np.zeros(1 << 16, bool)
+    small[(table & np.uint64(0xFFFF)).astype(np.int64)] = True
+    return small
+
+
+def member(hashes: np.ndarray, table: np.ndarray, small: np.ndarray) -> np.ndarray:
+    """Positions of hashes that are in the sorted table; its sieve drops most others."""
+    near = np.flatnonzero(small[(hashes & np.uint64(0xFFFF)).astype(np.uint16)])
+    h = hashes[near]
+    i = np.searchsorted(table, h)
+    i[i == len(table)] = 0
+    return near[table[i] == h] if len(table) else near[:0]

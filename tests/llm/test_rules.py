@@ -94,6 +94,58 @@ def test_wrapped_templates(spark):
     assert all(r.matched_words == r.template_words and not r.missing for r in got)
 
 
+def test_whole_texts(spark):
+    """Whole licenses with a title, other holders, comment marks and single words changed."""
+    rng, rows, want = np.random.default_rng(5), [], []
+    whole = {k: t for k, t in licenses.TEMPLATES.items() if k.endswith("-full")}
+    assert {"MIT-full", "BSD-2-Clause-full", "BSD-3-Clause-full", "ISC-full", "Apache-2.0-full", "GPL-2.0-full", "GPL-3.0-full", "LGPL-2.1-full", "AGPL-3.0-full", "MPL-2.0-full"} <= set(whole)
+    for k, t in whole.items():
+        for share in (0, 0.03):
+            w = [x if rng.random() >= share else "changed" for x in t.split()]
+            text = "\n".join(" // " + x for x in ["Some License", "", "Copyright (c) 2020 Somebody", "", *textwrap.wrap(" ".join(w), 72)])
+            rows.append((len(rows), f"int x;\n{text}\nint main() {{}}\n" * 2))
+            want += [k, k]
+    got = licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert [r.license for r in sorted(got, key=lambda r: (r.doc_id, r.line))] == want
+    opening = "MIT License\n\nCopyright (c) 2020 Somebody\n\n" + whole["MIT-full"][:800]
+    assert [r[0] for r in licenses.Judge(licenses.TEMPLATES, 0.9).judge(opening)] == ["MIT-text"]
+
+
+def _longest(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        before = 0
+        for j, y in enumerate(b):
+            before, row[j + 1] = row[j + 1], before + 1 if x == y else max(row[j + 1], row[j])
+    return row[-1]
+
+
+def test_licenses_against_all_windows(spark):
+    """Every window of every text against every template, by longest common subsequence."""
+    rng = np.random.default_rng(11)
+    vocabulary = [f"w{i}" for i in range(60)]
+    templates = {f"T{n}": " ".join(rng.choice(vocabulary, n)) for n in (3, 6, 11, 20, 30, 45)}
+    rows = []
+    for i in range(80):
+        parts = []
+        for _ in range(int(rng.integers(0, 4))):
+            t = templates[str(rng.choice(list(templates)))].split()
+            for _ in range(int(rng.integers(0, 2 + len(t) // 8))):
+                t[int(rng.integers(len(t)))] = "other"
+            parts += [*rng.choice(vocabulary, int(rng.integers(0, 40))), *t]
+        rows.append((i, " ".join(parts).replace("w1 ", "W1,\n * ")))
+    want = set()
+    for i, text in rows:
+        have = re.findall("[0-9a-z]+", text.lower())
+        for k, t in templates.items():
+            w = t.split()
+            need = len(w) - int(len(w) * 0.1 + 1e-9)
+            if any(_longest(w, have[a : a + len(w)]) >= need for a in range(len(have))):
+                want.add((i, k))
+    got = {(r.doc_id, r.license) for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string"), templates).collect()}
+    assert want == got and len(want) > 60
+
+
 @pytest.fixture(scope="module")
 def labelled(spark):
     rng = np.random.default_rng(0)
