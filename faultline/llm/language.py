@@ -116,10 +116,10 @@ def solve(features: Features, gram: np.ndarray, kernel: np.ndarray, labels: list
     return Model(languages, features, (root @ np.linalg.solve(a, phi.T @ (y * w))).astype(np.float32))
 
 
-def _batches(batch: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    data, off = words.buffers(batch.column("text"))
-    for lo in range(0, len(batch), _ROWS):
-        hi = min(len(batch), lo + _ROWS)
+def _batches(text: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    data, off = words.buffers(text)
+    for lo in range(0, len(text), _ROWS):
+        hi = min(len(text), lo + _ROWS)
         yield lo, hi, data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo]
 
 
@@ -148,7 +148,7 @@ def fit(train: DataFrame, per_language: int = 600, landmarks: int = 128, landmar
     def kernels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens.forget()
         for batch in batches:
-            for lo, hi, data, off in _batches(batch):
+            for lo, hi, data, off in _batches(batch.column("text")):
                 k = shared.value.kernel(data, off)
                 yield pa.record_batch([batch.column("lang").slice(lo, hi - lo), pa.array(list(k), pa.list_(pa.float32()))], ["lang", "k"])
 
@@ -163,27 +163,31 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     """``docs`` with lang_pred and score, from ``text`` alone."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kept = [c for c in docs.columns if c not in ("lang_pred", "score")]
-    rows = docs.select(*kept).withColumn("_letter", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
+    rows = _lettered(docs.select(*map(scratch.named, kept)))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: Model = shared.value
         names = np.array([*m.languages, "und"], object)
         tokens.forget()
         for batch in batches:
-            best, value = _judge(m, batch, "_letter")
+            best, value = _judge(m, batch)
             for lo in range(0, len(batch), 1024):
-                part = batch.slice(lo, 1024)
-                yield pa.record_batch([*(part.column(c) for c in kept), pa.array(names[best[lo : lo + 1024]].tolist(), pa.string()), pa.array(value[lo : lo + 1024], pa.float64())], [*kept, "lang_pred", "score"])
+                yield pa.record_batch([batch.column("row").slice(lo, 1024), pa.array(names[best[lo : lo + 1024]].tolist(), pa.string()), pa.array(value[lo : lo + 1024], pa.float64())], ["row", "lang_pred", "score"])
 
-    return rows.mapInArrow(score, docs.select(*kept).schema.add("lang_pred", "string").add("score", "double"))
+    return rows.mapInArrow(score, rows.select("row").schema.add("lang_pred", "string").add("score", "double")).select("row.*", "lang_pred", "score")
 
 
-def _judge(m: Model, batch: pa.RecordBatch, letter: str) -> tuple[np.ndarray, np.ndarray]:
+def _lettered(docs: DataFrame) -> DataFrame:
+    """``row`` (all columns) and ``letter`` (whether the text has one)."""
+    return docs.select(F.struct(*map(scratch.named, docs.columns)).alias("row"), F.coalesce(docs["text"].rlike(r"\p{L}"), F.lit(False)).alias("letter"))
+
+
+def _judge(m: Model, batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     """For each row the number of its language (that of ``und`` comes last) and its score."""
     best, value = np.full(len(batch), len(m.languages)), np.zeros(len(batch))
-    for lo, hi, data, off in _batches(batch) if m.languages else ():
+    for lo, hi, data, off in _batches(batch.column("row").field("text")) if m.languages else ():
         s = m.features.kernel(data, off) @ m.weights
-        ok = batch.column(letter).slice(lo, hi - lo).to_numpy(zero_copy_only=False)
+        ok = batch.column("letter").slice(lo, hi - lo).to_numpy(zero_copy_only=False)
         best[lo:hi] = np.where(ok, s.argmax(1), len(m.languages))
         value[lo:hi] = np.where(ok, np.clip(s.max(1), 0, 1), 0.0)
     return best, value
@@ -195,16 +199,13 @@ def accept(docs: DataFrame, model: Model, least: float = 0.1) -> DataFrame:
     if not model.languages:
         return docs.where(F.col("text").rlike(r"\p{L}"))
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    letter = "_letter"
-    while letter in docs.columns:
-        letter += "_"
+    rows = _lettered(docs)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: Model = shared.value
         tokens.forget()
         for batch in batches:
-            best, value = _judge(m, batch, letter)
-            yield batch.filter(pa.array((best < len(m.languages)) & (value >= least))).drop_columns([letter])
+            best, value = _judge(m, batch)
+            yield batch.select(["row"]).filter(pa.array((best < len(m.languages)) & (value >= least)))
 
-    rows = docs.withColumn(letter, F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
-    return rows.mapInArrow(keep, docs.schema)
+    return rows.mapInArrow(keep, rows.select("row").schema).select("row.*")

@@ -315,8 +315,8 @@ def first(docs: DataFrame, one_per_id: bool = True, **options) -> DataFrame:
     """One row of ``docs`` for each class: that of the least id; with ``one_per_id`` only one of the rows that share an id or have none."""
     _, told, repeats = _classes(docs, **options)
     heads = told.groupBy("label").agg(F.min(F.struct("doc_id", "node")).alias("h")).select(F.col("h.doc_id").alias("_id"), F.col("h.node").alias("_text"))
-    kept = _keyed(docs).join(scratch.materialise(heads, "heads"), ["_id", "_text"], "left_semi")
+    kept = _keyed(scratch.beside(docs)).select("row", "_id", "_text").join(scratch.materialise(heads, "heads"), ["_id", "_text"], "left_semi")
     if repeats:
         key = ["_id"] if one_per_id else ["_id", "_text"]
-        kept = kept.groupBy(*key).agg(F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns)).alias("_r")).select("_r.*")
-    return kept.select(*docs.columns)
+        kept = kept.groupBy(*key).agg(F.min_by("row", F.xxhash64("row")).alias("row"))
+    return kept.select("row.*")
