@@ -54,7 +54,7 @@ def op7_separators(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    return decontaminate.judge(_documents(spark, sf_dir), benchmark).drop("spans")
+    return decontaminate.judge(_documents(spark, sf_dir), benchmark).drop("spans", "items")
 
 
 def op9_ctw(spark: SparkSession, sf_dir: str) -> DataFrame:
