@@ -1,7 +1,10 @@
 """Operator 4: near-duplicate classes by consistent weighted sampling.
 
-Texts become weighted sets of word shingles: weight (1 + ln tf) times a damped inverse document frequency, counted over
-all documents in a table of fixed size (a shingle's frequency is its slot's). Improved consistent weighted sampling
+Texts become weighted sets of word shingles: weight (1 + ln tf) times 1 + ``spread`` * idf, where idf falls from 1 to 0 as
+the logarithm of the share of documents that have the shingle rises, and is 1 for all shingles below a floor. Document
+frequencies are exact at and above the floor: counts in a table of slots are upper bounds, so only shingles in slots at
+or above it are counted one by one. The floor is ``_SHARE`` of the documents, or more where more than ``_MOST`` shingles could lie
+above it; so the table that is sent to executors is bounded, and weights behave alike at every size. Improved consistent weighted sampling
 draws ``bands * rows`` samples from each set; two sets draw the same one with the probability of their weighted Jaccard
 similarity. Texts that agree on all samples of a band meet in a bucket, and pairs from buckets are verified on their
 whole shingle sets; those of ``threshold`` similarity or more are links, and classes are the links' components.
@@ -11,8 +14,7 @@ is compared with one hub, the most central text of its largest bucket, which joi
 pair for each text. Then, in every bucket that still holds several components, all pairs of different components are
 decided: in buckets of up to ``few`` texts as rows; in larger ones inside tasks, block against block of ``block`` texts
 through an inverted index, which returns no more links than there are texts. So no link between texts that meet is lost,
-and no table ever holds the pairs of a large group. Pairs go to verification only if sketches of their samples do not
-rule them out (by ``sigmas`` standard deviations of what the threshold leads to expect).
+and no table ever holds the pairs of a large group.
 
 Cases: texts with fewer words than a shingle are one shingle of all their words; texts without words, null among them,
 are alike only if equal (null equals empty); classes are classes of texts, so rows that share a ``doc_id``, or have none,
@@ -22,6 +24,7 @@ the same id; of exact repeats ``first`` keeps one; an empty table gives no rows.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,6 +37,7 @@ from . import graph, scratch, tokens, words
 _CHUNK, _ROWS = 1 << 19, 4096
 _DOC, _HASH = np.uint64(52), np.uint64((1 << 52) - 1)
 _SLOTS, _PIECES = 1 << 20, 64
+_SHARE, _MOST = 1 / 4096, 1 << 17  # floor of document frequencies as a share; shingles above the floor at most
 _POOL = 1 << 16
 _NONE = -(1 << 63)
 
@@ -63,12 +67,34 @@ def _slot(keys: np.ndarray) -> np.ndarray:
     return (keys & np.uint64(_SLOTS - 1)).astype(np.int64)
 
 
-def weights(keys: np.ndarray, counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
-    return (1 + np.log(counts)) * idf[_slot(keys)]
+class Idf:
+    """1 + ``spread`` * idf of shingles by hash, from their document frequencies at or above a floor."""
 
+    def __init__(self, hashes: np.ndarray, frequency: np.ndarray, n_docs: int, floor: int, spread: float):
+        order = np.argsort(hashes)
+        self.hashes, self.rest = hashes[order], np.float32(1 + spread)
+        least = math.log((n_docs + 1) / (floor + 1)) if n_docs > floor else 1.0
+        self.value = (1 + spread * np.clip(np.log((n_docs + 1) / (frequency[order] + 1)) / least, 0, 1)).astype(np.float32)
+        self.small = words.sieve(self.hashes)
 
-def idf_table(docs: DataFrame, n: int, spread: float) -> np.ndarray:
-    """1 to 1 + ``spread`` for each slot, less where more documents have a shingle in it; a table of fixed size."""
+    def __call__(self, keys: np.ndarray) -> np.ndarray:
+        h = keys & _HASH
+        out = np.full(len(h), self.rest)
+        at = words.member(h, self.hashes, self.small)
+        out[at] = self.value[np.searchsorted(self.hashes, h[at])]
+        return out
+
+
+#: Every shingle weighs the same.
+FLAT = Idf(np.zeros(0, np.uint64), np.zeros(0, np.int64), 1, 1, 0.0)
+
+
+def weights(keys: np.ndarray, counts: np.ndarray, idf: Idf) -> np.ndarray:
+    return (1 + np.log(counts)) * idf(keys)
+
+
+def _slot_counts(docs: DataFrame, n: int) -> tuple[np.ndarray, int]:
+    """Documents by slot, summed over the shingles in it, and how many documents there are; a table of fixed size."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -82,13 +108,13 @@ def idf_table(docs: DataFrame, n: int, spread: float) -> np.ndarray:
                 keys, _ = shingle_keys(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo], n)
                 total += np.bincount(_slot(keys), minlength=_SLOTS)
         if rows:
-            parts = [p.astype(np.uint32).tobytes() for p in np.split(total, _PIECES)]
+            parts = [p.tobytes() for p in np.split(total, _PIECES)]
             k = np.arange(_PIECES, dtype=np.int32)
             yield pa.record_batch([pa.array(k), pa.array(np.full(_PIECES, TaskContext.get().partitionId(), np.int32)), pa.array(np.where(k == 0, rows, 0)), pa.array(parts, pa.binary())], ["piece", "part", "n", "counts"])
 
     def add(table: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(c.as_buffer(), np.uint32).astype(np.int64) for c in table.column("counts"))
-        return pa.table({"piece": table.column("piece")[:1], "part": pa.array([0], pa.int32()), "n": pa.array([sum(table.column("n").to_pylist())]), "counts": pa.array([np.minimum(total, 2**32 - 1).astype(np.uint32).tobytes()], pa.binary())})
+        total = sum(np.frombuffer(c.as_buffer(), np.int64) for c in table.column("counts"))
+        return pa.table({"piece": table.column("piece")[:1], "part": pa.array([0], pa.int32()), "n": pa.array([sum(table.column("n").to_pylist())]), "counts": pa.array([total.tobytes()], pa.binary())})
 
     schema = "piece int, part int, n long, counts binary"
     rows = docs.select("text").mapInArrow(count, schema)
@@ -96,10 +122,42 @@ def idf_table(docs: DataFrame, n: int, spread: float) -> np.ndarray:
     rows = rows.withColumn("part", F.pmod("part", F.lit(salts))).groupBy("piece", "part").applyInArrow(add, schema)
     rows = rows.groupBy("piece").applyInArrow(add, schema).toArrow().sort_by("piece")
     if not rows.num_rows:
-        return np.ones(_SLOTS, np.float32)
-    total = np.concatenate([np.frombuffer(c.as_py(), np.uint32) for c in rows.column("counts")]).astype(np.float64)
-    n_docs = max(1, sum(rows.column("n").to_pylist()))
-    return (1 + spread * np.clip(np.log((n_docs + 1) / (total + 1)) / np.log(n_docs + 1), 0, 1)).astype(np.float32)
+        return np.zeros(_SLOTS, np.int64), 0
+    return np.concatenate([np.frombuffer(c.as_py(), np.int64) for c in rows.column("counts")]), sum(rows.column("n").to_pylist())
+
+
+def idf_table(docs: DataFrame, n: int, spread: float) -> Idf:
+    """Weights by exact document frequency of the shingles that at least the floor's share of documents has."""
+    if not spread:
+        return FLAT
+    slots, n_docs = _slot_counts(docs, n)
+    floor = max(1, math.ceil(n_docs * _SHARE), math.ceil(int(slots.sum()) / _MOST))
+    high = docs.sparkSession.sparkContext.broadcast(slots >= floor)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens.forget()
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def added() -> tuple[np.ndarray, np.ndarray]:
+            h, which = np.unique(np.concatenate([x for x, _ in held]), return_inverse=True)
+            return h, np.bincount(which, np.concatenate([c for _, c in held]), len(h)).astype(np.int64)
+
+        for batch in batches:
+            data, off = words.buffers(batch.column("text"))
+            for lo, hi in words.spans(off, _CHUNK, _ROWS):
+                keys, _ = shingle_keys(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo], n)
+                held.append(np.unique(keys[high.value[_slot(keys)]] & _HASH, return_counts=True))
+                if sum(len(h) for h, _ in held) > 1 << 20:
+                    held[:] = [added()]
+                    if len(held[0][0]) > 1 << 19:  # mostly distinct: the shuffle adds them up
+                        yield pa.record_batch([pa.array(held[0][0].view(np.int64)), pa.array(held[0][1])], ["h", "n"])
+                        held.clear()
+        if held:
+            h, c = added()
+            yield pa.record_batch([pa.array(h.view(np.int64)), pa.array(c)], ["h", "n"])
+
+    got = docs.select("text").mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= floor).toArrow()
+    return Idf(got.column("h").to_numpy().view(np.uint64), got.column("n").to_numpy(), n_docs, floor, spread)
 
 
 class Sampler:
@@ -131,7 +189,7 @@ class Sampler:
 
 
 def signatures(docs: DataFrame, idf, sampler, bands: int, n: int) -> DataFrame:
-    """doc_id, node (of the text), buckets (one 64-bit hash per band), sketch (a byte of each sample)."""
+    """doc_id, node (of the text), buckets (one 64-bit hash per band)."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, draws = idf.value, sampler.value
@@ -146,13 +204,12 @@ def signatures(docs: DataFrame, idf, sampler, bands: int, n: int) -> DataFrame:
                 b = np.zeros((len(doc), bands), np.uint64)
                 for j in range(per):
                     b = words.mix(b * np.uint64(31) + s[:, j::per] + np.arange(bands, dtype=np.uint64))
-                buckets, sketch = [None] * (hi - lo), [None] * (hi - lo)
-                low = (s & np.uint64(255)).astype(np.uint8)
+                buckets = [None] * (hi - lo)
                 for i, d in enumerate(doc.tolist()):
-                    buckets[d], sketch[d] = b[i].view(np.int64), low[i].tobytes()
-                yield pa.record_batch([batch.column("doc_id").slice(lo, hi - lo), batch.column("node").slice(lo, hi - lo), pa.array(buckets, pa.list_(pa.int64())), pa.array(sketch, pa.binary())], ["doc_id", "node", "buckets", "sketch"])
+                    buckets[d] = b[i].view(np.int64)
+                yield pa.record_batch([batch.column("doc_id").slice(lo, hi - lo), batch.column("node").slice(lo, hi - lo), pa.array(buckets, pa.list_(pa.int64()))], ["doc_id", "node", "buckets"])
 
-    return docs.mapInArrow(sign, "doc_id long, node long, buckets array<long>, sketch binary")
+    return docs.mapInArrow(sign, "doc_id long, node long, buckets array<long>")
 
 
 def similar(pairs: DataFrame, texts: DataFrame, idf, threshold: float, n: int) -> DataFrame:
@@ -180,20 +237,6 @@ def similar(pairs: DataFrame, texts: DataFrame, idf, threshold: float, n: int) -
     return both.select("a", "b", "ta", "tb").mapInArrow(verify, "a long, b long, similarity double")
 
 
-def _likely(pairs: DataFrame, sketches: DataFrame, least: int) -> DataFrame:
-    """Pairs whose sketches agree on ``least`` samples."""
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if len(batch):
-                a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(len(batch), -1) for c in ("sa", "sb"))
-                ok = pa.array((a == b).sum(1) >= least)
-                yield pa.record_batch([batch.column("a").filter(ok), batch.column("b").filter(ok)], ["a", "b"])
-
-    both = pairs.join(sketches.select(F.col("node").alias("a"), F.col("sketch").alias("sa")), "a").join(sketches.select(F.col("node").alias("b"), F.col("sketch").alias("sb")), "b")
-    return both.select("a", "b", "sa", "sb").mapInArrow(compare, "a long, b long")
-
-
 def _settled(rows: DataFrame, texts: DataFrame, idf, threshold: float, n: int, block: int) -> DataFrame:
     """Links (a, b) that join the different components of each bucket: rows are bucket, node, label, m, rank."""
 
@@ -255,25 +298,27 @@ def _clear(c: str):
 
 def classes(docs: DataFrame, **options) -> DataFrame:
     """doc_id and class_id (the least id of its class) of every row."""
-    member, told, _ = _classes(docs, **options)
-    least = scratch.materialise(told.groupBy("label").agg(F.min("doc_id").alias("class_id")), "least")
-    named = scratch.materialise(told.join(least, "label").select("node", "class_id"), "named")
+    with scratch.dropping():
+        member, told, _ = _classes(docs, **options)
+        least = scratch.materialise(told.groupBy("label").agg(F.min("doc_id").alias("class_id")), "least")
+        named = scratch.materialise(told.join(least, "label").select("node", "class_id"), "named", keep=True)
     return member.join(named, "node").select(_clear("doc_id"), _clear("class_id"))
 
 
-def _classes(docs: DataFrame, threshold: float = 0.8, n: int = 5, bands: int = 16, rows: int = 4, spread: float = 0.25, sigmas: float = 5.0, few: int = 6, block: int = 512) -> tuple[DataFrame, DataFrame, bool]:
-    """doc_id and node (text) of every row; node, its least doc_id and label (of its class) of every text; whether ids repeat."""
+def _classes(docs: DataFrame, threshold: float = 0.8, n: int = 5, bands: int = 16, rows: int = 4, spread: float = 0.25, few: int = 6, block: int = 512) -> tuple[DataFrame, DataFrame, bool]:
+    """doc_id and node (text) of every row; node, its least doc_id and label (of its class) of every text; whether ids repeat.
+    All scratch tables but the first result's are of the block around the call."""
     spark = docs.sparkSession
     docs = scratch.documents(docs)
     idf = spark.sparkContext.broadcast(idf_table(docs, n, spread))
     sampler = spark.sparkContext.broadcast(Sampler(bands * rows))
     docs = _keyed(docs).select(F.col("_id").alias("doc_id"), F.col("_text").alias("node"), "text")
-    signed = scratch.materialise(signatures(docs, idf, sampler, bands, n), "signatures")
+    signed = scratch.materialise(signatures(docs, idf, sampler, bands, n), "signatures", keep=True)
     repeats = _repeats(signed, "doc_id")
 
     # Aggregates become tables before they are joined to what they were made of: such joins can be split at hot keys.
     same = scratch.materialise(signed.groupBy("node").agg(F.min("doc_id").alias("doc_id")), "same")
-    nodes = signed.join(same, ["node", "doc_id"], "left_semi").where("buckets IS NOT NULL").select("node", "buckets", "sketch")
+    nodes = signed.join(same, ["node", "doc_id"], "left_semi").where("buckets IS NOT NULL").select("node", "buckets")
     if repeats:
         nodes = nodes.distinct()
     held = nodes.select("node", F.explode("buckets").alias("bucket"))
@@ -281,16 +326,13 @@ def _classes(docs: DataFrame, threshold: float = 0.8, n: int = 5, bands: int = 1
     bucket = scratch.materialise(held.join(sizes, "bucket").withColumn("rank", F.xxhash64("node")), "buckets")
     # A central text shares large buckets with many: the most central of a bucket is its hub.
     central = scratch.materialise(bucket.groupBy("node").agg(F.sum("m").alias("central")), "central")
-    sketches = scratch.materialise(nodes.select("node", "sketch").join(central.select("node"), "node", "left_semi"), "sketches")
     texts = docs.join(same.join(central.select("node"), "node", "left_semi"), ["node", "doc_id"], "left_semi").select("node", "text")
     texts = scratch.materialise(texts.dropDuplicates(["node"]) if repeats else texts, "texts")
-    draws = bands * rows
-    least = int(np.floor(draws * threshold - sigmas * np.sqrt(draws * threshold * (1 - threshold))))
 
     hubs = bucket.join(central, "node").groupBy("bucket").agg(F.max_by("node", F.struct("central", "rank")).alias("hub"))
     first = bucket.join(scratch.materialise(hubs, "hubs"), "bucket").where("node <> hub").groupBy("node").agg(F.max_by("hub", F.struct("m", "hub")).alias("hub"))
     pairs = first.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
-    links = similar(scratch.materialise(_likely(pairs, sketches, least), "pairs"), texts, idf, threshold, n).select("a", "b")
+    links = similar(scratch.materialise(pairs, "pairs"), texts, idf, threshold, n).select("a", "b")
     label = graph.components(links)
 
     now = scratch.materialise(bucket.join(label, "node", "left").withColumn("label", F.coalesce("label", "node")), "labelled")
@@ -299,7 +341,7 @@ def _classes(docs: DataFrame, threshold: float = 0.8, n: int = 5, bands: int = 1
     small = now.where(F.col("m") <= few)
     other = small.select("bucket", F.col("node").alias("hub"), F.col("label").alias("of"))
     pairs = small.join(other, "bucket").where("node < hub AND label <> of").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
-    links = similar(scratch.materialise(_likely(pairs, sketches, least), "pairs"), texts, idf, threshold, n).select("a", "b")
+    links = similar(scratch.materialise(pairs, "pairs"), texts, idf, threshold, n).select("a", "b")
     links = scratch.materialise(links.unionByName(_settled(now.where(F.col("m") > few), texts, idf, threshold, n, block)), "links")
     if not links.isEmpty():
         label = graph.components(links.unionByName(label.select(F.col("node").alias("a"), F.col("label").alias("b"))))
@@ -313,9 +355,11 @@ def _repeats(rows: DataFrame, key: str) -> bool:
 
 def first(docs: DataFrame, one_per_id: bool = True, **options) -> DataFrame:
     """One row of ``docs`` for each class: that of the least id; with ``one_per_id`` only one of the rows that share an id or have none."""
-    _, told, repeats = _classes(docs, **options)
-    heads = told.groupBy("label").agg(F.min(F.struct("doc_id", "node")).alias("h")).select(F.col("h.doc_id").alias("_id"), F.col("h.node").alias("_text"))
-    kept = _keyed(scratch.beside(docs)).select("row", "_id", "_text").join(scratch.materialise(heads, "heads"), ["_id", "_text"], "left_semi")
+    with scratch.dropping():
+        _, told, repeats = _classes(docs, **options)
+        heads = told.groupBy("label").agg(F.min(F.struct("doc_id", "node")).alias("h")).select(F.col("h.doc_id").alias("_id"), F.col("h.node").alias("_text"))
+        heads = scratch.materialise(heads, "heads", keep=True)
+    kept = _keyed(scratch.beside(docs)).select("row", "_id", "_text").join(heads, ["_id", "_text"], "left_semi")
     if repeats:
         key = ["_id"] if one_per_id else ["_id", "_text"]
         kept = kept.groupBy(*key).agg(F.min_by("row", F.xxhash64("row")).alias("row"))

@@ -62,7 +62,7 @@ def roots(n, links):
 
 def test_classes_are_brute_force(spark, corpus):
     docs = spark.createDataFrame([(i, t, 1, "k") for i, t in corpus], "doc_id long, text string, node int, bucket string")
-    got = {r.doc_id: r.class_id for r in neardup.classes(docs, spread=0.0, few=2, block=4, sigmas=8.0).collect()}
+    got = {r.doc_id: r.class_id for r in neardup.classes(docs, spread=0.0, few=2, block=4).collect()}
     shingled = [sets(t) for _, t in corpus]
     text = [t or "" for _, t in corpus]
     links = [(i, j) for i, j in itertools.combinations(range(len(corpus)), 2) if text[i] == text[j] or jaccard(shingled[i], shingled[j]) >= 0.8]
@@ -74,6 +74,28 @@ def test_classes_are_brute_force(spark, corpus):
     assert kept.columns == docs.columns and kept.count() == len(set(neardup_class(got)))
 
 
+def test_classes_with_production_weights(spark, corpus):
+    """The query's own relation: weights by document frequency, and its bands, blocks and threshold."""
+    rng = random.Random(8)
+    menu = "home about contact terms of use privacy policy all rights reserved by the owners of this page".split()
+    texts = [t for _, t in corpus] + [" ".join(menu[: rng.randint(5, 17)] + (t or "").split()) for _, t in corpus]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.class_id for r in neardup.classes(docs).collect()}
+    shingled, n = [sets(t) for t in texts], len(texts)
+    df = Counter(s for c in shingled for s in c)
+    floor = max(1, -(-n // 4096), -(-sum(df.values()) // (1 << 17)))
+    idf = {s: 1 + 0.25 * min(1, max(0, np.log((n + 1) / (max(c, floor) + 1)) / np.log((n + 1) / (floor + 1)))) for s, c in df.items()}
+    weighted = [{s: (1 + np.log(c)) * idf[s] for s, c in x.items()} for x in shingled]
+
+    def similarity(a, b):
+        low = sum(min(a[s], b[s]) for s in a.keys() & b.keys())
+        return low / (sum(a.values()) + sum(b.values()) - low) if a and b else 0.0
+
+    links = [(i, j) for i, j in itertools.combinations(range(n), 2) if (texts[i] or "") == (texts[j] or "") or similarity(weighted[i], weighted[j]) >= 0.8]
+    want = roots(n, links)
+    assert len(links) > 100 and sum(got[i] == want[i] for i in range(n)) >= n - 1
+
+
 def neardup_class(got):
     return got.values()
 
@@ -82,7 +104,7 @@ def test_samples_agree_as_often_as_similarity():
     a, b = " ".join(f"w{i}" for i in range(200)), " ".join(f"w{i}" for i in range(40, 240))
     data, off = neardup.words.buffers(pa.array([a, b]))
     keys, counts = neardup.shingle_keys(data, off, 5)
-    _, s = neardup.Sampler(2000, 3).draw(keys, neardup.weights(keys, counts, np.ones(1 << 20, np.float32)))
+    _, s = neardup.Sampler(2000, 3).draw(keys, neardup.weights(keys, counts, neardup.FLAT))
     want = jaccard(sets(a), sets(b))
     assert abs((s[0] == s[1]).mean() - want) < 0.04
 
