@@ -305,7 +305,7 @@ def classes(docs: DataFrame, **options) -> DataFrame:
     return member.join(named, "node").select(_clear("doc_id"), _clear("class_id"))
 
 
-def _classes(docs: DataFrame, threshold: float = 0.8, n: int = 5, bands: int = 16, rows: int = 4, spread: float = 0.25, few: int = 6, block: int = 512) -> tuple[DataFrame, DataFrame, bool]:
+def _classes(docs: DataFrame, threshold: float = 0.8, n: int = 5, bands: int = 16, rows: int = 4, spread: float = 1.0, few: int = 6, block: int = 512) -> tuple[DataFrame, DataFrame, bool]:
     """doc_id and node (text) of every row; node, its least doc_id and label (of its class) of every text; whether ids repeat.
     All scratch tables but the first result's are of the block around the call."""
     spark = docs.sparkSession

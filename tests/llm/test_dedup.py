@@ -84,7 +84,7 @@ def test_classes_with_production_weights(spark, corpus):
     shingled, n = [sets(t) for t in texts], len(texts)
     df = Counter(s for c in shingled for s in c)
     floor = max(1, -(-n // 4096), -(-sum(df.values()) // (1 << 17)))
-    idf = {s: 1 + 0.25 * min(1, max(0, np.log((n + 1) / (max(c, floor) + 1)) / np.log((n + 1) / (floor + 1)))) for s, c in df.items()}
+    idf = {s: 1 + 1.0 * min(1, max(0, np.log((n + 1) / (max(c, floor) + 1)) / np.log((n + 1) / (floor + 1)))) for s, c in df.items()}
     weighted = [{s: (1 + np.log(c)) * idf[s] for s, c in x.items()} for x in shingled]
 
     def similarity(a, b):
