@@ -7,7 +7,7 @@ one ridge regression per language, against the rest, is solved. Presence is coun
 landmark has, so a batch of texts is scored as matrix products: presence x landmarks x languages.
 
 ``fit`` learns from at most ``per_language`` rows of each language, whatever the size of the table, chosen by a hash of
-their ids; landmarks are those of them with at most ``landmark_bytes`` bytes. Predicting reads the whole text alone.
+their ids; landmarks are the first of those, of long ones a piece of at most ``landmark_bytes`` characters. Predicting reads the whole text alone.
 
 Cases: null text, or text without a letter, is ``und`` with score 0, and so is every text where nothing was learned;
 rows without a language teach nothing; repeated rows get equal answers; texts of any length are read in segments; an
@@ -56,7 +56,8 @@ class Features:
     max_n: int
     code: np.ndarray
     size: np.ndarray
-    slots: np.ndarray
+    slots: np.ndarray  # first n-gram of each slot, or -1
+    after: np.ndarray  # the next n-gram in the slot of each, or -1
     landmarks: np.ndarray  # n-grams x landmarks, columns of norm 1
 
     @staticmethod
@@ -64,17 +65,18 @@ class Features:
         found = [{(n, c) for n, codes in _codes(np.frombuffer(t, np.uint8), max_n) for c in np.unique(codes).tolist()} for t in texts]
         grams: list[tuple[int, int]] = []
         slots = np.full(_SLOTS, -1, np.int32)
-        for n, c in sorted(set().union(*found)):  # of two n-grams in one slot the first is a feature, the other is not
+        after: list[int] = []
+        for n, c in sorted(set().union(*found)):
             s = int(_slot(np.array([c], np.uint32), n)[0])
-            if slots[s] < 0:
-                slots[s] = len(grams)
-                grams.append((n, c))
+            after.append(int(slots[s]))
+            slots[s] = len(grams)
+            grams.append((n, c))
         row = {g: i for i, g in enumerate(grams)}
         marks = np.zeros((len(grams), len(texts)), np.float32)
         for j, gs in enumerate(found):
-            marks[[row[g] for g in gs if g in row], j] = 1
+            marks[[row[g] for g in gs], j] = 1
         marks /= np.sqrt(np.maximum(marks.sum(0), 1))
-        return Features(max_n, np.array([c for _, c in grams], np.uint32), np.array([n for n, _ in grams], np.int32), slots, marks)
+        return Features(max_n, np.array([c for _, c in grams], np.uint32), np.array([n for n, _ in grams], np.int32), slots, np.array(after, np.int32), marks)
 
     def kernel(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Texts x landmarks."""
@@ -87,11 +89,16 @@ class Features:
             row = np.repeat(np.arange(first, last + 1), np.diff(cuts))
             for n, code in _codes(data[lo:hi], self.max_n):
                 f = self.slots[_slot(code, n)]
-                ok = np.flatnonzero(f >= 0)
-                g = f[ok]
-                ok, g = (x[(self.code[g] == code[ok]) & (self.size[g] == n)] for x in (ok, g))
-                inside = row[ok] == row[ok + n - 1]
-                present[row[ok[inside]] * width + g[inside]] = 1
+                at = np.flatnonzero(f >= 0)
+                f = f[at]
+                while len(at):
+                    same = (self.code[f] == code[at]) & (self.size[f] == n)
+                    ok, g = at[same], f[same]
+                    inside = row[ok] == row[ok + n - 1]
+                    present[row[ok[inside]] * width + g[inside]] = 1
+                    other = np.flatnonzero(~same)
+                    other = other[self.after[f[other]] >= 0]
+                    at, f = at[other], self.after[f[other]]
         present = present.reshape(rows, width)
         return (present @ self.landmarks) / np.sqrt(np.maximum(present.sum(1, keepdims=True), 1))
 
@@ -136,10 +143,10 @@ def fit(train: DataFrame, per_language: int = 600, landmarks: int = 128, landmar
     order = Window.partitionBy("lang").orderBy("h", "text")
     rows = rows.withColumn("k", F.row_number().over(order)).where(F.col("k") <= per_language)
     rows = scratch.materialise(rows, "sample")  # at most per_language rows a language, read twice
-    rows = rows.withColumn("brief", (F.octet_length("text") <= landmark_bytes).cast("int"))
     each = max(4, landmarks // len(n))
-    marks = rows.where("brief = 1").withColumn("j", F.row_number().over(order)).where(F.col("j") <= each)
-    texts = [t.encode() for t in sorted(marks.select("text").toArrow().column("text").to_pylist())]
+    brief = F.octet_length("text") <= landmark_bytes
+    marks = rows.withColumn("j", F.row_number().over(Window.partitionBy("lang").orderBy(~brief, "h", "text"))).where(F.col("j") <= each)
+    texts = [t.encode() for t in sorted(marks.select(F.substring("text", 1, landmark_bytes).alias("text")).toArrow().column("text").to_pylist())]
     if not texts:
         return Model([], None, None)
     features = Features.of(texts, max_n)
