@@ -1,7 +1,7 @@
 """Operator 2: packing by first-fit decreasing in randomised groups.
 
-Documents become token ids with an end id. Pieces of at most one sequence's capacity go to groups by a seeded
-hash; each group is packed on its own by first-fit decreasing, with a tournament tree of bin capacities that finds
+Documents become token ids with an end id. Pieces of at most one sequence's capacity go to groups at
+random (a seeded hash of the task and of the piece's number in it, so equal rows spread too); each group is packed on its own by first-fit decreasing, with a tournament tree of bin capacities that finds
 the leftmost bin with room in O(log bins). Documents may be cut, so gaps that first-fit leaves are filled from the
 group's emptiest bins, and the one bin that stays partial is cut at powers of two, which need no padding.
 
@@ -128,7 +128,10 @@ def sequences(
     groups = max(1, int(n_bytes) // (3 * group_tokens))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
         enc = tokens.encoder(tokenizer, chunked=chunked)
+        task, seen = TaskContext.get().partitionId(), 0
         for batch in batches:
             text = batch.column("text").fill_null("") if batch.column("text").null_count else batch.column("text")
             _, off = words.buffers(text)
@@ -145,14 +148,14 @@ def sequences(
                 small = ids.max() < 1 << 16
                 raw = ids.astype("<u2" if small else "<u4").view(np.uint8)
                 wide = 2 if small else 4
+                salt = words.mix((np.arange(seen, seen + len(which)) + ((task << 40) + (seed << 20))).astype(np.uint64))
+                seen += len(which)
                 yield pa.record_batch(
-                    [batch.column("doc_id").slice(lo, hi - lo).take(pa.array(which)), pa.array(start), pa.array(length), pa.array(n[which]), pa.array(np.full(len(which), wide, np.int32)), _binary(raw, np.cumsum(length) * wide)],
-                    ["doc_id", "start", "length", "doc_tokens", "wide", "ids"],
+                    [pa.array((salt % np.uint64(groups)).astype(np.int64)), batch.column("doc_id").slice(lo, hi - lo).take(pa.array(which)), pa.array(start), pa.array(length), pa.array(n[which]), pa.array(np.full(len(which), wide, np.int32)), _binary(raw, np.cumsum(length) * wide)],
+                    ["grp", "doc_id", "start", "length", "doc_tokens", "wide", "ids"],
                 )
 
-    pieces = docs.mapInArrow(encode, "doc_id long, start long, length long, doc_tokens long, wide int, ids binary")
-    pieces = pieces.withColumn("grp", F.pmod(F.xxhash64("doc_id", "start", "length", "doc_tokens", F.lit(seed)), F.lit(groups)))
-
+    pieces = docs.mapInArrow(encode, "grp long, doc_id long, start long, length long, doc_tokens long, wide int, ids binary")
     def one_group(table: pa.Table) -> pa.Table:
         table = table.sort_by([("doc_tokens", "ascending"), ("doc_id", "ascending"), ("start", "ascending")]).combine_chunks()
         group = table.column("grp")[0].as_py()
