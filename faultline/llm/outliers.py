@@ -1,7 +1,7 @@
 """Operator 3: quality rules by robust multivariate outliers, in DataFrame functions only.
 
 Per document: counts, then two base rules, then a vector of transformed statistics. Per group (language and source; the
-language, then all, where a group has fewer than ``min_rows`` rows) the minimum-covariance-determinant estimate is found
+whole language, then all rows, where a group has fewer than ``min_rows`` rows) the minimum-covariance-determinant estimate is found
 by concentration steps from a deterministic start (coordinate medians and spreads): keep the ``1 - trim`` rows nearest
 by Mahalanobis distance, estimate mean and covariance from them, repeat; then reweight once. A document whose distance
 exceeds the chi-square quantile of ``confidence`` is rejected.
@@ -30,6 +30,7 @@ _SPACE = r"[\x20\x09-\x0D]+"
 #: Statistics of the vector and what is added to their variances.
 RIDGE = {"x_words": 0.05, "x_length": 0.05, "x_symbols": 0.25, "x_upper": 0.25, "x_lines": 0.25, "x_repeats": 0.25}
 STATS = list(RIDGE)
+_ACCURACY = 1000  # of quantile sketches: ranks are right to a thousandth
 
 
 def chi_square(x: float, dof: int) -> float:
@@ -123,7 +124,7 @@ def _distance() -> Column:
 def _nearest(rows: DataFrame, distance: Column, share: float) -> DataFrame:
     """Rows with ``near``: whether they are among the group's ``share`` nearest."""
     rows = rows.withColumn("distance", distance)
-    bound = rows.groupBy("lvl", "g_lang", "g_source").agg(F.percentile_approx("distance", share, 10_000).alias("bound"))
+    bound = rows.groupBy("lvl", "g_lang", "g_source").agg(F.percentile_approx("distance", share, _ACCURACY).alias("bound"))
     return _joined(rows, scratch.materialise(bound, "bound")).withColumn("near", F.col("distance") <= F.col("bound")).drop("bound")
 
 
@@ -139,17 +140,24 @@ def judge(docs: DataFrame, trim: float = 0.25, steps: int = 3, confidence: float
     langs = sizes.groupBy("lang").agg(F.sum("n").alias("n_lang"))
     sizes = sizes.join(langs, "lang").withColumn("lvl", F.when(F.col("n") >= min_rows, 2).when(F.col("n_lang") >= min_rows, 1).otherwise(0))
     sizes = scratch.materialise(sizes.select("lang", "source", "lvl", F.when(F.col("lvl") > 0, F.col("lang")).otherwise("").alias("g_lang"), F.when(F.col("lvl") > 1, F.col("source")).otherwise("").alias("g_source")), "groups")
-    rows = rows.join(sizes, ["lang", "source"]).drop("lang", "source")
+    # A row counts for its own group, and for its language and for all rows where some smaller group is judged by them.
+    wide = sizes.groupBy("lang").agg(F.max((F.col("lvl") == 1).cast("int")).alias("by_lang"))
+    by_all = sizes.agg(F.coalesce(F.min("lvl"), F.lit(2))).first()[0] == 0
+    level = lambda k, lang, source: F.struct(F.lit(k).alias("lvl"), lang.alias("g_lang"), source.alias("g_source"))
+    none = F.lit("")
+    used = F.array(F.when(F.col("lvl") == 2, level(2, F.col("lang"), F.col("source"))), F.when(F.col("by_lang") == 1, level(1, F.col("lang"), none)), F.when(F.lit(by_all), level(0, none, none)))
+    counted = scratch.materialise(sizes.join(wide, "lang").select("lang", "source", F.explode(F.array_compact(used)).alias("g")).select("lang", "source", "g.*"), "levels")
+    rows = rows.join(counted, ["lang", "source"]).drop("lang", "source")
 
     # What is known of groups is written before it is joined: such a table's size is known, so a small one is sent to the
     # rows and they need not move, and the join with a large one can be split where a group has very many rows.
-    median = scratch.materialise(rows.groupBy("lvl", "g_lang", "g_source").agg(*(F.percentile_approx(s, 0.5, 10_000).alias(f"c_{s}") for s in STATS)), "median")
+    median = scratch.materialise(rows.groupBy("lvl", "g_lang", "g_source").agg(*(F.percentile_approx(s, 0.5, _ACCURACY).alias(f"c_{s}") for s in STATS)), "median")
     weight = F.sqrt(F.col("n_words") * n0 / (F.col("n_words") + n0))
     centred = {s: (F.col(s) - F.col(f"c_{s}")) * (F.lit(1.0) if s == "x_words" else weight) for s in STATS}
     rows = _joined(rows, median).withColumns(centred).drop(*(f"c_{s}" for s in STATS), "n_words")
     rows = scratch.materialise(rows, "vectors")
 
-    spread = rows.groupBy("lvl", "g_lang", "g_source").agg(*(F.percentile_approx(F.abs(s), 0.5, 10_000).alias(f"s_{s}") for s in STATS))
+    spread = rows.groupBy("lvl", "g_lang", "g_source").agg(*(F.percentile_approx(F.abs(s), 0.5, _ACCURACY).alias(f"s_{s}") for s in STATS))
     start = reduce(lambda a, b: a + b, (F.col(s) * F.col(s) / (F.pow(1.4826 * F.col(f"s_{s}"), 2) + RIDGE[s]) for s in STATS))
     near = _nearest(_joined(rows, scratch.materialise(spread, "spread")), start, 1 - trim).drop(*(f"s_{s}" for s in STATS))
     for k in range(steps):
