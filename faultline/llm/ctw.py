@@ -6,11 +6,14 @@ children's; so all depths are mixed by how well each has coded the training text
 tree over the whole training corpus follows from counts of byte 6-grams, and after training the probability of a byte
 depends on its 6-gram alone.
 
-How the corpus flows: texts lie in blocks of about ``block_bytes``. A block sends each of its distinct 6-grams and words
-once, with its training count, packed in one blob for each bucket. Buckets hold whole subtrees (a hash of the last
-three context bytes), add up the blobs and build levels 3 to 5; levels 0 to 2, at most 2^24 nodes whatever the corpus,
-are aggregations of level 3. The buckets then answer every block's blob in its own order, and the block's texts are
-scored. Blobs grow with the distinct keys of blocks, so with the corpus; nothing is broadcast or collected but totals.
+How the corpus flows: texts lie in blocks of about ``block_bytes``, and there are about as many buckets, which hold whole
+subtrees (by a hash of the last three context bytes). A block has each of its distinct 6-grams and words once, with its
+training count. It sends them in at most ``fan`` blobs: where there are more buckets than that, the blobs go to relays, which
+add up what ``fan`` blocks have for a range of buckets and send that on in ``fan`` blobs, and so on; so the blobs are at
+most ``fan`` for a block and a step, whatever the number of blocks, and the number of steps is its logarithm. Buckets add
+up and build levels 3 to 5; levels 0 to 2, at most 2^24 nodes whatever the corpus, are aggregations of level 3. Answers
+go back the same way, each blob's in its own order, and the block's texts are scored. Blobs grow with the distinct keys
+of blocks, so with the corpus; nothing is broadcast or collected but totals.
 
 A text starts after five zero bytes and ends with one, which is scored; so the empty text has a probability too.
 6-grams that only held-out texts have are nodes without counts, which changes no estimate.
@@ -110,13 +113,44 @@ def _steps(text: pa.ChunkedArray) -> Iterator[tuple[int, int, np.ndarray, np.nda
         at += len(chunk)
 
 
-ASKED = "block long, bucket long, kind int, size long, keys binary, counts binary"
-TOLD = "block long, kind int, size long, keys binary, vals binary"
+ASKED = "src long, dst long, kind int, size long, keys binary, counts binary"
+TOLD = "src long, kind int, size long, keys binary, vals binary"
 
 
-def _ask(buckets: int):
+class Route:
+    """Steps from blocks to buckets. After ``step`` steps a node is a group of fan**step blocks and a range of buckets."""
+
+    def __init__(self, blocks: int, fan: int):
+        self.steps = 1
+        while fan**self.steps < blocks:
+            self.steps += 1
+        self.fan = 1
+        while self.fan**self.steps < blocks:
+            self.fan += 1
+        self.buckets = self.fan**self.steps
+
+    def split(self, node: int, step: int, got: list[tuple[np.ndarray, np.ndarray]]) -> pa.Table:
+        """What a node sends to the nodes of the next step, a row for each of them and each kind."""
+        group = node // self.fan**step // self.fan
+        ranges, width = self.fan ** (step + 1), self.fan ** (self.steps - step - 1)
+        rows = []
+        for kind, (v, c) in enumerate(got):
+            b = _bucket(kind, v, self.buckets) // width
+            order = np.argsort(b, kind="stable")
+            first = _first(b[order])
+            for part in np.split(order, first[1:]) if len(order) else ():
+                rows.append((node, group * ranges + int(b[part[0]]), kind, len(part), _keys(v[part]), _blob(c[part])))
+        cols = list(zip(*rows)) if rows else [[]] * 6
+        types = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary())
+        return pa.table({n: pa.array(c, t) for n, c, t in zip(("src", "dst", "kind", "size", "keys", "counts"), cols, types)})
+
+    def relay(self, step: int):
+        return lambda table: self.split(table.column("dst")[0].as_py(), step, _gathered(table))
+
+
+def _ask(route: Route):
     def asked(table: pa.Table) -> pa.Table:
-        """What a block has: its distinct 6-grams (kind 0) and word hashes (kind 1), a row for each bucket."""
+        """What a block has: its distinct 6-grams (kind 0) and word hashes (kind 1)."""
         held = table.column("held_out").to_numpy()
         got: list[tuple[list, list]] = [([], []), ([], [])]
         for lo, hi, data, off in _steps(table.column("text")):
@@ -128,19 +162,7 @@ def _ask(buckets: int):
                 if len(got[kind][0]) > 1 and sum(map(len, got[kind][0])) > _KEPT:
                     for side, x in zip(got[kind], _added(*got[kind])):
                         side[:] = [x]
-        rows = []
-        for kind in (0, 1):
-            v, c = _added(*got[kind])
-            b = _bucket(kind, v, buckets)
-            order = np.argsort(b, kind="stable")
-            cut = np.searchsorted(b[order], np.arange(buckets + 1))
-            for k in range(buckets):
-                part = order[cut[k] : cut[k + 1]]
-                if len(part):
-                    rows.append((table.column("block")[0].as_py(), k, kind, len(part), _keys(v[part]), _blob(c[part])))
-        cols = list(zip(*rows))
-        types = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary())
-        return pa.table({n: pa.array(c, t) for n, c, t in zip(("block", "bucket", "kind", "size", "keys", "counts"), cols, types)})
+        return route.split(table.column("block")[0].as_py(), 0, [_added(*g) for g in got])
 
     return asked
 
@@ -202,7 +224,7 @@ def _roots(table: pa.Table) -> pa.Table:
     """Level TOP of a bucket."""
     (grams, counts), _ = _gathered(table)
     keys, n, n1, weighted, _, _ = subtrees(grams, counts)[TOP] if len(grams) else [np.zeros(0, np.uint64), *[np.zeros(0)] * 5]
-    return pa.table({"key": keys.view(np.int64), "bucket": np.full(len(keys), table.column("bucket")[0].as_py(), np.int64), "n": n, "n1": n1, "weighted": weighted})
+    return pa.table({"key": keys.view(np.int64), "bucket": np.full(len(keys), table.column("dst")[0].as_py(), np.int64), "n": n, "n1": n1, "weighted": weighted})
 
 
 def _totals(table: pa.Table) -> pa.Table:
@@ -232,13 +254,30 @@ def _answer(table: pa.Table, above: pa.Table) -> pa.Table:
             at = np.searchsorted(top, _up(node, TOP))
             p = fixed[at] + left[at] * p
             lp += np.log10(np.where(bit == 1, p, 1 - p))
+    return _replies(table, [(grams, lp), (tokens, often.astype(np.float64))])
+
+
+def _replies(asked: pa.Table, known: list[tuple[np.ndarray, np.ndarray]]) -> pa.Table:
+    """To each blob that a node was sent, the values of its keys in its order."""
     rows = []
-    for block, kind, n, data in zip(*(table.column(c).to_pylist() for c in ("block", "kind", "size", "keys"))):
-        all_keys, values = (grams, lp) if kind == 0 else (tokens, often.astype(np.float64))
-        rows.append((block, kind, n, data, _blob(values[np.searchsorted(all_keys, _unkeys(data, n))])))
+    for src, kind, n, data in zip(*(asked.column(c).to_pylist() for c in ("src", "kind", "size", "keys"))):
+        keys, values = known[kind]
+        rows.append((src, kind, n, data, _blob(values[np.searchsorted(keys, _unkeys(data, n))])))
     cols = list(zip(*rows)) if rows else [[]] * 5
     types = (pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary())
-    return pa.table({n: pa.array(c, t) for n, c, t in zip(("block", "kind", "size", "keys", "vals"), cols, types)})
+    return pa.table({n: pa.array(c, t) for n, c, t in zip(("src", "kind", "size", "keys", "vals"), cols, types)})
+
+
+def _heard(told: pa.Table) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Keys, ascending, and values of all answers to a node, by kind."""
+    out = []
+    kinds, sizes, keys, vals = (told.column(c).to_pylist() for c in ("kind", "size", "keys", "vals"))
+    for k in (0, 1):
+        key = np.concatenate([np.zeros(0, np.uint64), *(_unkeys(a, n) for kind, n, a in zip(kinds, sizes, keys) if kind == k)])
+        value = np.concatenate([np.zeros(0), *(_unblob(a, n, np.float64) for kind, n, a in zip(kinds, sizes, vals) if kind == k)])
+        order = np.argsort(key)
+        out.append((key[order], value[order]))
+    return out
 
 
 def log_gamma(x: Column) -> Column:
@@ -274,29 +313,35 @@ def above(roots: DataFrame) -> DataFrame:
     raise AssertionError
 
 
-def score(docs: DataFrame, held_out: Column, block_bytes: int = 16 << 20) -> DataFrame:
+def exchange(docs: DataFrame, route: Route) -> list[DataFrame]:
+    """What blocks (block, text, held_out) send, step by step; the last are the rows that the buckets get."""
+    asks = [scratch.materialise(docs.groupBy("block").applyInArrow(_ask(route), ASKED), "asked")]
+    for step in range(1, route.steps):
+        asks.append(scratch.materialise(asks[-1].groupBy("dst").applyInArrow(route.relay(step), ASKED), "asked"))
+    return asks
+
+
+def score(docs: DataFrame, held_out: Column, block_bytes: int = 16 << 20, fan: int = 64) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte; learns where not ``held_out``."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.coalesce(held_out, F.lit(False)).alias("held_out"))
+    docs = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.coalesce(docs["text"].cast("string"), F.lit("")).alias("text"), F.coalesce(held_out, F.lit(False)).alias("held_out"))
     n_bytes, n_train = docs.agg(F.coalesce(F.sum(F.octet_length("text") + F.lit(8)), F.lit(0)), F.coalesce(F.sum((~F.col("held_out")).cast("long")), F.lit(0))).first()
     blocks = max(1, -(-int(n_bytes) // block_bytes))
-    docs = docs.withColumn("block", F.pmod(F.xxhash64("doc_id", F.octet_length("text")), F.lit(blocks)))
-
-    asks = scratch.materialise(docs.groupBy("block").applyInArrow(_ask(blocks), ASKED), "asked")
-    roots = scratch.materialise(asks.where("kind = 0").groupBy("bucket").applyInArrow(_roots, "key long, bucket long, n double, n1 double, weighted double"), "roots")
-    n_words, n_kinds = asks.where("kind = 1").groupBy("bucket").applyInArrow(_totals, "n long, kinds long").agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("kinds"), F.lit(0))).first()
+    docs = docs.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)))
+
+    with scratch.dropping():
+        asks = exchange(docs, Route(blocks, fan))
+        roots = scratch.materialise(asks[-1].where("kind = 0").groupBy("dst").applyInArrow(_roots, "key long, bucket long, n double, n1 double, weighted double"), "roots")
+        n_words, n_kinds = asks[-1].where("kind = 1").groupBy("dst").applyInArrow(_totals, "n long, kinds long").agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("kinds"), F.lit(0))).first()
+        told = asks[-1].groupBy("dst").cogroup(above(roots).groupBy("bucket")).applyInArrow(_answer, TOLD)
+        for asked in reversed(asks[:-1]):
+            told = scratch.materialise(told, "told")
+            told = asked.groupBy("dst").cogroup(told.groupBy("src")).applyInArrow(lambda a, b: _replies(a, _heard(b)), TOLD)
+        told = scratch.materialise(told, "told", keep=True)
     total, distinct = int(n_words) + int(n_train), int(n_kinds) + (int(n_train) > 0)
-    told = scratch.materialise(asks.groupBy("bucket").cogroup(above(roots).groupBy("bucket")).applyInArrow(_answer, TOLD), "told")
     floor = math.log10(total + distinct + 1)
 
     def one_block(rows: pa.Table, got: pa.Table) -> pa.Table:
-        sides = []
-        kinds, sizes, keys, vals = (got.column(c).to_pylist() for c in ("kind", "size", "keys", "vals"))
-        for k in (0, 1):
-            key = np.concatenate([np.zeros(0, np.uint64), *(_unkeys(a, n) for kind, n, a in zip(kinds, sizes, keys) if kind == k)])
-            value = np.concatenate([np.zeros(0), *(_unblob(a, n, np.float64) for kind, n, a in zip(kinds, sizes, vals) if kind == k)])
-            order = np.argsort(key)
-            sides.append((key[order], value[order]))
-        (grams, chance), (tokens, count) = sides
+        (grams, chance), (tokens, count) = _heard(got)
         n = rows.num_rows
         out = {"n_tokens": np.ones(n, np.int64), "n_known": np.zeros(n, np.int64), "base_score": np.zeros(n), "score": np.zeros(n), "n_bytes": np.zeros(n, np.int64)}
         for lo, hi, data, off in _steps(rows.column("text")):
@@ -320,6 +365,6 @@ def score(docs: DataFrame, held_out: Column, block_bytes: int = 16 << 20) -> Dat
         out["base_score"] += math.log10(n_train + 1) - floor
         return pa.table({"doc_id": rows.column("doc_id"), "held_out": rows.column("held_out"), **{k: pa.array(v) for k, v in out.items()}})
 
-    done = docs.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(one_block, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, n_bytes long")
+    done = docs.groupBy("block").cogroup(told.groupBy("src")).applyInArrow(one_block, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, n_bytes long")
     bits = (-F.col("score") * math.log2(10) / F.greatest(F.col("n_bytes"), F.lit(1))).alias("bits_per_byte")
     return done.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score", bits)

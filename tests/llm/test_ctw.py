@@ -79,6 +79,27 @@ def test_scores_are_the_recursive_ones(scored):
         assert abs(scored[i].score - tree.score(t or "")) < 1e-6, i
 
 
+@pytest.mark.parametrize("fan", [2, 3])
+def test_relays_change_nothing(spark, scored, fan):
+    docs = spark.createDataFrame(list(enumerate(TEXTS)), "doc_id long, text string")
+    assert ctw.Route(9, fan).steps > 1
+    for r in ctw.score(docs, F.col("doc_id") % 4 == 3, block_bytes=20, fan=fan).collect():
+        assert all(abs(a - b) < 1e-9 if isinstance(a, float) else a == b for a, b in zip(r, scored[r.doc_id]))
+
+
+def test_blobs_grow_with_the_corpus(spark):
+    """Sixteen times the blocks take twice the steps, and so at most 32 times the blobs; without relays it would be 256 times."""
+    sent = {}
+    for blocks in (16, 256):
+        docs = spark.range(blocks * 3).select((F.col("id") % blocks).alias("block"), F.concat(F.sha2(F.col("id").cast("string"), 512), F.lit(" a b c")).alias("text"), F.lit(False).alias("held_out"))
+        route = ctw.Route(blocks, 4)
+        asks = ctw.exchange(docs, route)
+        sent[blocks] = sum(a.count() for a in asks)
+        assert len(asks) == route.steps and all(a.groupBy("src", "kind").count().agg(F.max("count")).first()[0] <= route.fan for a in asks)
+        assert sent[blocks] <= 2 * route.fan * route.steps * blocks
+    assert sent[256] <= 32 * 1.05 * sent[16]
+
+
 def test_base_is_plain_counting(scored):
     tokens = lambda t: [*re.findall("[^\x20\x09-\x0d]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")), None]
     c = Counter(w for i, t in enumerate(TEXTS) if i % 4 != 3 for w in tokens(t))
