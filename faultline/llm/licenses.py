@@ -191,7 +191,7 @@ class Judge:
         held, missing, places = self._align(want, block)
         if held >= self.least * most - 1e-9 and places[-1][1] - places[0][0] <= 2 * most:
             return held, missing, places
-        return self._near(want, block) if len(block) > most else None
+        return self._near(want, block) if len(block) > (most if most < 64 else 1.5 * most) else None
 
     def _near(self, want: list, block: list) -> tuple[int, list[str], list[tuple[int, int]]] | None:
         """As _fit, around the longest runs of the template's words: single words further off do not count."""

@@ -51,6 +51,49 @@ def test_outliers_by_group(spark):
     assert np.mean([got[i].kept for i in range(600) if i % 20]) > 0.99
 
 
+def plain_distances(x, n, n0=1000.0, trim=0.25, steps=3):
+    """The estimate in numpy: vectors with numbers of words."""
+    p, ridge, c = x.shape[1], np.array(list(outliers.RIDGE.values())), outliers.consistency
+    w = np.sqrt(n * n0 / (n + n0))[:, None]
+    x = (x - np.quantile(x, 0.5, axis=0, method="inverted_cdf")) * np.where(np.arange(p) == 0, 1.0, w)
+    spread = np.quantile(abs(x), 0.5, axis=0, method="inverted_cdf")
+    d = (x * x / ((1.4826 * spread) ** 2 + ridge)).sum(1)
+
+    def estimate(near, factor):
+        a = np.linalg.inv(np.cov(x[near].T, bias=True) * factor + np.diag(ridge))
+        y = x - x[near].mean(0)
+        return np.einsum("ij,jk,ik->i", y, a, y)
+
+    for _ in range(steps):
+        d = estimate(d <= np.quantile(d, 1 - trim, method="inverted_cdf"), c(1 - trim, p))
+    return estimate(d <= outliers.quantile(0.975, p), c(0.975, p))
+
+
+def test_distances_against_numpy(spark):
+    """Every group, the whole language for small sources, and all rows for small languages."""
+    rng = np.random.default_rng(4)
+    words = ["".join(rng.choice(list(string.ascii_letters), rng.integers(2, 9))) for _ in range(300)]
+    rows = []
+    for i in range(420):
+        w = list(rng.choice(words, rng.integers(20, 200)))
+        if rng.random() < 0.05:
+            w = [x + "#$" for x in w]
+        lang, source = ("a", "big") if i < 200 else ("a", f"s{i % 9}") if i < 280 else ("b", f"s{i % 3}") if i < 400 else (None, "x")
+        rows.append((i, " ".join(w), lang, source))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = {r.doc_id: r for r in outliers.judge(docs, min_rows=60).collect()}
+    rate = outliers.count_words(docs).select("doc_id", "n_words", *(c.alias(k) for k, c in outliers._rates().items())).collect()
+    rate = {r.doc_id: (r.n_words, [r[k] for k in outliers.STATS]) for r in rate}
+    good = [i for i in got if not got[i].base_failed]
+    for own, of in (("big", lambda r: r[2:] == ("a", "big")), ("a", lambda r: r[2] == "a"), ("b", lambda r: r[2] == "b"), ("all", lambda r: True)):
+        base = [i for i in good if of(rows[i])]
+        d = dict(zip(base, plain_distances(np.array([rate[i][1] for i in base]), np.array([float(rate[i][0]) for i in base]))))
+        mine = [i for i in base if (own == "big") or (own == "a" and rows[i][3] != "big") or own == "b" or (own == "all" and rows[i][2] is None)]
+        assert len(mine) > 10
+        assert all(abs(got[i].distance - d[i]) < 1e-6 * (1 + d[i]) for i in mine), own
+        assert all(got[i].kept == (d[i] <= outliers.quantile(1 - 1e-6, 6)) for i in mine)
+
+
 def test_chi_square():
     assert abs(outliers.quantile(0.975, 6) - 14.4494) < 1e-3 and abs(outliers.quantile(0.95, 2) - 5.9915) < 1e-3
 
