@@ -12,6 +12,7 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import scratch
 from .functions import vocabulary as V
 from .operators import lines as L
 from .operators import packs as P
@@ -57,16 +58,16 @@ class Engine:
         return self.spark.read.parquet(self._changes) if isinstance(self._changes, str) else self._changes
 
     def scan(self, repo: str, provider: str | None = None, change_id: int | None = None) -> DataFrame:
-        """Ranked impacts of monitored changes, or of one change, on a tree."""
+        """Ranked impacts of monitored changes, or of one change of any type, on a tree."""
         tree = files.tree(self.spark, repo)
-        found = files.usage(tree).cache()
+        found = scratch.materialise(files.usage(tree), "usage")
         rows = self.changes
         rows = rows.where(F.col("provider") == provider) if provider else rows
         rows = rows.where(F.col("id") == int(change_id)) if change_id is not None else rows
         texts = found.select("provider", F.col("file").alias("path")).distinct().join(tree, "path").select("provider", "text")
         rows = I.gate_sub_apis(rows, texts).select(*rows.columns)
         lines = L.lines(tree.select(F.col("path").alias("file"), "text"))
-        return I.impacts(rows, found, lines).orderBy(*I.ranked())
+        return I.impacts(rows, found, lines, every_type=change_id is not None).orderBy(*I.ranked())
 
     def deps(self, repo: str, match: bool = False) -> DataFrame | tuple[DataFrame, DataFrame, DataFrame]:
         """The inventory of a tree; with ``match`` also the changes and the packs that touch it."""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -11,28 +11,27 @@ from ..operators.relational import cap, position
 
 
 def usage(findings: DataFrame) -> DataFrame:
-    """findings (provider, kind, file, line, snippet) by provider: usage_kinds, files, sites (the first 100)."""
-    kept = cap(findings, ["provider"], [F.col("file"), F.col("line"), F.col("kind")], 100)
-    sites = kept.groupBy("provider").agg(F.sort_array(F.collect_list(F.struct("file", "line", "kind", "snippet"))).alias("usage_sites"))
-    kinds = findings.groupBy("provider").agg(F.array_sort(F.collect_set("kind")).alias("usage_kinds"), F.count_distinct("file").alias("files"))
-    return kinds.join(sites, "provider")
+    """findings (provider, kind, file, line, snippet) by provider: usage_kinds, files, and all sites in order."""
+    sites = F.sort_array(F.collect_list(F.struct("file", "line", "kind", "snippet"))).alias("usage_sites")
+    return findings.groupBy("provider").agg(F.array_sort(F.collect_set("kind")).alias("usage_kinds"), F.count_distinct("file").alias("files"), sites)
 
 
 def symbol_sites(changes: DataFrame, findings: DataFrame, lines: DataFrame) -> DataFrame:
     """Where each change's symbols stand in the files that use its provider, in raw lines: id, symbol, file, line.
 
-    Symbols are joined to lines by provider and then by whole names; a line without the text is dropped before the
-    pattern is tried."""
-    named = changes.select("id", "provider", F.explode(T.symbols(F.concat_ws("\n", "title", "raw_excerpt", "migration_hint"))).alias("symbol"))
+    Lines and symbols are joined by provider and by the symbol's first name; the whole symbol is then sought in the line."""
+    first = F.regexp_extract("symbol", r"[\w$]+", 0)
+    named = changes.select("id", "provider", F.explode(T.symbols(F.concat_ws("\n", "title", "raw_excerpt", "migration_hint"))).alias("symbol")).withColumn("word", first)
     used = findings.select("provider", "file").distinct()
-    return lines.join(used, "file").join(named, "provider").where(T.names_symbol(F.col("raw"), F.col("symbol"))).select("id", "symbol", "file", "line", T.snippet("raw").alias("snippet"))
+    words = lines.withColumn("word", F.explode(F.array_distinct(F.regexp_extract_all("raw", F.lit(r"[\w$]+"), F.lit(0)))))
+    return words.join(used, "file").join(named, ["provider", "word"]).where(T.names_symbol(F.col("raw"), F.col("symbol"))).select("id", "symbol", "file", "line", T.snippet("raw").alias("snippet"))
 
 
-def impacts(changes: DataFrame, findings: DataFrame, lines: DataFrame) -> DataFrame:
-    """changes (id, provider, source_repo, title, change_type, effective_date, raw_excerpt, migration_hint) that meet usage:
+def impacts(changes: DataFrame, findings: DataFrame, lines: DataFrame, every_type: bool = False) -> DataFrame:
+    """Changes of monitored types, or with ``every_type`` of all: changes (id, provider, source_repo, title, change_type, effective_date, raw_excerpt, migration_hint) that meet usage:
     id, provider, title, change_type, severity, source_type, confidence, prerelease, usage_kinds, symbols_extracted,
     matched_symbols, symbol_sites, usage_sites."""
-    live = changes.where(F.col("change_type").isin(V.MONITORED_TYPES))
+    live = changes if every_type else changes.where(F.col("change_type").isin(V.MONITORED_TYPES))
     found = symbol_sites(live, findings, lines)
     names = found.groupBy("id").agg(F.array_sort(F.collect_set("symbol")).alias("matched_symbols"))
     sites = cap(found, ["id"], [F.col("file"), F.col("symbol"), F.col("line")], 100).groupBy("id").agg(F.sort_array(F.collect_list(F.struct("file", "line", "symbol", "snippet"))).alias("symbol_sites"))
@@ -60,7 +59,11 @@ def ranked() -> list[Column]:
 
 def summary(found: DataFrame, budget: int = 25) -> DataFrame:
     """What a report shows: all impacts of high confidence, the first others up to the budget, none of low confidence."""
-    shown = found.where("confidence <> 'low'")
     high = F.col("confidence") == "high"
-    room = max(budget - shown.where(high).count(), 0)
-    return shown.where(high).unionByName(shown.where(~high).orderBy(*ranked()).limit(room))
+    shown = found.where("confidence <> 'low'")
+    # The others are numbered in order from the number of high ones on: one total, broadcast, and a limit that needs no plan-time count.
+    n_high = shown.agg(F.count_if(high).alias("n_high"))
+    others = shown.where(~high).orderBy(*ranked()).limit(budget)
+    place = F.row_number().over(Window.orderBy(*ranked()))  # of at most ``budget`` rows
+    kept = others.withColumn("place", place).join(F.broadcast(n_high), F.col("place") <= F.lit(budget) - F.col("n_high"), "left_semi").drop("place")
+    return shown.where(high).unionByName(kept)
