@@ -8,7 +8,6 @@ is better than a false hit.
 
 from __future__ import annotations
 
-import posixpath
 import re
 from collections.abc import Iterator
 
@@ -23,6 +22,7 @@ from ..functions.vocabulary import SNIPPET
 from ..sources.files import language
 
 _N = r"[A-Za-z_$][\w$]*"
+_INLINE = "new@"  # stands before the place of a client that is built and called at once
 _FIELDS = ["file", "fact", "name", "target", "member", "chain", "line", "snippet"]
 _SCHEMA = "file string, fact string, name string, target string, member string, chain string, line long, snippet string"
 _SUFFIXES = ["", ".js", ".mjs", ".cjs", ".ts", ".tsx", ".jsx", "/index.js", "/index.ts"]
@@ -106,6 +106,10 @@ class File:
         """What the value at ``at`` gives a name: a client, an alias, or something unknown."""
         line_end = self.code.find("\n", at)
         line_end = len(self.code) if line_end < 0 else line_end
+        again = re.compile(rf"(?P<next>(?:this\.|self\.|\$|@)?{_N})\s*=(?![=>~])").match(self.code, at)
+        if again:  # a = b = value
+            self.add("alias", name, again.group("next"), chain="", at=at)
+            return
         m = re.compile(_BUILD[self.lang]).match(self.code, at)
         if m:
             g = m.groupdict()
@@ -135,12 +139,43 @@ class File:
                 self._value(g["as"], m.start("value"))
                 continue
             name = g.get("name") or g.get("walrus")
-            # Fallbacks and ternaries: each operand that builds a client proves the name.
-            line_end = self.code.find("\n", m.end())
-            rest = self.code[m.end() : len(self.code) if line_end < 0 else line_end]
-            operands = [m.end() + x.end() for x in re.finditer(r"(?:\|\||\?\?|\bor\b|\?|:|\belse\b)\s*", rest)] if re.search(r"\|\||\?\?|\sor\s|\s\?\s|\selse\s", rest) else []
-            built = [at for at in (m.end(), *operands) if re.compile(_BUILD[self.lang]).match(self.code, at)]
-            self._value(name, built[0] if operands and built else m.end())
+            if self._guarded_by_another(name, m.start()):
+                self.add("other", name, at=m.start())
+                continue
+            self._choice(name, m.end())
+            inner = re.compile(rf"(?P<name>(?:self\.|\$|@)?{_N})\s*=(?![=>~])[ \t]*").match(self.code, m.end()) if self.lang in ("py", "rb") else None
+            while inner:  # patterns of these languages begin at the line
+                self._choice(inner.group("name"), inner.end())
+                inner = re.compile(rf"(?P<name>(?:self\.|\$|@)?{_N})\s*=(?![=>~])[ \t]*").match(self.code, inner.end())
+
+    def _guarded_by_another(self, name: str, at: int) -> bool:
+        """Whether an assignment is the body of ``if`` on the absence of some other name: it may not be what runs."""
+        guard = {"js": rf"if\s*\(\s*!\s*(?P<of>(?:this\.)?{_N})\s*\)\s*\{{?\s*$", "py": rf"if\s+(?:not\s+(?P<of>(?:self\.)?{_N})|(?P<none>(?:self\.)?{_N})\s+is\s+None)\s*:\s*$"}.get(self.lang)
+        m = re.search(guard, self.code[max(0, at - 200) : at]) if guard else None
+        return bool(m) and name not in m.groupdict().values()
+
+    def _choice(self, name: str, at: int) -> None:
+        """The value at ``at``. Of a fallback or a ternary every operand must build a client, be the name itself or be empty."""
+        line_end = self.code.find("\n", at)
+        rest = self.code[at : len(self.code) if line_end < 0 else line_end]
+        if not re.search(r"\|\||\?\?|\sor\s|\s\?\s|\selse\s", rest):
+            return self._value(name, at)
+        cuts = [*re.finditer(r"\|\||\?\?|\bor\b|\belse\b|(?<=\s)\?(?=\s)|(?<=\s):(?=\s)", rest)]
+        starts, ends = [0, *(c.end() for c in cuts)], [*(c.start() for c in cuts), len(rest)]
+        if any(c.group() == "?" for c in cuts):
+            starts, ends = starts[1:], ends[1:]  # the first is a condition
+        build, built, known = re.compile(_BUILD[self.lang]), [], True
+        for a, b in zip(starts, ends):
+            a += len(rest[a:b]) - len(rest[a:b].lstrip(" \t("))
+            text = re.sub(r"\sif\s.*", "", rest[a:b]).strip(" \t;)") if self.lang == "py" else rest[a:b].strip(" \t;)")
+            if build.match(self.code, at + a):
+                built.append(at + a)
+            else:
+                known = known and text in (name, "null", "undefined", "None", "nil", "")
+        if built and not known:
+            self.add("other", name, at=at)
+        else:
+            self._value(name, built[0] if built else at)
 
     def _exports(self) -> None:
         find = lambda p, t=self.prose: re.finditer(p, t)
@@ -175,6 +210,14 @@ class File:
         for m in re.finditer(rf"(?<![\w$.@>])(?P<root>{root})(?P<chain>(?:\s*{dot}\s*{_N})+)(?:{tail}{bare})", self.code):
             chain = re.sub(rf"\s*{dot}\s*", ".", m.group("chain")).strip(".")
             self.add("call", m.group("root"), chain=chain, at=m.start("root"))
+        if self.lang in ("js", "py", "php"):  # new X(k).a.b(): a client that no name holds
+            for m in re.finditer(_BUILD[self.lang], self.code):
+                close = closing(self.code, m.end() - 1) if m.group("ctor") else None
+                after = re.compile(rf"(?P<chain>(?:\s*{dot}\s*{_N})+)\s*\(").match(self.code, close + 1) if close is not None else None
+                if after and not re.search(r"[\w$.>]$", self.code[: m.start()]):
+                    name = f"{_INLINE}{m.start()}"
+                    self.add("client", name, m.group("ctor"), at=m.start())
+                    self.add("call", name, chain=re.sub(rf"\s*{dot}\s*", ".", after.group("chain")).strip("."), at=m.start())
 
 
 def code_facts(files: DataFrame) -> DataFrame:
@@ -212,8 +255,12 @@ def _closed(roots: DataFrame, aliases: DataFrame, hops: int) -> DataFrame:
 def client_roots(facts: DataFrame, packages: DataFrame, hops: int = 5) -> DataFrame:
     """file, name, module, provider, ctor, prefix: names proven to hold a client. packages is (provider, module)."""
     modules = facts.where("fact = 'module'").select("file", F.col("name").alias("bound"), F.col("target").alias("path"), "member")
-    fits = (F.col("path") == F.col("module")) | F.col("path").startswith(F.concat("module", F.lit("/"))) | F.col("path").startswith(F.concat("module", F.lit("\\"))) | (F.col("path").startswith(F.concat("module", F.lit("."))) & ~F.col("path").contains("/"))
-    modules = modules.join(F.broadcast(packages), fits)
+    # A package is the path itself, or what stands before one of its separators; a dot separates only where there is no slash.
+    steps = F.sequence(F.lit(1), F.length("path"))
+    at = lambda i: F.substring("path", i, F.lit(1))
+    ends = F.filter(steps, lambda i: at(i).isin("/", "\\") | ((at(i) == ".") & ~F.col("path").contains("/")))
+    heads = F.array_append(F.transform(ends, lambda i: F.substring("path", F.lit(1), i - 1)), F.col("path"))
+    modules = modules.withColumn("module", F.explode(F.array_distinct(heads))).join(packages, "module")
     writes = _once(facts.where(F.col("fact").isin("client", "alias", "other")), ["file", "name"])
     built = writes.where("fact = 'client'").drop("member").withColumn("head", F.regexp_extract("target", r"^\\?(\w+)", 1))
     by_name = built.join(modules, "file").where((F.col("head") == F.col("bound")) | (F.lower("head") == F.lower(F.regexp_replace("bound", "[-_]", ""))))
@@ -228,14 +275,16 @@ def surfaces(facts: DataFrame, roots: DataFrame) -> DataFrame:
     calls = facts.where("fact = 'call'").select("file", "name", F.col("chain").alias("called"), "line", "snippet").join(roots, ["file", "name"])
     chain = F.concat_ws(".", F.lit("client"), F.nullif("prefix", F.lit("")), "called")
     sdk = calls.select("provider", F.lit("sdk-call").alias("kind"), F.concat_ws(" ", "module", chain).alias("surface"), "file", "line", "snippet")
-    by_ctor = calls.where("ctor IS NOT NULL").select("provider", F.lit("controller-call").alias("kind"), F.concat_ws(" ", "module", "ctor", F.concat_ws(".", "name", "called")).alias("surface"), "file", "line", "snippet")
+    by_ctor = calls.where(F.col("ctor").isNotNull() & ~F.col("name").startswith(_INLINE)).select("provider", F.lit("controller-call").alias("kind"), F.concat_ws(" ", "module", "ctor", F.concat_ws(".", "name", "called")).alias("surface"), "file", "line", "snippet")
     return sdk.unionByName(by_ctor)
 
 
 def _resolved(facts: DataFrame, files: DataFrame) -> DataFrame:
     """Facts with a relative target, and the file it stands for: the first candidate that exists."""
-    near = F.udf(lambda a, b: posixpath.normpath(posixpath.join(posixpath.dirname(a), b)) if a and b else None, "string")
-    rows = facts.withColumn("at", near("file", "target"))
+    steps = F.split(F.concat(F.regexp_replace("file", r"[^/]*\z", ""), F.col("target")), "/")
+    shorter = lambda out: F.slice(out, 1, F.greatest(F.size(out) - 1, F.lit(0)))
+    step = lambda out, x: F.when(x.isin("", "."), out).when((x == "..") & (F.coalesce(F.get(out, F.size(out) - 1), F.lit("..")) != ".."), shorter(out)).otherwise(F.array_append(out, x))
+    rows = facts.withColumn("at", F.array_join(F.aggregate(steps, F.array().cast("array<string>"), step), "/"))
     rows = rows.withColumn("options", F.transform(F.array(*map(F.lit, _SUFFIXES)), lambda s: F.concat("at", s)))
     each = rows.select("*", F.posexplode("options").alias("rank", "source")).drop("options")
     known = each.join(files.select(F.col("path").alias("source")), "source")
