@@ -1,4 +1,4 @@
-"""Release feeds as change records. Feeds are landed as files first; a broken one becomes an error row, not an exception."""
+"""Release feeds as change records. Feeds are landed as files first; a broken one has no entries and is listed by ``failures``."""
 
 from __future__ import annotations
 
@@ -27,6 +27,15 @@ def entries(feeds: DataFrame, most: int | None = V.FEED_ENTRIES) -> DataFrame:
     return out if most is None else out.where(F.col("position") < most)
 
 
+def failures(feeds: DataFrame) -> DataFrame:
+    """source and error of each feed that is empty, is no feed, is cut off, or has no entry; the others go on without it."""
+    xml = F.trim(F.coalesce("xml", F.lit("")))
+    root = F.when(F.col("kind") == "atom", "feed").otherwise(F.regexp_extract(xml, r"<(rss|rdf:RDF)\b", 1))
+    entry = F.when(F.col("kind") == "atom", "<entry").otherwise("<item")
+    error = F.when(xml == "", "empty").when((root == "") | ~xml.contains(F.concat(F.lit("<"), root)), "not a feed").when(~xml.contains(F.concat(F.lit("</"), root)), "cut off").when(~xml.contains(entry), "no entries")
+    return feeds.select("source", error.alias("error")).where("error IS NOT NULL")
+
+
 def changes(found: DataFrame, providers: DataFrame, now: str) -> DataFrame:
     """Entries as change rows: providers is (source, provider, source_repo). Entries without title or url are no rows."""
     rows = found.where((F.coalesce("title", F.lit("")) != "") & (F.coalesce("url", F.lit("")) != "")).join(providers, "source")

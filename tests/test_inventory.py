@@ -77,3 +77,9 @@ def test_feeds(spark):
     providers = spark.createDataFrame([("a", "acme", "acme/sdk"), ("b", "acme", "changelog:acme")], "source string, provider string, source_repo string")
     got = {(r.title, r.change_type, r.effective_date, r.source_url, r.raw_excerpt.strip()) for r in feeds.changes(found, providers, "2024-04-01 00:00:00").collect()}
     assert got == {("v2.0.0", "breaking", "2024-03-01", "u1", "Removed &amp; gone"), ("Adds <b>x</b>", "additive", "2024-03-01", "u2", "new endpoint"), ("z", "docs-only", None, "u1", "docs")}
+
+
+def test_feed_failures(spark):
+    rows = [("a", "atom", "<feed><entry></entry></feed>"), ("b", "rss", None), ("c", "rss", "<html>gone</html>"), ("d", "atom", "<feed><entry>"), ("e", "rss", "<rss></rss>")]
+    got = {(r.source, r.error) for r in feeds.failures(spark.createDataFrame(rows, "source string, kind string, xml string")).collect()}
+    assert got == {("b", "empty"), ("c", "not a feed"), ("d", "cut off"), ("e", "no entries")}
