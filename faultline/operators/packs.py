@@ -187,6 +187,16 @@ def selection_removed(field_: str) -> Rule:
     return Rule("drop a selection", re.escape(field_), lambda text: W.remove_selection(text, field_))
 
 
+def applied(pack: Pack, text: str) -> tuple[str, list[str]]:
+    """A text after all rules of a pack that detect something in it, and what those rules do."""
+    tried = []
+    for rule in pack.rules:
+        if re.search(rule.detect, text):
+            tried.append(rule.about)
+            text = rule.apply(text)
+    return text, tried
+
+
 def rewrite(files: DataFrame, pack: Pack, check: Checker | None = None) -> DataFrame:
     """Files (path, text) that change: path, after, rules_applied, diff, syntax (pass, fail or skipped)."""
     wanted = F.regexp_extract("path", r"(\.[^./]+)\z", 1).isin(V.REWRITTEN)
@@ -195,11 +205,7 @@ def rewrite(files: DataFrame, pack: Pack, check: Checker | None = None) -> DataF
         for batch in batches:
             rows = []
             for path, text in zip(batch.column("path").to_pylist(), batch.column("text").to_pylist()):
-                after, tried = text or "", []
-                for rule in pack.rules:
-                    if re.search(rule.detect, after):
-                        tried.append(rule.about)
-                        after = rule.apply(after)
+                after, tried = applied(pack, text or "")
                 if after != (text or ""):
                     verdict = check(path, after) if check else None
                     rows.append((path, after, tried, W.unified_diff(path, text or "", after), verdict or "skipped"))

@@ -6,10 +6,13 @@ orders and events are change records, customers and parts are what changes are a
 
 from __future__ import annotations
 
+import json
+
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import cases
 from .functions import text as T
 from .functions import vocabulary as V
 from .operators import lines as L
@@ -87,26 +90,18 @@ def scan_impacts(spark, sf_dir):
     return live.select("id", "provider", "change_type", T.severity("change_type").alias("severity"), score.alias("confidence"), F.size("kinds").cast("long").alias("n_kinds"), "files", "sites")
 
 
-@query(
-    """WITH s AS (SELECT o_orderkey, o_orderstatus, o_orderpriority, o_orderdate,
-  CASE o_orderstatus WHEN 'F' THEN 0 WHEN 'O' THEN 1 WHEN 'P' THEN 2 ELSE -1 END AS sev, o_totalprice FROM orders)
-SELECT o_orderkey, (row_number() OVER (ORDER BY sev, o_orderpriority, o_orderdate DESC, o_orderkey))::BIGINT AS place FROM s ORDER BY place LIMIT 100"""
-)
+@query("SELECT o_orderkey, o_orderstatus, o_orderpriority, o_orderdate FROM orders ORDER BY CASE o_orderstatus WHEN 'F' THEN 0 WHEN 'O' THEN 1 WHEN 'P' THEN 2 ELSE -1 END, o_orderpriority, o_orderdate DESC, o_orderkey")
 def rank_impacts(spark, sf_dir):
-    """S-2: severity, then confidence, then newest first, ties by id; the first hundred."""
-    from pyspark.sql import Window
-
+    """S-2: severity, then confidence, then newest first, ties by id; all of them."""
     rows = _t(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority", "o_orderdate")
-    order = [R.position(F.col("o_orderstatus"), ["F", "O", "P"]), F.col("o_orderpriority"), F.col("o_orderdate").desc(), F.col("o_orderkey")]
-    top = rows.orderBy(*order).limit(100)
-    return top.select("o_orderkey", F.row_number().over(Window.orderBy(*order)).cast("long").alias("place"))
+    return rows.orderBy(R.position(F.col("o_orderstatus"), ["F", "O", "P"]), "o_orderpriority", F.col("o_orderdate").desc(), "o_orderkey")
 
 
-@query("SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders WHERE o_orderstatus IN ('F', 'P') ORDER BY o_orderdate DESC NULLS LAST, o_orderkey LIMIT 500")
+@query("SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders WHERE o_orderstatus IN ('F', 'P') ORDER BY o_orderdate DESC NULLS LAST, o_orderkey")
 def filter_in_ordered(spark, sf_dir):
     """P-1, S-1."""
     rows = _t(spark, sf_dir, "orders").where(F.col("o_orderstatus").isin("F", "P"))
-    return rows.orderBy(F.col("o_orderdate").desc_nulls_last(), "o_orderkey").limit(500).select("o_orderkey", "o_orderstatus", "o_totalprice")
+    return rows.orderBy(F.col("o_orderdate").desc_nulls_last(), "o_orderkey").select("o_orderkey", "o_orderstatus", "o_totalprice")
 
 
 @query("SELECT event_id, event_type, value, (SELECT count(*) FROM events WHERE event_type = 'click' AND user_id % 2 = 0) AS total FROM events WHERE event_type = 'click' AND user_id % 2 = 0 ORDER BY event_id DESC LIMIT 20")
@@ -235,9 +230,8 @@ def path_overlap_anchors(spark, sf_dir):
 
 
 def _paths(spark, sf_dir, test):
-    pages = _t(spark, sf_dir, "pages").select("page_id", F.regexp_extract("url", r"^[a-z]+://[^/]+(/[^?#]*)", 1).alias("path"), F.lit(1).alias("provider"))
-    packs = spark.createDataFrame([(1, t) for t in TEMPLATES], "provider int, template string")
-    return pages.join(F.broadcast(packs), "provider").where(test(F.col("path"), F.col("template"))).select("page_id", "template")
+    pages = _t(spark, sf_dir, "pages").select("page_id", F.regexp_extract("url", r"^[a-z]+://[^/]+(/[^?#]*)", 1).alias("path"))
+    return pages.withColumn("template", F.explode(F.array(*map(F.lit, TEMPLATES)))).where(test(F.col("path"), F.col("template"))).select("page_id", "template")
 
 
 @query(f"WITH {_LINES_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY source, kind ORDER BY doc_id, line, detail) AS k FROM f) SELECT source, kind, doc_id, line, detail FROM r WHERE k <= 3")
@@ -513,8 +507,10 @@ def chronology(spark, sf_dir):
 
 @query("SELECT date_trunc('day', ts) AS day, event_type, count(*) AS n, sum(value) AS total FROM events GROUP BY 1, 2")
 def event_windows(spark, sf_dir):
-    """Daily windows of the change log."""
-    return _t(spark, sf_dir, "events").groupBy(F.date_trunc("day", "ts").cast("timestamp_ntz").alias("day"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
+    """STREAM: daily windows of the change log, by the function that streams use."""
+    from .streaming.ingest import windowed
+
+    return windowed(_t(spark, sf_dir, "events")).select(F.col("start").cast("timestamp_ntz").alias("day"), "event_type", "n", "total")
 
 
 @query(
@@ -634,18 +630,20 @@ def feed_entries(spark, sf_dir):
     return rows.select(F.col("source").cast("long").alias("page_id"), "title", "url", F.substring("updated", 1, 10).alias("updated"))
 
 
-_NAMES = ["Licensed", "Version", "Public", "reserved"]
+_NAMES = ["Licensed", "Released", "Public", "reserved"]
 
 
 @query(
-    f"""WITH l AS (SELECT doc_id, i AS line, s[i] AS raw FROM (SELECT doc_id, string_split(text, chr(10)) AS s FROM documents), unnest(range(1, len(s) + 1)) AS t(i)), n AS (SELECT unnest([{_list(_NAMES)}]) AS symbol)
-SELECT doc_id, line, symbol FROM l, n WHERE regexp_matches(raw, '(^|[^\\w$])' || symbol || '($|[^\\w$])')"""
+    f"""WITH l AS (SELECT doc_id, source, i AS line, s[i] AS raw FROM (SELECT doc_id, source, string_split(text, chr(10)) AS s FROM documents), unnest(range(1, len(s) + 1)) AS t(i)), n AS (SELECT unnest([{_list(_NAMES)}]) AS symbol)
+SELECT source AS id, doc_id AS file, line, symbol FROM l, n WHERE source IS NOT NULL AND regexp_matches(raw, '(^|[^\\w$])' || symbol || '($|[^\\w$])')"""
 )
 def symbol_sites(spark, sf_dir):
-    """J-2, W-2: whole names in raw lines."""
-    rows = L.lines(_t(spark, sf_dir, "documents").select("doc_id", "text")).withColumn("p", F.lit(1))
-    names = spark.createDataFrame([(1, n) for n in _NAMES], "p int, symbol string")
-    return rows.join(F.broadcast(names), "p").where(T.names_symbol(F.col("raw"), F.col("symbol"))).select("doc_id", "line", "symbol")
+    """J-2, PRJ-15, W-2: names in backticks are the symbols of a change of each source; whole names in raw lines."""
+    d = _t(spark, sf_dir, "documents").select(F.col("doc_id").alias("file"), F.col("source").alias("provider"), "text")
+    said = ", ".join(f"`{n}`" for n in _NAMES)
+    changes = d.select("provider").distinct().where("provider IS NOT NULL").select(F.col("provider").alias("id"), "provider", F.lit("t").alias("title"), F.lit(said).alias("raw_excerpt"), F.lit(None).cast("string").alias("migration_hint"))
+    lines = L.lines(d.select("file", "text"))
+    return I.symbol_sites(changes, d.select("provider", "file"), lines).select("id", "file", "line", "symbol")
 
 
 @query(
@@ -765,3 +763,66 @@ def upload_payload(spark, sf_dir):
         F.array(F.lit("import")).alias("usage_kinds"), F.lit(1).alias("symbols_extracted"), F.array(F.lit("sym")).alias("matched_symbols"), F.array(site).alias("symbol_sites"),
     )
     return verdicts.upload(impacts)
+
+
+# --- Worked cases: every kind once, with the results listed in the SQL. ---
+
+
+def _rows(columns: str, rows: list[tuple]) -> str:
+    """SQL of listed rows."""
+    one = lambda v: "NULL" if v is None else str(v).lower() if isinstance(v, bool) else str(v) if isinstance(v, int) else "'" + v.replace("'", "''") + "'"
+    return f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(one, r)) + ')' for r in rows)}) AS t({columns})"
+
+
+@query(_rows("spec_id, kind, breaking, anchor, detail", [(name, *r) for name, _, _, want in cases.SPECS for r in want]))
+def spec_rules(spark, sf_dir):
+    """SX-1 to SX-9, SD-1 to SD-41: a pair of snapshots for each rule, and pairs that must stay silent."""
+    from .operators import specdiff
+    from .sources import specs
+
+    old, new = (spark.createDataFrame([(c[0], json.dumps(c[k])) for c in cases.SPECS], "spec_id string, spec string") for k in (1, 2))
+    return specdiff.diff(specs.facts(old), specs.facts(new)).select("spec_id", "kind", "breaking", "anchor", "detail")
+
+
+@query(_rows("case_id, lang, prose_mask, code_mask", [(i, lang, prose, code) for i, (lang, _, prose, code) in enumerate(cases.MASKS)]))
+def code_masks(spark, sf_dir):
+    """TX-1 to TX-4: masked texts, character by character."""
+    from .functions import lexer
+
+    @F.pandas_udf("string")
+    def prose(lang: pd.Series, text: pd.Series) -> pd.Series:
+        return lang.combine(text, lambda a, t: lexer.mask_prose(t, a))
+
+    @F.pandas_udf("string")
+    def code(lang: pd.Series, text: pd.Series) -> pd.Series:
+        return lang.combine(text, lambda a, t: lexer.mask_code(t, a))
+
+    rows = spark.createDataFrame([(i, lang, text) for i, (lang, text, *_) in enumerate(cases.MASKS)], "case_id int, lang string, text string")
+    return rows.select("case_id", "lang", prose("lang", "text").alias("prose_mask"), code("lang", "text").alias("code_mask"))
+
+
+@query(_rows("pack, before, after", [c for c in cases.PACKS if c[1] != c[2]]))
+def pack_catalogue(spark, sf_dir):
+    """FX-1 to FX-47: what every pack makes of its text; a second run changes nothing more."""
+    from .operators import packs as P
+    from .operators.catalogue import catalogue
+
+    known = catalogue({"aiGateway.logs.get": ["gateway_id"]})
+
+    @F.pandas_udf("string")
+    def rewritten(name: pd.Series, text: pd.Series) -> pd.Series:
+        by_name = {p.name: p for p in known}
+        return name.combine(text, lambda n, t: P.applied(by_name[n], t)[0])
+
+    rows = spark.createDataFrame([c[:2] for c in cases.PACKS], "pack string, before string")
+    once = rows.withColumn("after", rewritten("pack", "before")).withColumn("again", rewritten("pack", "after"))
+    return once.where("after = again").select("pack", "before", "after")
+
+
+@query(_rows("file, surface, line", [(file, surface, line) for file, _, want in cases.CALLS for surface, line in want]))
+def proven_calls(spark, sf_dir):
+    """BR-1 to BR-17, MG-1 to MG-6 and their guards, by language: only calls whose roots are proven."""
+    from .plans import inventory
+
+    files = spark.createDataFrame([c[:2] for c in cases.CALLS], "path string, text string")
+    return inventory.surfaces(files).where("kind = 'sdk-call'").select("file", "surface", "line")

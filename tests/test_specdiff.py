@@ -4,88 +4,12 @@ import json
 
 import pytest
 
+from faultline import cases
 from faultline.operators import specdiff
 from faultline.sources import specs
 
 
-def op(**parts):
-    return {"paths": {"/a/{id}": {"post": parts}}}
-
-
-def body(schema, **more):
-    return op(requestBody={"content": {"application/json": {"schema": schema}}, **more})
-
-
-def reply(schema, status="200"):
-    return op(responses={status: {"content": {"application/json": {"schema": schema}}}})
-
-
-def obj(required=(), **props):
-    return {"type": "object", "properties": props, "required": list(required)}
-
-
-def param(required=False, **schema):
-    return op(parameters=[{"name": "q", "in": "query", "required": required, "schema": schema}])
-
-
-S, N, I = {"type": "string"}, {"type": "null"}, {"type": "integer"}
-P = "POST /a/{id}"
-deep = lambda x: obj(a=obj(b=obj(c=obj(d=obj(e=obj(f=x))))))
-union = lambda *b: {"oneOf": list(b)}
-mapped = lambda x: {"components": {"schemas": {"X": x}}, "paths": {"/a/{id}": {"post": {"requestBody": {"content": {"j": {"schema": {"oneOf": [{"$ref": "#/components/schemas/X"}, obj(z=S)], "discriminator": {"propertyName": "t", "mapping": {"x": "#/components/schemas/X"}}}}}}}}}}
-
-CASES = [
-    ("path-removed", op(), {"paths": {}}, [("path-removed", True, "/a/{id}", "")]),
-    ("path-added", {"paths": {}}, op(), [("path-added", False, "/a/{id}", "")]),
-    ("operation-removed", {"paths": {"/a": {"get": {}, "post": {}}}}, {"paths": {"/a": {"get": {}}}}, [("operation-removed", True, "POST /a", "")]),
-    ("operation-added", {"paths": {"/a": {"get": {}}}}, {"paths": {"/a": {"get": {}, "post": {}}}}, [("operation-added", False, "POST /a", "")]),
-    ("param-removed", param(**S), op(), [("param-removed", True, P, "query:q")]),
-    ("param-now-required", param(**S), param(True, **S), [("param-now-required", True, P, "query:q")]),
-    ("param-type-narrowed", param(type=["string", "integer"]), param(**S), [("param-type-narrowed", True, P, "query:q: -integer")]),
-    ("param-type-changed", param(**I), param(**S), [("param-type-changed", True, P, "query:q: integer -> string")]),
-    ("param types unknown", param(), param(**S), []),
-    ("param widened", param(**S), param(type=["string", "integer"]), []),
-    ("param-min-length", param(type="string", minLength=1), param(type="string", minLength=3), [("param-min-length-increased", True, P, "query:q: minLength 1 -> 3")]),
-    ("param-min-length new", param(**S), param(type="string", minLength=3), []),
-    ("param-max-length", param(type="string", maxLength=9), param(type="string", maxLength=3), [("param-max-length-decreased", True, P, "query:q: maxLength 9 -> 3")]),
-    ("param-enum-value-removed", param(type="array", items={"enum": ["a", "b"]}), param(type="array", items={"enum": ["b", "c"]}), [("param-enum-value-removed", True, P, "query:q items/ = a")]),
-    ("param-became-enum", param(**S), param(type="string", enum=["a"]), [("param-became-enum", True, P, "query:q enum [a]")]),
-    ("param-pattern-added", param(**S), param(type="string", pattern="^x$"), [("param-pattern-added", True, P, "query:q pattern ^x$")]),
-    ("param-pattern vacuous", param(**S), param(type="string", pattern=".*"), []),
-    ("param-added", op(), param(True, **S), [("param-added-required", True, P, "query:q")]),
-    ("param-added-optional", op(), param(**S), [("param-added-optional", False, P, "query:q")]),
-    ("body-removed", body(S), op(), [("request-body-removed", True, P, "")]),
-    ("body-required", body(S), body(S, required=True), [("request-body-became-required", True, P, "")]),
-    ("body-added", op(), body(S, required=True), [("request-body-added-required", True, P, "")]),
-    ("media", op(requestBody={"content": {"a": {}, "b": {}}}), op(requestBody={"content": {"a": {}}}), [("request-media-type-removed", True, P, "b")]),
-    ("prop-removed", body(obj(x=S)), body(obj()), [("request-prop-removed", True, P, "x")]),
-    ("prop-type", body(obj(x=S)), body(obj(x=I)), [("request-prop-type-changed", True, P, "x: string -> integer")]),
-    ("nullable in", reply(obj(x=S)), reply(obj(x={"type": ["string", "null"]})), [("response-prop-became-nullable", True, P + " -> 200", "x")]),
-    ("nullable out", body(obj(x={"type": "string", "nullable": True})), body(obj(x=S)), [("request-prop-became-not-nullable", True, P, "x")]),
-    ("nullable widened", body(obj(x=S)), body(obj(x={"type": "string", "nullable": True})), []),
-    ("union required", body(obj(x={"type": "object"})), body(obj(x=union(obj(["b"], b=S), obj(["a"], a=S)))), [("request-prop-added", False, P, "x.a"), ("request-prop-added", False, P, "x.b"), ("request-prop-union-required-tightened", True, P, "x: every union branch now requires [a, b]")]),
-    ("pattern", body(obj(x=S)), body(obj(x={"type": "string", "pattern": ".*"})), [("request-prop-pattern-added", True, P, "x pattern .*")]),
-    ("enum", body(obj(x=S)), body(obj(x={"type": "string", "enum": ["a", "b"]})), [("request-prop-became-enum", True, P, "x enum [a, b]")]),
-    ("union enum", body(obj(x=S)), body(obj(x=union({"type": "string", "enum": ["a"]}, {"type": "string", "pattern": "p"}))), [("request-prop-union-enum-tightened", True, P, "x: every union branch now constrained (enum [a]; pattern p)")]),
-    ("max length", body(obj(x={"type": "string", "maxLength": 9})), body(obj(x={"type": "string", "maxLength": 5})), [("request-prop-max-length-decreased", True, P, "x: maxLength 9 -> 5")]),
-    ("max items", body(obj(x={"type": "array", "maxItems": 9})), body(obj(x={"type": "array", "maxItems": 5})), [("request-prop-max-items-decreased", True, P, "x: maxItems 9 -> 5")]),
-    ("min items", body(obj(x={"type": "array"})), body(obj(x={"type": "array", "minItems": 1})), [("request-prop-min-items-increased", True, P, "x: minItems none -> 1")]),
-    ("enum values", body(obj(x={"enum": ["a", "b"]})), body(obj(x={"enum": ["b", "c"]})), [("enum-value-added", False, P, "x = c"), ("enum-value-removed", True, P, "x = a")]),
-    ("became required", body(obj(x=S)), body(obj(["x"], x=S)), [("request-prop-became-required", True, P, "x")]),
-    ("became optional", reply(obj(["x"], x=S)), reply(obj(x=S)), [("response-prop-became-optional", False, P + " -> 200", "x")]),
-    ("added required", body(obj()), body(obj(["x"], x=S)), [("request-prop-added-required", True, P, "x")]),
-    ("added under a new parent", body(obj()), body(obj(y=obj(["x"], x=S))), [("request-prop-added", False, P, "y"), ("request-prop-added", False, P, "y.x")]),
-    ("deep removed", body(deep(S)), body(obj(a=obj(b=obj(c=obj(d=obj(e=obj())))))), [("request-prop-removed", True, P, "a.b.c.d.e.f")]),
-    ("deep type", body(deep(S)), body(deep(I)), [("request-prop-type-changed", True, P, "a.b.c.d.e.f: string -> integer")]),
-    ("second media", op(requestBody={"content": {"a": {"schema": obj(x=S)}, "b": {"schema": obj(x=S, y=S)}}}), op(requestBody={"content": {"a": {"schema": obj(x=S)}, "b": {"schema": obj(x=S)}}}), [("request-prop-removed", True, P, "y")]),
-    ("media deduped", op(requestBody={"content": {"a": {"schema": obj(y=S)}, "b": {"schema": obj(y=S)}}}), op(requestBody={"content": {"a": {"schema": obj()}, "b": {"schema": obj()}}}), [("request-prop-removed", True, P, "y")]),
-    ("branch", mapped(obj(t=S, x=S, e={"type": "string", "enum": ["a", "b"]})), mapped(obj(["x"], t=S, x=S, e={"type": "string", "enum": ["a"]})), [("enum-value-removed", True, P, "e = b (branch x)"), ("request-prop-became-required", True, P, "x (branch x)")]),
-    ("status", reply(S), op(responses={}), [("response-status-removed", True, P + " -> 200", "")]),
-    ("error status", reply(S, "404"), op(responses={}), []),
-    ("reply type", reply({"type": "object"}), reply({"type": "array"}), [("response-body-type-changed", True, P + " -> 200", "object -> array")]),
-    ("format only", body(obj(x={"type": "string", "format": "date"})), body(obj(x=S)), []),
-    ("circular", {"components": {"s": {"properties": {"me": {"$ref": "#/components/s"}}}}, **body({"$ref": "#/components/s"})}, {"components": {"s": {"properties": {"me": {"$ref": "#/components/s"}}}}, **body({"$ref": "#/components/s"})}, []),
-]
+CASES = cases.SPECS
 
 
 @pytest.fixture(scope="module")
