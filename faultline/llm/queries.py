@@ -18,50 +18,60 @@ def _remainder(n: int):
 
 
 def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every text; rows whose id has remainder 2 modulo 4 are held out from learning."""
     docs = _documents(spark, sf_dir)
     model = language.fit(docs.where(_remainder(4) != 2).select("doc_id", "text", "lang"))
     return language.predict(docs.select("doc_id", "text", (_remainder(4) == 2).alias("held_out")), model).drop("text")
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in sequences of at most 4096 tokens, a row for each piece."""
     pieces = packing.sequences(_documents(spark, sf_dir))
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
 def op3_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts, base rules and robust outliers of every document."""
     return outliers.judge(_documents(spark, sf_dir))
 
 
 def op4_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The near-duplicate class of every document."""
     return neardup.classes(_documents(spark, sf_dir))
 
 
 def op5_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's ids, written as framed records and read back."""
     path = scratch.scratch_path(spark, "records")
     records.write(_documents(spark, sf_dir), path)
     return records.read(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
 def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every license found in every text, with its differences."""
     return licenses.scan(_documents(spark, sf_dir))
 
 
 def op7_separators(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every document, found in flat token files by their separators."""
     path = scratch.scratch_path(spark, "tokens")
     separators.write(_documents(spark, sf_dir), path)
     return separators.counts(spark, path)
 
 
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document that lie in benchmark windows, and the items."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     return decontaminate.judge(_documents(spark, sf_dir), benchmark).drop("spans", "items")
 
 
 def op9_ctw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probability of every text; rows whose id has remainder 2 modulo 7 are held out from learning."""
     return ctw.score(_documents(spark, sf_dir), _remainder(7) == 2)
 
 
 def op10_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every stretch that repeats an earlier run of sentences."""
     return spans.report(_documents(spark, sf_dir), every=True)
 
 
