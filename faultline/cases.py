@@ -168,6 +168,24 @@ CALLS = [
     ("out.js", _STRIPE + "const shared = new Stripe(k);\nexport { shared };\nexport default shared;\n", []),
     ("again.js", "export { shared as pay } from './out';\nexport * from './out.js';\n", []),
     ("in.js", "import { pay, shared } from './again';\nimport other, * as all from './out';\npay.refunds.create();\nshared.payouts.list();\n", [("stripe client.refunds.create", 3), ("stripe client.payouts.list", 4)]),
+    ("parts.js", "const Stripe = require('stripe');\nconst shared = new Stripe(k);\nmodule.exports = { shared };\n", []),
+    ("whole.js", "const Stripe = require('stripe');\nconst pay = new Stripe(k);\nmodule.exports = pay;\n", []),
+    ("common.js", "const parts = require('./parts');\nconst { shared } = require('./parts');\nconst pay = require('./whole');\npay.tokens.create();\nshared.topups.list();\nparts.shared.payouts.list();\n", [("stripe client.tokens.create", 4), ("stripe client.topups.list", 5), ("stripe client.payouts.list", 6)]),
+    ("lazy.js", "async function f() {\n  const { shared } = await import('./out');\n  const all = await import('./out');\n  const one = (await import('./out')).shared;\n  shared.refunds.list();\n  all.shared.disputes.list();\n  all.default.events.list();\n  one.coupons.list();\n}\n", [("stripe client.refunds.list", 5), ("stripe client.disputes.list", 6), ("stripe client.events.list", 7), ("stripe client.coupons.list", 8)]),
+    ("then.js", "import('./out').then(({ shared }) => shared.refunds.list());\nimport('./out').then((m) => {\n  m.shared.plans.list();\n});\n", [("stripe client.refunds.list", 1), ("stripe client.plans.list", 3)]),
+    ("stored.js", "const p = import('./out');\np.then(({ shared }) => shared.prices.list());\nconst all = await p;\nall.shared.quotes.list();\n", [("stripe client.prices.list", 2), ("stripe client.quotes.list", 4)]),
+    ("every.js", "const [{ shared: s }, b] = await Promise.all([import('./out'), import('./again')]);\ns.payouts.list();\nb.pay.refunds.list();\n", [("stripe client.payouts.list", 2), ("stripe client.refunds.list", 3)]),
+    ("lost.js", "const { shared } = await import('./out');\nlist.forEach((shared) => shared.refunds.list());\nlet all = await import('./out');\nall = other;\nall.shared.plans.list();\nconst one = await import('./out');\ntry { f(); } catch (one) { one.shared.a(); }\n", []),
+    ("quoted.js", "const s = \"const { shared } = await import('./out'); \";\nshared.refunds.list();\n", []),
+    ("package.js", "const { default: Stripe } = await import('stripe');\nconst a = new Stripe(k);\na.balance.retrieve();\n", [("stripe client.balance.retrieve", 3)]),
+    ("typed.ts", _STRIPE + "class A {\n  constructor(private readonly pay: Stripe, private log: Log) {}\n  go() { this.pay.charges.list(); this.log.charges.list(); }\n}\n", [("stripe client.charges.list", 4)]),
+    ("given.ts", _STRIPE + "class A {\n  constructor(pay: Stripe) { this.pay = pay; }\n  go() { this.pay.charges.list(); }\n}\n", [("stripe client.charges.list", 4)]),
+    ("reused.ts", _STRIPE + "class A {\n  constructor(pay: Stripe) { this.pay = pay; }\n}\nclass B {\n  set(pay) { return pay.charges.list(); }\n}\n", []),
+    ("conflict.ts", _STRIPE + "class A {\n  private c: Stripe;\n  a() { this.c.charges.list(); }\n}\nclass B {\n  private c: Other;\n  b() { this.c.charges.list(); }\n}\n", []),
+    ("typed.php", "<?php\nuse Twilio\\Rest\\Client;\nclass A {\n  public function __construct(private Client $t) {}\n  function go() { $this->t->messages->create(1); }\n}\n", [("Twilio client.messages.create", 5)]),
+    ("given.php", "<?php\nuse Twilio\\Rest\\Client;\nclass A {\n  public function __construct(Client $t) {\n    $this->t = $t;\n  }\n  function go() { $this->t->calls->create(1); }\n}\n", [("Twilio client.calls.create", 7)]),
+    ("memo.rb", "require 'stripe'\ndef pay\n  @pay ||= Stripe::Client.new(key)\nend\npay.charges.create(1)\n", [("stripe client.charges.create", 5)]),
+    ("memos.rb", "require 'stripe'\nclass A\n  def pay\n    @a ||= Stripe::Client.new(key)\n  end\nend\nclass B\n  def pay\n    @b ||= Other.new\n  end\nend\npay.charges.create(1)\n", []),
     ("with.py", _SLACK + "with WebClient(t) as s:\n    s.chat.postMessage()\nif (w := WebClient(t)):\n    w.api.test()\n", [("slack_sdk client.chat.postMessage", 3), ("slack_sdk client.api.test", 5)]),
     ("guard.py", _SLACK + "def f(self):\n    if self.c is None:\n        self.c = WebClient(t)\n    self.c.files.upload()\n    if not other:\n        d = WebClient(t)\n    d.files.list()\n", [("slack_sdk client.files.upload", 5)]),
     ("either.py", _SLACK + "a = WebClient(x) if live else WebClient(y)\na.team.info()\nb = given or WebClient(x)\nb.team.info()\n", [("slack_sdk client.team.info", 3)]),

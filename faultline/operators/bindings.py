@@ -55,6 +55,26 @@ _BUILD = {
     "php": r"new\s+\\?(?P<ctor>[A-Z]\w*(?:\\\w+)*)\s*\(",
 }
 _DOT = {"js": r"(?:\?\.|!?\.)", "py": r"\.", "go": r"\.", "rb": r"\.", "php": r"->"}
+#: A dynamic import, or the name of a stored one; and the forms that take a module out of it.
+_LOAD = rf"(?:import\s*\(\s*['\"](?P<module>[^'\"]+)['\"]\s*\)|(?P<stored>{_N}))"
+_LOADED = [
+    rf"(?:const|let|var)\s+(?:\{{(?P<named>[^}}]*)\}}|(?P<space>{_N}))\s*=\s*await\s+{_LOAD}\s*(?:;|$)",
+    rf"(?:const|let|var)\s+(?P<one>{_N})\s*=\s*\(\s*await\s+{_LOAD}\s*\)\s*\.\s*(?P<head>{_N})\s*(?:;|$)",
+    rf"(?<![\w$.]){_LOAD}\s*\.\s*then\s*\(\s*(?:async\s+)?\(?\s*(?:\{{(?P<named>[^}}]*)\}}|(?P<space>{_N}))\s*\)?\s*=>",
+]
+_STORED = rf"(?m)(?:const|let|var)\s+({_N})\s*=\s*import\s*\(\s*['\"]([^'\"]+)['\"]\s*\)\s*(?:;|$)"
+_ALL_LOADED = r"(?:const|let|var)\s+\[(?P<names>[^\]=]*)\]\s*=\s*await\s+Promise\s*\.\s*all\s*\(\s*\[(?P<loads>[^\]]*)\]\s*\)"
+#: Fields and constructor parameters with a type, where the declaration alone says what they hold.
+_TYPED = {
+    "js": [
+        (rf"(?:private|protected|public|readonly)\s+(?:readonly\s+)?(?P<name>{_N})\s*[!?]?:\s*(?P<ctor>[A-Z][\w$]*(?:\.{_N})*)\s*(?=[,;)\n])", "this."),
+        (rf"\bconstructor\s*\(\s*(?P<name>{_N})\s*:\s*(?P<ctor>[A-Z][\w$]*(?:\.{_N})*)\s*(?=[,)])", ""),
+    ],
+    "php": [
+        (r"(?:private|protected|public)\s+(?:readonly\s+)?\??\\?(?P<ctor>[A-Z]\w*(?:\\\w+)*)\s+\$(?P<name>\w+)\s*(?=[,;)])", "$this->"),
+        (r"__construct\s*\(\s*\\?(?P<ctor>[A-Z]\w*(?:\\\w+)*)\s+\$(?P<name>\w+)\s*(?=[,)])", "$"),
+    ],
+}
 
 
 def _names(text: str) -> Iterator[tuple[str, str]]:
@@ -73,6 +93,7 @@ class File:
         self.prose, self.code = lexer.mask_prose(text, lang), lexer.mask_code(text, lang)
         self.lines = text.split("\n")
         self.rows: list[tuple] = []
+        self.stored = {m.group(1): m.group(2) for m in re.finditer(_STORED, self.prose)} if lang == "js" else {}
 
     def add(self, fact: str, name: str, target: str | None = None, member: str | None = None, chain: str | None = None, at: int = 0) -> None:
         line = self.text.count("\n", 0, at) + 1
@@ -82,7 +103,11 @@ class File:
         self._modules()
         self._assignments()
         if self.lang == "js":
+            self._loaded()
             self._exports()
+        if self.lang == "rb":
+            self._accessors()
+        self._typed()
         self._calls()
         return self.rows
 
@@ -101,6 +126,57 @@ class File:
                     default = {"py": module.split(".")[0], "go": re.sub(r"^go-|-go$", "", re.sub(r"/v\d+$", "", module).split("/")[-1]), "rb": module, "php": module.split("\\")[-1]}.get(self.lang)
                 if default:
                     self.add("import" if local else "module", default, module, "@default", at=m.start("module"))
+                    if local and "require" in m.group():  # what a file exports one by one, too
+                        self.add("import", default, module, "*", at=m.start("module"))
+
+    def _binders(self, name: str) -> int:
+        """How often a name is a parameter, or the head of a catch or a loop."""
+        n = re.escape(name)
+        forms = rf"(?:catch|for\s+await|for)\s*\(\s*(?:const\s+|let\s+|var\s+)?{n}\b|(?<![\w$.]){n}\s*=>|\([^()]*(?<![\w$.:]){n}(?![\w$])[^()]*\)\s*(?:=>|\{{)"
+        return sum(not re.match(r"(?:if|while|switch)\b", self.code[max(0, m.start() - 7) : m.start()].split("\n")[-1].strip()) for m in re.finditer(forms, self.code))
+
+    def _loaded(self) -> None:
+        """Names that hold an imported module, or a part of it, once its promise is awaited. A name that is also bound in
+        another way is left out, since the text does not say which one a call means."""
+        writes = [name for _, fact, name, *_ in self.rows if fact in ("client", "alias", "other")]
+        stored = {n: module for n, module in self.stored.items() if n not in writes and not self._binders(n)}
+        real = lambda m: self.code.startswith(m.group()[:5], m.start())
+        for k, pattern in enumerate(_LOADED):
+            for m in filter(real, re.finditer(pattern, self.prose, re.M)):
+                g = m.groupdict()
+                self._load(g["module"] or stored.get(g["stored"]), g.get("named"), g.get("space"), (g.get("head"), g.get("one")), m.start(), int(k == 2))
+        for m in filter(real, re.finditer(_ALL_LOADED, self.prose)):
+            names, loads = re.split(r",(?![^{]*\})", m.group("names")), m.group("loads").split(",")
+            for name, load in zip(names, loads):
+                source, name = re.fullmatch(_LOAD, load.strip()), name.strip()
+                if source and name:
+                    named = name.strip("{}") if name.startswith("{") else None
+                    self._load(source["module"] or stored.get(source["stored"]), named, None if named else name, (None, None), m.start(), 0)
+
+    def _load(self, module: str | None, named: str | None, space: str | None, head: tuple, at: int, own: int) -> None:
+        if not module:
+            return
+        pairs = [*_names(named or ""), *([("*", space)] if space else []), *([head] if head[1] else [])]
+        for member, name in pairs:
+            if self._binders(name) <= own and not any(r[1] in ("client", "alias", "other") and r[2] == name for r in self.rows):
+                self.add("import" if module.startswith(".") else "module", name, module, "@default" if member == "default" else member, at=at)
+
+    def _typed(self) -> None:
+        """Fields and parameters whose type is a client's class, if nothing in the file writes them and one type is given."""
+        said: dict[str, list] = {}
+        for pattern, before in _TYPED.get(self.lang, ()):
+            for m in re.finditer(pattern, self.code):
+                said.setdefault(before + m.group("name"), []).append(m)
+        written = {name for _, fact, name, *_ in self.rows if fact in ("client", "alias", "other")}
+        for name, found in said.items():
+            plain = self.lang == "js" and not name.startswith("this.")
+            if name not in written and len({m.group("ctor") for m in found}) == 1 and not (plain and self._binders(name) > len(found)):
+                self.add("client", name, found[0].group("ctor"), at=found[0].start())
+
+    def _accessors(self) -> None:
+        """Methods that do nothing but build a field once: their name stands for the field."""
+        for m in re.finditer(r"(?m)^\s*def\s+(?:self\.)?(?P<name>[a-z_]\w*)[ \t]*(?:\([ \t]*\))?[ \t]*\n\s*(?P<field>@{1,2}\w+)\s*\|\|=[^\n]*\n\s*end\b", self.code):
+            self.add("alias", m.group("name"), m.group("field"), chain="", at=m.start("name"))
 
     def _value(self, name: str, at: int) -> None:
         """What the value at ``at`` gives a name: a client, an alias, or something unknown."""
@@ -111,6 +187,10 @@ class File:
             self.add("alias", name, again.group("next"), chain="", at=at)
             return
         m = re.compile(_BUILD[self.lang]).match(self.code, at)
+        if m and self.lang == "js" and m.group("factory") in ("require", "import"):
+            close = closing(self.code, m.end() - 1)
+            if close is not None and not re.compile(r"\s*(?:\?\.|\.|\()").match(self.code, close + 1):
+                return  # a module: it is named where modules are
         if m:
             g = m.groupdict()
             ctor = g.get("ctor") or g.get("factory")
@@ -122,10 +202,14 @@ class File:
             self.add("other" if trailer else "client", name, ctor, at=at)
             return
         m = re.compile(rf"(?P<root>(?:this\.|self\.|\$|@)?{_N})(?P<chain>(?:{_DOT[self.lang]}{_N})*)[ \t]*(?:;|,|$|\n)").match(self.code, at)
+        if m and m.group("root") in self.stored:
+            return  # what an awaited promise gives is named with the imports
         if m and m.group("root") not in ("new", "null", "undefined", "None", "nil", "true", "false"):
             chain = re.sub(_DOT[self.lang], ".", m.group("chain")).strip(".")
             self.add("alias", name, m.group("root"), chain=chain, at=at)
             return
+        if self.lang == "js" and re.compile(r"\(\s*await\s+import\b").match(self.code, at):
+            return
         empty = re.compile(r"(?:null|undefined|None|nil)\b").match(self.code, at)
         if not empty:
             self.add("other", name, at=at)
@@ -311,6 +395,7 @@ def exported_roots(facts: DataFrame, roots: DataFrame, files: DataFrame, passes:
     source = table.select(F.col("file").alias("source"), F.col("public").alias("member"), "module", "provider", "ctor", "prefix")
     named = taken.join(source, ["source", "member"]).select("file", "name", "module", "provider", "ctor", "prefix")
     spaces = taken.where("member = '*'").drop("member").join(source, "source")
-    spaces = spaces.select("file", F.concat_ws(".", "name", "member").alias("name"), "module", "provider", "ctor", "prefix")
+    member = F.when(F.col("member") == "@default", "default").otherwise(F.col("member"))
+    spaces = spaces.select("file", F.concat_ws(".", "name", member).alias("name"), "module", "provider", "ctor", "prefix")
     shadowed = facts.where(F.col("fact").isin("client", "alias", "other")).select("file", "name").distinct()
     return named.unionByName(spaces).distinct().join(shadowed, ["file", "name"], "left_anti")

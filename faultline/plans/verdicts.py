@@ -50,6 +50,17 @@ def review(impacts: DataFrame, verdicts: DataFrame) -> DataFrame:
     return R.upsert(impacts, ok, "id", ["confidence"], [F.col("v.position")], F.col("b.confidence") == "medium")
 
 
+def draft_candidates(assets: DataFrame, covered: DataFrame, sites: DataFrame, files: DataFrame, size: int = V.DRAFT_BYTES, most: int = 3) -> DataFrame:
+    """Changes a draft may be written for: id, files. assets (id, fixability) says that code can fix them, no pack covers them
+    (covered: id), and some file that uses them (sites: id, path) can be read and is small enough (files: path, length); the
+    first ``most`` files by path are listed."""
+    wanted = assets.where(F.col("fixability") == "code-fixable").select("id").distinct().join(covered, "id", "left_anti")
+    small = files.where(F.col("length") <= size).select("path")
+    used = sites.select("id", "path").distinct().join(wanted, "id", "left_semi").join(small, "path")
+    first = R.cap(used, ["id"], [F.col("path")], most)
+    return first.groupBy("id").agg(F.sort_array(F.collect_list("path")).alias("files"))
+
+
 def audit(packs: DataFrame, covers: DataFrame, changes: DataFrame) -> DataFrame:
     """Status of each pack (pack, provider, revalidated_through; covers: pack, id): no-covers, covers-missing, stale with the newer
     changes, or fresh; with its baseline, covered surfaces, and through when it may be called valid again."""

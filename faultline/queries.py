@@ -209,6 +209,49 @@ def draft_candidates(spark, sf_dir):
     return assets.join(d, "doc_id", "left_semi").join(d.where("lang = 'de'"), "doc_id", "left_anti").select("doc_id", "quality")
 
 
+@query(
+    """WITH f AS (SELECT p_partkey, p_partkey::VARCHAR AS path FROM part WHERE p_size * 2000 <= 65536),
+u AS (SELECT DISTINCT l_orderkey AS id, path FROM lineitem JOIN f ON p_partkey = l_partkey JOIN orders ON o_orderkey = l_orderkey WHERE o_orderstatus = 'F' AND o_orderpriority <> '1-URGENT'),
+r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY path) AS k FROM u)
+SELECT id, string_agg(path, ',' ORDER BY path) AS files FROM r WHERE k <= 3 GROUP BY id"""
+)
+def draft_files(spark, sf_dir):
+    """P-13: changes to draft, with the first three of their files that are small enough."""
+    from .plans import verdicts
+
+    o = _t(spark, sf_dir, "orders")
+    assets = o.select(F.col("o_orderkey").alias("id"), F.when(F.col("o_orderstatus") == "F", "code-fixable").otherwise("needs-review").alias("fixability"))
+    covered = o.where("o_orderpriority = '1-URGENT'").select(F.col("o_orderkey").alias("id"))
+    sites = _t(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("id"), F.col("l_partkey").cast("string").alias("path"))
+    files = _t(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("path"), (F.col("p_size") * 2000).alias("length"))
+    return verdicts.draft_candidates(assets, covered, sites, files).select("id", F.array_join("files", ",").alias("files"))
+
+
+@query(
+    """WITH s AS (SELECT o_orderkey AS k, 'C' || o_orderstatus AS ctor, 'a' || o_custkey % 7 AS anchor, 'm' || o_orderkey % 5 AS method FROM orders)
+SELECT 'one' AS pack, 'controller-call' AS kind, anchor || '.' || method AS declared, k AS file FROM s WHERE ctor = 'CF' AND anchor = 'a1' AND method IN ('m0', 'm3')
+UNION ALL SELECT 'two', 'controller-call', anchor || '.' || method, k FROM s WHERE ctor = 'CO' AND anchor = 'a2' AND method = 'm1'
+UNION ALL SELECT 'two', 'sdk-call', method, k FROM s WHERE method = 'm2' UNION ALL SELECT 'one', 'sdk-call', anchor || '.' || method, k FROM s WHERE anchor || '.' || method = 'a6.m4'
+UNION ALL SELECT 'two', 'endpoint', 'GET /v1/a3/{x}', k FROM s WHERE anchor = 'a3'"""
+)
+def packs_touched(spark, sf_dir):
+    """J-9, J-10, J-11: packs that meet an inventory by endpoint, by call chain, or by constructor, anchor and method."""
+    from .plans import inventory
+
+    o = _t(spark, sf_dir, "orders").select("o_orderkey", F.concat(F.lit("C"), "o_orderstatus").alias("ctor"), F.concat(F.lit("a"), F.col("o_custkey") % 7).alias("anchor"), F.concat(F.lit("m"), F.col("o_orderkey") % 5).alias("method"))
+    sites = F.array(F.struct(F.col("o_orderkey").cast("string").alias("file"), F.lit(1).cast("long").alias("line"), F.lit("").alias("snippet")))
+    called = F.concat_ws(".", "anchor", "method")
+    forms = [("controller-call", F.concat_ws(" ", F.lit("pkg"), "ctor", called)), ("sdk-call", F.concat(F.lit("pkg client."), called)), ("endpoint", F.concat(F.lit("/v1/"), "anchor", F.lit("/{param}")))]
+    found = o.select(F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), x.alias("surface"), sites.alias("sites")) for k, x in forms))).alias("x"))
+    found = found.select(F.lit("acme").alias("provider"), "x.*")
+    packs = spark.createDataFrame(
+        [("one", "acme", [], ["a6.m4"], [("CF", "a1", ["m0", "m3"])]), ("two", "acme", ["GET /v1/a3/{x}"], ["m2"], [("CO", "a2", ["m1"])]), ("far", "other", ["GET /v1/a3/{x}"], ["m2"], [("CF", "a1", ["m0"])])],
+        "pack string, provider string, surfaces array<string>, chains array<string>, controllers array<struct<ctor:string,anchor:string,methods:array<string>>>",
+    )
+    out = inventory.packs_touched(found, packs)
+    return out.select("pack", "kind", "declared", F.element_at("evidence", 1)["file"].cast("long").alias("file"))
+
+
 TEMPLATES = ["/p/{id}", "/page/{id}", "/article/{slug}/{id}", "/a/b", "/item/{id}", "/post/{id}", "/news/{id}", "/docs/{id}", "/{any}/{id}"]
 _PATH_SQL = """
 p AS (SELECT page_id, regexp_extract(url, '^[a-z]+://[^/]+(/[^?#]*)', 1) AS path FROM pages),
@@ -257,6 +300,19 @@ def symbol_extract(spark, sf_dir):
     return _t(spark, sf_dir, "documents").select("doc_id", F.size(s).cast("long").alias("n_symbols"), F.array_join(F.array_sort(s), "|").alias("symbols"))
 
 
+@query(
+    rf"""WITH t AS (SELECT doc_id, list_transform(list_concat(regexp_extract_all(text, '(@[a-z0-9-]+/[a-z0-9._-]+)', 1), regexp_extract_all(text, '\b([a-z]+[A-Z][A-Za-z0-9]*)\b', 1),
+regexp_extract_all(text, '\b([A-Z][a-z0-9]+[A-Z][A-Za-z0-9]*)\b', 1), list_filter(regexp_extract_all(text, '\b([A-Za-z_$][\w$]*(?:\.[A-Za-z_$][\w$]*)+)\b', 1), lambda s: NOT regexp_matches(s, '(?i)\.(md|json|yml|yaml|txt|com|org|io)$')),
+regexp_extract_all(text, '\b([a-z][a-z0-9]*(?:_[a-z0-9]+)+)\b', 1), regexp_extract_all(text, '`([^`\n]{{2,80}})`', 1)), lambda s: trim(s)) AS s FROM documents),
+k AS (SELECT doc_id, list_distinct(list_filter(s, lambda s: length(s) BETWEEN 4 AND 80 AND NOT list_contains([{_list(V.STOP_WORDS)}], lower(s)) AND NOT regexp_matches(s, '^[0-9]+$'))) AS s FROM t)
+SELECT doc_id, len(s)::BIGINT AS n_symbols, array_to_string(list_sort(s), '|') AS symbols FROM k"""
+)
+def symbols_named(spark, sf_dir):
+    """PRJ-15: the names that whole texts mention."""
+    s = T.symbols("text")
+    return _t(spark, sf_dir, "documents").select("doc_id", s.alias("s")).select("doc_id", F.size("s").cast("long").alias("n_symbols"), F.array_join(F.array_sort("s"), "|").alias("symbols"))
+
+
 #: Change titles that reach every branch of the classifier.
 TITLES = [
     "Breaking: drops support for v1", "Removed the legacy endpoint", "Remove unused workflow. Renamed ci job", "Deprecated the charges API", "This field will be removed",
@@ -821,7 +877,7 @@ def pack_catalogue(spark, sf_dir):
 
 @query(_rows("file, surface, line", [(file, surface, line) for file, _, want in cases.CALLS for surface, line in want]))
 def proven_calls(spark, sf_dir):
-    """BR-1 to BR-17, MG-1 to MG-6 and their guards, by language: only calls whose roots are proven."""
+    """BR-1 to BR-17, MG-1 to MG-9 and their guards, by language: only calls whose roots are proven."""
     from .plans import inventory
 
     files = spark.createDataFrame([c[:2] for c in cases.CALLS], "path string, text string")
