@@ -326,12 +326,16 @@ def _once(rows: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def _closed(roots: DataFrame, aliases: DataFrame, hops: int) -> DataFrame:
-    """Roots (file, name, module, ctor, prefix) and what is bound to them over aliases; a bound name stays as it is."""
-    bound = fresh = roots
+    """Roots (file, name, module, ctor, prefix) and what is bound to them over aliases; a bound name stays as it is. Each hop is
+    written, so that the plan grows by one table a hop, and the last one is known."""
+    bound = fresh = scratch.materialise(roots, "roots")
     for _ in range(hops):
         step = aliases.select("file", F.col("name").alias("to"), F.col("target").alias("name"), F.col("chain").alias("segment")).join(fresh, ["file", "name"])
         prefix = F.concat_ws(".", F.nullif("prefix", F.lit("")), F.nullif("segment", F.lit("")))
         fresh = step.select("file", F.col("to").alias("name"), "module", "ctor", prefix.alias("prefix")).join(bound.select("file", "name"), ["file", "name"], "left_anti")
+        fresh = scratch.materialise(fresh, "roots")
+        if fresh.isEmpty():
+            break
         bound = bound.unionByName(fresh)
     return bound
 
@@ -345,7 +349,7 @@ def client_roots(facts: DataFrame, packages: DataFrame, hops: int = 5) -> DataFr
     ends = F.filter(steps, lambda i: at(i).isin("/", "\\") | ((at(i) == ".") & ~F.col("path").contains("/")))
     heads = F.array_append(F.transform(ends, lambda i: F.substring("path", F.lit(1), i - 1)), F.col("path"))
     modules = modules.withColumn("module", F.explode(F.array_distinct(heads))).join(packages, "module")
-    writes = _once(facts.where(F.col("fact").isin("client", "alias", "other")), ["file", "name"])
+    writes = scratch.materialise(_once(facts.where(F.col("fact").isin("client", "alias", "other")), ["file", "name"]), "writes")
     built = writes.where("fact = 'client'").drop("member").withColumn("head", F.regexp_extract("target", r"^\\?(\w+)", 1))
     by_name = built.join(modules, "file").where((F.col("head") == F.col("bound")) | (F.lower("head") == F.lower(F.regexp_replace("bound", "[-_]", ""))))
     roots = by_name.select("file", "name", "module", "provider", F.when(~F.col("member").isin("@default", "*"), F.regexp_replace("target", r"^.*[.\\:]", "")).alias("ctor"), F.lit("").alias("prefix")).distinct()

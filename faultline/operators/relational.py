@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .. import scratch
+
 
 def first_writer(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """The first row of each key."""
@@ -93,12 +95,15 @@ def bounds_diff(old: DataFrame, new: DataFrame, key: str, low: str, high: str) -
 
 def closure(roots: DataFrame, edges: DataFrame, hops: int) -> DataFrame:
     """Names reached from ``roots`` (name, target) over ``edges`` (name, via) in at most ``hops`` steps; a name that is
-    bound keeps its first target, and of two ways of equal length the least target. Ends early when nothing is new."""
-    bound = roots.select("name", "target", F.lit(0).alias("hop"))
-    fresh = bound
+    bound keeps its first target, and of two ways of equal length the least target. Each hop is written, so no hop is computed
+    twice; ends early when nothing is new."""
+    bound = fresh = roots.select("name", "target", F.lit(0).alias("hop"))
     for hop in range(1, hops + 1):
         found = edges.join(fresh.select(F.col("name").alias("via"), "target"), "via").groupBy("name").agg(F.min("target").alias("target"))
         fresh = found.join(bound.select("name"), "name", "left_anti").select("name", "target", F.lit(hop).alias("hop"))
+        fresh = scratch.materialise(fresh, "closure")
+        if fresh.isEmpty():
+            break
         bound = bound.unionByName(fresh)
     return bound
 
