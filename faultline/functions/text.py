@@ -183,9 +183,20 @@ def chronology(effective: Column | str, fetched: Column | str) -> Column:
     return F.coalesce(F.nullif(_column(effective), F.lit("")), F.substring(F.coalesce(_column(fetched), F.lit("")), 1, 10))
 
 
-def redact(text: Column | str, secrets: list[tuple[str, str]] = V.SECRETS) -> Column:
-    """Secrets replaced, in order. The assignment rule's value is a group, not a look-behind, which Java would not match."""
-    return reduce(lambda t, s: F.regexp_replace(t, s[0], s[1]), secrets, _column(text))
+def redact(text: Column | str, secrets: list[tuple[str, str]] = V.SECRETS, marks: list[list[str]] = V.SECRET_MARKS) -> Column:
+    """Secrets replaced, in order. The assignment rule's value is a group, not a look-behind, which Java would not match. A
+    pattern is tried only on texts with one of its marks; no pattern can make a mark, so the text as given is what is asked."""
+    low = F.lower(_column(text))
+
+    def step(t: Column, rule: tuple[tuple[str, str], list[str]]) -> Column:
+        (pattern, new), wanted = rule
+        if not wanted:
+            return F.regexp_replace(t, pattern, new)
+        held = reduce(lambda a, b: a | b, [low.contains(m) for m in wanted])
+        once = F.transform(F.array(t), lambda x: F.when(held, F.regexp_replace(x, pattern, new)).otherwise(x))  # names x, so that t stands once
+        return F.get(once, F.lit(0))
+
+    return reduce(step, zip(secrets, marks, strict=True), _column(text))
 
 
 def is_redacted(text: Column | str) -> Column:
