@@ -171,6 +171,7 @@ CALLS = [
     ("parts.js", "const Stripe = require('stripe');\nconst shared = new Stripe(k);\nmodule.exports = { shared };\n", []),
     ("whole.js", "const Stripe = require('stripe');\nconst pay = new Stripe(k);\nmodule.exports = pay;\n", []),
     ("common.js", "const parts = require('./parts');\nconst { shared } = require('./parts');\nconst pay = require('./whole');\npay.tokens.create();\nshared.topups.list();\nparts.shared.payouts.list();\n", [("stripe client.tokens.create", 4), ("stripe client.topups.list", 5), ("stripe client.payouts.list", 6)]),
+    ("mixed.js", "const pay = require('./out');\npay.tokens.create();\npay.default.payouts.list();\n", [("stripe client.payouts.list", 3)]),
     ("lazy.js", "async function f() {\n  const { shared } = await import('./out');\n  const all = await import('./out');\n  const one = (await import('./out')).shared;\n  shared.refunds.list();\n  all.shared.disputes.list();\n  all.default.events.list();\n  one.coupons.list();\n}\n", [("stripe client.refunds.list", 5), ("stripe client.disputes.list", 6), ("stripe client.events.list", 7), ("stripe client.coupons.list", 8)]),
     ("then.js", "import('./out').then(({ shared }) => shared.refunds.list());\nimport('./out').then((m) => {\n  m.shared.plans.list();\n});\n", [("stripe client.refunds.list", 1), ("stripe client.plans.list", 3)]),
     ("stored.js", "const p = import('./out');\np.then(({ shared }) => shared.prices.list());\nconst all = await p;\nall.shared.quotes.list();\n", [("stripe client.prices.list", 2), ("stripe client.quotes.list", 4)]),

@@ -125,8 +125,9 @@ class File:
                 if not default and not g.get("named") and not g.get("space"):
                     default = {"py": module.split(".")[0], "go": re.sub(r"^go-|-go$", "", re.sub(r"/v\d+$", "", module).split("/")[-1]), "rb": module, "php": module.split("\\")[-1]}.get(self.lang)
                 if default:
-                    self.add("import" if local else "module", default, module, "@default", at=m.start("module"))
-                    if local and "require" in m.group():  # what a file exports one by one, too
+                    whole = local and self.lang == "js" and "require" in m.group()  # what module.exports is, and all single exports
+                    self.add("import" if local else "module", default, module, "@module" if whole else "@default", at=m.start("module"))
+                    if whole:
                         self.add("import", default, module, "*", at=m.start("module"))
 
     def _binders(self, name: str) -> int:
@@ -281,6 +282,7 @@ class File:
         for m in find(rf"(?m)^\s*module\.exports\s*=\s*(?:({_N})\s*;?\s*$|\{{([^{{}}]*)\}})"):
             if m.group(1):
                 self.add("export", "@default", m.group(1), at=m.start())
+                self.add("export", "@module", m.group(1), at=m.start())
             for name, value in _names(m.group(2) or ""):
                 self.add("export", name, value, at=m.start())
 
@@ -389,7 +391,7 @@ def exported_roots(facts: DataFrame, roots: DataFrame, files: DataFrame, passes:
     for _ in range(passes):
         source = table.select(F.col("file").alias("source"), F.col("public").alias("member"), "module", "provider", "ctor", "prefix")
         one = forward.where("member <> '*'").join(source, ["source", "member"]).select("file", F.col("name").alias("public"), "module", "provider", "ctor", "prefix")
-        star = forward.where("member = '*' AND name = '*'").drop("member").join(source.where("member <> '@default'"), "source").select("file", F.col("member").alias("public"), "module", "provider", "ctor", "prefix")
+        star = forward.where("member = '*' AND name = '*'").drop("member").join(source.where("member NOT IN ('@default', '@module')"), "source").select("file", F.col("member").alias("public"), "module", "provider", "ctor", "prefix")
         fresh = one.unionByName(star).distinct().join(table.select("file", "public"), ["file", "public"], "left_anti")
         fresh = scratch.materialise(fresh.dropDuplicates(["file", "public"]), "exports")
         if fresh.isEmpty():
