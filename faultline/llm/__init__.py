@@ -1,4 +1,4 @@
-"""Training-data operators: ten corpus-scale stages, each usable on its own.
+"""Training-data operators: thirteen corpus-scale stages, each usable on its own.
 
 Nothing else in the library imports this subpackage.
 """

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ctw, decontaminate, language, licenses, neardup, outliers, packing, records, scratch, separators, spans
+from . import ctw, decontaminate, language, licenses, mixing, neardup, outliers, packing, records, repair, scratch, separators, spans, whitening
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,7 +75,25 @@ def op10_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.report(_documents(spark, sf_dir), every=True)
 
 
-QUERIES = {f.__name__: f for f in (op1_language, op2_packing, op3_outliers, op4_neardup, op5_records, op6_licenses, op7_separators, op8_decontaminate, op9_ctw, op10_spans)}
+def op11_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that a mix of all sources takes of every document, and when training meets them."""
+    return mixing.mix(_documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken", "position", "again")
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The leading whitened components of every embedding."""
+    return whitening.whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op13_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults and the cheapest repair of every damaged conversation."""
+    return repair.repair(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (op1_language, op2_packing, op3_outliers, op4_neardup, op5_records, op6_licenses, op7_separators, op8_decontaminate, op9_ctw, op10_spans, op11_mixing, op12_whitening, op13_repair)
+}
 
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
