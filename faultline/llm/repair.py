@@ -250,7 +250,7 @@ def follow_rows(frame: pd.DataFrame, threads: pd.DataFrame) -> pd.DataFrame:
 def follow(frame: pd.DataFrame) -> pd.DataFrame:
     """The set of states in which the repair enters each block of one conversation."""
     frame, entry = frame.sort_values("block"), [1]
-    for m in frame.map.iloc[:-1]:
+    for m in frame["map"].iloc[:-1]:
         entry.append(int(m[entry[-1]]))
     return pd.DataFrame({"conv": frame.conv, "block": frame.block, "entry": entry})
 
@@ -335,9 +335,9 @@ def turns_of(conversations: DataFrame) -> DataFrame:
     )
     d = scratch.materialise(d, "turns")
     turn = F.struct(F.col("turn").isNotNull().alias("known"), F.col("turn").alias("turn"))
-    firsts = d.groupBy("conv", "h1", "h2").agg(F.min(turn).alias("f")).select("conv", "h1", "h2", F.col("f.turn").alias("first_turn"), F.lit(True).alias("is_first"))
-    same = (d["conv"] == firsts["conv"]) & (d["h1"] == firsts["h1"]) & (d["h2"] == firsts["h2"]) & d["turn"].eqNullSafe(firsts["first_turn"])
-    return d.join(firsts, same, "left").select(*(d[c] for c in d.columns), F.coalesce("is_first", F.lit(False)).alias("first"))
+    firsts = d.groupBy("conv", "h1", "h2").agg(F.min(turn).alias("f")).select(*(F.col(k).alias(f"f_{k}") for k in ("conv", "h1", "h2")), F.col("f.turn").alias("f_turn"))
+    same = (F.col("conv") == F.col("f_conv")) & (F.col("h1") == F.col("f_h1")) & (F.col("h2") == F.col("f_h2")) & F.col("turn").eqNullSafe(F.col("f_turn"))
+    return d.join(firsts, same, "left").select(*d.columns, F.col("f_conv").isNotNull().alias("first"))
 
 
 def repair(conversations: DataFrame) -> DataFrame:

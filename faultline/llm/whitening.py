@@ -167,7 +167,7 @@ def _error_row(dim: int, part: int, m) -> pd.DataFrame:
 def _merged_rows(frame: pd.DataFrame) -> pd.DataFrame:
     total = None
     for r in frame.itertuples():
-        total = merged(total, (int(r.n), np.array(r.mean), np.array(r.m2).reshape(len(r.mean), -1)))
+        total = merged(total, (int(r.n), np.array(r.mean), np.array(r.m2).reshape((len(r.mean),) * 2)))
     return _error_row(int(frame.dim.iloc[0]), 0, total)
 
 
@@ -242,8 +242,8 @@ def whiten(vectors: DataFrame, top: int = 16, column: str = "embedding", id_colu
         errors, out = fit_list.mapInArrow(moments, _ERROR), rows.mapInArrow(project, _OUT)
     else:
         sizes = scratch.materialise(rows.groupBy("dim").agg(F.greatest(F.lit(1), F.ceil(F.count("*") / _ROWS)).cast("long").alias("blocks")), "blocks")
-        blocks = lambda df, key: df.join(sizes, "dim").withColumn("block", F.pmod(key, F.col("blocks")))
-        copies = models.join(sizes, "dim").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+        blocks = lambda df, key: df.join(sizes, "dim").withColumn("block", F.pmod(key, "blocks")).drop("blocks")
+        copies = models.join(sizes.toDF("dim", "copies"), "dim").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)))
 
         def moments_of(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
             if left.empty:

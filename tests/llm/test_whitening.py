@@ -55,7 +55,7 @@ def cases():
     rows += rows[:7] + [(70 + i, rows[3][1], "x", "y") for i in range(20)]  # repeated rows, equal vectors
     rows += [(100, None, "x", "y"), (101, [1.0, None, 0.0, 0.0, 0.0], "x", "y"), (102, [float("nan")] * 5, "x", "y"), (103, [float("inf")] * 5, "x", "y"), (104, [], "x", "y")]
     rows += [(200 + i, [float(e) for e in rng.normal(0, 1, 3)], "x", "y") for i in range(9)] + [(None, [0.5, 0.25, 0.125], "x", "y")]
-    rows += [(300 + i, [0.5 * i, 1.0, 0.25 * i * i, -i, 0.0, 7.0, i], "x", "y") for i in range(6)]  # constant and dependent dimensions
+    rows += [(300 + i, [0.5 * i, 1.0, 0.25 * i * i, -1.0 * i, 0.0, 7.0, 1.0 * i], "x", "y") for i in range(6)]  # constant and dependent dimensions
     return rows + [(400, [2.0] * 18, "x", "y")]  # one vector: no spread
 
 
