@@ -1,7 +1,8 @@
 """Operator 2: packing by first-fit decreasing in randomised groups.
 
 Documents become token ids with an end id. Pieces of at most one sequence's capacity go to groups at
-random (a seeded hash of the task and of the piece's number in it, so equal rows spread too); each group is packed on its own by first-fit decreasing, with a tournament tree of bin capacities that finds
+random (a seeded hash of the task and of the piece's number in it, so equal rows spread too) and are written with their
+groups, so a task that is run again cannot deal a piece to another group; each group is packed on its own by first-fit decreasing, with a tournament tree of bin capacities that finds
 the leftmost bin with room in O(log bins). Documents may be cut, so gaps that first-fit leaves are filled from the
 group's emptiest bins, and the one bin that stays partial is cut at powers of two, which need no padding.
 
@@ -155,7 +156,8 @@ def sequences(
                     ["grp", "doc_id", "start", "length", "doc_tokens", "wide", "ids"],
                 )
 
-    pieces = docs.mapInArrow(encode, "grp long, doc_id long, start long, length long, doc_tokens long, wide int, ids binary")
+    pieces = scratch.materialise(docs.mapInArrow(encode, "grp long, doc_id long, start long, length long, doc_tokens long, wide int, ids binary"), "pieces")
+
     def one_group(table: pa.Table) -> pa.Table:
         table = table.sort_by([("doc_tokens", "ascending"), ("doc_id", "ascending"), ("start", "ascending")]).combine_chunks()
         group = table.column("grp")[0].as_py()
