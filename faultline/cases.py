@@ -191,6 +191,24 @@ CALLS = [
     ("guard.py", _SLACK + "def f(self):\n    if self.c is None:\n        self.c = WebClient(t)\n    self.c.files.upload()\n    if not other:\n        d = WebClient(t)\n    d.files.list()\n", [("slack_sdk client.files.upload", 5)]),
     ("either.py", _SLACK + "a = WebClient(x) if live else WebClient(y)\na.team.info()\nb = given or WebClient(x)\nb.team.info()\n", [("slack_sdk client.team.info", 3)]),
     ("chained.py", _SLACK + "a = b = WebClient(x)\na.dnd.info()\nb.dnd.set()\n", [("slack_sdk client.dnd.info", 3), ("slack_sdk client.dnd.set", 4)]),
+    ("shadow.js", _STRIPE + "const a = new Stripe(k);\nlist.map((x = make(), a) => a.charges.list());\nfunction f(other = g(1, 2), a) {\n  return a.refunds.list();\n}\na.payouts.list();\n", [("stripe client.payouts.list", 7)]),
+    ("heads.js", _STRIPE + "const a = new Stripe(k);\ntry { go(); } catch (a) { a.charges.list(); }\nfor (const a of all) {\n  a.refunds.list();\n}\nwith_(a);\na.topups.list();\n", [("stripe client.topups.list", 8)]),
+    ("inner.js", _STRIPE + "function f(a) {\n  a = new Stripe(k);\n  a.charges.list();\n}\na.refunds.list();\n", [("stripe client.charges.list", 4)]),
+    ("box.js", _STRIPE + "const box = { tag: 1, sc: new Stripe(k) };\nbox.sc.charges.list();\nconst { sc: s } = box;\ns.refunds.list();\nconst same = box;\nsame.sc.topups.list();\nconst part = box.sc.terminal;\npart.readers.list();\n", [("stripe client.charges.list", 3), ("stripe client.refunds.list", 5), ("stripe client.topups.list", 7), ("stripe client.terminal.readers.list", 9)]),
+    ("boxes.js", _STRIPE + "let box = {};\nbox.sc = new Stripe(k);\nbox = other();\nbox.sc.charges.list();\nconst two = {};\ntwo.sc = new Stripe(k);\ntwo.sc = other();\ntwo.sc.charges.list();\nconst six = wrap({ sc: new Stripe(k) });\nsix.sc.charges.list();\n", []),
+    ("global.js", _STRIPE + "globalThis._a ??= new Stripe(k);\nglobalThis._a.charges.list();\nglobal._b &&= new Stripe(k);\nglobal._b.charges.list();\n", [("stripe client.charges.list", 3)]),
+    ("private.js", _STRIPE + "class A {\n  #a; #b; #c;\n  go() {\n    if (!this.#a) this.#a = new Stripe(k);\n    if (!this.#b) { log(); this.#c = new Stripe(k); }\n    this.#a.charges.list();\n    this.#c.refunds.list();\n  }\n}\n", [("stripe client.charges.list", 7)]),
+    ("slots.js", "exports.pay = require('./parts').shared;\nmodule.exports.term = require('./parts').shared.terminal;\nexports.all = require('./parts');\nexports.risky = require('./parts').shared || {};\n", []),
+    ("slotted.js", "const { pay, term: t, risky } = require('./slots');\nconst { all } = require('./slots');\nconst deep = require('./slots').all.shared.balance;\npay.climate.list();\nt.readers.list();\nall.shared.plans.list();\ndeep.retrieve();\nrisky.plans.list();\n", [("stripe client.climate.list", 4), ("stripe client.terminal.readers.list", 5), ("stripe client.plans.list", 6), ("stripe client.balance.retrieve", 7)]),
+    ("ring.js", "export * from './ring2';\nexport { shared as kept } from './out';\n", []),
+    ("ring2.js", "export * from './ring';\nimport { kept } from './ring';\nexport { kept as twice };\n", []),
+    ("rings.js", "import { twice } from './ring';\ntwice.plans.list();\n", [("stripe client.plans.list", 2)]),
+    ("setter.py", _SLACK + "class A:\n    def use(self, c: WebClient):\n        self.c = c\n    def go(self):\n        self.c.chat.update()\nclass B:\n    def use(self, d: WebClient):\n        d = None\n        self.d = d\n    def go(self):\n        self.d.chat.delete()\n", [("slack_sdk client.chat.update", 6)]),
+    ("scoped.py", _SLACK + "c = WebClient(t)\ndef f(c):\n    c.chat.update()\nfor c in all:\n    c.chat.delete()\nc.api.test()\nif ready and not e: e = WebClient(t)\ne.chat.update()\nif not g: g = WebClient(t)\ng.dnd.info()\n", [("slack_sdk client.api.test", 7), ("slack_sdk client.dnd.info", 11)]),
+    ("lines.py", "from slack_sdk import (\n    WebClient,\n)\nc = WebClient(t)\nc.api.test()\n", [("slack_sdk client.api.test", 5)]),
+    ("const.rb", "require 'stripe'\nPAY = Stripe::Client.new(key)\nPAY.charges.create(1)\nA::B_C = Stripe::Client.new(key)\nB_C.charges.create(1)\nlist.each do |PAY2|\n  PAY.refunds.create(1)\nend\n", [("stripe client.charges.create", 3), ("stripe client.refunds.create", 7)]),
+    ("again.rb", "require 'stripe'\ndef pay\n  @e ||= Stripe::Client.new(key)\nend\ndef pay\n  other\nend\npay.charges.create(1)\n", []),
+    ("arms.php", "<?php\nuse Twilio\\Rest\\Client;\n$a = $x ? new Client($s) : new Client($t)->calls;\n$a->messages->create(1);\n$b = new Client($s)?->calls;\n$b->messages->create(1);\n", []),
     ("m.go", "package main\nimport \"github.com/stripe/stripe-go/v72\"\nfunc f() {\n\tc := stripe.NewClient(k)\n\tc.Charges.List(1)\n}\n", [("github.com/stripe/stripe-go client.Charges.List", 5)]),
     ("m.rb", "require 'stripe'\nclient = Stripe::Client.new(key)\nclient.charges.create(1)\n", [("stripe client.charges.create", 3)]),
     ("m.php", "<?php\nuse Twilio\\Rest\\Client;\n$t = new Client($sid);\n$t->messages->create(1);\n", [("Twilio client.messages.create", 4)]),

@@ -9,6 +9,7 @@ from .. import scratch
 from ..functions import text as T
 from ..functions import vocabulary as V
 from ..operators import bindings as B
+from ..operators import scopes
 from ..operators.relational import cap
 from ..sources import files as S
 
@@ -25,11 +26,11 @@ def surfaces(files: DataFrame, signatures: dict[str, dict] = V.SIGNATURES) -> Da
     base = found.select("provider", kind.alias("kind"), F.col("detail").alias("surface"), "file", "line", "snippet")
     hosts = [h for s in signatures.values() for h in s.get("hosts", ())]
     ends = found.where("kind = 'api-host'").select("provider", F.lit("endpoint").alias("kind"), F.explode(T.endpoints("snippet", hosts)).alias("surface"), "file", "line", "snippet")
-    facts = scratch.materialise(B.code_facts(files), "facts")
+    read = scratch.materialise(B.code_facts(files), "facts")
+    facts = scratch.materialise(scopes.resolved(read), "scoped")
     roots = scratch.materialise(B.client_roots(facts, _packages(files.sparkSession, signatures)), "roots")
     away = B.exported_roots(facts, roots, files)
-    dotted = facts.where("fact = 'call'").withColumns({"name": F.concat_ws(".", "name", F.split("chain", r"\.")[0]), "chain": F.regexp_replace("chain", r"^[^.]+\.", "")})
-    calls = B.surfaces(facts.unionByName(dotted.where("chain <> ''")), roots.select(*away.columns).unionByName(away))
+    calls = B.surfaces(facts, roots.select(*away.columns).unionByName(away))
     return base.unionByName(ends).unionByName(calls).distinct()
 
 

@@ -646,6 +646,36 @@ def code_inventory(spark, sf_dir):
     return rows.groupBy("kind", "surface").agg(F.count("*").alias("sites"))
 
 
+_STRIPE_JS = "const Stripe = require('stripe');\n"
+#: Files by key: name and text with % for the key, and the calls (surface, line) that are proven in them.
+_TREES = [
+    [("shadow", _STRIPE_JS + "const pay% = new Stripe(k);\nlist.forEach((x = make(), pay%) => pay%.refunds.create());\ntry { go(); } catch (pay%) { pay%.plans.list(); }\npay%.charges.create();\n", [("charges.create", 5)])],
+    [("box", _STRIPE_JS + "const box% = { sc: new Stripe(k) };\nconst { sc } = box%;\nsc.payouts.list();\nconst same = box%;\nsame.sc.topups.create();\n", [("payouts.list", 4), ("topups.create", 6)])],
+    [("crate", _STRIPE_JS + "let box% = {};\nbox%.sc = new Stripe(k);\nbox% = other();\nbox%.sc.topups.create();\n", [])],
+    [
+        ("lib", _STRIPE_JS + "const pay% = new Stripe(k);\nexports.pay% = pay%;\n", []),
+        ("slot", "exports.slot = require('./lib%').pay%.terminal;\nexports.all = require('./lib%');\n", []),
+        ("use", "const { slot } = require('./slot%');\nconst { all } = require('./slot%');\nslot.readers.list();\nall.pay%.quotes.list();\n", [("terminal.readers.list", 3), ("quotes.list", 4)]),
+    ],
+    [("cache", _STRIPE_JS + "globalThis._c% ??= new Stripe(k);\nglobalThis._c%.events.list();\n", [("events.list", 3)])],
+    [("class", _STRIPE_JS + "class A {\n  #l; #r;\n  go() { if (!this.#l) { log(); this.#r = new Stripe(k); }\n  return this.#r.events.list(); }\n}\n", [])],
+]
+
+
+@query(" UNION ALL ".join(f"SELECT 'src/{name}' || c_custkey || '.js' AS file, 'stripe client.{call}' AS surface, {line}::BIGINT AS line FROM customer WHERE c_custkey % {len(_TREES)} = {k}" for k, tree in enumerate(_TREES) for name, _, want in tree for call, line in want))
+def resolved_calls(spark, sf_dir):
+    """BR-9, BR-14, MG-2, MG-5, MG-6, MG-9 and the guards of roots and operands: calls by the scope of their names, by what objects
+    hold, and through slots of modules; a tree of files for each customer."""
+    from .plans import inventory
+
+    c = _t(spark, sf_dir, "customer").select("c_custkey")
+    made = F.array(*(F.array(*(F.struct(F.lit(name).alias("name"), F.lit(text).alias("text")) for name, text, _ in tree)) for tree in _TREES))
+    each = c.select("c_custkey", F.explode(F.get(made, (F.col("c_custkey") % len(_TREES)).cast("int"))).alias("f"))
+    key = F.col("c_custkey").cast("string")
+    files = each.select(F.concat(F.lit("src/"), "f.name", key, F.lit(".js")).alias("path"), F.replace("f.text", F.lit("%"), key).alias("text"))
+    return inventory.surfaces(files).where("kind = 'sdk-call'").select("file", "surface", "line")
+
+
 @query(
     """SELECT 'src/f' || c_custkey || '.js' AS path, 'fetch(`https://api.stripe.com/v1/charges/${id}/refund`);' || chr(10) || 'ordersController.createOrder(b' || c_custkey || ');' || chr(10) AS after,
 2::BIGINT AS changed_lines FROM customer WHERE c_custkey % 4 = 2"""
