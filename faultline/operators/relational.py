@@ -53,16 +53,20 @@ def stale(packs: DataFrame, covers: DataFrame, changes: DataFrame) -> DataFrame:
     packs: pack, provider, revalidated_through; covers: pack, id; changes: id, provider, chrono, stream, prerelease,
     firehose, anchor. Firehose changes need an anchor that overlaps a covered one; others only if both sides have any.
     """
-    from ..functions.text import anchors_overlap
+    from .paths import anchor_slot, pairs
 
     known = covers.join(changes.select("id", "chrono", "stream", "anchor"), "id")
-    base = known.groupBy("pack").agg(F.max("chrono").alias("baseline"), F.collect_set("stream").alias("streams"), F.collect_set("anchor").alias("anchors"))
-    newer = packs.join(base, "pack").join(changes, "provider").join(covers, ["pack", "id"], "left_anti")
-    newer = newer.where(F.col("chrono") > F.col("baseline")).where(F.array_contains("streams", F.col("stream"))).where(~F.col("prerelease"))
+    base = known.groupBy("pack").agg(F.max("chrono").alias("baseline"), F.count("anchor").alias("n_anchors"))
+    followed = packs.join(base, "pack").join(known.select("pack", "stream").distinct(), "pack")
+    newer = followed.join(changes, ["provider", "stream"]).join(covers, ["pack", "id"], "left_anti")
+    newer = newer.where(F.col("chrono") > F.col("baseline")).where(~F.col("prerelease"))
     newer = newer.where(F.col("revalidated_through").isNull() | (F.col("chrono") > F.col("revalidated_through")))
-    hit = F.exists("anchors", lambda a: anchors_overlap(a, F.col("anchor")))
-    both = F.col("anchor").isNotNull() & (F.size("anchors") > 0)
-    return newer.where(F.when(F.col("firehose") | both, both & hit).otherwise(True)).select("pack", "id", "chrono", "baseline", "anchor")
+    covered = known.where("anchor IS NOT NULL").select("pack", F.col("anchor").alias("covered")).distinct().join(packs.select("pack", "provider"), "pack")
+    met = pairs(changes.select("provider", "anchor"), covered, ["provider"], "anchor", "covered", anchor_slot, anchor_slot)
+    met = met.select("provider", F.col("path_a").alias("anchor"), F.col("path_b").alias("covered")).join(covered, ["provider", "covered"]).select("pack", "anchor", F.lit(True).alias("hit")).distinct()
+    newer = newer.join(met, ["pack", "anchor"], "left")
+    both = F.col("anchor").isNotNull() & (F.col("n_anchors") > 0)
+    return newer.where(F.when(F.col("firehose") | both, both & F.col("hit").isNotNull()).otherwise(True)).select("pack", "id", "chrono", "baseline", "anchor")
 
 
 def snapshot_diff(old: DataFrame, new: DataFrame, key: str, compared: list[str]) -> DataFrame:

@@ -9,7 +9,7 @@ from .. import scratch
 from ..functions import text as T
 from ..functions import vocabulary as V
 from ..operators import bindings as B
-from ..operators import scopes
+from ..operators import paths, scopes
 from ..operators.relational import cap
 from ..sources import files as S
 
@@ -45,14 +45,14 @@ def touched(found: DataFrame, changes: DataFrame) -> DataFrame:
     """Monitored changes whose anchor overlaps an endpoint in use: change_id, provider, change_type, anchor, endpoint, evidence."""
     live = changes.where(F.col("change_type").isin(V.MONITORED_TYPES)).withColumn("anchor", T.anchor_path("title", "source_url")).where("anchor IS NOT NULL")
     ends = found.where("kind = 'endpoint'").select("provider", F.col("surface").alias("endpoint"), F.slice("sites", 1, 3).alias("evidence"))
-    return live.join(ends, "provider").where(T.paths_overlap(F.col("endpoint"), F.col("anchor"))).select(F.col("id").alias("change_id"), "provider", "change_type", "anchor", "endpoint", "evidence")
+    return paths.overlapping(ends, live, ["provider"], "endpoint", "anchor").select(F.col("id").alias("change_id"), "provider", "change_type", "anchor", "endpoint", "evidence")
 
 
 def packs_touched(found: DataFrame, packs: DataFrame) -> DataFrame:
     """packs (pack, provider, surfaces, chains, controllers: ctor, anchor, methods) that meet the inventory, by any of the three."""
     ends = found.where("kind = 'endpoint'").select("provider", F.col("surface").alias("used"), F.slice("sites", 1, 3).alias("evidence"))
     by_path = packs.select("pack", "provider", F.explode("surfaces").alias("pack_surface")).withColumn("anchor", T.anchor_path("pack_surface", F.lit(None).cast("string")))
-    by_path = by_path.join(ends, "provider").where(T.paths_overlap(F.col("used"), F.col("anchor"))).select("pack", "provider", F.lit("endpoint").alias("kind"), F.col("pack_surface").alias("declared"), "used", "evidence")
+    by_path = paths.overlapping(ends, by_path, ["provider"], "used", "anchor").select("pack", "provider", F.lit("endpoint").alias("kind"), F.col("pack_surface").alias("declared"), "used", "evidence")
     sdk = found.where("kind = 'sdk-call'").select("provider", F.col("surface").alias("used"), F.slice("sites", 1, 3).alias("evidence"), F.explode(T.chain_suffixes(F.regexp_extract("surface", r"(\S+)\z", 1))).alias("declared"))
     by_chain = packs.select("pack", "provider", F.explode("chains").alias("declared")).join(sdk, ["provider", "declared"]).select("pack", "provider", F.lit("sdk-call").alias("kind"), "declared", "used", "evidence")
     part = F.split("surface", " ")

@@ -262,19 +262,46 @@ y AS (SELECT *, least(len(a), len(b)) AS n, greatest(len(a), len(b)) AS m FROM x
 
 @query(f"WITH {_PATH_SQL} SELECT page_id, template FROM y WHERE n > 0 AND (n >= 2 OR n = m) AND len(list_filter(range(1, n + 1), lambda i: NOT (a[i] = b[i] OR a[i] = '{{param}}' OR regexp_matches(b[i], '^\\{{[^}}]+\\}}$')))) = 0")
 def path_overlap(spark, sf_dir):
-    """J-5: endpoints in code against anchors of changes."""
-    return _paths(spark, sf_dir, T.paths_overlap)
+    """J-5: endpoints in code against anchors of changes, joined by keys of their segments."""
+    from .operators.paths import code_slot
+
+    return _paths(spark, sf_dir, code_slot)
 
 
 @query(f"WITH {_PATH_SQL} SELECT page_id, template FROM y WHERE n > 0 AND (n >= 2 OR n = m) AND len(list_filter(range(1, n + 1), lambda i: NOT (a[i] = b[i] OR regexp_matches(a[i], '^\\{{[^}}]+\\}}$') OR regexp_matches(b[i], '^\\{{[^}}]+\\}}$')))) = 0")
 def path_overlap_anchors(spark, sf_dir):
     """J-6: anchors against anchors, slots on both sides."""
-    return _paths(spark, sf_dir, T.anchors_overlap)
+    from .operators.paths import anchor_slot
+
+    return _paths(spark, sf_dir, anchor_slot)
+
 
+def _paths(spark, sf_dir, slot):
+    from .operators.paths import overlapping
 
-def _paths(spark, sf_dir, test):
     pages = _t(spark, sf_dir, "pages").select("page_id", F.regexp_extract("url", r"^[a-z]+://[^/]+(/[^?#]*)", 1).alias("path"))
-    return pages.withColumn("template", F.explode(F.array(*map(F.lit, TEMPLATES)))).where(test(F.col("path"), F.col("template"))).select("page_id", "template")
+    return overlapping(pages, spark.createDataFrame([(t,) for t in TEMPLATES], "template string"), [], "path", "template", slot).select("page_id", "template")
+
+
+@query(
+    """WITH e AS (SELECT DISTINCT '/v1/' || c_mktsegment || '/' || CASE WHEN c_custkey % 3 = 0 THEN '{param}' ELSE 'n' || c_nationkey END || CASE WHEN c_custkey % 2 = 0 THEN '/items' ELSE '' END AS endpoint FROM customer),
+c AS (SELECT o_orderkey AS id, '/v1/' || CASE o_orderstatus WHEN 'F' THEN 'BUILDING' WHEN 'O' THEN 'MACHINERY' ELSE '{kind}' END || '/' || CASE WHEN o_custkey % 4 = 0 THEN '{id}' ELSE 'n' || o_custkey % 25 END || CASE WHEN o_orderkey % 5 = 0 THEN '/items/{item}' ELSE '' END AS anchor FROM orders),
+d AS (SELECT DISTINCT anchor FROM c), x AS (SELECT anchor, endpoint, list_filter(string_split(endpoint, '/'), lambda s: s <> '') AS a, list_filter(string_split(anchor, '/'), lambda s: s <> '') AS b FROM d, e),
+y AS (SELECT *, least(len(a), len(b)) AS n FROM x), z AS (SELECT anchor, endpoint FROM y WHERE len(list_filter(range(1, n + 1), lambda i: NOT (a[i] = b[i] OR a[i] = '{param}' OR regexp_matches(b[i], '^\\{[^}]+\\}$')))) = 0)
+SELECT id, anchor, endpoint FROM c JOIN z USING (anchor)"""
+)
+def changes_touched(spark, sf_dir):
+    """J-5, J-11, P-1: monitored changes whose anchors overlap endpoints in use, through the library's own plan."""
+    from .plans import inventory
+
+    c, o = _t(spark, sf_dir, "customer"), _t(spark, sf_dir, "orders")
+    third = F.when(F.col("c_custkey") % 3 == 0, "{param}").otherwise(F.concat(F.lit("n"), "c_nationkey"))
+    used = F.concat(F.lit("/v1/"), "c_mktsegment", F.lit("/"), third, F.when(F.col("c_custkey") % 2 == 0, "/items").otherwise(""))
+    found = c.select(F.lit("acme").alias("provider"), F.lit("endpoint").alias("kind"), used.alias("surface")).distinct().withColumn("sites", F.array(F.struct(F.lit("f").alias("file"), F.lit(1).cast("long").alias("line"), F.lit("").alias("snippet"))))
+    second = F.when(F.col("o_orderstatus") == "F", "BUILDING").when(F.col("o_orderstatus") == "O", "MACHINERY").otherwise("{kind}")
+    anchor = F.concat(F.lit("GET /v1/"), second, F.lit("/"), F.when(F.col("o_custkey") % 4 == 0, "{id}").otherwise(F.concat(F.lit("n"), F.col("o_custkey") % 25)), F.when(F.col("o_orderkey") % 5 == 0, "/items/{item}").otherwise(""))
+    changes = o.select(F.col("o_orderkey").alias("id"), F.lit("acme").alias("provider"), F.lit("breaking").alias("change_type"), anchor.alias("title"), F.lit("u").alias("source_url"))
+    return inventory.touched(found, changes).select(F.col("change_id").alias("id"), "anchor", "endpoint")
 
 
 @query(f"WITH {_LINES_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY source, kind ORDER BY doc_id, line, detail) AS k FROM f) SELECT source, kind, doc_id, line, detail FROM r WHERE k <= 3")
