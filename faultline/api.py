@@ -67,7 +67,7 @@ class Engine:
         texts = found.select("provider", F.col("file").alias("path")).distinct().join(tree, "path").select("provider", "text")
         rows = I.gate_sub_apis(rows, texts).select(*rows.columns)
         lines = L.lines(tree.select(F.col("path").alias("file"), "text"))
-        return I.impacts(rows, found, lines, every_type=change_id is not None).orderBy(*I.ranked())
+        return I.with_sites(I.impacts(rows, found, lines, every_type=change_id is not None), found).orderBy(*I.ranked())
 
     def deps(self, repo: str, match: bool = False) -> DataFrame | tuple[DataFrame, DataFrame, DataFrame]:
         """The inventory of a tree; with ``match`` also the changes and the packs that touch it."""

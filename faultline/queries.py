@@ -79,15 +79,19 @@ s AS (SELECT id, c.provider, change_type, CASE change_type WHEN 'breaking' THEN
 SELECT id, provider, change_type, severity, confidence, n_kinds::BIGINT AS n_kinds, files, sites FROM s"""
 )
 def scan_impacts(spark, sf_dir):
-    """J-1, P-1, P-7, P-9, PRJ-4, A-5, A-6: change records against usage, scored."""
-    found = _findings(spark, sf_dir)
-    used = found.groupBy(F.col("source").alias("provider")).agg(F.collect_set("kind").alias("kinds"), F.count_distinct("doc_id").alias("files"), F.count("*").alias("sites"))
+    """J-1, P-1, P-7, P-9, PRJ-4, A-5, A-6, W-2: change records against usage, scored by the library's plan. Records of a value of
+    50 or more name a symbol that no line has."""
+    from . import scratch
+
+    found = scratch.materialise(_findings(spark, sf_dir), "findings").withColumn("doc_id", F.col("doc_id").cast("string"))
+    found = found.select(F.col("source").alias("provider"), "kind", F.col("doc_id").alias("file"), "line", F.lit("").alias("snippet"))
     kind = F.when(F.col("event_type") == "purchase", "breaking").when(F.col("event_type") == "click", "deprecation").when(F.col("event_type") == "signup", "unknown").otherwise("additive")
     repo = F.when(F.col("user_id") % 3 == 0, "changelog:").when(F.col("user_id") % 3 == 1, "spec-diff:").otherwise("")
-    changes = _t(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.concat(F.lit("src"), F.col("user_id") % 20).alias("provider"), kind.alias("change_type"), repo.alias("source_repo"), F.when(F.col("value") >= 50, 1).otherwise(0).alias("extracted"))
-    live = changes.where(F.col("change_type").isin(V.MONITORED_TYPES)).join(used, "provider")
-    score = T.confidence(F.lit(0), F.col("extracted"), F.col("kinds"), "source_repo", F.lit(""))
-    return live.select("id", "provider", "change_type", T.severity("change_type").alias("severity"), score.alias("confidence"), F.size("kinds").cast("long").alias("n_kinds"), "files", "sites")
+    none = F.lit(None).cast("string")
+    changes = _t(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.concat(F.lit("src"), F.col("user_id") % 20).alias("provider"), F.lit("t").alias("title"), kind.alias("change_type"), repo.alias("source_repo"), none.alias("effective_date"), F.when(F.col("value") >= 50, "`no_such_symbol_here`").alias("raw_excerpt"), none.alias("migration_hint"))
+    lines = L.lines(_t(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("file"), "text"))
+    out = I.impacts(changes, found, lines)
+    return out.select("id", "provider", "change_type", "severity", "confidence", F.size("usage_kinds").cast("long").alias("n_kinds"), "files", "sites")
 
 
 @query("SELECT o_orderkey, o_orderstatus, o_orderpriority, o_orderdate FROM orders ORDER BY CASE o_orderstatus WHEN 'F' THEN 0 WHEN 'O' THEN 1 WHEN 'P' THEN 2 ELSE -1 END, o_orderpriority, o_orderdate DESC, o_orderkey")
