@@ -106,7 +106,7 @@ def symbols(text: Column | str) -> Column:
 
 def names_symbol(line: Column, symbol: Column) -> Column:
     """Whether a line has a symbol that is not part of a longer name."""
-    quoted = F.regexp_replace(symbol, r"([\\.\[\]{}()*+?^$|/-])", r"\\\\$1")
+    quoted = F.regexp_replace(symbol, r"([\\.\[\]{}()*+?^$|/-])", r"\\$1")
     return line.contains(symbol) & F.regexp_like(line, F.concat(F.lit(r"(?<![\w$])"), quoted, F.lit(r"(?![\w$])")))
 
 
