@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions import vocabulary as V
 from ..operators import relational as R
+from .impacts import with_sites
 
 
 def reclassify(changes: DataFrame, verdicts: DataFrame) -> DataFrame:
@@ -35,9 +36,11 @@ def set_fixability(changes: DataFrame, verdicts: DataFrame, again: bool = False)
     return R.upsert(base, ok, "id", ["fixability", "fixability_reason", "fixability_classifier"], [F.col("v.position")], F.lit(again) | F.col("b.fixability").isNull())
 
 
-def pending(impacts: DataFrame, changes: DataFrame, reviewed: DataFrame, most: int | None = None) -> DataFrame:
-    """Impacts of medium confidence that nobody has reviewed, with the change's text and the first five places of use."""
+def pending(impacts: DataFrame, changes: DataFrame, reviewed: DataFrame, most: int | None = None, findings: DataFrame | None = None) -> DataFrame:
+    """Impacts of medium confidence that nobody has reviewed, with the change's text and the first five places of use: of
+    ``findings``, which join only what is pending, where the impacts do not carry them."""
     rows = impacts.where("confidence = 'medium'").join(reviewed.select("id"), "id", "left_anti")
+    rows = with_sites(rows, findings) if findings is not None else rows
     rows = rows.join(changes.select("id", "raw_excerpt", "migration_hint"), "id", "left").withColumn("evidence", F.slice("usage_sites", 1, 5)).orderBy("id")
     return rows if most is None else rows.limit(most)
 

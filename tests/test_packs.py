@@ -73,7 +73,7 @@ def test_impacts(spark, changes):
     assert "snippet" not in sent[1] and '"file":"f.js"' in sent[1]
     after = Q.review(found, spark.createDataFrame([(5, "unlikely", "no", 1), (1, "unlikely", "no", 2), (5, "confirm", "", 0)], "change_id long, verdict string, rationale string, position int"))
     assert {r.id: r.confidence for r in after.collect()} == {1: "high", 2: "low", 3: "low", 4: "low", 5: "low"}
-    assert [r.id for r in Q.pending(found, changes, spark.createDataFrame([], "id long")).collect()] == [5]
+    assert [r.id for r in Q.pending(found, changes, spark.createDataFrame([], "id long"), findings=findings).collect()] == [5]
 
 
 def test_sub_apis(spark):
