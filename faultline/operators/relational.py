@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import scratch
@@ -31,6 +31,39 @@ def upsert(base: DataFrame, verdicts: DataFrame, key: str, values: list[str], or
     return out.select(*((F.when(F.col("_set"), F.col(f"_{c}")).otherwise(F.col(c)).alias(c) if c in values else F.col(c)) for c in base.columns), F.coalesce("_set", F.lit(False)).alias("updated"))
 
 
+def write_buckets(rows: DataFrame, path: str, key: str, buckets: int = 64) -> None:
+    """``rows`` as a Parquet table in folders by a hash of the key; their number is part of the folders' name."""
+    name = f"bucket_{buckets}"
+    rows.withColumn(name, F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")).repartition(buckets, name).write.partitionBy(name).parquet(path)
+
+
+def upsert_buckets(spark: SparkSession, path: str, verdicts: DataFrame, key: str, values: list[str], order: list[Column], applies: Column) -> DataFrame:
+    """``upsert`` of a table of ``write_buckets`` in place. Only buckets in which a verdict applies are written again, from a copy
+    made first; the others' files stay. Gives the number of rows updated by bucket."""
+    table = spark.read.parquet(path)
+    bucket = next(c for c in table.columns if c.startswith("bucket_"))
+    n = int(bucket.removeprefix("bucket_"))
+    asked = verdicts.select(F.pmod(F.xxhash64(key), F.lit(n)).cast("int").alias("b")).distinct()
+    near = table.where(F.col(bucket).isin([r.b for r in asked.collect()]))  # at most ``n``
+    done = scratch.materialise(upsert(near, verdicts, key, values, order, applies), "upsert")
+    touched = scratch.materialise(done.where("updated").groupBy(F.col(bucket).alias("bucket")).agg(F.count("*").alias("updated")), "touched")
+    again = [r.bucket for r in touched.select("bucket").collect()]
+    if again:
+        rows = done.where(F.col(bucket).isin(again)).drop("updated").repartition(len(again), bucket)
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(bucket).parquet(path)
+    return touched
+
+
+def numbered(rows: DataFrame, order: list[Column], after: int = 0, name: str = "id") -> DataFrame:
+    """``rows`` with numbers from ``after`` + 1 on in an order over all of them, counted by ranges: no task numbers them all."""
+    cut = scratch.materialise(rows.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), "ranges")
+    sizes = cut.groupBy("_range").agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    place = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
+    out = cut.join(F.broadcast(sizes.select("_range", before.alias("_before"))), "_range")  # a row for each range
+    return out.withColumn(name, F.lit(after) + F.col("_before") + place).drop("_range", "_before")
+
+
 def cap(rows: DataFrame, keys: list[str], order: list[Column], most: int) -> DataFrame:
     """The first ``most`` rows of each group."""
     w = Window.partitionBy(*keys).orderBy(*order)

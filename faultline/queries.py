@@ -165,6 +165,29 @@ def upsert_verdict(spark, sf_dir):
     return R.upsert(d, v, "doc_id", ["lang"], [F.col("v.toxic"), F.col("v.quality")], F.col("b.lang") != "en")
 
 
+@query(
+    """WITH v AS (SELECT doc_id, first(quality ORDER BY toxic, quality) AS q FROM labels WHERE quality IS NOT NULL AND doc_id % 5 = 0 GROUP BY doc_id)
+SELECT d.doc_id, CASE WHEN v.doc_id IS NOT NULL AND d.lang <> 'en' THEN CASE v.q WHEN 1 THEN 'good' ELSE 'bad' END ELSE d.lang END AS lang FROM documents d LEFT JOIN v USING (doc_id)"""
+)
+def upsert_table(spark, sf_dir):
+    """J-8, SNK-2: verdicts written into a table by buckets of its key; what no verdict touches is not written again."""
+    from . import scratch
+
+    d = _t(spark, sf_dir, "documents").select("doc_id", "lang")
+    path = scratch.scratch_path(spark, "documents")
+    R.write_buckets(d, path, "doc_id")
+    v = _t(spark, sf_dir, "labels").where("quality IS NOT NULL AND doc_id % 5 = 0").select("doc_id", F.when(F.col("quality") == 1, "good").otherwise("bad").alias("lang"), "toxic", "quality")
+    R.upsert_buckets(spark, path, v, "doc_id", ["lang"], [F.col("v.toxic"), F.col("v.quality")], F.col("b.lang") != "en")
+    return spark.read.parquet(path).select("doc_id", "lang")
+
+
+@query("SELECT event_id, 1000 + row_number() OVER (ORDER BY event_type, ts, event_id) AS id FROM events")
+def numbered_records(spark, sf_dir):
+    """SNK-1, S-6: ids in order of arrival, behind those that are given, counted by ranges."""
+    e = _t(spark, sf_dir, "events").select("event_id", "event_type", "ts")
+    return R.numbered(e, [F.col("event_type"), F.col("ts"), F.col("event_id")], 1000).select("event_id", "id")
+
+
 @query(
     """WITH base AS (SELECT o_custkey, max(o_orderdate) AS baseline FROM orders WHERE o_orderstatus = 'F' GROUP BY 1)
 SELECT o.o_custkey, o.o_orderkey FROM orders o JOIN base USING (o_custkey) WHERE o.o_orderstatus <> 'F' AND o.o_orderdate > baseline"""

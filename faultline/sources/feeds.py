@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import vocabulary as V
+from ..operators import relational
 
 
 def _tag(block: Column, tag: str) -> Column:
@@ -50,4 +51,4 @@ def arrival() -> list[Column]:
 
 def numbered(rows: DataFrame, after: int) -> DataFrame:
     """Ids behind ``after``, by provider and arrival."""
-    return rows.withColumn("id", F.lit(after) + F.row_number().over(Window.orderBy("provider", *arrival())))
+    return relational.numbered(rows, [F.col("provider"), *arrival()], after)

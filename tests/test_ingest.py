@@ -41,7 +41,7 @@ def test_an_older_table_is_known(spark, run):
 
 def test_broken_feeds_are_listed(spark, tmp_path):
     (tmp_path / "in").mkdir()
-    for name, text in (("a", feed(("A", "u1"))), ("b", " \n"), ("c", "<html>"), ("d", "<feed><entry>"), ("e", "<feed></feed>")):
+    for name, text in (("a", feed(("A", "u1"))), ("b", "  "), ("c", "<html>"), ("d", "<feed><entry>"), ("e", "<feed></feed>")):
         (tmp_path / "in" / f"{name}.xml").write_text(text)
     for _ in range(2):
         ingest.broken(ingest.landed(spark, f"file://{tmp_path}/in", "atom"), f"file://{tmp_path}/t", f"file://{tmp_path}/c").awaitTermination()
