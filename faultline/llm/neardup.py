@@ -12,9 +12,10 @@ whole shingle sets; those of ``threshold`` similarity or more are links, and cla
 Equal texts are one node from the start, by partial aggregation. Then buckets are settled in two steps. First each text
 is compared with one hub, the most central text of its largest bucket, which joins most groups of copies at one
 pair for each text. Then, in every bucket that still holds several components, all pairs of different components are
-decided: in buckets of up to ``few`` texts as rows; in larger ones inside tasks, block against block of ``block`` texts
-through an inverted index, which returns no more links than there are texts. So no link between texts that meet is lost,
-and no table ever holds the pairs of a large group.
+decided: in buckets of up to ``few`` texts as rows. In larger ones each text's distance to the bucket's hub bounds, by the
+triangle inequality, how far linked texts can be apart, so strangers leave first; what is left is compared inside tasks, blocks
+of ``block`` texts outside the largest component against all others, through an inverted index, which returns no more links
+than there are texts. So no link between texts that meet is lost, and no table ever holds the pairs of a large group.
 
 Cases: texts with fewer words than a shingle are one shingle of all their words; texts without words, null among them,
 are alike only if equal (null equals empty); classes are classes of texts, so rows that share a ``doc_id``, or have none,
@@ -237,13 +238,42 @@ def similar(pairs: DataFrame, texts: DataFrame, idf, threshold: float, n: int) -
     return both.select("a", "b", "ta", "tb").mapInArrow(verify, "a long, b long, similarity double")
 
 
-def _settled(rows: DataFrame, texts: DataFrame, idf, threshold: float, n: int, block: int) -> DataFrame:
-    """Links (a, b) that join the different components of each bucket: rows are bucket, node, label, m, rank."""
+def _apart(rows: DataFrame, hubs: DataFrame, texts: DataFrame, idf, threshold: float, n: int) -> DataFrame:
+    """Rows (bucket, node, label, rank) in cells of their distance to the bucket's hub, a cell as wide as the distance of a link.
+    One minus weighted Jaccard similarity is a metric, so texts that are linked lie in one cell or in neighbours: each text is
+    compared with the hub once, and is then in groups (bucket, c) of cells c and c + 1. A stranger to the hub leaves the group of
+    its copies."""
+    with_hub = rows.join(hubs, "bucket").withColumns({"a": F.least("node", "hub"), "b": F.greatest("node", "hub")})
+    pairs = scratch.materialise(with_hub.where("node <> hub").select("a", "b").distinct(), "hub-pairs")
+    near = scratch.materialise(similar(pairs, texts, idf, -1.0, n), "hub-similarity")
+    width = 1 - threshold + 1e-6
+    d = with_hub.join(near, ["a", "b"], "left").withColumn("cell", F.floor((1 - F.coalesce("similarity", F.lit(1.0))) / width).cast("int"))
+    return d.select("bucket", "node", "label", "rank", "cell", F.explode(F.array(F.col("cell") - 1, F.col("cell"))).alias("c")).where("c >= 0")
+
+
+def _parted(rows: DataFrame, block: int) -> DataFrame:
+    """Of groups (bucket, c) with several components, a row for each text and pair (i, j) of blocks in which it is needed. Texts
+    of the largest component are not compared with each other: only blocks of others meet it. A text of the largest is sent
+    once for each ``block`` of others, so what is sent grows with the group as long as others are few."""
+    by_label = rows.groupBy("bucket", "c", "label").agg(F.count("*").alias("n"))
+    groups = by_label.groupBy("bucket", "c").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.max("n").alias("n_main"), F.sum("n").alias("m"), F.count("*").alias("k")).where("k > 1")
+    rows = rows.join(scratch.materialise(groups, "groups"), ["bucket", "c"])
+    others, main = (F.greatest(F.ceil(x / block), F.lit(1)).cast("int") for x in (F.col("m") - F.col("n_main"), F.col("n_main")))
+    rows = rows.withColumns({"others": others, "blocks": others + main, "is_main": F.col("label") == F.col("main")})
+    rows = rows.withColumn("part", F.when(F.col("is_main"), F.col("others") + F.pmod(F.shiftright("rank", 8), F.col("blocks") - F.col("others"))).otherwise(F.pmod(F.shiftright("rank", 8), F.col("others"))).cast("int"))
+    against = F.sequence(F.lit(0), F.when(F.col("is_main"), F.col("others")).otherwise(F.col("blocks")) - 1)
+    pair = F.transform(against, lambda k: F.struct(F.least(k, F.col("part")).alias("i"), F.greatest(k, F.col("part")).alias("j")))
+    return rows.select("bucket", "c", "cell", "node", "label", "part", F.explode(pair).alias("p")).select("bucket", "c", "cell", "node", "label", "part", "p.i", "p.j")
+
+
+def _settled(rows: DataFrame, texts: DataFrame, idf, threshold: float, n: int) -> DataFrame:
+    """Links (a, b) that join the different components of each group: rows are those of ``_parted``."""
 
     def settle(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
         node, label, side = (table.column(c).to_numpy() for c in ("node", "label", "part"))
         i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
+        upper = table.column("cell").to_numpy() > table.column("c")[0].as_py()
         data, off = words.buffers(table.column("text"))
         hs, ws, total = [], [], np.zeros(len(node))
         for lo, hi in words.spans(off, 4 * _CHUNK, _ROWS):
@@ -271,6 +301,8 @@ def _settled(rows: DataFrame, texts: DataFrame, idf, threshold: float, n: int, b
             low = np.bincount(owner[at], np.minimum(weight[at], np.repeat(ws[x], many)), len(node))
             similar_ = low >= (threshold - 1e-9) * np.maximum(total + total[x] - low, 1e-12)
             similar_ &= kind != kind[x]
+            if upper[x]:
+                similar_ &= ~upper  # these meet in the next cell, too
             if i != j:
                 similar_ &= side != side[x]
             for y in np.flatnonzero(similar_).tolist():
@@ -279,12 +311,8 @@ def _settled(rows: DataFrame, texts: DataFrame, idf, threshold: float, n: int, b
                     kind[kind == kind[y]] = kind[x]  # one link joins two components
         return pa.table({"a": pa.array([min(p) for p in links], pa.int64()), "b": pa.array([max(p) for p in links], pa.int64())})
 
-    parts = F.ceil(F.col("m") / block)
-    rows = rows.withColumns({"parts": parts.cast("int"), "part": F.pmod(F.shiftright("rank", 8), parts).cast("int")})
-    pair = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda k: F.struct(F.least(k, F.col("part")).alias("i"), F.greatest(k, F.col("part")).alias("j")))
-    rows = rows.select("bucket", "node", "label", "part", F.explode(pair).alias("p")).select("bucket", "node", "label", "part", "p.i", "p.j")
-    rows = rows.join(texts, "node").select("bucket", "i", "j", "node", "label", "part", "text")
-    return rows.groupBy("bucket", "i", "j").applyInArrow(settle, "a long, b long")
+    rows = rows.join(texts, "node").select("bucket", "c", "cell", "i", "j", "node", "label", "part", "text")
+    return rows.groupBy("bucket", "c", "i", "j").applyInArrow(settle, "a long, b long")
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -329,8 +357,8 @@ def _classes(docs: DataFrame, threshold: float = 0.8, n: int = 5, bands: int = 1
     texts = docs.join(same.join(central.select("node"), "node", "left_semi"), ["node", "doc_id"], "left_semi").select("node", "text")
     texts = scratch.materialise(texts.dropDuplicates(["node"]) if repeats else texts, "texts")
 
-    hubs = bucket.join(central, "node").groupBy("bucket").agg(F.max_by("node", F.struct("central", "rank")).alias("hub"))
-    first = bucket.join(scratch.materialise(hubs, "hubs"), "bucket").where("node <> hub").groupBy("node").agg(F.max_by("hub", F.struct("m", "hub")).alias("hub"))
+    hubs = scratch.materialise(bucket.join(central, "node").groupBy("bucket").agg(F.max_by("node", F.struct("central", "rank")).alias("hub")), "hubs")
+    first = bucket.join(hubs, "bucket").where("node <> hub").groupBy("node").agg(F.max_by("hub", F.struct("m", "hub")).alias("hub"))
     pairs = first.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
     links = similar(scratch.materialise(pairs, "pairs"), texts, idf, threshold, n).select("a", "b")
     label = graph.components(links)
@@ -338,11 +366,12 @@ def _classes(docs: DataFrame, threshold: float = 0.8, n: int = 5, bands: int = 1
     now = scratch.materialise(bucket.join(label, "node", "left").withColumn("label", F.coalesce("label", "node")), "labelled")
     mixed = now.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("bucket")
     now = scratch.materialise(now.join(scratch.materialise(mixed, "mixed"), "bucket"), "open")
+    apart = scratch.materialise(_apart(now.where(F.col("m") > few), hubs, texts, idf, threshold, n), "apart")
     small = now.where(F.col("m") <= few)
     other = small.select("bucket", F.col("node").alias("hub"), F.col("label").alias("of"))
     pairs = small.join(other, "bucket").where("node < hub AND label <> of").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
     links = similar(scratch.materialise(pairs, "pairs"), texts, idf, threshold, n).select("a", "b")
-    links = scratch.materialise(links.unionByName(_settled(now.where(F.col("m") > few), texts, idf, threshold, n, block)), "links")
+    links = scratch.materialise(links.unionByName(_settled(_parted(apart, block), texts, idf, threshold, n)), "links")
     if not links.isEmpty():
         label = graph.components(links.unionByName(label.select(F.col("node").alias("a"), F.col("label").alias("b"))))
     told = same.join(label, "node", "left").select("node", "doc_id", F.coalesce("label", "node").alias("label"))

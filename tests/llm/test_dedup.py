@@ -9,6 +9,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from faultline.llm import decontaminate, graph, neardup, spans
 
@@ -273,3 +274,27 @@ def test_clean_documents_stay(spark):
     assert kept.columns == docs.columns and sorted(tuple(r) for r in kept.collect()) == [(2, "q", "y"), (3, None, "z")]
     assert decontaminate.judge(docs, bench.limit(0)).where("contaminated").count() == 0
     assert decontaminate.judge(docs.limit(0), bench).count() == 0
+
+
+def test_texts_of_a_large_bucket_are_sent_in_proportion(spark):
+    """One bucket of m texts with forty outside its largest component: twice the texts, twice the copies sent."""
+    sent = {}
+    for m in (3000, 6000):
+        rows = spark.range(m).select(F.lit(1).cast("long").alias("bucket"), F.col("id").alias("node"), F.when(F.col("id") % (m // 40) == 0, F.col("id")).otherwise(1).alias("label"), F.xxhash64("id").alias("rank"), F.lit(0).alias("cell"), F.lit(0).alias("c"))
+        sent[m] = neardup._parted(rows, 64).count()
+        assert sent[m] <= 1.2 * m + 41 * m / 64
+    assert sent[6000] < 2.2 * sent[3000]
+
+
+def test_strangers_leave_before_texts_are_compared(spark):
+    """A bucket of two groups of copies and some strangers, told apart by their distance to the hub."""
+    say = lambda k, n: " ".join(f"g{k}w{i}" for i in range(n))
+    texts = [(i, say(1, 60) + f" x{i}") for i in range(30)] + [(100 + i, say(2, 60) + f" y{i}") for i in range(20)] + [(200 + i, say(3 + i, 60)) for i in range(5)]
+    frame = spark.createDataFrame(texts, "node long, text string")
+    rows = frame.select(F.lit(7).cast("long").alias("bucket"), "node", F.when(F.col("node") < 100, 0).when(F.col("node") < 200, 100).otherwise(F.col("node")).cast("long").alias("label"), F.xxhash64("node").alias("rank"))
+    hubs = spark.createDataFrame([(7, 0)], "bucket long, hub long")
+    idf = spark.sparkContext.broadcast(neardup.FLAT)
+    got = neardup._apart(rows, hubs, frame, idf, 0.8, 5).collect()
+    assert {r.cell for r in got if r.node < 100} == {0} and {r.cell for r in got if r.node >= 100} == {4}
+    split = neardup._parted(spark.createDataFrame(got, "bucket long, node long, label long, rank long, cell int, c int"), 512).collect()
+    assert split and not any(r.node < 100 for r in split)
