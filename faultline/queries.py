@@ -42,6 +42,19 @@ def _list(values: list[str]) -> str:
     return ", ".join("'" + v.replace("'", "''") + "'" for v in values)
 
 
+def _values(columns: str, rows: list[tuple]) -> str:
+    """SQL of listed rows, numbered from 0 as ``i``."""
+    one = lambda v: "NULL" if v is None else str(v).lower() if isinstance(v, bool) else str(v) if isinstance(v, int) else "'" + v.replace("'", "''") + "'"
+    return f"(VALUES {', '.join('(' + ', '.join(map(one, r)) + ')' for r in rows)}) AS w({columns})"
+
+
+def _dealt(keys: DataFrame, rows: list[tuple], columns: str) -> DataFrame:
+    """Each row of ``keys`` (k) with the worked case that its key, modulo their number, names."""
+    spark = keys.sparkSession
+    listed = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], f"i int, {columns}")
+    return keys.join(F.broadcast(listed), F.pmod(F.col("k"), F.lit(len(rows))) == F.col("i")).drop("i")  # a fixed list
+
+
 #: Matchers over documents: kind, detail, pattern. Without look-around, so that both engines read them alike.
 MATCHERS = [
     ("api-host", "ipv4", r"\b[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\b"),
@@ -389,21 +402,23 @@ _VERSION_SQL = " ".join(
     f"WHEN regexp_matches(t, '{p}') THEN CASE WHEN regexp_extract(t, '{p}', 4) <> '' THEN NULL WHEN regexp_extract(t, '{p}', 2) = '0' AND regexp_extract(t, '{p}', 3) = '0' THEN 'breaking' WHEN regexp_extract(t, '{p}', 3) = '0' THEN 'additive' ELSE 'fix' END"
     for p in (_TAIL, _HEAD)
 )
-_TITLE_SQL = f"(SELECT unnest([{_list(TITLES)}]) AS t)"
+_TITLE_SQL = f"(SELECT event_id, w.t FROM events JOIN {_values('i, t', list(enumerate(TITLES)))} ON event_id % {len(TITLES)} = i)"
 _CLASS_SQL = f"""CASE WHEN {_SAYS(V.STRONG_BREAK)} THEN 'breaking'
 WHEN len(list_filter(regexp_split_to_array(x, '[\\n.;]'), lambda s: {_SAYS(V.REMOVAL, 's')} AND NOT {_SAYS(V.TOOLING, 's')})) > 0 THEN 'breaking'
 WHEN {_SAYS(V.DEPRECATION)} THEN 'deprecation' WHEN {_SAYS(V.ADDITIVE)} THEN 'additive' WHEN {_SAYS(V.FIX)} THEN 'fix' WHEN {_SAYS(V.DOCS)} THEN 'docs-only'
 ELSE coalesce(CASE {_VERSION_SQL} END, 'unknown') END"""
 
 
-def _titles(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(t,) for t in TITLES], "title string")
+def _titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as change records: a title for each."""
+    keys = _t(spark, sf_dir, "events").select(F.col("event_id").alias("k"))
+    return _dealt(keys, [(t,) for t in TITLES], "title string").withColumnRenamed("k", "event_id")
 
 
-@query(f"SELECT t AS title, {_CLASS_SQL} AS change_type FROM (SELECT t, {_STRIPPED} AS x FROM {_TITLE_SQL})")
+@query(f"SELECT event_id, t AS title, {_CLASS_SQL} AS change_type FROM (SELECT event_id, t, {_STRIPPED} AS x FROM {_TITLE_SQL})")
 def classify_cascade(spark, sf_dir):
     """PRJ-10, PRJ-11, PRJ-12."""
-    return _titles(spark).select("title", T.classify("title", "title").alias("change_type"))
+    return _titles(spark, sf_dir).select("event_id", "title", T.classify("title", "title").alias("change_type"))
 
 
 @query(f"SELECT doc_id, {_CLASS_SQL} AS change_type FROM (SELECT doc_id, text AS t, {_STRIPPED.replace('(t,', '(text,')} AS x FROM documents)")
@@ -413,13 +428,13 @@ def classify_documents(spark, sf_dir):
 
 
 @query(
-    f"""SELECT t AS title, CASE {_VERSION_SQL} END AS version_class,
+    f"""SELECT event_id, t AS title, CASE {_VERSION_SQL} END AS version_class,
 regexp_matches(t, '(?i)\\d+\\.\\d+\\.\\d+\\s*(-[0-9A-Za-z.]*(alpha|beta|rc|canary|next|dev|preview|pre)|(a|b|rc)\\d+)\\b') AS prerelease_release,
 regexp_matches(t, '(?i)[-.](alpha|beta|rc)[-.]?\\d*\\b') AS prerelease_tag FROM {_TITLE_SQL}"""
 )
 def semver_class(spark, sf_dir):
     """PRJ-9, PRJ-13, PRJ-14."""
-    return _titles(spark).select("title", T.version_class("title").alias("version_class"), T.prerelease_release("title").alias("prerelease_release"), T.prerelease_tag("title").alias("prerelease_tag"))
+    return _titles(spark, sf_dir).select("event_id", "title", T.version_class("title").alias("version_class"), T.prerelease_release("title").alias("prerelease_release"), T.prerelease_tag("title").alias("prerelease_tag"))
 
 
 @query(
@@ -438,14 +453,16 @@ _ANCHORS = ["path-removed: GET /v1/charges/{id} gone", "POST   /v2/a/b: changed"
 
 
 @query(
-    rf"""SELECT t AS title, nullif(regexp_extract(t, '\b(?:GET|POST|PUT|PATCH|DELETE|HEAD|OPTIONS)\s+(/[^\s:)]+)', 1), '') AS path,
+    rf"""SELECT id, t AS title, nullif(regexp_extract(t, '\b(?:GET|POST|PUT|PATCH|DELETE|HEAD|OPTIONS)\s+(/[^\s:)]+)', 1), '') AS path,
 CASE WHEN regexp_matches(t, '\b(?:GET|POST|PUT|PATCH|DELETE|HEAD|OPTIONS)\s+(/[^\s:)]+)') THEN regexp_extract(t, '\b(GET|POST|PUT|PATCH|DELETE|HEAD|OPTIONS)\s+(/[^\s:)]+)', 1) || ' ' || regexp_extract(t, '\b(GET|POST|PUT|PATCH|DELETE|HEAD|OPTIONS)\s+(/[^\s:)]+)', 2) END AS surface
-FROM (SELECT unnest([{_list(_ANCHORS)}]) AS t)"""
+FROM (SELECT o_orderkey AS id, replace(w.t, '/', '/o' || o_custkey || '/') AS t FROM orders JOIN {_values('i, t', list(enumerate(_ANCHORS)))} ON o_orderkey % {len(_ANCHORS)} = i)"""
 )
 def anchor_extract(spark, sf_dir):
-    """PRJ-18."""
-    rows = spark.createDataFrame([(t,) for t in _ANCHORS], "title string")
-    return rows.select("title", T.anchor_path("title", F.lit(None).cast("string")).alias("path"), T.anchor_surface("title", F.lit(None).cast("string")).alias("surface"))
+    """PRJ-18: verbs and paths in titles of orders as change records."""
+    keys = _t(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), "o_custkey")
+    rows = _dealt(keys, [(t,) for t in _ANCHORS], "title string").withColumn("title", F.replace("title", F.lit("/"), F.concat(F.lit("/o"), F.col("o_custkey"), F.lit("/"))))
+    none = F.lit(None).cast("string")
+    return rows.select(F.col("k").alias("id"), "title", T.anchor_path("title", none).alias("path"), T.anchor_surface("title", none).alias("surface"))
 
 
 @query(
@@ -540,21 +557,23 @@ def record_to_change(spark, sf_dir):
 
 
 @query(
-    """WITH RECURSIVE e AS (SELECT 'n' || i AS name, 'n' || ((i - 1) // 2) AS via FROM unnest(range(1, 60)) AS t(i)),
+    """WITH RECURSIVE e AS (SELECT 'n' || c_custkey AS name, 'n' || (c_custkey // 3) AS via FROM customer WHERE c_custkey > 0),
 c AS (SELECT 'n0' AS name, 'root' AS target, 0 AS hop UNION ALL SELECT e.name, c.target, c.hop + 1 FROM c JOIN e ON e.via = c.name WHERE c.hop < 5)
 SELECT name, target, min(hop)::INT AS hop FROM c GROUP BY name, target"""
 )
 def alias_closure(spark, sf_dir):
-    """BR-15, BR-16, MG-4: bounded closure; a bound name keeps its target."""
-    edges = spark.range(1, 60).select(F.concat(F.lit("n"), "id").alias("name"), F.concat(F.lit("n"), F.expr("(id - 1) div 2")).alias("via"))
-    return R.closure(spark.createDataFrame([("n0", "root")], "name string, target string"), edges, 5)
+    """BR-15, BR-16, MG-4: bounded closure over links of customers; a bound name keeps its target."""
+    c = _t(spark, sf_dir, "customer").where("c_custkey > 0").select(F.concat(F.lit("n"), "c_custkey").alias("name"), F.concat(F.lit("n"), F.expr("c_custkey div 3")).alias("via"))
+    return R.closure(spark.createDataFrame([("n0", "root")], "name string, target string"), c, 5)
 
 
-@query("SELECT i AS id FROM unnest(range(100, 1708)) AS t(i) WHERE i NOT IN (105, 200, 333, 900, 1701)")
+@query("SELECT c_custkey, i AS id FROM customer, unnest(range(c_custkey, c_custkey + 12)) AS t(i) WHERE i % 7 <> 3 AND i NOT IN (105, 200, 333, 900, 1701)")
 def range_minus(spark, sf_dir):
-    """SO-7, SO-6: a range of ids without some."""
-    kept = F.array_except(F.sequence(F.lit(100), F.lit(1707)), F.array(*map(F.lit, (105, 200, 333, 900, 1701))))
-    return spark.range(1).select(F.explode(F.transform(kept, lambda i: i.cast("long"))).alias("id"))
+    """SO-7, SO-6: for each customer a range of ids without some."""
+    k = F.col("c_custkey")
+    window = F.sequence(k, k + 11)
+    gone = F.array_union(F.filter(window, lambda i: i % 7 == 3), F.array(*(F.lit(i).cast("long") for i in (105, 200, 333, 900, 1701))))
+    return _t(spark, sf_dir, "customer").select("c_custkey", F.explode(F.array_except(window, gone)).alias("id"))
 
 
 @query("SELECT DISTINCT source AS provider FROM documents UNION SELECT 'src' || user_id % 20 FROM events")
@@ -905,28 +924,28 @@ def upload_payload(spark, sf_dir):
     return verdicts.upload(impacts)
 
 
-# --- Worked cases: every kind once, with the results listed in the SQL. ---
+# --- Worked cases: dealt to rows of a table by key, with what must come out of each listed in the SQL. ---
 
-
-def _rows(columns: str, rows: list[tuple]) -> str:
-    """SQL of listed rows."""
-    one = lambda v: "NULL" if v is None else str(v).lower() if isinstance(v, bool) else str(v) if isinstance(v, int) else "'" + v.replace("'", "''") + "'"
-    return f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(one, r)) + ')' for r in rows)}) AS t({columns})"
+_SPEC_SQL = _values("i, kind, breaking, anchor, detail", [(i, *r) for i, (_, _, _, want) in enumerate(cases.SPECS) for r in want])
 
 
-@query(_rows("spec_id, kind, breaking, anchor, detail", [(name, *r) for name, _, _, want in cases.SPECS for r in want]))
+@query(f"SELECT c_custkey::VARCHAR AS spec_id, kind, breaking, replace(anchor, '/a', '/a' || c_custkey) AS anchor, detail FROM customer JOIN {_SPEC_SQL} ON c_custkey % {len(cases.SPECS)} = i")
 def spec_rules(spark, sf_dir):
-    """SX-1 to SX-9, SD-1 to SD-41: a pair of snapshots for each rule, and pairs that must stay silent."""
+    """SX-1 to SX-9, SD-1 to SD-41: for each customer a pair of snapshots with a path of its own, by key one of those that make a
+    rule speak or keep silent."""
     from .operators import specdiff
     from .sources import specs
 
-    old, new = (spark.createDataFrame([(c[0], json.dumps(c[k])) for c in cases.SPECS], "spec_id string, spec string") for k in (1, 2))
+    keys = _t(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"))
+    rows = _dealt(keys, [(json.dumps(c[1]), json.dumps(c[2])) for c in cases.SPECS], "old string, new string")
+    own = lambda c: F.regexp_replace(c, F.lit('"/a(?=[/"])'), F.concat(F.lit('"/a'), F.col("k")))
+    old, new = (rows.select(F.col("k").cast("string").alias("spec_id"), own(F.col(c)).alias("spec")) for c in ("old", "new"))
     return specdiff.diff(specs.facts(old), specs.facts(new)).select("spec_id", "kind", "breaking", "anchor", "detail")
 
 
-@query(_rows("case_id, lang, prose_mask, code_mask", [(i, lang, prose, code) for i, (lang, _, prose, code) in enumerate(cases.MASKS)]))
+@query(f"SELECT c_custkey, lang, prose || '  ' AS prose_mask, code || '  ' AS code_mask FROM customer JOIN {_values('i, lang, prose, code', [(i, lang, prose, code) for i, (lang, _, prose, code) in enumerate(cases.MASKS)])} ON c_custkey % {len(cases.MASKS)} = i")
 def code_masks(spark, sf_dir):
-    """TX-1 to TX-4: masked texts, character by character."""
+    """TX-1 to TX-4: masked texts, character by character; a text for each customer."""
     from .functions import lexer
 
     @F.pandas_udf("string")
@@ -937,13 +956,14 @@ def code_masks(spark, sf_dir):
     def code(lang: pd.Series, text: pd.Series) -> pd.Series:
         return lang.combine(text, lambda a, t: lexer.mask_code(t, a))
 
-    rows = spark.createDataFrame([(i, lang, text) for i, (lang, text, *_) in enumerate(cases.MASKS)], "case_id int, lang string, text string")
-    return rows.select("case_id", "lang", prose("lang", "text").alias("prose_mask"), code("lang", "text").alias("code_mask"))
+    keys = _t(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"))
+    rows = _dealt(keys, [(lang, text + "  ") for lang, text, *_ in cases.MASKS], "lang string, text string")
+    return rows.select(F.col("k").alias("c_custkey"), "lang", prose("lang", "text").alias("prose_mask"), code("lang", "text").alias("code_mask"))
 
 
-@query(_rows("pack, before, after", [c for c in cases.PACKS if c[1] != c[2]]))
+@query(f"SELECT c_custkey, pack, before, after FROM customer JOIN {_values('i, pack, before, after', [(i, *c[:3]) for i, c in enumerate(cases.PACKS) if c[1] != c[2]])} ON c_custkey % {len(cases.PACKS)} = i")
 def pack_catalogue(spark, sf_dir):
-    """FX-1 to FX-47: what every pack makes of its text; a second run changes nothing more."""
+    """FX-1 to FX-47: what every pack makes of a text of its rules, one for each customer; a second run changes nothing more."""
     from .operators import packs as P
     from .operators.catalogue import catalogue
 
@@ -954,15 +974,18 @@ def pack_catalogue(spark, sf_dir):
         by_name = {p.name: p for p in known}
         return name.combine(text, lambda n, t: P.applied(by_name[n], t)[0])
 
-    rows = spark.createDataFrame([c[:2] for c in cases.PACKS], "pack string, before string")
+    keys = _t(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"))
+    rows = _dealt(keys, [c[:2] for c in cases.PACKS], "pack string, before string")
     once = rows.withColumn("after", rewritten("pack", "before")).withColumn("again", rewritten("pack", "after"))
-    return once.where("after = again").select("pack", "before", "after")
+    return once.where("after = again AND before <> after").select(F.col("k").alias("c_custkey"), "pack", "before", "after")
 
 
-@query(_rows("file, surface, line", [(file, surface, line) for file, _, want in cases.CALLS for surface, line in want]))
+@query(f"SELECT 't' || s_suppkey || '/' || file AS file, surface, line::BIGINT AS line FROM supplier, {_values('file, surface, line', [(file, surface, line) for file, _, want in cases.CALLS for surface, line in want])}")
 def proven_calls(spark, sf_dir):
-    """BR-1 to BR-17, MG-1 to MG-9 and their guards, by language: only calls whose roots are proven."""
+    """BR-1 to BR-17, MG-1 to MG-10 and their guards, by language: only calls whose roots are proven; a tree for each supplier."""
     from .plans import inventory
 
-    files = spark.createDataFrame([c[:2] for c in cases.CALLS], "path string, text string")
+    listed = F.explode(F.array(*(F.struct(F.lit(c[0]).alias("path"), F.lit(c[1]).alias("text")) for c in cases.CALLS)))
+    files = _t(spark, sf_dir, "supplier").select("s_suppkey", listed.alias("f"))
+    files = files.select(F.concat(F.lit("t"), "s_suppkey", F.lit("/"), "f.path").alias("path"), "f.text")
     return inventory.surfaces(files).where("kind = 'sdk-call'").select("file", "surface", "line")
