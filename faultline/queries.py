@@ -719,6 +719,25 @@ def code_inventory(spark, sf_dir):
     return rows.groupBy("kind", "surface").agg(F.count("*").alias("sites"))
 
 
+@query(
+    """WITH f AS (SELECT c_custkey % 4 AS s FROM customer)
+SELECT 'module' AS fact, 'stripe' AS what, count(*) AS n FROM f WHERE s IN (0, 3) UNION ALL SELECT 'client', 'Stripe', count(*) FROM f WHERE s IN (0, 3)
+UNION ALL SELECT 'call', 'charges.create', count(*) FROM f WHERE s <> 2 UNION ALL SELECT 'call', 'ordersCreate', count(*) FROM f WHERE s = 2
+UNION ALL SELECT 'endpoint', '/v1/charges/{param}/refund', count(*) FROM f WHERE s = 2"""
+)
+def code_facts_sql(spark, sf_dir):
+    """UF-5: facts of files by a table function, and slots of paths by a SQL function, in one SQL text."""
+    from .functions.sql import register
+
+    register(spark)
+    return spark.sql(
+        """WITH facts AS (SELECT f.* FROM {files} AS t, LATERAL code_facts(t.path, t.text) AS f)
+SELECT fact, coalesce(nullif(chain, ''), target) AS what, count(*) AS n FROM facts WHERE fact IN ('module', 'client', 'call') GROUP BY ALL
+UNION ALL SELECT 'endpoint', path_slots(regexp_replace(regexp_extract(text, 'api[.]stripe[.]com(/[^`]*)', 1), '[$]', '')) AS what, count(*) FROM {files} WHERE contains(text, 'api.stripe.com') GROUP BY ALL""",
+        files=_files(spark, sf_dir),
+    )
+
+
 _STRIPE_JS = "const Stripe = require('stripe');\n"
 #: Files by key: name and text with % for the key, and the calls (surface, line) that are proven in them.
 _TREES = [
