@@ -2,9 +2,11 @@
 
 Per document: counts, then two base rules, then a vector of transformed statistics. Per group (language and source; the
 whole language, then all rows, where a group has fewer than ``min_rows`` rows) the minimum-covariance-determinant estimate is found
-by concentration steps from a deterministic start (coordinate medians and spreads): keep the ``1 - trim`` rows nearest
-by Mahalanobis distance, estimate mean and covariance from them, repeat; then reweight once. A document whose distance
-exceeds the chi-square quantile of ``confidence`` is rejected.
+by concentration steps: keep the ``1 - trim`` rows nearest by Mahalanobis distance, estimate mean and covariance from them,
+repeat. That is done from several starts at once (rows nearest to the medians by the sum and by the largest of their
+coordinates in spreads, and rows drawn by a hash of their statistics); each group goes on with the start whose covariance has
+the least determinant, and is reweighted once. A document whose distance exceeds the chi-square quantile of ``confidence`` is
+rejected.
 
 The statistics are rates with a spread that falls with document length, so each is centred at its group's median and
 multiplied by sqrt(n * n0 / (n + n0)), n words: short documents vary more without being outliers, and long ones differ
@@ -30,6 +32,7 @@ _SPACE = r"[\x20\x09-\x0D]+"
 #: Statistics of the vector and what is added to their variances.
 RIDGE = {"x_words": 0.05, "x_length": 0.05, "x_symbols": 0.25, "x_upper": 0.25, "x_lines": 0.25, "x_repeats": 0.25}
 STATS = list(RIDGE)
+_GROUP = ["lvl", "g_lang", "g_source"]
 _ACCURACY = 1000  # of quantile sketches: ranks are right to a thousandth
 
 
@@ -93,15 +96,21 @@ def _rates() -> dict[str, Column]:
     }
 
 
+def _keys(groups: DataFrame) -> list[str]:
+    """A group's columns, and the start's where several are tried."""
+    return [k for k in (*_GROUP, "trial") if k in groups.columns]
+
+
 def _joined(rows: DataFrame, groups: DataFrame) -> DataFrame:
-    return rows.join(groups, ["lvl", "g_lang", "g_source"])
+    return rows.join(groups, _keys(groups))
 
 
 def _estimate(rows: DataFrame, within: Column, factor: float) -> DataFrame:
-    """Mean and inverse Cholesky factor of each group's covariance over the rows ``within``; one row per group."""
+    """Mean, inverse Cholesky factor and log determinant of each group's covariance over the rows ``within``; one row per group
+    and start."""
     p = len(STATS)
     cov = {f"a{i}_{j}": F.covar_pop(F.when(within, F.col(STATS[i])), F.when(within, F.col(STATS[j]))) for i in range(p) for j in range(i + 1)}
-    out = rows.groupBy("lvl", "g_lang", "g_source").agg(*(F.avg(F.when(within, F.col(s))).alias(f"m_{s}") for s in STATS), *(c.alias(k) for k, c in cov.items()))
+    out = rows.groupBy(*_keys(rows)).agg(*(F.avg(F.when(within, F.col(s))).alias(f"m_{s}") for s in STATS), *(c.alias(k) for k, c in cov.items()))
     out = scratch.materialise(out, "estimate")
     total = lambda xs: reduce(lambda a, b: a + b, xs, F.lit(0.0))
     for i in range(p):
@@ -112,7 +121,8 @@ def _estimate(rows: DataFrame, within: Column, factor: float) -> DataFrame:
         for j in range(i + 1):
             out = out.withColumn(f"v{i}_{j}", 1 / F.col(f"l{i}_{i}") if i == j else -total(F.col(f"l{i}_{k}") * F.col(f"v{k}_{j}") for k in range(j, i)) / F.col(f"l{i}_{i}"))
     keep = [*(f"m_{s}" for s in STATS), *(f"v{i}_{j}" for i in range(p) for j in range(i + 1))]
-    return scratch.materialise(out.select("lvl", "g_lang", "g_source", *keep), "estimate")
+    log_det = total(F.log(F.col(f"l{i}_{i}")) * 2 for i in range(p))
+    return scratch.materialise(out.select(*_keys(out), *keep, log_det.alias("log_det")), "estimate")
 
 
 def _distance() -> Column:
@@ -124,7 +134,7 @@ def _distance() -> Column:
 def _nearest(rows: DataFrame, distance: Column, share: float) -> DataFrame:
     """Rows with ``near``: whether they are among the group's ``share`` nearest."""
     rows = rows.withColumn("distance", distance)
-    bound = rows.groupBy("lvl", "g_lang", "g_source").agg(F.percentile_approx("distance", share, _ACCURACY).alias("bound"))
+    bound = rows.groupBy(*_keys(rows)).agg(F.percentile_approx("distance", share, _ACCURACY).alias("bound"))
     return _joined(rows, scratch.materialise(bound, "bound")).withColumn("near", F.col("distance") <= F.col("bound")).drop("bound")
 
 
@@ -158,14 +168,18 @@ def judge(docs: DataFrame, trim: float = 0.25, steps: int = 3, confidence: float
     rows = scratch.materialise(rows, "vectors")
 
     spread = rows.groupBy("lvl", "g_lang", "g_source").agg(*(F.percentile_approx(F.abs(s), 0.5, _ACCURACY).alias(f"s_{s}") for s in STATS))
-    start = reduce(lambda a, b: a + b, (F.col(s) * F.col(s) / (F.pow(1.4826 * F.col(f"s_{s}"), 2) + RIDGE[s]) for s in STATS))
-    near = _nearest(_joined(rows, scratch.materialise(spread, "spread")), start, 1 - trim).drop(*(f"s_{s}" for s in STATS))
-    for k in range(steps):
+    scaled = [F.col(s) * F.col(s) / (F.pow(1.4826 * F.col(f"s_{s}"), 2) + RIDGE[s]) for s in STATS]
+    starts = [reduce(lambda a, b: a + b, scaled), F.greatest(*scaled), F.xxhash64(*STATS).cast("double")]
+    tried = _joined(rows, scratch.materialise(spread, "spread")).select(*rows.columns, F.posexplode(F.array(*starts)).alias("trial", "start"))
+    near = _nearest(tried, F.col("start"), 1 - trim).select(*rows.columns, "trial", "near")
+    for _ in range(steps - 1):
         model = _estimate(near, F.col("near"), consistency(1 - trim, len(STATS)))
-        near = _nearest(_joined(rows, model), _distance(), 1 - trim) if k + 1 < steps else _joined(rows, model).withColumn("distance", _distance())
-        if k + 1 < steps:
-            near = near.select(*rows.columns, "near")
-    model = _estimate(near.withColumn("near", F.col("distance") <= quantile(0.975, len(STATS))).select(*rows.columns, "near"), F.col("near"), consistency(0.975, len(STATS)))
+        near = _nearest(_joined(near.drop("near"), model), _distance(), 1 - trim).select(*rows.columns, "trial", "near")
+    model = _estimate(near, F.col("near"), consistency(1 - trim, len(STATS)))
+    # Of each group the start with the least determinant.
+    model = model.groupBy(*_GROUP).agg(F.min_by(F.struct(*model.columns), F.struct("log_det", "trial")).alias("m")).select("m.*").drop("trial", "log_det")
+    near = _joined(rows, scratch.materialise(model, "best")).withColumn("distance", _distance())
+    model = _estimate(near.withColumn("near", F.col("distance") <= quantile(0.975, len(STATS))).select(*rows.columns, "near"), F.col("near"), consistency(0.975, len(STATS))).drop("log_det")
     d = d.join(sizes, ["lang", "source"], "left")
     d = d.join(median, ["lvl", "g_lang", "g_source"], "left").join(model, ["lvl", "g_lang", "g_source"], "left")
     d = d.withColumns(_rates()).withColumns(centred).withColumn("distance", F.when(~F.col("base_failed"), _distance()))
