@@ -56,7 +56,7 @@ def packs_touched(found: DataFrame, packs: DataFrame) -> DataFrame:
     sdk = found.where("kind = 'sdk-call'").select("provider", F.col("surface").alias("used"), F.slice("sites", 1, 3).alias("evidence"), F.explode(T.chain_suffixes(F.regexp_extract("surface", r"(\S+)\z", 1))).alias("declared"))
     by_chain = packs.select("pack", "provider", F.explode("chains").alias("declared")).join(sdk, ["provider", "declared"]).select("pack", "provider", F.lit("sdk-call").alias("kind"), "declared", "used", "evidence")
     part = F.split("surface", " ")
-    ctrl = found.where("kind = 'controller-call'").select("provider", F.col("surface").alias("used"), F.slice("sites", 1, 3).alias("evidence"), part[1].alias("ctor"), F.split(part[2], r"\.").alias("segs"))
+    ctrl = found.where("kind = 'controller-call'").select("provider", F.col("surface").alias("used"), F.slice("sites", 1, 3).alias("evidence"), F.get(part, F.lit(1)).alias("ctor"), F.split(F.get(part, F.lit(2)), r"\.").alias("segs"))
     ctrl = ctrl.where(F.size("segs") == 2).withColumns({"anchor": F.get("segs", 0), "method": F.get("segs", 1)})
     each = packs.select("pack", "provider", F.explode("controllers").alias("c")).select("pack", "provider", "c.ctor", "c.anchor", F.explode("c.methods").alias("method"))
     by_ctrl = each.join(ctrl, ["provider", "ctor", "anchor", "method"]).select("pack", "provider", F.lit("controller-call").alias("kind"), F.concat_ws(".", "anchor", "method").alias("declared"), "used", "evidence")
