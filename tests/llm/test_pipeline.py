@@ -40,8 +40,8 @@ def test_stages_act(spark, tmp_path):
 
 
 def test_empty_tables(spark, tmp_path, sf):
-    spark.read.parquet(f"{sf}/documents.parquet").limit(0).write.parquet(f"{tmp_path}/documents.parquet")
-    spark.read.parquet(f"{sf}/benchmark.parquet").limit(0).write.parquet(f"{tmp_path}/benchmark.parquet")
+    for table in ("documents", "benchmark", "embeddings", "conversations"):
+        spark.read.parquet(f"{sf}/{table}.parquet").limit(0).write.parquet(f"{tmp_path}/{table}.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
     for name, q in queries.QUERIES.items():
         assert q(spark, str(tmp_path)).count() == 0, name
@@ -51,6 +51,8 @@ def test_queries_give_the_columns_asked_for(spark, sf):
     asked = {
         "op1": "doc_id held_out lang_pred score", "op2": "doc_id start length ids_crc32 doc_tokens sequence_id offset", "op3": "doc_id n_words word_chars n_symbols n_dup_lines n_repeat_words base_failed kept",
         "op5": "doc_id start n_tokens ids_crc32", "op8": "doc_id n_words n_hit n_items items_sha256 contaminated", "op9": "doc_id held_out n_tokens n_known train_tokens base_score score",
+        "op11": "doc_id size source_size target taken", "op12": "vec_id component n deviation whitened explained identity_error",
+        "op13": "conv_id gaps blank duplicate truncated illegal cost audit repaired_sha256",
     }
     for k, columns in asked.items():
         (name,) = (n for n in queries.QUERIES if n.startswith(k + "_"))
