@@ -142,25 +142,29 @@ def clean(docs: DataFrame, **options) -> DataFrame:
     rows = rows.join(cuts, (F.col("key") == F.col("k")) & F.col("doc_id").eqNullSafe(F.col("of")), "left").select("row", "cuts")
 
     def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            old = batch.column("row").field("text")
-            text = old.to_pylist()
-            gone = np.zeros(len(text), bool)
-            for i, cuts in enumerate(batch.column("cuts").to_pylist()):
-                if not cuts:
-                    continue
-                data = np.frombuffer(text[i].encode(), np.uint8)
-                w = words.Words(data, np.array([0, len(data)]), words.NON_SPACE)
-                begin = np.append(w.start, len(data))
-                kept, at, left = [], 0, len(w.start)
-                for a, b, _ in _merged([c | {"first_doc_id": None} for c in cuts]):
-                    kept.append(data[at : begin[a]])
-                    at, left = int(begin[b]), left - (b - a)
-                kept.append(data[at:])
-                text[i] = b"".join(k.tobytes() for k in kept).decode()
-                gone[i] = not left
-            out = pa.record_batch([batch.column("row"), pa.array(text, old.type)], ["row", "text"])
-            yield out.filter(pa.array(~gone)) if gone.any() else out
+        tokens.forget()
+        for whole in batches:
+            _, off = words.buffers(whole.column("row").field("text"))
+            for lo, hi in words.spans(off, _CHUNK):  # so that what is held besides a batch is bounded
+                batch = whole.slice(lo, hi - lo)
+                old = batch.column("row").field("text")
+                text = old.to_pylist()
+                gone = np.zeros(len(text), bool)
+                for i, cuts in enumerate(batch.column("cuts").to_pylist()):
+                    if not cuts:
+                        continue
+                    data = np.frombuffer(text[i].encode(), np.uint8)
+                    w = words.Words(data, np.array([0, len(data)]), words.NON_SPACE)
+                    begin = np.append(w.start, len(data))
+                    kept, at, left = [], 0, len(w.start)
+                    for a, b, _ in _merged([c | {"first_doc_id": None} for c in cuts]):
+                        kept.append(data[at : begin[a]])
+                        at, left = int(begin[b]), left - (b - a)
+                    kept.append(data[at:])
+                    text[i] = b"".join(k.tobytes() for k in kept).decode()
+                    gone[i] = not left
+                out = pa.record_batch([batch.column("row"), pa.array(text, old.type)], ["row", "text"])
+                yield out.filter(pa.array(~gone)) if gone.any() else out
 
     schema = rows.select("row", F.col("row.text").alias("text")).schema
     own = lambda c: F.col("text") if c == "text" else F.length("text").cast(docs.schema[c].dataType) if c == "n_chars" else F.col("row").getField(c)
