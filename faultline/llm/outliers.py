@@ -105,6 +105,11 @@ def _joined(rows: DataFrame, groups: DataFrame) -> DataFrame:
     return rows.join(groups, _keys(groups))
 
 
+def _table(groups: DataFrame, label: str) -> DataFrame:
+    """Groups as a table of few files, whose size is that of its rows, so that a small one is sent to the rows it is joined with."""
+    return scratch.materialise(scratch.materialise(groups, label), label)
+
+
 def _estimate(rows: DataFrame, within: Column, factor: float) -> DataFrame:
     """Mean, inverse Cholesky factor and log determinant of each group's covariance over the rows ``within``; one row per group
     and start."""
@@ -135,7 +140,7 @@ def _nearest(rows: DataFrame, distance: Column, share: float) -> DataFrame:
     """Rows with ``near``: whether they are among the group's ``share`` nearest."""
     rows = rows.withColumn("distance", distance)
     bound = rows.groupBy(*_keys(rows)).agg(F.percentile_approx("distance", share, _ACCURACY).alias("bound"))
-    return _joined(rows, scratch.materialise(bound, "bound")).withColumn("near", F.col("distance") <= F.col("bound")).drop("bound")
+    return _joined(rows, _table(bound, "bound")).withColumn("near", F.col("distance") <= F.col("bound")).drop("bound")
 
 
 def judge(docs: DataFrame, trim: float = 0.25, steps: int = 3, confidence: float = 1 - 1e-6, n0: float = 1000.0, min_rows: int = 200) -> DataFrame:
@@ -161,7 +166,7 @@ def judge(docs: DataFrame, trim: float = 0.25, steps: int = 3, confidence: float
 
     # What is known of groups is written before it is joined: such a table's size is known, so a small one is sent to the
     # rows and they need not move, and the join with a large one can be split where a group has very many rows.
-    median = scratch.materialise(rows.groupBy("lvl", "g_lang", "g_source").agg(*(F.percentile_approx(s, 0.5, _ACCURACY).alias(f"c_{s}") for s in STATS)), "median")
+    median = _table(rows.groupBy("lvl", "g_lang", "g_source").agg(*(F.percentile_approx(s, 0.5, _ACCURACY).alias(f"c_{s}") for s in STATS)), "median")
     weight = F.sqrt(F.col("n_words") * n0 / (F.col("n_words") + n0))
     centred = {s: (F.col(s) - F.col(f"c_{s}")) * (F.lit(1.0) if s == "x_words" else weight) for s in STATS}
     rows = _joined(rows, median).withColumns(centred).drop(*(f"c_{s}" for s in STATS), "n_words")
@@ -170,7 +175,7 @@ def judge(docs: DataFrame, trim: float = 0.25, steps: int = 3, confidence: float
     spread = rows.groupBy("lvl", "g_lang", "g_source").agg(*(F.percentile_approx(F.abs(s), 0.5, _ACCURACY).alias(f"s_{s}") for s in STATS))
     scaled = [F.col(s) * F.col(s) / (F.pow(1.4826 * F.col(f"s_{s}"), 2) + RIDGE[s]) for s in STATS]
     starts = [reduce(lambda a, b: a + b, scaled), F.greatest(*scaled), F.xxhash64(*STATS).cast("double")]
-    tried = _joined(rows, scratch.materialise(spread, "spread")).select(*rows.columns, F.posexplode(F.array(*starts)).alias("trial", "start"))
+    tried = _joined(rows, _table(spread, "spread")).select(*rows.columns, F.posexplode(F.array(*starts)).alias("trial", "start"))
     near = _nearest(tried, F.col("start"), 1 - trim).select(*rows.columns, "trial", "near")
     for _ in range(steps - 1):
         model = _estimate(near, F.col("near"), consistency(1 - trim, len(STATS)))
@@ -178,7 +183,7 @@ def judge(docs: DataFrame, trim: float = 0.25, steps: int = 3, confidence: float
     model = _estimate(near, F.col("near"), consistency(1 - trim, len(STATS)))
     # Of each group the start with the least determinant.
     model = model.groupBy(*_GROUP).agg(F.min_by(F.struct(*model.columns), F.struct("log_det", "trial")).alias("m")).select("m.*").drop("trial", "log_det")
-    near = _joined(rows, scratch.materialise(model, "best")).withColumn("distance", _distance())
+    near = _joined(rows, _table(model, "best")).withColumn("distance", _distance())
     model = _estimate(near.withColumn("near", F.col("distance") <= quantile(0.975, len(STATS))).select(*rows.columns, "near"), F.col("near"), consistency(0.975, len(STATS))).drop("log_det")
     d = d.join(sizes, ["lang", "source"], "left")
     d = d.join(median, ["lvl", "g_lang", "g_source"], "left").join(model, ["lvl", "g_lang", "g_source"], "left")
