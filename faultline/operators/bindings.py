@@ -4,7 +4,7 @@ Files become facts (one Arrow pass): modules bound, clients built, aliases, assi
 files, scopes, and call chains. What a chain's root is, is then relational. Names are first made those of their scope
 (``scopes``). A name may be a path: what a field holds is known by the path of the object and the field. Aliases are loads
 (the aliased path begins with a known one) or name the object that holds a known path; both are equi-joins, run until nothing
-is new. Exports are paths too, followed from file to file by one recursive query with the path of files seen. A root
+is new. Exports are paths too, followed from file to file with the path of files seen, until nothing is new. A root
 counts only if it is proven; a path that is bound twice in a file, or whose object is, is dropped, since a miss is better
 than a false hit.
 """
@@ -509,9 +509,9 @@ _LEFT = """concat_ws('.', nullif(prefix, ''), CASE WHEN startswith(member, publi
 
 def exported_roots(facts: DataFrame, roots: DataFrame, files: DataFrame, passes: int = 8, hops: int = 5) -> DataFrame:
     """Roots in files that import a client from another file, and what is bound to them there. Exports are followed from file to
-    file, ``passes`` of them at most, by one recursive query; a path through a file and name that it has seen ends. A name that
-    a file exports stays what it is, and of several ways the shortest counts."""
-    spark = facts.sparkSession
+    file, ``passes`` of them at most, and each pass is written: a recursive query ends with an error at a million rows. A path
+    through a file and name that it has seen ends. A name that a file exports stays what it is, and of several ways the
+    shortest counts."""
     exports = facts.where("fact = 'export'").select("file", F.col("name").alias("to"), _path(F.col("target")).alias("of")).distinct()
     own = exports.select("file", "to", "of", F.explode(_heads(F.col("of"))).alias("name")).join(roots, ["file", "name"]).select("file", F.col("to").alias("public"), "module", "provider", "ctor", _joined(F.col("prefix"), _rest("of", "name")).alias("prefix"))
     holders = roots.withColumn("of", F.explode(_heads(F.col("name"), 1))).join(exports, ["file", "of"])
@@ -526,17 +526,16 @@ def exported_roots(facts: DataFrame, roots: DataFrame, files: DataFrame, passes:
     stars = passed.where("member = '@module'").select("file", F.when(F.col("name") == "@module", "*").otherwise(F.col("name")).alias("name"), "target", F.lit("*").alias("member"))
     forward = _resolved(passed.unionByName(whole).unionByName(stars).unionByName(again).distinct(), files)
     forward = scratch.materialise(forward.select("file", F.col("name").alias("taken"), "source", "member"), "forwards")
-    key = "file || chr(10) || public"
-    reach = spark.sql(
-        f"""WITH RECURSIVE reach(file, public, module, provider, ctor, prefix, seen) AS (
-  SELECT file, public, module, provider, ctor, prefix, array({key}) FROM {{own}}
-  UNION ALL
-  SELECT file, given, module, provider, ctor, left_over, array_append(seen, file || chr(10) || given) FROM (
-    SELECT f.file, {_TAKEN} AS given, r.module, r.provider, r.ctor, {_LEFT} AS left_over, r.seen FROM reach r JOIN {{forward}} f ON f.source = r.file
-  ) WHERE given IS NOT NULL AND NOT array_contains(seen, file || chr(10) || given) AND size(seen) <= {passes})
-SELECT * FROM reach""",
-        own=own, forward=forward,
-    )
+    key = F.concat("file", F.lit("\n"), "public")
+    reach = fresh = scratch.materialise(own.withColumn("seen", F.array(key)), "reached")
+    onward = forward.select(F.col("source").alias("from"), F.col("file").alias("to"), "taken", F.col("member"))
+    for _ in range(passes):
+        step = fresh.join(onward, fresh.file == onward["from"]).select(F.col("to").alias("file"), F.expr(_TAKEN).alias("public"), "module", "provider", "ctor", F.expr(_LEFT).alias("prefix"), "seen")
+        step = step.where(F.col("public").isNotNull() & ~F.array_contains("seen", key)).withColumn("seen", F.array_append("seen", key))
+        fresh = scratch.materialise(step, "reached")
+        if fresh.isEmpty():
+            break
+        reach = reach.unionByName(fresh)
     order = F.struct(F.size("seen"), *_ROOT)
     table = scratch.materialise(reach.groupBy("file", "public").agg(F.min_by(F.struct(*_ROOT), order).alias("r")).select(F.col("file").alias("source"), "public", "r.*"), "reach")
     taken = _resolved(imports, files).select("file", F.col("name").alias("taken"), "source", "member")

@@ -38,6 +38,13 @@ def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _spread(keys: DataFrame, each: int) -> DataFrame:
+    """Keys of a small table of whose rows much is made, dealt so that a task has about ``each``: a table of a few MB is one row group and
+    would be one task, whatever its rows."""
+    n, cores = keys.count(), keys.sparkSession.sparkContext.defaultParallelism
+    return keys.repartition(max(1, -(-n // each), min(cores, n // 64)), *keys.columns)
+
+
 def _list(values: list[str]) -> str:
     return ", ".join("'" + v.replace("'", "''") + "'" for v in values)
 
@@ -760,7 +767,7 @@ def resolved_calls(spark, sf_dir):
     hold, and through slots of modules; a tree of files for each customer."""
     from .plans import inventory
 
-    c = _t(spark, sf_dir, "customer").select("c_custkey")
+    c = _spread(_t(spark, sf_dir, "customer").select("c_custkey"), 2000)
     made = F.array(*(F.array(*(F.struct(F.lit(name).alias("name"), F.lit(text).alias("text")) for name, text, _ in tree)) for tree in _TREES))
     each = c.select("c_custkey", F.explode(F.get(made, (F.col("c_custkey") % len(_TREES)).cast("int"))).alias("f"))
     key = F.col("c_custkey").cast("string")

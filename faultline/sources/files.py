@@ -32,7 +32,7 @@ def language(path: str) -> str | None:
 
 
 def matchers(signatures: dict[str, dict] = V.SIGNATURES) -> list[tuple[str, str, str, str | None, re.Pattern]]:
-    """provider, kind, detail, language it is bound to, pattern. Import forms stand at line starts or in calls; an environment
+    """provider, kind, detail, language it is bound to, pattern. A detail stands in whatever its pattern hits, but for a host's case. Import forms stand at line starts or in calls; an environment
     name counts where it is read or set, a host wherever it stands."""
     out = []
     add = lambda p, kind, detail, lang, pattern, flags=re.M: out.append((p, kind, detail, lang, re.compile(pattern, flags)))
@@ -72,7 +72,9 @@ def usage(files: DataFrame, signatures: dict[str, dict] = V.SIGNATURES) -> DataF
                     continue
                 masked = lexer.mask_prose(text, lang)
                 global_ns = lang == "php" and not re.search(r"^\s*(?:<\?php\s+)?namespace\s+\w", masked, re.M)
-                near = [m for m in known if (m[3] in (None, lang) or m[3] == "php-global" and global_ns) and m[4].search(masked)]
+                plain, lower = masked.isascii(), masked.lower()
+                said = lambda m: m[2] in masked or m[1] == "api-host" and (not plain or m[2].lower() in lower)
+                near = [m for m in known if (m[3] in (None, lang) or m[3] == "php-global" and global_ns) and said(m) and m[4].search(masked)]
                 raw = text.split("\n")
                 for i, line in enumerate(masked.split("\n") if near else ()):
                     rows += [(p, kind, detail, path, i + 1, raw[i].strip()[: V.SNIPPET]) for p, kind, detail, _, pattern in near if pattern.search(line)]
