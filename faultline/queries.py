@@ -962,7 +962,7 @@ def spec_rules(spark, sf_dir):
     from .operators import specdiff
     from .sources import specs
 
-    keys = _t(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"))
+    keys = _spread(_t(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k")), 4000)
     rows = _dealt(keys, [(json.dumps(c[1]), json.dumps(c[2])) for c in cases.SPECS], "old string, new string")
     own = lambda c: F.regexp_replace(c, F.lit('"/a(?=[/"])'), F.concat(F.lit('"/a'), F.col("k")))
     old, new = (rows.select(F.col("k").cast("string").alias("spec_id"), own(F.col(c)).alias("spec")) for c in ("old", "new"))
@@ -982,7 +982,7 @@ def code_masks(spark, sf_dir):
     def code(lang: pd.Series, text: pd.Series) -> pd.Series:
         return lang.combine(text, lambda a, t: lexer.mask_code(t, a))
 
-    keys = _t(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"))
+    keys = _spread(_t(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k")), 4000)
     rows = _dealt(keys, [(lang, text + "  ") for lang, text, *_ in cases.MASKS], "lang string, text string")
     return rows.select(F.col("k").alias("c_custkey"), "lang", prose("lang", "text").alias("prose_mask"), code("lang", "text").alias("code_mask"))
 
@@ -1000,7 +1000,7 @@ def pack_catalogue(spark, sf_dir):
         by_name = {p.name: p for p in known}
         return name.combine(text, lambda n, t: P.applied(by_name[n], t)[0])
 
-    keys = _t(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"))
+    keys = _spread(_t(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k")), 4000)
     rows = _dealt(keys, [c[:2] for c in cases.PACKS], "pack string, before string")
     once = rows.withColumn("after", rewritten("pack", "before")).withColumn("again", rewritten("pack", "after"))
     return once.where("after = again AND before <> after").select(F.col("k").alias("c_custkey"), "pack", "before", "after")

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from faultline import queries as Q
 from faultline.plans import inventory
-from faultline.sources import files
+from faultline.sources import files, specs
 
 
 class Caught(Exception):
@@ -30,7 +30,7 @@ def _caught(monkeypatch, spark, root, query, place, name):
     return e.value.args[0]
 
 
-@pytest.mark.parametrize("query, place, name", [("resolved_calls", inventory, "surfaces")])
+@pytest.mark.parametrize("query, place, name", [("resolved_calls", inventory, "surfaces"), ("spec_rules", specs, "facts"), ("code_masks", Q, "_dealt"), ("pack_catalogue", Q, "_dealt")])
 def test_one_row_group_is_many_tasks(monkeypatch, spark, one_group, query, place, name):
     rows = _caught(monkeypatch, spark, one_group, query, place, name)
     assert rows.select(F.spark_partition_id()).distinct().count() > 1
@@ -58,3 +58,14 @@ def test_a_matcher_holds_its_detail(spark):
     hits = {(r.file, r.kind, r.detail) for r in files.usage(made).collect()}
     every = {(f"f{i}.js", kind, detail) for i, t in enumerate(texts) for _, kind, detail, lang, p in files.matchers() if lang in (None, "js") and p.search(t)}
     assert hits == every and ("f0.js", "api-host", "api.stripe.com") in hits
+
+
+def test_facts_of_small_snapshots_are_sent_together(spark):
+    """Batches hold facts of many snapshots, and a large one's facts are many batches; what comes out is the same."""
+    large = '{"paths": {"/a": {"post": {"requestBody": {"content": {"j": {"schema": {"properties": {%s}}}}}}}}}' % ", ".join(f'"p{i}": {{}}' for i in range(3000))
+    rows = [(str(i), '{"paths": {"/a": {"get": {}}}}') for i in range(500)] + [("large", large), ("none", "[]"), ("broken", "{"), ("null", None)]
+    made = specs.facts(spark.createDataFrame(rows, "spec_id string, spec string").coalesce(1))
+    sizes = made.mapInArrow(lambda bs: (type(b).from_pydict({"n": [b.num_rows]}) for b in bs), "n long")
+    assert sum(r.n for r in sizes.collect()) == 500 + 2 + 4 * 3000
+    assert made.where("spec_id = 'large'").groupBy("part").count().count() == 6
+    assert made.where("spec_id <> 'large'").select("spec_id", "op", "part").distinct().count() == 500
