@@ -100,12 +100,11 @@ def _tightened(name: Column) -> Column:
 
 
 def _shallow(surface: str) -> tuple[list[Column], list[Column]]:
-    """Rules of properties: single records, and arrays of records. ``known`` has the old names of the same body."""
+    """Rules of properties: single records, and arrays of records. ``known`` says whether the old body has the parent."""
     name, request = F.col("name"), F.lit(surface == "request")
     gone = _in_old() & ~_in_new() & ~_item(_o)
     fresh = ~_in_old() & _in_new() & ~_item(_n)
-    parent = parent_path("name")
-    parent_new = name.contains(".") & ~F.array_contains("known", parent)
+    parent_new = name.contains(".") & ~F.col("known")
     required_now = request & _n("required") & ~parent_new
     free = _both() & request & _plain_union()
     more_items = (_explicit("min_items") & (_n("min_items") > _o("min_items"))) | (_o("min_items").isNull() & (_o("type") == "array"))
@@ -132,12 +131,12 @@ def _shallow(surface: str) -> tuple[list[Column], list[Column]]:
 
 
 def _deep() -> tuple[list[Column], list[Column]]:
-    """Rules below the shallow depth: ``known`` and ``now`` are the deep names of either side."""
-    name, parent = F.col("name"), parent_path("name")
+    """Rules below the shallow depth: ``known`` and ``now`` say whether the deep names of either side have the parent."""
+    name = F.col("name")
     nested = name.contains(".")
-    gone = _in_old() & ~_in_new() & ~_item(_o) & ~(nested & F.array_contains("known", parent) & ~F.array_contains("now", parent))
+    gone = _in_old() & ~_in_new() & ~_item(_o) & ~(nested & F.col("known") & ~F.col("now"))
     free = _both() & _plain_union()
-    fresh = ~_in_old() & _in_new() & _n("required") & ~(nested & ~F.array_contains("known", parent)) & ~F.coalesce(_n("via_union"), F.lit(False))
+    fresh = ~_in_old() & _in_new() & _n("required") & ~(nested & ~F.col("known")) & ~F.coalesce(_n("via_union"), F.lit(False))
     single = [
         _record(gone, "request-prop-removed", name),
         _record(_both() & (_o("type") != _n("type")), "request-prop-type-changed", F.concat(name, F.lit(": "), _o("type"), F.lit(" -> "), _n("type"))),
@@ -149,8 +148,8 @@ def _deep() -> tuple[list[Column], list[Column]]:
 
 
 def _branch() -> tuple[list[Column], list[Column]]:
-    name, parent = F.col("name"), parent_path("name")
-    gone = _in_old() & ~_in_new() & ~_o("via_union") & ~(name.contains(".") & F.array_contains("known", parent) & ~F.array_contains("now", parent))
+    name = F.col("name")
+    gone = _in_old() & ~_in_new() & ~_o("via_union") & ~(name.contains(".") & F.col("known") & ~F.col("now"))
     free = _both() & _plain_union()
     single = [_record(gone, "request-prop-removed", name), _record(free & ~_o("required") & _n("required"), "request-prop-became-required", name)]
     return single, [_values(free, _o("enum"), _n("enum"), "enum-value-removed", F.concat(name, F.lit(" = ")), True)]
@@ -210,12 +209,17 @@ def diff(old: DataFrame, new: DataFrame) -> DataFrame:
     status = [_record(_in_old() & ~_in_new() & ok_status, "response-status-removed"), _record(_both() & ok_status & (_o("type") != _n("type")), "response-body-type-changed", F.concat(_o("type"), F.lit(" -> "), _n("type")))]
     out = out.unionByName(_fired(part("status"), status, F.concat(op, F.lit(" -> "), F.col("name"))))
 
-    # Bodies: names of either side by body, and bodies that both sides have.
+    # Bodies: for each property, which side has its parent, and bodies that both sides have. Names meet by joins, since a body's names
+    # beside each of them would be their square.
     body_key = ["spec_id", "op", "part", "grp"]
     props = part("prop", "deep", "media-prop", "media-deep", "branch-prop", "response-prop")
-    names = props.groupBy(*body_key).agg(F.collect_set(F.when(_in_old(), F.col("name"))).alias("known"), F.collect_set(F.when(_in_new(), F.col("name"))).alias("now"))
-    props = props.join(names, body_key)
-    shallow_of = names.where(F.col("part").isin("prop", "media-prop")).select("spec_id", "op", F.when(F.col("part") == "prop", "deep").otherwise("media-deep").alias("part"), "grp", F.concat("known", "now").alias("seen"))
+    holders = props.groupBy(*body_key, F.col("name").alias("parent")).agg(F.bool_or(_in_old()).alias("known"), F.bool_or(_in_new()).alias("now"))
+    parted = props.withColumn("parent", parent_path("name"))
+    nested = parted.where(F.col("name").contains(".")).join(holders, [*body_key, "parent"], "left")
+    nested = nested.withColumns({k: F.coalesce(k, F.lit(False)) for k in ("known", "now")}).drop("parent")
+    flat = parted.where(~F.col("name").contains(".")).withColumns({"known": F.lit(False), "now": F.lit(False)}).drop("parent")
+    props = scratch.materialise(flat.unionByName(nested), "props")
+    shallow = rows.where(F.col("part").isin("prop", "media-prop")).select("spec_id", "op", F.when(F.col("part") == "prop", "deep").otherwise("media-deep").alias("part"), "grp", "name")
     bodies = part("media", "status", "branch").where(_both() & ((F.col("part") == "branch") & (_o("type") == _n("type")) | (F.col("part") != "branch") & _o("plain") & _n("plain")))
     bodies = bodies.select("spec_id", "op", F.when(F.col("part") == "media", "media").when(F.col("part") == "status", "response").otherwise("branch").alias("body"), F.col("name").alias("grp"), _o("type").alias("disc"))
 
@@ -227,7 +231,7 @@ def diff(old: DataFrame, new: DataFrame) -> DataFrame:
 
     of = lambda p: props.where(F.col("part") == p)
     in_body = lambda d, b: d.join(bodies.where(F.col("body") == b).select("spec_id", "op", "grp", "disc"), ["spec_id", "op", "grp"])
-    below = lambda d: d.join(shallow_of, body_key, "left").where(~F.coalesce(F.array_contains("seen", F.col("name")), F.lit(False)))
+    below = lambda d: d.join(shallow, [*body_key, "name"], "left_anti")
     request = fire(of("prop"), _shallow("request"), op).unionByName(fire(below(of("deep")), _deep(), op)).select(*_RECORD)
     response = fire(in_body(of("response-prop"), "response"), _shallow("response"), F.concat(op, F.lit(" -> "), F.col("grp"))).select(*_RECORD)
     roots = _fired(part("media").where(_both() & _o("plain") & _n("plain")), [_tightened(F.lit("body root"))], op)

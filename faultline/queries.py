@@ -660,6 +660,7 @@ def spec_diff_openapi(spark, sf_dir):
     from .sources import specs
 
     c = _t(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").cast("string").alias("spec_id")).agg(F.sort_array(F.collect_list("c_custkey")).alias("ids"))
+    c = _spread(c, 1)
 
     def document(text: str):
         prop = F.transform("ids", lambda i: F.format_string('"p%d": {"type": "' + text + '", "maxLength": %d}', i, 900 - i % 7))

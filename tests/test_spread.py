@@ -30,7 +30,7 @@ def _caught(monkeypatch, spark, root, query, place, name):
     return e.value.args[0]
 
 
-@pytest.mark.parametrize("query, place, name", [("resolved_calls", inventory, "surfaces"), ("spec_rules", specs, "facts"), ("code_masks", Q, "_dealt"), ("pack_catalogue", Q, "_dealt")])
+@pytest.mark.parametrize("query, place, name", [("resolved_calls", inventory, "surfaces"), ("spec_diff_openapi", specs, "facts"), ("spec_rules", specs, "facts"), ("code_masks", Q, "_dealt"), ("pack_catalogue", Q, "_dealt")])
 def test_one_row_group_is_many_tasks(monkeypatch, spark, one_group, query, place, name):
     rows = _caught(monkeypatch, spark, one_group, query, place, name)
     assert rows.select(F.spark_partition_id()).distinct().count() > 1
@@ -69,3 +69,25 @@ def test_facts_of_small_snapshots_are_sent_together(spark):
     assert sum(r.n for r in sizes.collect()) == 500 + 2 + 4 * 3000
     assert made.where("spec_id = 'large'").groupBy("part").count().count() == 6
     assert made.where("spec_id <> 'large'").select("spec_id", "op", "part").distinct().count() == 500
+
+
+def test_names_of_a_body_meet_by_joins(monkeypatch, spark):
+    """The names of a body do not stand beside each of its properties: those would be their square."""
+    from faultline import scratch
+    from faultline.operators import specdiff
+
+    plans = []
+    keep = scratch.materialise
+
+    def seen(df, *more):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return keep(df, *more)
+
+    monkeypatch.setattr(scratch, "materialise", seen)
+    prop = lambda names: '{"paths": {"/a": {"post": {"requestBody": {"content": {"j": {"schema": {"properties": {%s}}}}}}}}}' % ", ".join(f'"{n}": {{"type": "object", "properties": {{"x": {{}}}}}}' for n in names)
+    old, new = (specs.facts(spark.createDataFrame([("s", prop(n))], "spec_id string, spec string")) for n in ("abc", "bcd"))
+    out = specdiff.diff(old, new)
+    plans.append(out._jdf.queryExecution().optimizedPlan().toString())
+    assert not any("collect_set" in p or "collect_list" in p for p in plans)
+    removed, added = ({r.detail for r in out.where(f"kind = 'request-prop-{k}'").collect()} for k in ("removed", "added"))
+    assert (removed, added) == ({"a", "a.x"}, {"d", "d.x"})
