@@ -1013,6 +1013,6 @@ def proven_calls(spark, sf_dir):
     from .plans import inventory
 
     listed = F.explode(F.array(*(F.struct(F.lit(c[0]).alias("path"), F.lit(c[1]).alias("text")) for c in cases.CALLS)))
-    files = _t(spark, sf_dir, "supplier").select("s_suppkey", listed.alias("f"))
+    files = _spread(_t(spark, sf_dir, "supplier").select("s_suppkey"), 100).select("s_suppkey", listed.alias("f"))
     files = files.select(F.concat(F.lit("t"), "s_suppkey", F.lit("/"), "f.path").alias("path"), "f.text")
     return inventory.surfaces(files).where("kind = 'sdk-call'").select("file", "surface", "line")
