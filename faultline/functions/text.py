@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column
@@ -10,19 +11,26 @@ from pyspark.sql import functions as F
 from . import vocabulary as V
 
 _ANY_CASE = "(?i)"
+_BOUND = r"(?:(?<=\w)(?!\w)|(?<!\w)(?=\w))"
 
 
 def _column(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def ascii_bounds(pattern: str) -> str:
+    """``pattern`` with each \\b between ASCII word characters and others, as \\w has it. To Java's own \\b, letters of all scripts
+    and marks are of words, so that no name would begin right behind one."""
+    return re.sub(r"(?<!\\)((?:\\\\)*)\\b", lambda m: m.group(1) + _BOUND, pattern)
+
+
 def strip_boilerplate(text: Column | str) -> Column:
     return reduce(lambda t, p: F.regexp_replace(t, _ANY_CASE + p, " "), V.BOILERPLATE, _column(text))
 
 
 def removes_contract(text: Column | str, removal: str = V.REMOVAL, tooling: str = V.TOOLING) -> Column:
     """Whether some line or sentence speaks of a removal and not of tooling."""
-    return F.exists(F.split(_column(text), r"[\n.;]"), lambda s: s.rlike(_ANY_CASE + removal) & ~s.rlike(_ANY_CASE + tooling))
+    return F.exists(F.split(_column(text), r"[\n.;]"), lambda s: s.rlike(_ANY_CASE + ascii_bounds(removal)) & ~s.rlike(_ANY_CASE + ascii_bounds(tooling)))
 
 
 def version_class(title: Column | str) -> Column:
@@ -41,7 +49,7 @@ def classify(text: Column | str, title: Column | str, vocabulary: dict[str, str]
     """First that applies: strong wording, contract removal, deprecation, addition, fix, docs, release number, unknown."""
     v = {"strong": V.STRONG_BREAK, "removal": V.REMOVAL, "tooling": V.TOOLING, "deprecation": V.DEPRECATION, "additive": V.ADDITIVE, "fix": V.FIX, "docs": V.DOCS} | (vocabulary or {})
     t = strip_boilerplate(text)
-    says = lambda k: t.rlike(_ANY_CASE + v[k])
+    says = lambda k: t.rlike(_ANY_CASE + ascii_bounds(v[k]))
     return (
         F.when(says("strong") | removes_contract(t, v["removal"], v["tooling"]), "breaking")
         .when(says("deprecation"), "deprecation")
@@ -54,12 +62,12 @@ def classify(text: Column | str, title: Column | str, vocabulary: dict[str, str]
 
 def prerelease_release(title: Column | str) -> Column:
     """The scan's test: a three-part number with a pre-release tag, or a, b, rc and digits right behind it."""
-    return _column(title).rlike(r"(?i)\d+\.\d+\.\d+\s*(-[0-9A-Za-z.]*(alpha|beta|rc|canary|next|dev|preview|pre)|(a|b|rc)\d+)\b")
+    return _column(title).rlike(ascii_bounds(r"(?i)\d+\.\d+\.\d+\s*(-[0-9A-Za-z.]*(alpha|beta|rc|canary|next|dev|preview|pre)|(a|b|rc)\d+)\b"))
 
 
 def prerelease_tag(title: Column | str) -> Column:
     """The audit's test, another one: alpha, beta or rc after a separator, anywhere."""
-    return _column(title).rlike(r"(?i)[-.](alpha|beta|rc)[-.]?\d*\b")
+    return _column(title).rlike(ascii_bounds(r"(?i)[-.](alpha|beta|rc)[-.]?\d*\b"))
 
 
 def severity(change_type: Column | str) -> Column:
@@ -89,17 +97,18 @@ def confidence(matched: Column, extracted: Column, kinds: Column, source: Column
 def symbols(text: Column | str) -> Column:
     """Distinct names a change mentions: packages, camel and Pascal case, dotted, snake case, and what is in backticks."""
     t = F.coalesce(_column(text), F.lit(""))
-    dotted = F.filter(F.regexp_extract_all(t, F.lit(r"\b([A-Za-z_$][\w$]*(?:\.[A-Za-z_$][\w$]*)+)\b"), F.lit(1)), lambda s: ~s.rlike(r"(?i)\.(md|json|yml|yaml|txt|com|org|io)\z"))
+    all_of = lambda p: F.regexp_extract_all(t, F.lit(ascii_bounds(p)), F.lit(1))
+    dotted = F.filter(all_of(r"\b([A-Za-z_$][\w$]*(?:\.[A-Za-z_$][\w$]*)+)\b"), lambda s: ~s.rlike(r"(?i)\.(md|json|yml|yaml|txt|com|org|io)\z"))
     found = F.concat(
-        F.regexp_extract_all(t, F.lit(r"(@[a-z0-9-]+/[a-z0-9._-]+)"), F.lit(1)),
-        F.regexp_extract_all(t, F.lit(r"\b([a-z]+[A-Z][A-Za-z0-9]*)\b"), F.lit(1)),
-        F.regexp_extract_all(t, F.lit(r"\b([A-Z][a-z0-9]+[A-Z][A-Za-z0-9]*)\b"), F.lit(1)),
+        all_of(r"(@[a-z0-9-]+/[a-z0-9._-]+)"),
+        all_of(r"(?<!\w)([a-z]+[A-Z][A-Za-z0-9]*)(?!\w)"),
+        all_of(r"(?<!\w)([A-Z][a-z0-9]+[A-Z][A-Za-z0-9]*)(?!\w)"),
         dotted,
-        F.regexp_extract_all(t, F.lit(r"\b([a-z][a-z0-9]*(?:_[a-z0-9]+)+)\b"), F.lit(1)),
-        F.regexp_extract_all(t, F.lit(r"`([^`\n]{2,80})`"), F.lit(1)),
+        all_of(r"(?<!\w)([a-z][a-z0-9]*(?:_[a-z0-9]+)+)(?!\w)"),
+        all_of(r"`([^`\n]{2,80})`"),
     )
     stop = F.array(*map(F.lit, V.STOP_WORDS))
-    trimmed = F.transform(found, F.trim)
+    trimmed = F.transform(found, lambda s: F.regexp_replace(s, r"\A\p{Zs}+|\p{Zs}+\z", ""))
     fits = lambda s: (F.length(s) >= 4) & (F.length(s) <= 80) & ~F.array_contains(stop, F.lower(s)) & ~s.rlike(r"^\d+\z")
     return F.array_distinct(F.filter(trimmed, fits))
 
@@ -113,7 +122,7 @@ def names_symbol(line: Column, symbol: Column) -> Column:
 def sub_apis(provider: Column | str, title: Column | str, excerpt: Column | str) -> Column:
     t, x = F.coalesce(_column(title), F.lit("")), F.coalesce(_column(excerpt), F.lit(""))
     google = F.regexp_extract(t, r"(?i)^([a-z][a-z0-9_]*)\s*:\s*v?\d", 1)
-    aws = F.regexp_extract_all(F.concat_ws("\n", t, x), F.lit(r"\bclient-([a-z0-9-]+)\b"), F.lit(1))
+    aws = F.regexp_extract_all(F.concat_ws("\n", t, x), F.lit(ascii_bounds(r"\bclient-([a-z0-9-]+)\b")), F.lit(1))
     none = F.array().cast("array<string>")
     return F.when((_column(provider) == "google") & (google != ""), F.array(F.lower(google))).when(_column(provider) == "aws", F.array_distinct(aws)).otherwise(none)
 
@@ -140,7 +149,7 @@ def _anchor(c: Column, group: str) -> Column:
 
 def anchor_path(title: Column | str, url: Column | str) -> Column:
     """The path after an HTTP verb: of the title, else of the URL."""
-    p = rf"\b(?:{_VERBS})\s+(/[^\s:)]+)"
+    p = ascii_bounds(rf"\b(?:{_VERBS})\s+(/[^\s:)]+)")
     return F.coalesce(_anchor(_column(title), p), _anchor(_column(url), p))
 
 
@@ -148,7 +157,7 @@ def anchor_surface(title: Column | str, url: Column | str) -> Column:
     """Verb and path, one space between."""
 
     def one(c: Column) -> Column:
-        verb, path = (F.regexp_extract(F.coalesce(c, F.lit("")), rf"\b({_VERBS})\s+(/[^\s:)]+)", i) for i in (1, 2))
+        verb, path = (F.regexp_extract(F.coalesce(c, F.lit("")), ascii_bounds(rf"\b({_VERBS})\s+(/[^\s:)]+)"), i) for i in (1, 2))
         return F.when(verb != "", F.concat_ws(" ", verb, path))
 
     return F.coalesce(one(_column(title)), one(_column(url)))
@@ -190,6 +199,7 @@ def redact(text: Column | str, secrets: list[tuple[str, str]] = V.SECRETS, marks
 
     def step(t: Column, rule: tuple[tuple[str, str], list[str]]) -> Column:
         (pattern, new), wanted = rule
+        pattern = ascii_bounds(pattern)
         if not wanted:
             return F.regexp_replace(t, pattern, new)
         held = reduce(lambda a, b: a | b, [low.contains(m) for m in wanted])

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import ascii_bounds
+
 
 def lines(files: DataFrame, text: str = "text") -> DataFrame:
     """One row per line, numbered from 1."""
@@ -15,6 +17,6 @@ def lines(files: DataFrame, text: str = "text") -> DataFrame:
 def matched(rows: DataFrame, matchers: list[tuple[str, str, str]], column: str = "raw") -> DataFrame:
     """Rows by matcher (kind, detail, pattern) that hits. All patterns are tried in one pass over the rows: a filter by
     their disjunction, and then an array of hits; nothing is joined."""
-    hits = [F.when(F.col(column).rlike(p), F.struct(F.lit(k).alias("kind"), F.lit(d).alias("detail"))) for k, d, p in matchers]
+    hits = [F.when(F.col(column).rlike(ascii_bounds(p)), F.struct(F.lit(k).alias("kind"), F.lit(d).alias("detail"))) for k, d, p in matchers]
     found = F.filter(F.array(*hits), lambda x: x.isNotNull())
     return rows.select(*rows.columns, F.explode(found).alias("_m")).select(*rows.columns, "_m.kind", "_m.detail")
