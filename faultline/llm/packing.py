@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from . import scratch, tokens, words
 
-_CHUNK = 2 << 20
+_CHUNK = 1 << 19
 
 
 class Tournament:
@@ -134,6 +134,7 @@ def sequences(
         enc = tokens.encoder(tokenizer, chunked=chunked)
         task, seen = TaskContext.get().partitionId(), 0
         for batch in batches:
+            tokens.trim()  # also of what other stages left
             text = batch.column("text").fill_null("") if batch.column("text").null_count else batch.column("text")
             _, off = words.buffers(text)
             for lo, hi in words.spans(off, _CHUNK):

@@ -14,6 +14,7 @@ from array import array
 from itertools import repeat
 
 import numpy as np
+import pyarrow as pa
 
 DEFAULT = "word_bpe_49k.json"
 #: Stands between chunks that are encoded in one text; a batch of chunks that has it is encoded chunk by chunk.
@@ -116,11 +117,17 @@ def encoder(path: str | None, special_as_text: bool = False, chunked: bool = Tru
     return _encoders[key]
 
 
+def trim() -> None:
+    """Give free memory back to the system: what earlier batches and stages took stays with a worker otherwise."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass
+
+
 def forget() -> None:
     """Give back what encoders hold; called where a worker, which is used again, turns to other work."""
     if _encoders:
         _encoders.clear()
-        try:
-            ctypes.CDLL("libc.so.6").malloc_trim(0)
-        except (OSError, AttributeError):
-            pass
+        trim()
