@@ -676,7 +676,7 @@ def spec_diff_openapi(spark, sf_dir):
 
 def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A source file for each customer: by key, one of four shapes."""
-    c = _t(spark, sf_dir, "customer").select("c_custkey")
+    c = _spread(_t(spark, sf_dir, "customer").select("c_custkey"), 4000)
     k = F.col("c_custkey").cast("string")
     shapes = [
         F.concat(F.lit("import Stripe from 'stripe';\nconst pay"), k, F.lit(" = new Stripe(process.env.STRIPE_KEY);\npay"), k, F.lit(".charges.create({});\n")),

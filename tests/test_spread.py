@@ -30,7 +30,7 @@ def _caught(monkeypatch, spark, root, query, place, name):
     return e.value.args[0]
 
 
-@pytest.mark.parametrize("query, place, name", [("resolved_calls", inventory, "surfaces"), ("proven_calls", inventory, "surfaces"), ("spec_diff_openapi", specs, "facts"), ("spec_rules", specs, "facts"), ("code_masks", Q, "_dealt"), ("pack_catalogue", Q, "_dealt")])
+@pytest.mark.parametrize("query, place, name", [("resolved_calls", inventory, "surfaces"), ("proven_calls", inventory, "surfaces"), ("usage_scan", files, "usage"), ("code_inventory", inventory, "surfaces"), ("spec_diff_openapi", specs, "facts"), ("spec_rules", specs, "facts"), ("code_masks", Q, "_dealt"), ("pack_catalogue", Q, "_dealt")])
 def test_one_row_group_is_many_tasks(monkeypatch, spark, one_group, query, place, name):
     rows = _caught(monkeypatch, spark, one_group, query, place, name)
     assert rows.select(F.spark_partition_id()).distinct().count() > 1
