@@ -9,6 +9,7 @@ from __future__ import annotations
 import json
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -693,11 +694,14 @@ def lex_mask(spark, sf_dir):
     """TX-1 to TX-4: masks keep length and line breaks, whatever the text."""
     from .functions import lexer
 
-    @F.pandas_udf("string")
-    def masked(text: pd.Series) -> pd.Series:
-        return text.map(lambda t: lexer.mask_code(lexer.mask_prose(t, "js"), "js"))
+    def masked(batches):
+        for batch in batches:
+            ids, text = batch.column("doc_id"), batch.column("text")
+            for lo in range(0, batch.num_rows, 64):  # few texts at a time, since a batch's masks stand beside it
+                out = [t if t is None else lexer.mask_code(lexer.mask_prose(t, "js"), "js") for t in text.slice(lo, 64).to_pylist()]
+                yield pa.record_batch([ids.slice(lo, 64), pa.array(out, pa.string())], ["doc_id", "m"])
 
-    m = _t(spark, sf_dir, "documents").select("doc_id", masked("text").alias("m"))
+    m = _t(spark, sf_dir, "documents").select("doc_id", "text").mapInArrow(masked, "doc_id long, m string")
     return m.select("doc_id", F.length("m").cast("long").alias("n"), (F.length("m") - F.length(F.replace("m", F.lit("\n"), F.lit("")))).cast("long").alias("n_lines"))
 
 

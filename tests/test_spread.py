@@ -91,3 +91,11 @@ def test_names_of_a_body_meet_by_joins(monkeypatch, spark):
     assert not any("collect_set" in p or "collect_list" in p for p in plans)
     removed, added = ({r.detail for r in out.where(f"kind = 'request-prop-{k}'").collect()} for k in ("removed", "added"))
     assert (removed, added) == ({"a", "a.x"}, {"d", "d.x"})
+
+
+def test_masks_of_few_texts_at_a_time(spark, tmp_path):
+    """More texts than go in one step, a null and an empty one among them."""
+    texts = [None, "", *("a // b\n'c'" for _ in range(200))]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted(tuple(r) for r in Q.QUERIES["lex_mask"](spark, str(tmp_path)).collect())
+    assert got == [(i, None if t is None else len(t), None if t is None else t.count("\n")) for i, t in enumerate(texts)]
