@@ -20,12 +20,17 @@ def _packages(spark, signatures: dict[str, dict]) -> DataFrame:
 
 
 def surfaces(files: DataFrame, signatures: dict[str, dict] = V.SIGNATURES) -> DataFrame:
-    """provider, kind (module, env, api-host, endpoint, sdk-call, controller-call), surface, file, line, snippet."""
-    found = scratch.materialise(S.usage(files, signatures), "usage")
+    """provider, kind (module, env, api-host, endpoint, sdk-call, controller-call), surface, file, line, snippet. Endpoints are those
+    behind the provider's own hosts in the whole line, however long; a snippet is for show."""
+    found = S.usage(files, signatures, whole=True)
+    ends = F.lit(None).cast("array<string>")
+    for p, s in signatures.items():
+        if s.get("hosts"):
+            ends = F.when(F.col("provider") == p, T.endpoints("raw", s["hosts"])).otherwise(ends)
+    found = scratch.materialise(found.withColumn("ends", ends).drop("raw"), "usage")
     kind = F.when(F.col("kind") == "import", "module").when(F.col("kind") == "env-var", "env").otherwise("api-host")
     base = found.select("provider", kind.alias("kind"), F.col("detail").alias("surface"), "file", "line", "snippet")
-    hosts = [h for s in signatures.values() for h in s.get("hosts", ())]
-    ends = found.where("kind = 'api-host'").select("provider", F.lit("endpoint").alias("kind"), F.explode(T.endpoints("snippet", hosts)).alias("surface"), "file", "line", "snippet")
+    ends = found.where("kind = 'api-host'").select("provider", F.lit("endpoint").alias("kind"), F.explode("ends").alias("surface"), "file", "line", "snippet")
     read = scratch.materialise(B.code_facts(files), "facts")
     facts = scratch.materialise(scopes.resolved(read), "scoped")
     roots = scratch.materialise(B.client_roots(facts, _packages(files.sparkSession, signatures)), "roots")

@@ -58,9 +58,11 @@ def matchers(signatures: dict[str, dict] = V.SIGNATURES) -> list[tuple[str, str,
     return out
 
 
-def usage(files: DataFrame, signatures: dict[str, dict] = V.SIGNATURES) -> DataFrame:
-    """provider, kind, detail, file, line, snippet for each line of masked text that a matcher hits."""
-    schema = "provider string, kind string, detail string, file string, line long, snippet string"
+def usage(files: DataFrame, signatures: dict[str, dict] = V.SIGNATURES, whole: bool = False) -> DataFrame:
+    """provider, kind, detail, file, line, snippet for each line of masked text that a matcher hits. With ``whole`` also raw: the whole
+    line where a host is hit, of which the snippet is the beginning; null for other kinds."""
+    fields = ["provider", "kind", "detail", "file", "line", "snippet", *(["raw"] if whole else [])]
+    schema = ", ".join(f"{n} {'long' if n == 'line' else 'string'}" for n in fields)
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = matchers(signatures)
@@ -77,9 +79,8 @@ def usage(files: DataFrame, signatures: dict[str, dict] = V.SIGNATURES) -> DataF
                 near = [m for m in known if (m[3] in (None, lang) or m[3] == "php-global" and global_ns) and said(m) and m[4].search(masked)]
                 raw = text.split("\n")
                 for i, line in enumerate(masked.split("\n") if near else ()):
-                    rows += [(p, kind, detail, path, i + 1, raw[i].strip()[: V.SNIPPET]) for p, kind, detail, _, pattern in near if pattern.search(line)]
-            cols = list(zip(*rows)) if rows else [[]] * 6
-            types = (pa.string(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.string())
-            yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, types)], ["provider", "kind", "detail", "file", "line", "snippet"])
+                    rows += [(p, kind, detail, path, i + 1, raw[i].strip()[: V.SNIPPET], raw[i] if kind == "api-host" else None) for p, kind, detail, _, pattern in near if pattern.search(line)]
+            cols = list(zip(*rows)) if rows else [[]] * 7
+            yield pa.record_batch([pa.array(c, pa.int64() if n == "line" else pa.string()) for n, c in zip(fields, cols)], fields)
 
     return files.select("path", "text").mapInArrow(find, schema)

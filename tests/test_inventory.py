@@ -59,6 +59,15 @@ def test_calls_with_proven_roots(found):
     assert "@hubspot/api-client Client hub.getContact" in {r.surface for r in found.where("kind = 'controller-call'").collect()}
 
 
+def test_endpoints_of_whole_lines(spark):
+    """Paths far behind a snippet's end count, also in one line of a million characters, each for the provider whose host it follows."""
+    far = lambda n, *calls: "f('" + "x" * n + "');" + " ".join(f"fetch('https://{c}');" for c in calls)
+    texts = {"near.js": far(5, "api.stripe.com/v1/near"), "far.js": "go();\n" + far(300, "api.stripe.com/v1/far", "api.openai.com/v1/files"), "min.js": far(1_000_000, "api.stripe.com/v1/min"), "none.js": far(300)}
+    made = spark.createDataFrame(list(texts.items()), "path string, text string")
+    got = [(r.provider, r.surface, r.file, r.line, len(r.snippet)) for r in I.surfaces(made).where("kind = 'endpoint'").collect()]
+    assert sorted(got) == [("openai", "/v1/files", "far.js", 2, 200), ("stripe", "/v1/far", "far.js", 2, 200), ("stripe", "/v1/min", "min.js", 1, 200), ("stripe", "/v1/near", "near.js", 1, 51)]
+
+
 def test_matches(spark, found):
     changes = spark.createDataFrame([(1, "stripe", "path-removed: POST /v1/charges/{id}/refund", "breaking", "u"), (2, "stripe", "POST /v1/charges/{id}/refund", "additive", "u"), (3, "slack", "POST /v1/charges/{id}/refund", "breaking", "u"), (4, "stripe", "POST /v2/x", "breaking", "u")], "id long, provider string, title string, change_type string, source_url string")
     assert [r.change_id for r in I.touched(found, changes).collect()] == [1]
