@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from faultline.llm import packing, records, separators
 from faultline.llm.tokens import Encoder, default_path
@@ -140,6 +141,27 @@ def test_separator_scan(spark, docs, ids, tmp_path):
         assert got == {i: len(ids(t, True)) for i, t in enumerate(TEXTS)}
 
 
+def test_token_files_stay_small(spark, ids, tmp_path):
+    """What one task writes is cut into files of few bytes, each read as one row: a text longer than a file, an empty one and a null
+    one, which count as they do in one file."""
+    texts = [" ".join(f"w{i}x{j}" for j in range(40)) for i in range(400)] + ["", None, "long " * 200_000] + ["a b"] * 3
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    want = {i: len(ids(t or "", True)) for i, t in enumerate(texts)}
+    separators.write(docs, f"file://{tmp_path}/one")
+    separators.write(docs, f"file://{tmp_path}/cut", file_bytes=1 << 12)
+    for name in ("one", "cut"):
+        got = separators.counts(spark, f"file://{tmp_path}/{name}", block_ids=100).collect()
+        assert len(got) == len(texts) and {r.doc_id: r.n_tokens for r in got} == want
+    sizes = [p.stat().st_size for p in (tmp_path / "cut" / "kind=0").rglob("part-*")]
+    assert len(sizes) > 1 and sum(sizes) == 2 * (sum(want.values()) + len(texts))
+    # With the query's own sizes: a task that has more than a file.
+    big = spark.range(6000).select(F.col("id").alias("doc_id"), F.repeat(F.concat(F.lit("word "), F.col("id").cast("string"), F.lit(" ")), 500).alias("text")).coalesce(1)
+    separators.write(big, f"file://{tmp_path}/big")
+    sizes = [p.stat().st_size for p in (tmp_path / "big" / "kind=0").rglob("part-*")]
+    assert len(sizes) > 1 and max(sizes) <= 8 << 20 < sum(sizes)
+    assert separators.counts(spark, f"file://{tmp_path}/big").count() == 6000
+
+
 def test_nulls_repeats_and_nothing(spark, tmp_path):
     rows = [(None, "a b"), (None, None), (3, "same"), (3, "same")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
