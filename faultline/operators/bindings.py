@@ -24,6 +24,7 @@ from ..functions.rewrite import closing
 from ..functions.vocabulary import SNIPPET
 from ..sources.files import language
 from . import scopes as scoping
+from .relational import dealt
 
 _N = r"[A-Za-z_$][\w$]*"
 _PATH = rf"(?:this|{_N})(?:\.#?{_N}){{0,3}}"
@@ -396,7 +397,7 @@ def code_facts(files: DataFrame) -> DataFrame:
 
 def _once(rows: DataFrame, keys: list[str]) -> DataFrame:
     """Rows whose key no other row has."""
-    return rows.join(rows.groupBy(*keys).count().where("count = 1").select(*keys), keys, "left_semi")
+    return rows.join(dealt(rows.groupBy(*keys).count().where("count = 1").select(*keys)), keys, "left_semi")
 
 
 _DEPTH = 5  # names in a path
@@ -429,10 +430,10 @@ def _closed(roots: DataFrame, aliases: DataFrame, hops: int) -> DataFrame:
     bound = fresh = scratch.materialise(roots, "roots")
     loads = aliases.select("file", "to", "of", F.explode(_heads(F.col("of"))).alias("name"))
     for _ in range(hops):
-        load = loads.join(fresh, ["file", "name"]).select("file", F.col("to").alias("name"), "module", "provider", "ctor", _joined(F.col("prefix"), _rest("of", "name")).alias("prefix"))
-        held = fresh.withColumn("of", F.explode(_heads(F.col("name"), 1))).join(aliases, ["file", "of"])
+        load = loads.join(dealt(fresh), ["file", "name"]).select("file", F.col("to").alias("name"), "module", "provider", "ctor", _joined(F.col("prefix"), _rest("of", "name")).alias("prefix"))
+        held = fresh.withColumn("of", F.explode(_heads(F.col("name"), 1))).join(dealt(aliases), ["file", "of"])
         held = held.select("file", _joined(F.col("to"), _rest("name", "of")).alias("name"), *_ROOT)
-        fresh = load.unionByName(held.where(F.size(F.split("name", r"\.")) <= _DEPTH)).join(bound.select("file", "name"), ["file", "name"], "left_anti")
+        fresh = load.unionByName(held.where(F.size(F.split("name", r"\.")) <= _DEPTH)).join(dealt(bound.select("file", "name")), ["file", "name"], "left_anti")
         fresh = scratch.materialise(fresh.groupBy("file", "name").agg(F.min(F.struct(*_ROOT)).alias("r")).select("file", "name", "r.*"), "roots")
         if fresh.isEmpty():
             break
@@ -446,8 +447,8 @@ def _writes(facts: DataFrame) -> DataFrame:
     rows = facts.where(F.col("fact").isin("client", "alias", "other") | ((F.col("fact") == "empty") & F.col("name").rlike(r"@\d"))).withColumn("name", _path(F.col("name")))
     twice = scratch.materialise(rows.groupBy("file", "name").count().where("count > 1").select("file", "name"), "twice")
     held = rows.withColumn("head", F.explode(_heads(F.col("name"))))
-    spoilt = held.join(twice.select("file", F.col("name").alias("head")), ["file", "head"]).select("file", "seq").distinct()
-    return scratch.materialise(rows.join(spoilt, ["file", "seq"], "left_anti"), "writes")
+    spoilt = held.join(dealt(twice.select("file", F.col("name").alias("head"))), ["file", "head"]).select("file", "seq").distinct()
+    return scratch.materialise(rows.join(dealt(spoilt), ["file", "seq"], "left_anti"), "writes")
 
 
 def _aliases(writes: DataFrame) -> DataFrame:
@@ -466,7 +467,7 @@ def client_roots(facts: DataFrame, packages: DataFrame, hops: int = 5) -> DataFr
     modules = modules.withColumn("module", F.explode(F.array_distinct(heads))).join(packages, "module")
     writes = _writes(facts)
     built = writes.where("fact = 'client'").drop("member").withColumn("head", F.regexp_extract("target", r"^\\?(\w+)", 1))
-    by_name = built.join(modules, "file").where((F.col("head") == F.col("bound")) | (F.lower("head") == F.lower(F.regexp_replace("bound", "[-_]", ""))))
+    by_name = built.join(dealt(modules), "file").where((F.col("head") == F.col("bound")) | (F.lower("head") == F.lower(F.regexp_replace("bound", "[-_]", ""))))
     roots = by_name.select("file", "name", "module", "provider", F.when(~F.col("member").isin("@default", "*"), F.regexp_replace("target", r"^.*[.\\:]", "")).alias("ctor"), F.lit("").alias("prefix")).distinct()
     return _closed(roots, _aliases(writes), hops)
 
@@ -475,7 +476,7 @@ def surfaces(facts: DataFrame, roots: DataFrame) -> DataFrame:
     """provider, kind, surface, file, line, snippet: a row for each proven call, by the longest path that is known; and one more,
     by constructor, where the client's class was imported by name."""
     calls = facts.where("fact = 'call'").select("file", "seq", "line", "snippet", _joined(_path(F.col("name")), F.col("chain")).alias("called"))
-    found = calls.withColumn("name", F.explode(_heads(F.col("called"), 1))).join(roots, ["file", "name"])
+    found = calls.withColumn("name", F.explode(_heads(F.col("called"), 1))).join(dealt(roots), ["file", "name"])
     best = found.groupBy("file", "seq", "provider", "module").agg(F.max_by(F.struct("line", "snippet", "called", "name", "ctor", "prefix"), F.length("name")).alias("c"))
     calls = best.select("file", "provider", "module", "c.*").withColumn("called", _rest("called", "name"))
     chain = _joined(F.lit("client"), F.col("prefix"), F.col("called"))
@@ -493,7 +494,7 @@ def _resolved(facts: DataFrame, files: DataFrame) -> DataFrame:
     rows = facts.withColumn("at", F.array_join(F.aggregate(steps, F.array().cast("array<string>"), step), "/"))
     rows = rows.withColumn("options", F.transform(F.array(*map(F.lit, _SUFFIXES)), lambda s: F.concat("at", s)))
     each = rows.select("*", F.posexplode("options").alias("rank", "source")).drop("options")
-    known = each.join(files.select(F.col("path").alias("source")), "source")
+    known = each.join(dealt(files.select(F.col("path").alias("source"))), "source")
     return known.groupBy("file", "name", "target", "member").agg(F.min_by("source", "rank").alias("source"))
 
 
@@ -513,13 +514,13 @@ def exported_roots(facts: DataFrame, roots: DataFrame, files: DataFrame, passes:
     through a file and name that it has seen ends. A name that a file exports stays what it is, and of several ways the
     shortest counts."""
     exports = facts.where("fact = 'export'").select("file", F.col("name").alias("to"), _path(F.col("target")).alias("of")).distinct()
-    own = exports.select("file", "to", "of", F.explode(_heads(F.col("of"))).alias("name")).join(roots, ["file", "name"]).select("file", F.col("to").alias("public"), "module", "provider", "ctor", _joined(F.col("prefix"), _rest("of", "name")).alias("prefix"))
-    holders = roots.withColumn("of", F.explode(_heads(F.col("name"), 1))).join(exports, ["file", "of"])
+    own = exports.select("file", "to", "of", F.explode(_heads(F.col("of"))).alias("name")).join(dealt(roots), ["file", "name"]).select("file", F.col("to").alias("public"), "module", "provider", "ctor", _joined(F.col("prefix"), _rest("of", "name")).alias("prefix"))
+    holders = roots.withColumn("of", F.explode(_heads(F.col("name"), 1))).join(dealt(exports), ["file", "of"])
     holders = holders.select("file", F.when(F.col("to").startswith("@"), _rest("name", "of")).otherwise(_joined(F.col("to"), _rest("name", "of"))).alias("public"), *_ROOT)
     own = scratch.materialise(own.unionByName(holders).distinct(), "exports")
     imports = facts.where("fact = 'import'").select("file", "name", "target", "member")
     # A name that is imported and exported goes on as a forward does.
-    again = exports.withColumn("name", scoping.root(F.col("of"))).join(imports, ["file", "name"])
+    again = exports.withColumn("name", scoping.root(F.col("of"))).join(dealt(imports), ["file", "name"])
     again = again.select("file", F.col("to").alias("name"), "target", F.when(F.col("of") == F.col("name"), F.col("member")).when(F.col("member").isin("*", "@module"), _rest("of", "name")).otherwise(_joined(F.col("member"), _rest("of", "name"))).alias("member"))
     passed = facts.where("fact = 'forward'").select("file", "name", "target", "member")
     whole = passed.where("name = '@module' AND member <> '@module'").withColumn("name", F.lit("@default"))
@@ -530,7 +531,7 @@ def exported_roots(facts: DataFrame, roots: DataFrame, files: DataFrame, passes:
     reach = fresh = scratch.materialise(own.withColumn("seen", F.array(key)), "reached")
     onward = forward.select(F.col("source").alias("from"), F.col("file").alias("to"), "taken", F.col("member"))
     for _ in range(passes):
-        step = fresh.join(onward, fresh.file == onward["from"]).select(F.col("to").alias("file"), F.expr(_TAKEN).alias("public"), "module", "provider", "ctor", F.expr(_LEFT).alias("prefix"), "seen")
+        step = fresh.join(dealt(onward), F.col("file") == F.col("from")).select(F.col("to").alias("file"), F.expr(_TAKEN).alias("public"), "module", "provider", "ctor", F.expr(_LEFT).alias("prefix"), "seen")
         step = step.where(F.col("public").isNotNull() & ~F.array_contains("seen", key)).withColumn("seen", F.array_append("seen", key))
         fresh = scratch.materialise(step, "reached")
         if fresh.isEmpty():
@@ -539,9 +540,10 @@ def exported_roots(facts: DataFrame, roots: DataFrame, files: DataFrame, passes:
     order = F.struct(F.size("seen"), *_ROOT)
     table = scratch.materialise(reach.groupBy("file", "public").agg(F.min_by(F.struct(*_ROOT), order).alias("r")).select(F.col("file").alias("source"), "public", "r.*"), "reach")
     taken = _resolved(imports, files).select("file", F.col("name").alias("taken"), "source", "member")
-    found = taken.join(table, "source").select("file", F.expr(_TAKEN).alias("name"), "module", "provider", "ctor", F.expr(_LEFT).alias("prefix")).where("name IS NOT NULL")
+    found = taken.join(dealt(table), "source").select("file", F.expr(_TAKEN).alias("name"), "module", "provider", "ctor", F.expr(_LEFT).alias("prefix")).where("name IS NOT NULL")
+    found = scratch.materialise(found.distinct(), "taken")
     written = facts.where(F.col("fact").isin("client", "alias", "other")).select("file", _path(F.col("name")).alias("name")).distinct()
-    heads = found.distinct().withColumn("head", F.explode(_heads(F.col("name"))))
-    spoilt = heads.join(written.select("file", F.col("name").alias("head")), ["file", "head"]).select("file", "name").distinct()
-    fresh = found.distinct().join(spoilt, ["file", "name"], "left_anti")
+    heads = found.withColumn("head", F.explode(_heads(F.col("name"))))
+    spoilt = heads.join(dealt(written.select("file", F.col("name").alias("head"))), ["file", "head"]).select("file", "name").distinct()
+    fresh = found.join(dealt(spoilt), ["file", "name"], "left_anti")
     return _closed(fresh, _aliases(_writes(facts)), hops)

@@ -10,6 +10,13 @@ from pyspark.sql import functions as F
 from .. import scratch
 
 
+def dealt(df: DataFrame) -> DataFrame:
+    """``df`` as a side of a join whose sides both grow with the input: rows meet by key and are never sent whole. The planner takes the
+    packed size of a file for that of its rows, and rows that are exploded for those they come from, so it would send tables through
+    the driver that are many times as large as its limit."""
+    return df.hint("merge")
+
+
 def first_writer(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """The first row of each key."""
     w = Window.partitionBy(*keys).orderBy(*order)

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.rewrite import closing
+from .relational import dealt
 
 _N = r"[A-Za-z_$][\w$]*"
 _BUCKET = 12
@@ -170,11 +171,11 @@ def resolved(facts: DataFrame) -> DataFrame:
     rows = facts.where("fact <> 'scope'")
     used = F.filter(F.array(F.col("name"), F.when(F.col("fact").isin("alias", "export"), F.col("target"))), lambda n: n.isNotNull())
     uses = rows.select("file", "seq", "at", F.explode(F.array_distinct(F.transform(used, root))).alias("root")).withColumn("bucket", F.shiftright("at", _BUCKET))
-    inner = uses.join(bounds, ["file", "root", "bucket"]).where("lo <= at AND at < hi").groupBy("file", "seq", "root").agg(F.max("lo").alias("lo"))
+    inner = uses.join(dealt(bounds), ["file", "root", "bucket"]).where("lo <= at AND at < hi").groupBy("file", "seq", "root").agg(F.max("lo").alias("lo"))
     inner = inner.groupBy("file", "seq").agg(F.map_from_entries(F.collect_list(F.struct("root", "lo"))).alias("inner"))  # two names at most
     within = lambda c: F.when(F.col("inner")[root(F.col(c))].isNotNull(), F.concat(root(F.col(c)), F.lit("@"), F.col("inner")[root(F.col(c))], F.substring(c, F.length(root(F.col(c))) + 1, F.length(c)))).otherwise(F.col(c))
     target = F.when(F.col("fact").isin("alias", "export"), within("target")).otherwise(F.col("target"))
-    return rows.join(inner, ["file", "seq"], "left").withColumns({"name": within("name"), "target": target}).drop("inner")
+    return rows.join(dealt(inner), ["file", "seq"], "left").withColumns({"name": within("name"), "target": target}).drop("inner")
 
 
 def shown(name: Column) -> Column:

@@ -36,6 +36,27 @@ def test_one_row_group_is_many_tasks(monkeypatch, spark, one_group, query, place
     assert rows.select(F.spark_partition_id()).distinct().count() > 1
 
 
+def test_only_packages_are_sent_whole(monkeypatch, spark):
+    """Small tables, too, meet by key: a planner that sends what looks small on disk sends millions of rows through the driver."""
+    from faultline import scratch
+
+    plans = []
+    keep = scratch.materialise
+
+    def seen(df, *more):
+        plans.append(df._jdf.queryExecution().sparkPlan().toString())
+        return keep(df, *more)
+
+    monkeypatch.setattr(scratch, "materialise", seen)
+    texts = {"src/a.js": "const Stripe = require('stripe');\nconst pay = new Stripe(k);\nexports.pay = pay;\n", "src/use.js": "import { pay } from './a';\nitems.map((pay) => pay.gone.list());\nconst all = pay;\nall.charges.create();\n"}
+    out = inventory.surfaces(spark.createDataFrame(list(texts.items()), "path string, text string"))
+    plans.append(out._jdf.queryExecution().sparkPlan().toString())
+    assert [(r.file, r.surface, r.line) for r in out.where("kind = 'sdk-call'").collect()] == [("src/use.js", "stripe client.charges.create", 4)]
+    sent = [p for p in plans for _ in range(p.count("BroadcastHashJoin") + p.count("BroadcastNestedLoopJoin"))]
+    assert len(sent) == 1 and "Scan ExistingRDD[provider" in sent[0]  # the packages of the signatures
+    assert sum(p.count("SortMergeJoin") for p in plans) > 10
+
+
 def test_exports_go_beyond_the_rows_of_a_recursive_query(spark):
     """A client that is given on from file to file, with fewer rows allowed to a recursive query than the ways have."""
     texts = {"src/a0.js": "const Stripe = require('stripe');\nconst pay = new Stripe(k);\nexports.pay = pay;\n"}
