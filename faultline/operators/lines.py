@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import ascii_bounds
+from ..functions.text import ascii_bounds, marks
 
 
 def lines(files: DataFrame, text: str = "text") -> DataFrame:
@@ -15,8 +17,15 @@ def lines(files: DataFrame, text: str = "text") -> DataFrame:
 
 
 def matched(rows: DataFrame, matchers: list[tuple[str, str, str]], column: str = "raw") -> DataFrame:
-    """Rows by matcher (kind, detail, pattern) that hits. All patterns are tried in one pass over the rows: a filter by
-    their disjunction, and then an array of hits; nothing is joined."""
-    hits = [F.when(F.col(column).rlike(ascii_bounds(p)), F.struct(F.lit(k).alias("kind"), F.lit(d).alias("detail"))) for k, d, p in matchers]
+    """Rows by matcher (kind, detail, pattern) that hits. All patterns are tried in one pass over the rows, as an array of hits;
+    nothing is joined. A pattern is tried only on rows with one of its marks, where it has any."""
+    c = F.col(column)
+
+    def hit(pattern: str) -> Column:
+        found = c.rlike(ascii_bounds(pattern))
+        held = [c.contains(m) for m in marks(pattern)]
+        return reduce(lambda a, b: a | b, held) & found if held else found
+
+    hits = [F.when(hit(p), F.struct(F.lit(k).alias("kind"), F.lit(d).alias("detail"))) for k, d, p in matchers]
     found = F.filter(F.array(*hits), lambda x: x.isNotNull())
     return rows.select(*rows.columns, F.explode(found).alias("_m")).select(*rows.columns, "_m.kind", "_m.detail")
