@@ -3,9 +3,10 @@
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from faultline import queries as Q
-from faultline.functions.text import marks
+from faultline.functions.text import ascii_bounds, marks
 from faultline.operators import lines as L
 
 ODD = [
@@ -37,3 +38,26 @@ def test_odd_lines_match_as_patterns_say(spark):
     want = [(k, s, kind, detail) for k, s in rows for kind, detail, p in Q.MATCHERS if s is not None and re.search(p, s, re.A)]
     got = [tuple(r) for r in L.matched(spark.createDataFrame(rows, "k long, raw string").repartition(3), Q.MATCHERS).collect()]
     assert sorted(map(repr, got)) == sorted(map(repr, want)) and {d for *_, d in got} == {d for _, d, _ in Q.MATCHERS}
+
+
+_BOTH = ascii_bounds(r"\b")
+
+
+@pytest.mark.parametrize(
+    "pattern, want",
+    [
+        (r"\b[0-9]{1,3}\.[0-9]{1,3}\b", r"(?<!\w)[0-9]{1,3}\.[0-9]{1,3}(?!\w)"), (r"x\b|\b\w+\b", rf"x{_BOTH}|(?<!\w)\w+(?!\w)"), (r"\\[ab]\b", r"\\[ab](?!\w)"),
+        (r"\b[a-z]?x", rf"{_BOTH}[a-z]?x"), (r"\b\d*x", rf"{_BOTH}\d*x"), (r"\b\d{0,2}x", rf"{_BOTH}\d{{0,2}}x"), (r"\d*\b", rf"\d*{_BOTH}"), (r"\[ab]\b", rf"\[ab]{_BOTH}"), (r"[A-z]\b", rf"[A-z]{_BOTH}"),
+        (r"\b[a-z.]", rf"{_BOTH}[a-z.]"), (r"[^a]\b", rf"[^a]{_BOTH}"), (r"\b[é]", rf"{_BOTH}[é]"), (r"\\b[a]", r"\\b[a]"),
+    ],
+)
+def test_one_side_is_asked_beside_word_sets(pattern, want):
+    assert ascii_bounds(pattern) == want
+
+
+def test_bounds_hold_on_odd_lines(spark):
+    patterns = [r"\b[0-9]{1,3}\b", r"\b\w+\b", r"[a-z]\b", r"\b[A-Z]", r"\b[a-z]?@", r"\d*\b\.", r"\b[a-f0-9]{40,}\b", r"\b[b]@b\b"]
+    lines = [s for s in ODD if s is not None]
+    rows = spark.createDataFrame([(i, s) for i, s in enumerate(lines)], "i int, s string")
+    got = rows.select("i", *(F.col("s").rlike(ascii_bounds(p)) for p in patterns)).collect()
+    assert {r[0]: tuple(r)[1:] for r in got} == {i: tuple(bool(re.search(p, s, re.A)) for p in patterns) for i, s in enumerate(lines)}
