@@ -1,5 +1,6 @@
 """Names in texts: forms are sought where they can stand, and nothing is missed."""
 
+import random
 import re
 
 from pyspark.sql import functions as F
@@ -40,3 +41,20 @@ def test_forms_are_sought_where_they_can_stand(spark):
     for mark in ("Contains(coalesce(s, ), @)", "Contains(coalesce(s, ), _)", "Contains(coalesce(s, ), `)"):
         assert f"CASE WHEN {mark} THEN regexp_extract_all" in plan
     assert plan.count("CASE WHEN RLIKE(coalesce(s, )") == 2
+
+
+def test_names_of_mixed_texts(spark):
+    """Short parts of names in any order, against the plain patterns."""
+    rng = random.Random(11)
+    parts = ["a", "B", "7", "_", "$", ".", "-", "@", "/", "`", " ", "\n", "é", "ab", "Cd", "x1", "foo", "Bar", ".md", "a_b", "a.b"]
+    rows = [(i, "".join(rng.choice(parts) for _ in range(rng.randint(3, 24)))) for i in range(4000)]
+    got = spark.createDataFrame(rows, "k long, s string").select("k", T.symbols("s").alias("names")).collect()
+    assert [(r.k, r.names) for r in got] == [(k, _names(t)) for k, t in rows]
+
+
+def test_words_are_read_once(spark):
+    """Runs of a form are not given back, and where a dotted name begins is asked for on one side."""
+    plan = spark.createDataFrame([(1, "x")], "k long, s string").select(T.symbols("s"))._jdf.queryExecution().optimizedPlan().toString()
+    for pattern in ("[a-z]++[A-Z]", "[a-z0-9]++[A-Z]", "_[a-z0-9]++)+", "[\\w$]*+(?:"):
+        assert pattern in plan
+    assert T.ascii_bounds(r"\b") + "([A-Za-z_$]" not in plan
