surface_inventory, cap_sites: time to match a line grows with its length, not with the square of its words

Symptom: lines with long unbroken words (encoded or minified text) and an "@" hold surface_inventory, cap_sites, line_scan and scan_impacts up for seconds each.
Evidence: 0.4 MB of lines of one word each, one core: 18 s with words of 5,000 letters and 56 s with words of 10,000; with words of 20,000 the run was ended by its time limit. The e-mail pattern begins with one or more of a set, so from each letter of a word the rest of the word is read, and then given back letter by letter.
Fix: matchers only ask whether a line matches, and where a pattern begins with one or more of a set, one is enough for that; L.matched asks so.

@@ -51,6 +51,12 @@ def marks(pattern: str) -> list[str]:
     return best if all(best) else []
 
 
+def somewhere(pattern: str) -> str:
+    """``pattern`` for asking only whether it matches: where it begins with one or more of a set, one is enough, and a long run of the set
+    is not read again from each of its characters."""
+    return re.sub(r"\A(\[[^\[\]\\&]+\])\+(?![?+])", r"\1", pattern)
+
+
 def strip_boilerplate(text: Column | str) -> Column:
     return reduce(lambda t, p: F.regexp_replace(t, _ANY_CASE + p, " "), V.BOILERPLATE, _column(text))
 

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import ascii_bounds, marks
+from ..functions.text import ascii_bounds, marks, somewhere
 
 
 def lines(files: DataFrame, text: str = "text") -> DataFrame:
@@ -22,7 +22,7 @@ def matched(rows: DataFrame, matchers: list[tuple[str, str, str]], column: str =
     c = F.col(column)
 
     def hit(pattern: str) -> Column:
-        found = c.rlike(ascii_bounds(pattern))
+        found = c.rlike(somewhere(ascii_bounds(pattern)))
         held = [c.contains(m) for m in marks(pattern)]
         return reduce(lambda a, b: a | b, held) & found if held else found
 

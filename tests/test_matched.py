@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from faultline import queries as Q
-from faultline.functions.text import ascii_bounds, marks
+from faultline.functions.text import ascii_bounds, marks, somewhere
 from faultline.operators import lines as L
 
 ODD = [
@@ -61,3 +61,18 @@ def test_bounds_hold_on_odd_lines(spark):
     rows = spark.createDataFrame([(i, s) for i, s in enumerate(lines)], "i int, s string")
     got = rows.select("i", *(F.col("s").rlike(ascii_bounds(p)) for p in patterns)).collect()
     assert {r[0]: tuple(r)[1:] for r in got} == {i: tuple(bool(re.search(p, s, re.A)) for p in patterns) for i, s in enumerate(lines)}
+
+
+@pytest.mark.parametrize("pattern, want", [(r"[a-z._]+@[a-z]+", r"[a-z._]@[a-z]+"), (r"[^a]+b|[c]+", r"[^a]b|[c]+"), ("[a]++a", "[a]++a"), ("[a]+?b", "[a]+?b"), ("[a]*b", "[a]*b"), ("[a[b]]+c", "[a[b]]+c"), ("(?i)[a]+b", "(?i)[a]+b"), ("", "")])
+def test_one_of_a_leading_run_is_enough(pattern, want):
+    assert somewhere(pattern) == want
+
+
+def test_long_words_are_not_read_from_each_character(spark):
+    """A run before the mark, one that ends elsewhere, and only the run."""
+    run = "k" * 300
+    rows = spark.createDataFrame([(1, f"{run}@b.cc"), (2, f"{run} a@b.cc"), (3, f"{run} @b.cc"), (4, f"{run}@"), (5, run), (6, None), (6, "")], "k int, raw string")
+    out = L.matched(rows, Q.MATCHERS)
+    assert sorted((r.k, r.detail) for r in out.collect()) == [(1, "e-mail"), (2, "e-mail")]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert ", [A-Za-z0-9._-]@" in plan and "[A-Za-z0-9._-]+@" not in plan
